@@ -18,16 +18,21 @@ Signatures = dict[str, tuple[float, str, str]]
 
 def _domain_rows(signatures: Signatures) -> Column:
     """The signatures as an array literal: (domain, position, weight, name words, value words)."""
-    rows = [(d, i, w, n.split(), v.split()) for i, (d, (w, n, v)) in enumerate(signatures.items())]
-    rows.append((K.FALLBACK_DOMAIN, len(rows), 0.0, [], []))
+    rows = [(d, i, w, n, v) for i, (d, (w, n, v)) in enumerate(signatures.items())]
+    rows.append((K.FALLBACK_DOMAIN, len(rows), 0.0, "", ""))
+
+    def word_list(text: str) -> Column:
+        # Folded to an array literal when the query is planned.
+        return F.filter(F.split(F.lit(" ".join(text.split())), " "), lambda word: word != "")
+
     return F.array(
         *[
             F.struct(
                 F.lit(domain).alias("domain"),
                 F.lit(position).alias("position"),
                 F.lit(weight).alias("weight"),
-                text_array(names).alias("names"),
-                text_array(values).alias("values"),
+                word_list(names).alias("names"),
+                word_list(values).alias("values"),
             )
             for domain, position, weight, names, values in rows
         ]
@@ -38,6 +43,11 @@ def value_words(signatures: Signatures = K.DOMAIN_SIGNATURES) -> list[str]:
     return sorted({word for _, _, values in signatures.values() for word in values.split()})
 
 
+def _is_value_word(value: str, signatures: Signatures) -> Column:
+    listed = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in value_words(signatures))
+    return F.expr(f"`{value}` IN ({listed})")
+
+
 def value_evidence(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -56,7 +66,7 @@ def value_evidence(
     values = F.array(*[F.lower(F.col(f"`{c}`").cast("string")) for c in columns])
     return (
         df.select(*cols(by), F.explode(values).alias("value"))
-        .filter(F.col("value").isin(value_words(signatures)))
+        .filter(_is_value_word("value", signatures))
         .distinct()
     )
 
@@ -111,7 +121,7 @@ def domain_scores(
     tokens = catalog.select(*cols(keys), F.lower("column").alias("value"))
     if values is not None:
         tokens = tokens.unionByName(values.select(*cols(keys), F.lower("value").alias("value")))
-    tokens = tokens.filter(F.col("value").isin(value_words(signatures))).distinct()
+    tokens = tokens.filter(_is_value_word("value", signatures)).distinct()
     found = (
         tokens.select(*cols(keys), "value", F.inline(_domain_rows(signatures)))
         .filter(F.array_contains("values", F.col("value")))

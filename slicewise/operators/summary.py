@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +34,17 @@ def table_summary(
 
 def catalog(df: DataFrame, dataset: str) -> DataFrame:
     """Schema as rows ``(dataset, column, position, dtype)``."""
-    rows = [(dataset, f.name, i, f.dataType.simpleString()) for i, f in enumerate(df.schema)]
-    return df.sparkSession.createDataFrame(
-        rows, "dataset string, column string, position int, dtype string"
+    fields = list(df.schema)
+    # An Arrow table becomes a local relation: no tasks, and its size is known to the planner.
+    rows = pa.table(
+        {
+            "dataset": pa.array([dataset] * len(fields), pa.string()),
+            "column": pa.array([f.name for f in fields], pa.string()),
+            "position": pa.array(range(len(fields)), pa.int32()),
+            "dtype": pa.array([f.dataType.simpleString() for f in fields], pa.string()),
+        }
     )
+    return df.sparkSession.createDataFrame(rows)
 
 
 def preview(

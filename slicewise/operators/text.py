@@ -75,8 +75,8 @@ def line_stats(lines: DataFrame, by: str | Sequence[str] = ()) -> DataFrame:
     return kept.groupBy(*cols(as_list(by))).agg(
         F.count(F.lit(1)).alias("sampled_lines"),
         F.avg(F.length("line")).alias("avg_line_length"),
-        F.max(F.length("line")).alias("max_line_length"),
-        F.min(F.length("line")).alias("min_line_length"),
+        F.max(F.length("line")).cast("bigint").alias("max_line_length"),
+        F.min(F.length("line")).cast("bigint").alias("min_line_length"),
         F.avg(word_count("line")).alias("avg_word_count"),
     )
 
@@ -264,8 +264,10 @@ def profile_text(
             total(copies).alias("sampled_lines"),
             total(F.when(solid, F.col("distinct"))).alias("unique_lines"),
             F.coalesce(F.max(F.when(solid, F.col("_mean"))), F.lit(0.0)).alias("avg_line_length"),
-            F.coalesce(F.max("length"), F.lit(0)).alias("max_line_length"),
-            F.coalesce(F.min(F.when(solid, F.col("length"))), F.lit(0)).alias("min_line_length"),
+            F.coalesce(F.max("length"), F.lit(0)).cast("bigint").alias("max_line_length"),
+            F.coalesce(F.min(F.when(solid, F.col("length"))), F.lit(0)).cast("bigint").alias(
+                "min_line_length"
+            ),
             F.coalesce(
                 F.try_divide(F.sum(F.when(solid, F.col("words"))), F.sum(copies)), F.lit(0.0)
             ).alias("avg_word_count"),
