@@ -41,36 +41,59 @@ def null_if_nan(c: Column | str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def clamp(c: Column | str, lo: float = 0.0, hi: float = 100.0) -> Column:
+def clamp_sql(expr: str, lo: float = 0.0, hi: float = 100.0) -> str:
     """Bound a number. Null and NaN stay unknown (``least`` would skip the null and sort NaN highest)."""
-    c = column(c)
-    return F.when(
-        c.isNotNull() & ~F.isnan(c), F.least(F.lit(hi), F.greatest(F.lit(lo), c))
+    return (
+        f"CASE WHEN ({expr}) IS NOT NULL AND NOT isnan({expr}) "
+        f"THEN least({hi}D, greatest({lo}D, {expr})) END"
     )
 
 
-def risk_tier(c: Column | str, tiers: dict[str, float], default: str = "CRITICAL") -> Column:
+def tier_sql(expr: str, tiers: dict[str, float], default: str = "CRITICAL") -> str:
     """First label whose ceiling lies above the score; a missing score is ``UNKNOWN``."""
-    c = column(c)
-    out = F.when(c.isNull(), F.lit("UNKNOWN"))
-    for label, ceiling in sorted(tiers.items(), key=lambda t: t[1]):
-        out = out.when(c < ceiling, F.lit(label))
-    return out.otherwise(F.lit(default))
+    ordered = sorted(tiers.items(), key=lambda t: t[1])
+    whens = " ".join(f"WHEN {expr} < {ceiling} THEN '{label}'" for label, ceiling in ordered)
+    return f"CASE WHEN ({expr}) IS NULL THEN 'UNKNOWN' {whens} ELSE '{default}' END"
 
 
-def grade(c: Column | str) -> Column:
-    c = column(c)
+def grade_sql(expr: str) -> str:
     return (
-        F.when(c >= 85, "A").when(c >= 70, "B").when(c >= 55, "C").when(c >= 40, "D").otherwise("F")
+        f"CASE WHEN {expr} >= 85 THEN 'A' WHEN {expr} >= 70 THEN 'B' WHEN {expr} >= 55 THEN 'C' "
+        f"WHEN {expr} >= 40 THEN 'D' ELSE 'F' END"
     )
 
 
-def share(part: Column | str, whole: Column | str, times: float = 100.0) -> Column:
-    """``part / whole * times``; 0 for an empty whole."""
+def share_sql(part: str, whole: str) -> str:
+    """Percentage of the whole; 0 for an empty whole."""
+    return f"CASE WHEN {whole} = 0 THEN 0D ELSE try_divide(CAST({part} AS DOUBLE), {whole}) * 100 END"
+
+
+def text_sql(text: str) -> str:
+    """A string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def pick_sql(key: str, table: dict[str, object], default: object) -> str:
+    """Look a key up in a small constant table; a missing key gets the default."""
+    whens = " ".join(f"WHEN {key} = {text_sql(k)} THEN {v}" for k, v in table.items())
+    return f"CASE {whens} ELSE {default} END"
+
+
+def clamp(c: str, lo: float = 0.0, hi: float = 100.0) -> Column:
+    return F.expr(clamp_sql(c, lo, hi))
+
+
+def risk_tier(c: str, tiers: dict[str, float], default: str = "CRITICAL") -> Column:
+    return F.expr(tier_sql(c, tiers, default))
+
+
+def grade(c: str) -> Column:
+    return F.expr(grade_sql(c))
+
+
+def share(part: Column | str, whole: Column | str) -> Column:
     part, whole = column(part), column(whole)
-    return F.when(whole == 0, F.lit(0.0)).otherwise(
-        part.cast("double") / F.when(whole != 0, whole) * F.lit(times)
-    )
+    return F.coalesce(F.try_divide(part.cast("double"), whole), F.lit(0.0)) * 100
 
 
 def _entropy_term(part: Column, whole: Column) -> Column:
@@ -170,13 +193,5 @@ def risk_ci(
     )
 
 
-def pick(key: Column, table: dict, default) -> Column:
-    """Look a key up in a small constant table; a missing key gets the default."""
-    out = F.when(F.lit(False), F.lit(default))
-    for k, v in table.items():
-        out = out.when(key == F.lit(k), F.lit(v))
-    return out.otherwise(F.lit(default))
-
-
 def text_array(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slicewise.functions import constants as K
-from slicewise.functions.exprs import clamp, risk_tier
-from slicewise.functions.issues import advice, issue, issue_list
+from slicewise.functions.exprs import clamp_sql, text_sql, tier_sql
+from slicewise.functions.issues import NO_ADVICE, Issue, advice_sql, issues_sql
 from slicewise.operators.joining import as_list, cols, match
 from slicewise.operators.summary import text_summary
 from slicewise.operators.text import has_phrase
@@ -25,30 +25,17 @@ def fingerprint_match(
     The few prints are an array literal filtered per summary row, so this range lookup joins nothing.
     Prints without a line count are skipped.
     """
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("name"),
-                F.lit(float(least)).alias("least"),
-                F.lit(float(most)).alias("most"),
-                F.lit(float(short)).alias("short"),
-                F.lit(float(long)).alias("long"),
-            )
-            for name, least, most, short, long in prints
-            if least > 0
-        ]
+    tests = ", ".join(
+        f"CASE WHEN line_count BETWEEN {least} AND {most} AND avg_raw_length BETWEEN {short} AND {long} "
+        f"THEN {text_sql(name)} END"
+        for name, least, most, short, long in prints
+        if least > 0
     )
-    lines, length = F.col("line_count"), F.col("avg_raw_length")
-    hits = F.filter(
-        table,
-        lambda p: (lines >= p["least"])
-        & (lines <= p["most"])
-        & (length >= p["short"])
-        & (length <= p["long"]),
+    return summary.selectExpr(
+        "*",
+        f"filter(array({tests}), name -> name IS NOT NULL) AS suspicious_benchmarks",
+        "size(suspicious_benchmarks) AS fingerprint_matches",
     )
-    return summary.withColumn(
-        "suspicious_benchmarks", F.transform(hits, lambda p: p["name"])
-    ).withColumn("fingerprint_matches", F.size("suspicious_benchmarks"))
 
 
 def phrase_hits(
@@ -65,33 +52,26 @@ def phrase_hits(
 
 def with_text_contamination(summary: DataFrame) -> DataFrame:
     """Score rows with ``line_count``, ``avg_raw_length`` and ``phrase_hits``."""
-    matched, hit = F.col("fingerprint_matches") > 0, F.col("phrase_hits") > 0
-    score = F.least(F.lit(100.0), F.col("fingerprint_matches") * 30.0 + F.col("phrase_hits") * 10.0)
-    return (
-        fingerprint_match(summary)
-        .withColumn("contamination_score", clamp(score))
-        .withColumn("contamination_level", risk_tier("contamination_score", K.CONTAMINATION_TIERS))
-        .withColumn(
-            "contamination_issues",
-            issue_list(
-                issue(
-                    matched,
-                    "BENCHMARK_PRINT",
-                    "warning",
-                    F.col("fingerprint_matches"),
-                    "test sets have the same line count and mean length",
-                    F.array_join("suspicious_benchmarks", ", "),
-                )
-            ),
-        )
-        .withColumn(
-            "contamination_advice",
-            advice(
-                (matched, "Verify that no test split is included"),
-                (matched, "Decontaminate against the suspected test sets"),
-                (hit, "Decontaminate before evaluating on benchmarks"),
-            ),
-        )
+    matched, hit = "fingerprint_matches > 0", "phrase_hits > 0"
+    found = Issue(
+        matched,
+        "BENCHMARK_PRINT",
+        "warning",
+        "fingerprint_matches",
+        "test sets have the same line count and mean length",
+        "array_join(suspicious_benchmarks, ', ')",
+    )
+    told = advice_sql(
+        (matched, "Verify that no test split is included"),
+        (matched, "Decontaminate against the suspected test sets"),
+        (hit, "Decontaminate before evaluating on benchmarks"),
+    )
+    return fingerprint_match(summary).selectExpr(
+        "*",
+        f"{clamp_sql('fingerprint_matches * 30D + phrase_hits * 10D')} AS contamination_score",
+        f"{tier_sql('contamination_score', K.CONTAMINATION_TIERS)} AS contamination_level",
+        f"{issues_sql([found])} AS contamination_issues",
+        f"{told} AS contamination_advice",
     )
 
 
@@ -108,22 +88,13 @@ def text_contamination(
 
 def table_contamination(summary: DataFrame) -> DataFrame:
     """Score table summaries by the row and column count of a known kind of test set."""
-    rows, columns = F.col("row_count"), F.col("column_count")
-    alike = rows.between(800, 1100) & columns.isin(2, 3)
-    return (
-        summary.withColumn(
-            "suspicious_benchmarks",
-            F.when(alike, F.array(F.lit(TABLE_PRINT))).otherwise(F.array().cast("array<string>")),
-        )
-        .withColumn("contamination_score", F.when(alike, F.lit(25.0)).otherwise(F.lit(0.0)))
-        .withColumn("contamination_level", risk_tier("contamination_score", K.CONTAMINATION_TIERS))
-        .withColumn(
-            "contamination_issues",
-            issue_list(
-                issue(alike, "BENCHMARK_PRINT", "warning", rows, "rows: the shape of a known test set", F.lit(TABLE_PRINT))
-            ),
-        )
-        .withColumn(
-            "contamination_advice", advice((alike, "Check where the table comes from"))
-        )
+    alike = "row_count BETWEEN 800 AND 1100 AND column_count IN (2, 3)"
+    found = Issue(alike, "BENCHMARK_PRINT", "warning", "row_count", "rows: the shape of a known test set", text_sql(TABLE_PRINT))
+    return summary.selectExpr(
+        "*",
+        f"CASE WHEN {alike} THEN array({text_sql(TABLE_PRINT)}) ELSE {NO_ADVICE} END AS suspicious_benchmarks",
+        f"CASE WHEN {alike} THEN 25D ELSE 0D END AS contamination_score",
+        f"{tier_sql('contamination_score', K.CONTAMINATION_TIERS)} AS contamination_level",
+        f"{issues_sql([found])} AS contamination_issues",
+        f"{advice_sql((alike, 'Check where the table comes from'))} AS contamination_advice",
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from slicewise.functions import constants as K
-from slicewise.functions.exprs import name_tokens, text_array
+from slicewise.functions.exprs import name_tokens, text_array, text_sql
 from slicewise.operators.joining import as_list, cols, match
 from slicewise.operators.table import categorical_cols
 
@@ -44,7 +44,7 @@ def value_words(signatures: Signatures = K.DOMAIN_SIGNATURES) -> list[str]:
 
 
 def _is_value_word(value: str, signatures: Signatures) -> Column:
-    listed = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in value_words(signatures))
+    listed = ", ".join(map(text_sql, value_words(signatures)))
     return F.expr(f"`{value}` IN ({listed})")
 
 
@@ -164,25 +164,23 @@ def detect_domain(scores: DataFrame, keys: str | Sequence[str] = "dataset") -> D
     )
 
 
-def with_mismatch(detected: DataFrame, selected: Column | str) -> DataFrame:
-    """Compare the detected domain with the chosen one; adds ``mismatch``, ``mismatch_severity``, ``score_gap``."""
-    chosen = F.col(selected) if isinstance(selected, str) else selected
-    found = F.col("detected_domain")
-    related = (found == chosen) | (found == K.FALLBACK_DOMAIN)
-    for domain, others in K.RELATED_DOMAINS.items():
-        related = related | ((found == domain) & chosen.isin(others))
-    differs = (F.col("confidence") >= 0.20) & ~related
-    gap = F.col("confidence") - F.coalesce(F.try_element_at("confidences", chosen), F.lit(0.0))
-    return (
-        detected.withColumn("mismatch", F.coalesce(differs, F.lit(False)))
-        .withColumn("score_gap", F.when(F.col("mismatch"), gap))
-        .withColumn(
-            "mismatch_severity",
-            F.when(~F.col("mismatch"), "NONE")
-            .when(F.col("score_gap") > 0.40, "HIGH")
-            .when(F.col("score_gap") > 0.20, "MEDIUM")
-            .otherwise("LOW"),
-        )
+def with_mismatch(detected: DataFrame, selected: str) -> DataFrame:
+    """Compare the detected domain with the one in column ``selected``.
+
+    Adds ``mismatch``, ``mismatch_severity`` and ``score_gap``. Below a confidence of 0.20 nothing can
+    be said; the fallback domain agrees with all others.
+    """
+    related = " OR ".join(
+        f"(detected_domain = {text_sql(domain)} AND `{selected}` IN ({', '.join(map(text_sql, others))}))"
+        for domain, others in K.RELATED_DOMAINS.items()
+    )
+    agrees = f"detected_domain = `{selected}` OR detected_domain = {text_sql(K.FALLBACK_DOMAIN)} OR {related}"
+    return detected.selectExpr(
+        "*",
+        f"coalesce(confidence >= 0.20D AND NOT ({agrees}), false) AS mismatch",
+        f"IF(mismatch, confidence - coalesce(try_element_at(confidences, `{selected}`), 0D), NULL) AS score_gap",
+        "CASE WHEN NOT mismatch THEN 'NONE' WHEN score_gap > 0.40D THEN 'HIGH' "
+        "WHEN score_gap > 0.20D THEN 'MEDIUM' ELSE 'LOW' END AS mismatch_severity",
     )
 
 

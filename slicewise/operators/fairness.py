@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slicewise.functions import constants as K
-from slicewise.functions.exprs import clamp, risk_tier, share
-from slicewise.functions.issues import ISSUE_TYPE, advice, issue, issue_list
+from slicewise.functions.exprs import clamp_sql, share_sql, tier_sql
+from slicewise.functions.issues import Issue, advice_sql, issues_sql
 from slicewise.operators.joining import as_list, cols
 
 
@@ -18,72 +18,43 @@ def fairness_table(metrics: DataFrame, by: str | Sequence[str] = ()) -> DataFram
 
     Input are the rows of ``balance_metrics``. A slice without imbalance scores 10 and gets an info row.
     """
-    most, classes = F.col("max_prop"), F.col("n_classes")
-    impurity = F.lit(1.0) - F.col("gini")
-    signal = F.when(most > 0.70, impurity).when(most > 0.50, impurity / 2)
-    dominated = issue(
-        most > 0.50,
-        "DOMINANT_CLASS",
-        "warning",
-        most * 100,
-        "percent of the rows have the dominant label",
-        F.col("column"),
-    )
-    few = issue(
-        classes < 3, "FEW_CLASSES", "warning", classes, "distinct labels only", F.col("column")
-    )
-    out = (
-        metrics.groupBy(*cols(as_list(by)))
-        .agg(
-            F.max(signal).alias("_peak"),
-            F.count(signal).alias("_signals"),
-            F.count_if(most > 0.6).alias("skewed_columns"),
-            F.count(F.lit(1)).alias("categorical_columns"),
-            F.coalesce(F.max(most > 0.70), F.lit(False)).alias("_dominated"),
-            # At most two entries per categorical column of the schema.
-            F.array_sort(F.flatten(F.collect_list(F.array(dominated, few)))).alias("_found"),
-        )
-        .withColumn("_found", F.filter("_found", lambda i: i.isNotNull()).cast(ISSUE_TYPE))
-    )
-    breadth = F.least(F.lit(0.2), F.col("_signals") * 0.05)
-    clean = issue_list(clean=("FAIRNESS_OK", "no severe imbalance"))
-    return (
-        out.withColumn(
-            "drift_score",
-            F.when(F.col("_signals") == 0, F.lit(10.0)).otherwise(
-                clamp((F.col("_peak") + breadth) * 100)
-            ),
-        )
-        .withColumn("drift_level", risk_tier("drift_score", K.FAIRNESS_TIERS))
-        .withColumn("shift_vulnerability", share("skewed_columns", "categorical_columns"))
-        .withColumn("drift_issues", F.when(F.size("_found") == 0, clean).otherwise(F.col("_found")))
-        .withColumn(
-            "drift_advice",
-            advice((F.col("_dominated"), "Sample dominated groups by stratum or weight their loss")),
-        )
-        .drop("_peak", "_signals", "_dominated", "_found")
+    dominated = Issue("max_prop > 0.50", "DOMINANT_CLASS", "warning", "max_prop * 100", "percent of the rows have the dominant label", "column")
+    few = Issue("n_classes < 3", "FEW_CLASSES", "warning", "n_classes", "distinct labels only", "column")
+    signal = "CASE WHEN max_prop > 0.70 THEN 1 - gini WHEN max_prop > 0.50 THEN (1 - gini) / 2 END"
+    # The list has at most two entries per categorical column of the schema.
+    out = metrics.groupBy(*cols(as_list(by))).agg(
+        F.expr(f"max({signal}) AS _peak"),
+        F.expr(f"count({signal}) AS _signals"),
+        F.expr("count_if(max_prop > 0.6) AS skewed_columns"),
+        F.expr("count(1) AS categorical_columns"),
+        F.expr("coalesce(max(max_prop > 0.70), false) AS _dominated"),
+        F.expr(f"array_sort(flatten(collect_list({issues_sql([dominated, few])}))) AS _found"),
     )
+    peak = clamp_sql("(_peak + least(0.2D, _signals * 0.05D)) * 100")
+    return out.selectExpr(
+        "*",
+        f"CASE WHEN _signals = 0 THEN 10D ELSE {peak} END AS drift_score",
+        f"{tier_sql('drift_score', K.FAIRNESS_TIERS)} AS drift_level",
+        f"{share_sql('skewed_columns', 'categorical_columns')} AS shift_vulnerability",
+        f"{issues_sql([], '_found', ('FAIRNESS_OK', 'no severe imbalance'))} AS drift_issues",
+        f"{advice_sql(('_dominated', 'Sample dominated groups by stratum or weight their loss'))} AS drift_advice",
+    ).drop("_peak", "_signals", "_dominated", "_found")
 
 
 def fairness_text(profile: DataFrame) -> DataFrame:
     """Low lexical diversity and repetition as a sign of a one-sided corpus."""
-    ttr, repeats = F.col("type_token_ratio"), F.col("duplicate_pct")
-    narrow, copied = ttr < 0.15, repeats > 15
-    return (
-        profile.withColumn("drift_score", clamp(F.lit(100.0) - ttr * 150 + repeats))
-        .withColumn("drift_level", risk_tier("drift_score", K.FAIRNESS_TIERS))
-        .withColumn(
-            "drift_issues",
-            issue_list(
-                issue(narrow, "NARROW_VOCABULARY", "warning", ttr, "distinct words per word"),
-                issue(copied, "REPEATED_CONTENT", "warning", repeats, "percent of the lines are repeats"),
-            ),
-        )
-        .withColumn(
-            "drift_advice",
-            advice(
-                (narrow, "Add sources, styles and perspectives"),
-                (copied, "Remove repeated lines"),
-            ),
-        )
+    narrow, copied = "type_token_ratio < 0.15", "duplicate_pct > 15"
+    found = [
+        Issue(narrow, "NARROW_VOCABULARY", "warning", "type_token_ratio", "distinct words per word"),
+        Issue(copied, "REPEATED_CONTENT", "warning", "duplicate_pct", "percent of the lines are repeats"),
+    ]
+    told = advice_sql(
+        (narrow, "Add sources, styles and perspectives"), (copied, "Remove repeated lines")
+    )
+    return profile.selectExpr(
+        "*",
+        f"{clamp_sql('100D - type_token_ratio * 150 + duplicate_pct')} AS drift_score",
+        f"{tier_sql('drift_score', K.FAIRNESS_TIERS)} AS drift_level",
+        f"{issues_sql(found)} AS drift_issues",
+        f"{told} AS drift_advice",
     )

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slicewise.functions import constants as K
-from slicewise.functions.exprs import clamp, null_if_nan, risk_tier, share
-from slicewise.functions.issues import advice, issue, issue_list
+from slicewise.functions.exprs import clamp_sql, null_if_nan, share_sql, tier_sql
+from slicewise.functions.issues import Issue, advice_sql, issues_sql
 from slicewise.operators.joining import as_list, cols, match, materialize
 from slicewise.operators.sampling import top_hash
 
@@ -137,40 +137,29 @@ def geometry_scan(
         match(distances, moments, by, "inner")
         .groupBy(*cols(by))
         .agg(
-            F.count(F.lit(1)).alias("samples_analyzed"),
-            F.count_if(F.abs(z) > 3).alias("outlier_count"),
+            F.count(F.lit(1)).alias("_analyzed"),
+            F.count_if(F.abs(z) > 3).alias("_outliers"),
             F.count_if(F.col("distance") > F.col("_p95")).alias("_isolated"),
         )
     )
-    enough = (F.col("sample_rows") >= LEAST_ROWS) & F.col("samples_analyzed").isNotNull()
-    out = match(sizes, counts, by)
-    for name, part in (("outlier_pct", "outlier_count"), ("isolated_pct", "_isolated")):
-        out = out.withColumn(name, F.when(enough, share(part, "samples_analyzed")))
-    score = clamp(
-        F.when(enough, F.least(F.lit(100.0), F.col("outlier_pct") * 5 + F.col("isolated_pct") * 2))
-    )
-    outlying, isolated = F.col("outlier_pct") > 2, F.col("isolated_pct") > 5
-    return (
-        out.withColumn("samples_analyzed", F.when(enough, F.col("samples_analyzed")))
-        .withColumn("outlier_count", F.when(enough, F.col("outlier_count")))
-        .withColumn("vulnerability_score", score)
-        .withColumn("vulnerability_level", risk_tier("vulnerability_score", K.VULNERABILITY_TIERS))
-        .withColumn(
-            "vulnerability_issues",
-            issue_list(
-                issue(outlying, "GEOMETRIC_OUTLIERS", "warning", F.col("outlier_pct"), "percent of the probes are outliers"),
-                issue(isolated, "ISOLATED_POINTS", "warning", F.col("isolated_pct"), "percent of the probes lie apart"),
-                issue(
-                    F.col("vulnerability_score") < 20, "GEOMETRY_OK", "info", F.col("vulnerability_score"), "the geometry looks robust"
-                ),
-            ),
-        )
-        .withColumn(
-            "vulnerability_advice",
-            advice(
-                (outlying, "Inspect the outlying points"),
-                (isolated, "Filter points in sparse regions"),
-            ),
-        )
-        .drop("_isolated")
+    enough = f"sample_rows >= {LEAST_ROWS} AND _analyzed IS NOT NULL"
+    outlying, isolated = "outlier_pct > 2", "isolated_pct > 5"
+    found = [
+        Issue(outlying, "GEOMETRIC_OUTLIERS", "warning", "outlier_pct", "percent of the probes are outliers"),
+        Issue(isolated, "ISOLATED_POINTS", "warning", "isolated_pct", "percent of the probes lie apart"),
+        Issue("vulnerability_score < 20", "GEOMETRY_OK", "info", "vulnerability_score", "the geometry looks robust"),
+    ]
+    told = advice_sql(
+        (outlying, "Inspect the outlying points"), (isolated, "Filter points in sparse regions")
     )
+    return match(sizes, counts, by).selectExpr(
+        "*",
+        f"CASE WHEN {enough} THEN _analyzed END AS samples_analyzed",
+        f"CASE WHEN {enough} THEN _outliers END AS outlier_count",
+        f"CASE WHEN {enough} THEN {share_sql('_outliers', '_analyzed')} END AS outlier_pct",
+        f"CASE WHEN {enough} THEN {share_sql('_isolated', '_analyzed')} END AS isolated_pct",
+        f"{clamp_sql('outlier_pct * 5 + isolated_pct * 2')} AS vulnerability_score",
+        f"{tier_sql('vulnerability_score', K.VULNERABILITY_TIERS)} AS vulnerability_level",
+        f"{issues_sql(found)} AS vulnerability_issues",
+        f"{told} AS vulnerability_advice",
+    ).drop("_analyzed", "_outliers", "_isolated")

@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from slicewise.functions import constants as K
-from slicewise.functions.exprs import column, pick
-from slicewise.functions.issues import advice
+from slicewise.functions.exprs import pick_sql, text_sql
+from slicewise.functions.issues import advice_sql
 from slicewise.operators.domain import assign_columns
 from slicewise.operators.joining import as_list, cols, match, materialize
 from slicewise.operators.quality import score_table
@@ -31,22 +30,16 @@ def column_groups(df: DataFrame, by: str | Sequence[str] = ()) -> dict[str, list
     return {d: members for d, members in groups.items() if members}
 
 
-def group_sufficiency(rows: Column | str, domain: Column | str = "domain") -> Column:
-    """Rows against the number recommended for a domain: struct of recommended rows, ratio, verdict."""
-    wanted = pick(column(domain), K.GROUP_ROWS, K.GROUP_ROWS[K.FALLBACK_DOMAIN])
-    ratio = column(rows) / wanted
-    verdict = (
-        F.when(ratio >= 2.0, "ABUNDANT")
-        .when(ratio >= 1.0, "SUFFICIENT")
-        .when(ratio >= 0.5, "MARGINAL")
-        .when(ratio >= 0.1, "INSUFFICIENT")
-        .otherwise("CRITICALLY_INSUFFICIENT")
-    )
-    return F.struct(
-        wanted.cast("bigint").alias("recommended_rows"),
-        ratio.alias("ratio"),
-        verdict.alias("verdict"),
-    )
+def group_sufficiency(rows: str = "row_count", domain: str = "domain") -> list[str]:
+    """Select expressions that hold rows against the number recommended for a domain."""
+    wanted = {k: f"{v}L" for k, v in K.GROUP_ROWS.items()}
+    return [
+        f"{pick_sql(domain, wanted, wanted[K.FALLBACK_DOMAIN])} AS recommended_rows",
+        f"{rows} / recommended_rows AS sufficiency_ratio",
+        "CASE WHEN sufficiency_ratio >= 2 THEN 'ABUNDANT' WHEN sufficiency_ratio >= 1 THEN 'SUFFICIENT' "
+        "WHEN sufficiency_ratio >= 0.5 THEN 'MARGINAL' WHEN sufficiency_ratio >= 0.1 THEN 'INSUFFICIENT' "
+        "ELSE 'CRITICALLY_INSUFFICIENT' END AS sufficiency",
+    ]
 
 
 def profile_groups(
@@ -73,9 +66,7 @@ def multi_domain(df: DataFrame, by: str | Sequence[str] = ()) -> MultiDomain:
     groups = column_groups(df, by)
     profile = profile_groups(df, groups, by)
     n_columns = sum(len(members) for members in groups.values())
-    listed = F.when(F.lit(False), F.array().cast("array<string>"))
-    for domain, members in groups.items():
-        listed = listed.when(F.col("domain") == domain, F.array(*[F.lit(c) for c in members]))
+    names = {d: f"array({', '.join(map(text_sql, members))})" for d, members in groups.items()}
     gaps = profile.columns.groupBy(*cols([*by, "domain"])).agg(
         F.try_divide(F.sum("n"), F.sum("row_count")).alias("data_coverage"),
         F.slice(
@@ -88,40 +79,33 @@ def multi_domain(df: DataFrame, by: str | Sequence[str] = ()) -> MultiDomain:
         .getField("column")
         .alias("high_null_columns"),
     )
-    sufficiency = group_sufficiency("row_count")
-    order = Window.partitionBy(*cols(by)) if by else Window.partitionBy("_all")
+    order = ", ".join(f"`{k}`" for k in by)
+    told = advice_sql(
+        ("sufficiency IN ('CRITICALLY_INSUFFICIENT', 'INSUFFICIENT')", "Collect more rows for this group"),
+        ("total_score < 55", "Raise the quality of this group"),
+        ("size(high_null_columns) > 0", "Fill or drop its columns with many nulls"),
+    )
+    # At most eight groups per slice are ranked.
     scored = (
         match(score_table(profile), gaps, [*by, "domain"])
-        .withColumn("columns", listed)
-        .withColumn("column_share", F.col("column_count") / n_columns)
-        .withColumn("_sufficiency", sufficiency)
-        .withColumn("recommended_rows", F.col("_sufficiency.recommended_rows"))
-        .withColumn("sufficiency_ratio", F.col("_sufficiency.ratio"))
-        .withColumn("sufficiency", F.col("_sufficiency.verdict"))
-        .withColumn(
-            "rank_score",
-            F.col("total_score") / 100 * 0.6
-            + F.least(F.col("sufficiency_ratio"), F.lit(2.0)) / 2 * 0.4,
-        )
-        .withColumn("_all", F.lit(0))
-        # At most eight groups per slice.
-        .withColumn(
-            "rank", F.row_number().over(order.orderBy(F.col("rank_score").desc(), "domain"))
+        .selectExpr(
+            "*",
+            f"{pick_sql('domain', names, 'array()')} AS columns",
+            f"column_count / {n_columns}D AS column_share",
+            *group_sufficiency(),
+            "total_score / 100 * 0.6D + least(sufficiency_ratio, 2D) / 2 * 0.4D AS rank_score",
+            f"{told} AS group_advice",
         )
-        .withColumn(
-            "group_advice",
-            advice(
-                (
-                    F.col("sufficiency").isin("CRITICALLY_INSUFFICIENT", "INSUFFICIENT"),
-                    "Collect more rows for this group",
-                ),
-                (F.col("total_score") < 55, "Raise the quality of this group"),
-                (F.size("high_null_columns") > 0, "Fill or drop its columns with many nulls"),
-            ),
+        .selectExpr(
+            "*",
+            f"row_number() OVER (PARTITION BY {order or '0'} ORDER BY rank_score DESC, domain) AS rank",
         )
-        .drop("_sufficiency", "_all")
     )
     scored = materialize(scored)
+    overall_advice = advice_sql(
+        ("weighted_quality < 60", "Solve the problems of the groups before training on all of them"),
+        ("weighted_quality >= 60 AND _advice = 0", "All groups have enough rows and quality"),
+    )
     overall = (
         scored.groupBy(*cols(by))
         .agg(
@@ -132,16 +116,7 @@ def multi_domain(df: DataFrame, by: str | Sequence[str] = ()) -> MultiDomain:
             F.max(F.when(F.col("rank") == 1, F.col("column_share"))).alias("dominant_column_share"),
             F.max(F.size("group_advice")).alias("_advice"),
         )
-        .withColumn(
-            "overall_advice",
-            advice(
-                (F.col("weighted_quality") < 60, "Solve the problems of the groups before training on all of them"),
-                (
-                    (F.col("weighted_quality") >= 60) & (F.col("_advice") == 0),
-                    "All groups have enough rows and quality",
-                ),
-            ),
-        )
+        .selectExpr("*", f"{overall_advice} AS overall_advice")
         .drop("_advice")
     )
     nulls = profile.columns.groupBy(*cols(by)).agg(F.avg("missing_pct").alias("global_null_pct"))

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,17 +62,12 @@ def match(
     broadcast: bool = False,
 ) -> DataFrame:
     """Null-safe equi-join. Without keys both sides are one-row totals, put side by side."""
-    renamed = right
-    for k in keys:
-        renamed = renamed.withColumnRenamed(k, f"_r_{k}")
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys}) if keys else right
     if broadcast:
         renamed = F.broadcast(renamed)
-    condition = reduce(
-        lambda a, b: a & b,
-        [F.col(f"`{k}`").eqNullSafe(F.col(f"`_r_{k}`")) for k in keys],
-        F.lit(True),
-    )
-    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
+    condition = F.expr(" AND ".join(f"`{k}` <=> `_r_{k}`" for k in keys) or "true")
+    joined = left.join(renamed, condition, how)
+    return joined.drop(*[f"_r_{k}" for k in keys]) if keys else joined
 
 
 def attach(

@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slicewise.functions.exprs import clamp, column, grade, share
-from slicewise.functions.issues import ISSUE_TYPE, advice, issue, issue_list
+from slicewise.functions.exprs import clamp_sql, grade_sql
+from slicewise.functions.issues import ISSUE_TYPE, Issue, advice_sql, issue_sql, issues_sql
 from slicewise.operators.joining import as_list, cols, match
 from slicewise.operators.table import TableProfile, balance_metrics, profile_table
 from slicewise.operators.text import profile_text
@@ -37,37 +37,38 @@ TEXT_CAPS = [(1_000, 20.0), (10_000, 50.0)]
 TEXT_COMPLETENESS = 95.0
 
 
-def _weighted(weights: dict[str, float]) -> Column:
-    total = F.lit(0.0)
-    for name, weight in weights.items():
-        total = total + F.col(name) * F.lit(weight)
-    return clamp(total)
+def _weighted(weights: dict[str, float]) -> str:
+    return clamp_sql(" + ".join(f"{name} * {weight}D" for name, weight in weights.items()))
 
 
-def _capped(score: Column, size: Column, caps: Sequence[tuple[int, float]]) -> Column:
-    out = F.when(F.lit(False), score)
-    for below, most in caps:
-        out = out.when(size < below, F.least(score, F.lit(most)))
-    return out.otherwise(score)
+def _capped(score: str, size: str, caps: Sequence[tuple[int, float]]) -> str:
+    whens = " ".join(f"WHEN {size} < {below} THEN least({score}, {most}D)" for below, most in caps)
+    return f"CASE {whens} ELSE {score} END"
 
 
-def _ramp(size: Column, start: float, low: float, high: float, gain: float) -> Column:
-    return F.lit(start) + (size - F.lit(low)) / F.lit(high - low) * F.lit(gain)
+def _ramp(size: str, start: float, low: float, high: float, gain: float, extra: str = "0D") -> str:
+    return clamp_sql(f"{start}D + ({size} - {low}D) / {high - low}D * {gain}D + {extra}")
 
 
-# ---- dimensions of a table
+# ---- dimensions of a table: each takes column names or SQL expressions and returns a Column
 
 
-def completeness(avg_missing: Column | str, max_missing: Column | str) -> Column:
-    hit = F.when(column(max_missing) > 50, F.lit(8.0)).otherwise(F.lit(0.0))
-    return clamp(F.lit(100.0) - column(avg_missing) * 1.8 - hit)
+def completeness(avg_missing: str, max_missing: str) -> Column:
+    return F.expr(_completeness(avg_missing, max_missing))
 
 
-def duplication(dup_pct: Column | str) -> Column:
-    d = column(dup_pct)
-    return F.when(d <= 2, clamp(F.lit(100.0) - d * 2)).otherwise(
-        clamp(F.lit(96.0) - F.pow(F.greatest(d - 2, F.lit(0.0)), F.lit(1.4)) * 4)
-    )
+def _completeness(avg_missing: str, max_missing: str) -> str:
+    hit = f"CASE WHEN {max_missing} > 50 THEN 8D ELSE 0D END"
+    return clamp_sql(f"100D - ({avg_missing}) * 1.8D - {hit}")
+
+
+def duplication(dup_pct: str) -> Column:
+    return F.expr(_duplication(dup_pct))
+
+
+def _duplication(dup_pct: str) -> str:
+    steep = clamp_sql(f"96D - power(greatest(({dup_pct}) - 2, 0D), 1.4D) * 4")
+    return f"CASE WHEN {dup_pct} <= 2 THEN {clamp_sql(f'100D - ({dup_pct}) * 2')} ELSE {steep} END"
 
 
 def noise_by_column(
@@ -115,49 +116,54 @@ def noise(noise_rows: DataFrame, by: str | Sequence[str] = ()) -> DataFrame:
     )
 
 
-def noise_score(avg_noise: Column | str) -> Column:
-    return clamp(F.lit(100.0) - column(avg_noise) * 22)
+def noise_score(avg_noise: str) -> Column:
+    return F.expr(_noise_score(avg_noise))
+
+
+def _noise_score(avg_noise: str) -> str:
+    return clamp_sql(f"100D - ({avg_noise}) * 22")
 
 
-def balance_score(avg_max: Column | str, avg_entropy_ratio: Column | str) -> Column:
-    excess = F.greatest(F.lit(0.0), column(avg_max) - 0.5)
-    return clamp(F.lit(100.0) - F.pow(excess, F.lit(1.5)) * 380 + column(avg_entropy_ratio) * 5)
+def balance_score(avg_max: str, avg_entropy_ratio: str) -> Column:
+    excess = f"greatest(0D, ({avg_max}) - 0.5D)"
+    return F.expr(clamp_sql(f"100D - power({excess}, 1.5D) * 380 + ({avg_entropy_ratio}) * 5"))
 
 
 def balance(balance_rows: DataFrame, by: str | Sequence[str] = ()) -> DataFrame:
     """Balance score per slice with one finding per dominated column."""
-    severe = F.col("max_prop") > 0.80
-    found = issue(
-        F.col("max_prop") > 0.65,
+    found = Issue(
+        "max_prop > 0.65",
         "IMBALANCE",
-        F.when(severe, "critical").otherwise("warning"),
-        F.col("max_prop") * 100,
+        "CASE WHEN max_prop > 0.80 THEN 'critical' ELSE 'warning' END",
+        "max_prop * 100",
         "percent of the rows have the dominant label",
-        F.col("column"),
+        "column",
     )
     return (
         balance_rows.groupBy(*cols(as_list(by)))
         .agg(
-            F.avg("max_prop").alias("avg_max_prop"),
-            F.avg("entropy_ratio").alias("avg_entropy_ratio"),
+            F.expr("avg(max_prop) AS avg_max_prop"),
+            F.expr("avg(entropy_ratio) AS avg_entropy_ratio"),
             # One entry per categorical column of the schema.
-            F.array_sort(F.collect_list(found)).cast(ISSUE_TYPE).alias("balance_issues"),
-            F.coalesce(F.max(severe), F.lit(False)).alias("severe_imbalance"),
+            F.expr(f"CAST(array_sort(collect_list({issue_sql(found)})) AS {ISSUE_TYPE}) AS balance_issues"),
+            F.expr("coalesce(max(max_prop > 0.80), false) AS severe_imbalance"),
         )
         .withColumn("balance", balance_score("avg_max_prop", "avg_entropy_ratio"))
     )
 
 
-def structure(rows: Column | str, columns: Column | str) -> Column:
-    r, c = column(rows), column(columns)
-    bonus = F.least(F.lit(10.0), F.log2(F.greatest(c, F.lit(1))) * 2.5)
+def structure(rows: str, columns: str) -> Column:
+    return F.expr(_structure(rows, columns))
+
+
+def _structure(r: str, columns: str) -> str:
+    bonus = f"least(10D, log2(greatest({columns}, 1)) * 2.5D)"
     return (
-        F.when(r < 10, F.lit(0.0))
-        .when(r < 100, F.lit(10.0))
-        .when(r < 1_000, clamp(_ramp(r, 10, 100, 1_000, 35) + bonus * 0.3))
-        .when(r < 10_000, clamp(_ramp(r, 45, 1_000, 10_000, 30) + bonus * 0.5))
-        .when(r < 100_000, clamp(_ramp(r, 75, 10_000, 100_000, 20) + bonus * 0.3))
-        .otherwise(F.lit(100.0))
+        f"CASE WHEN {r} < 10 THEN 0D WHEN {r} < 100 THEN 10D "
+        f"WHEN {r} < 1000 THEN {_ramp(r, 10, 100, 1_000, 35, f'{bonus} * 0.3D')} "
+        f"WHEN {r} < 10000 THEN {_ramp(r, 45, 1_000, 10_000, 30, f'{bonus} * 0.5D')} "
+        f"WHEN {r} < 100000 THEN {_ramp(r, 75, 10_000, 100_000, 20, f'{bonus} * 0.3D')} "
+        f"ELSE 100D END"
     )
 
 
@@ -171,60 +177,54 @@ def score_table(profile: TableProfile) -> DataFrame:
     noisy = noise(noise_by_column(profile.columns, profile.histogram, keys), keys)
     balanced = balance(balance_metrics(profile.balance, keys), keys)
     out = profile.summary
-    for part in (gaps, repeats, noisy, balanced):
+    for part in (gaps, repeats, noisy.select(*cols(keys), "avg_noise"), balanced):
         out = match(out, part, keys)
-    zero = F.lit(0.0)
-    out = (
-        out.withColumn("avg_missing_pct", F.coalesce("avg_missing_pct", zero))
-        .withColumn("max_missing_pct", F.coalesce("max_missing_pct", zero))
-        .withColumn("duplicate_count", F.coalesce("duplicate_count", F.lit(0)))
-        .withColumn("duplicate_pct", F.coalesce("duplicate_pct", zero))
-        .withColumn("avg_noise", F.coalesce("avg_noise", zero))
-        .withColumn("severe_imbalance", F.coalesce("severe_imbalance", F.lit(False)))
-        .withColumn("balance_issues", F.coalesce("balance_issues", F.array().cast(ISSUE_TYPE)))
-        .withColumn("completeness", completeness("avg_missing_pct", "max_missing_pct"))
-        .withColumn("duplication", duplication("duplicate_pct"))
-        .withColumn("noise", noise_score("avg_noise"))
-        .withColumn("balance", F.coalesce("balance", F.lit(100.0)))
-        .withColumn("structural_integrity", structure("row_count", "column_count"))
-    )
-    rows = F.col("row_count")
-    total = _capped(_weighted(TABLE_WEIGHTS), rows, TABLE_CAPS)
-    gappy, copied = F.col("avg_missing_pct") > 5, F.col("duplicate_pct") > 2
-    rough = F.col("avg_noise") > 0.7
-    found = F.concat(
-        issue_list(
-            issue(gappy, "MISSING_VALUES", "warning", F.col("avg_missing_pct"), "percent of the cells are missing"),
-            issue(copied, "DUPLICATE_ROWS", "warning", F.col("duplicate_pct"), "percent of the rows are repeats"),
-            issue(rough, "NOISE", "warning", F.col("avg_noise"), "mean noise of the numeric columns"),
-        ),
-        F.col("balance_issues"),
-        issue_list(
-            issue(rows < 10, "TOO_SMALL", "critical", rows, "rows: unusable for training"),
-            issue((rows >= 10) & (rows < 100), "VERY_SMALL", "warning", rows, "rows: toy experiments only"),
-            issue((rows >= 100) & (rows < 1_000), "SMALL", "warning", rows, "rows: small models only"),
-            issue((rows >= 1_000) & (rows < 10_000), "MODERATE_SIZE", "warning", rows, "rows: small and medium models"),
-        ),
+    gappy, copied, rough = "avg_missing_pct > 5", "duplicate_pct > 2", "avg_noise > 0.7"
+    tiny, very_small = "row_count < 10", "row_count BETWEEN 10 AND 99"
+    small, moderate = "row_count BETWEEN 100 AND 999", "row_count BETWEEN 1000 AND 9999"
+    found = [
+        Issue(gappy, "MISSING_VALUES", "warning", "avg_missing_pct", "percent of the cells are missing"),
+        Issue(copied, "DUPLICATE_ROWS", "warning", "duplicate_pct", "percent of the rows are repeats"),
+        Issue(rough, "NOISE", "warning", "avg_noise", "mean noise of the numeric columns"),
+        Issue(tiny, "TOO_SMALL", "critical", "row_count", "rows: unusable for training"),
+        Issue(very_small, "VERY_SMALL", "warning", "row_count", "rows: toy experiments only"),
+        Issue(small, "SMALL", "warning", "row_count", "rows: small models only"),
+        Issue(moderate, "MODERATE_SIZE", "warning", "row_count", "rows: small and medium models"),
+    ]
+    told = advice_sql(
+        (gappy, "Fill or drop columns with many missing values"),
+        (copied, "Remove duplicate rows before training"),
+        (rough, "Look for outliers and normalise the features"),
+        ("severe_imbalance", "Reweight or resample dominated classes"),
+        (tiny, "Collect at least 1,000 rows"),
+        (very_small, "Collect at least 1,000 rows before training"),
+        (small, "Aim for 10,000 rows"),
     )
-    clean = issue_list(clean=("QUALITY_OK", "no major quality issue"))
-    return (
-        out.withColumn("total_score", total)
-        .withColumn("grade", grade("total_score"))
-        .withColumn("quality_issues", F.when(F.size(found) == 0, clean).otherwise(found))
-        .withColumn(
-            "quality_advice",
-            advice(
-                (gappy, "Fill or drop columns with many missing values"),
-                (copied, "Remove duplicate rows before training"),
-                (rough, "Look for outliers and normalise the features"),
-                (F.col("severe_imbalance"), "Reweight or resample dominated classes"),
-                (rows < 10, "Collect at least 1,000 rows"),
-                ((rows >= 10) & (rows < 100), "Collect at least 1,000 rows before training"),
-                ((rows >= 100) & (rows < 1_000), "Aim for 10,000 rows"),
-            ),
-        )
-        .drop("balance_issues", "severe_imbalance", "avg_max_prop", "avg_entropy_ratio")
+    parts = out.selectExpr(
+        *[f"`{k}`" for k in keys],
+        "row_count",
+        "column_count",
+        "coalesce(avg_missing_pct, 0D) AS avg_missing_pct",
+        "coalesce(max_missing_pct, 0D) AS max_missing_pct",
+        "coalesce(duplicate_count, 0L) AS duplicate_count",
+        "coalesce(duplicate_pct, 0D) AS duplicate_pct",
+        "coalesce(avg_noise, 0D) AS avg_noise",
+        "coalesce(balance, 100D) AS balance",
+        "coalesce(severe_imbalance, false) AS severe_imbalance",
+        "balance_issues",
     )
+    return parts.selectExpr(
+        "*",
+        f"{_completeness('avg_missing_pct', 'max_missing_pct')} AS completeness",
+        f"{_duplication('duplicate_pct')} AS duplication",
+        f"{_noise_score('avg_noise')} AS noise",
+        f"{_structure('row_count', 'column_count')} AS structural_integrity",
+        f"{_weighted(TABLE_WEIGHTS)} AS _total",
+        f"{_capped('_total', 'row_count', TABLE_CAPS)} AS total_score",
+        f"{grade_sql('total_score')} AS grade",
+        f"{issues_sql(found, 'balance_issues', ('QUALITY_OK', 'no major quality issue'))} AS quality_issues",
+        f"{told} AS quality_advice",
+    ).drop("balance_issues", "severe_imbalance", "_total")
 
 
 def quality_of_table(df: DataFrame, by: str | Sequence[str] = ()) -> DataFrame:
@@ -234,69 +234,78 @@ def quality_of_table(df: DataFrame, by: str | Sequence[str] = ()) -> DataFrame:
 # ---- dimensions of text
 
 
-def text_duplication(dup_pct: Column | str) -> Column:
-    return clamp(F.lit(100.0) - column(dup_pct) * 2.2)
+def text_duplication(dup_pct: str) -> Column:
+    return F.expr(_text_duplication(dup_pct))
+
+
+def _text_duplication(dup_pct: str) -> str:
+    return clamp_sql(f"100D - ({dup_pct}) * 2.2D")
+
+
+def diversity(ttr: str) -> Column:
+    return F.expr(_diversity(ttr))
+
 
+def _diversity(ttr: str) -> str:
+    return clamp_sql(f"log1p(({ttr}) * 20) / log1p(10D) * 100")
 
-def diversity(ttr: Column | str) -> Column:
-    return clamp(F.log1p(column(ttr) * 20) / F.log1p(F.lit(10.0)) * 100)
 
+def length_noise(max_length: str, avg_length: str) -> Column:
+    return F.expr(_length_noise(max_length, avg_length))
 
-def length_noise(max_length: Column | str, avg_length: Column | str) -> Column:
-    return F.when(_extreme(max_length, avg_length), F.lit(60.0)).otherwise(F.lit(82.0))
 
+def _extreme(max_length: str, avg_length: str) -> str:
+    return f"({max_length} > ({avg_length}) * 12 AND {avg_length} > 0)"
 
-def _extreme(max_length: Column | str, avg_length: Column | str) -> Column:
-    return (column(max_length) > column(avg_length) * 12) & (column(avg_length) > 0)
 
+def _length_noise(max_length: str, avg_length: str) -> str:
+    return f"CASE WHEN {_extreme(max_length, avg_length)} THEN 60D ELSE 82D END"
 
-def text_structure(lines: Column | str) -> Column:
-    n = column(lines)
+
+def text_structure(lines: str) -> Column:
+    return F.expr(_text_structure(lines))
+
+
+def _text_structure(n: str) -> str:
     return (
-        F.when(n < 1_000, F.lit(0.0))
-        .when(n < 10_000, clamp(_ramp(n, 10, 1_000, 10_000, 35)))
-        .when(n < 100_000, clamp(_ramp(n, 45, 10_000, 100_000, 30)))
-        .when(n < 1_000_000, clamp(_ramp(n, 75, 100_000, 1_000_000, 20)))
-        .otherwise(F.lit(100.0))
+        f"CASE WHEN {n} < 1000 THEN 0D "
+        f"WHEN {n} < 10000 THEN {_ramp(n, 10, 1_000, 10_000, 35)} "
+        f"WHEN {n} < 100000 THEN {_ramp(n, 45, 10_000, 100_000, 30)} "
+        f"WHEN {n} < 1000000 THEN {_ramp(n, 75, 100_000, 1_000_000, 20)} ELSE 100D END"
     )
 
 
 def score_text(profile: DataFrame) -> DataFrame:
     """Quality of a corpus per slice: adds the dimensions, total and grade to profile rows."""
-    n = F.col("sampled_lines")
-    copied, thin = F.col("duplicate_pct") > 10, F.col("type_token_ratio") < 0.15
+    copied, thin = "duplicate_pct > 10", "type_token_ratio < 0.15"
     extreme = _extreme("max_line_length", "avg_line_length")
-    ratio = F.try_divide("max_line_length", "avg_line_length")
-    total = _capped(_weighted(TEXT_WEIGHTS), n, TEXT_CAPS)
-    return (
-        profile.withColumn("completeness", F.lit(TEXT_COMPLETENESS))
-        .withColumn("duplication", text_duplication("duplicate_pct"))
-        .withColumn("vocabulary_diversity", diversity("type_token_ratio"))
-        .withColumn("noise", length_noise("max_line_length", "avg_line_length"))
-        .withColumn("structural_integrity", text_structure(n))
-        .withColumn("total_score", total)
-        .withColumn("grade", grade("total_score"))
-        .withColumn(
-            "quality_issues",
-            issue_list(
-                issue(copied, "DUPLICATE_LINES", "warning", F.col("duplicate_pct"), "percent of the lines are repeats"),
-                issue(thin, "LOW_DIVERSITY", "warning", F.col("type_token_ratio"), "distinct words per word"),
-                issue(extreme, "EXTREME_LENGTH", "warning", ratio, "times the mean length is the longest line"),
-                issue(n < 1_000, "TOO_SMALL", "critical", n, "lines: far too few for a language model"),
-                issue((n >= 1_000) & (n < 10_000), "SMALL", "warning", n, "lines: fine-tuning of small models only"),
-                clean=("QUALITY_OK", "no major quality issue"),
-            ),
-        )
-        .withColumn(
-            "quality_advice",
-            advice(
-                (copied, "Remove repeated lines"),
-                (thin, "Add sources with a richer vocabulary"),
-                (extreme, "Drop lines whose length is beyond three deviations of the mean"),
-                (n < 1_000, "Collect far more lines"),
-            ),
-        )
+    tiny, small = "sampled_lines < 1000", "sampled_lines BETWEEN 1000 AND 9999"
+    found = [
+        Issue(copied, "DUPLICATE_LINES", "warning", "duplicate_pct", "percent of the lines are repeats"),
+        Issue(thin, "LOW_DIVERSITY", "warning", "type_token_ratio", "distinct words per word"),
+        Issue(extreme, "EXTREME_LENGTH", "warning", "try_divide(max_line_length, avg_line_length)", "times the mean length is the longest line"),
+        Issue(tiny, "TOO_SMALL", "critical", "sampled_lines", "lines: far too few for a language model"),
+        Issue(small, "SMALL", "warning", "sampled_lines", "lines: fine-tuning of small models only"),
+    ]
+    told = advice_sql(
+        (copied, "Remove repeated lines"),
+        (thin, "Add sources with a richer vocabulary"),
+        (extreme, "Drop lines whose length is beyond three deviations of the mean"),
+        (tiny, "Collect far more lines"),
     )
+    return profile.selectExpr(
+        "*",
+        f"{TEXT_COMPLETENESS}D AS completeness",
+        f"{_text_duplication('duplicate_pct')} AS duplication",
+        f"{_diversity('type_token_ratio')} AS vocabulary_diversity",
+        f"{_length_noise('max_line_length', 'avg_line_length')} AS noise",
+        f"{_text_structure('sampled_lines')} AS structural_integrity",
+        f"{_weighted(TEXT_WEIGHTS)} AS _total",
+        f"{_capped('_total', 'sampled_lines', TEXT_CAPS)} AS total_score",
+        f"{grade_sql('total_score')} AS grade",
+        f"{issues_sql(found, None, ('QUALITY_OK', 'no major quality issue'))} AS quality_issues",
+        f"{told} AS quality_advice",
+    ).drop("_total")
 
 
 def quality_of_text(lines: DataFrame, by: str | Sequence[str] = ()) -> DataFrame:
@@ -317,7 +326,6 @@ __all__ = [
     "quality_of_text",
     "score_table",
     "score_text",
-    "share",
     "structure",
     "text_duplication",
     "text_structure",

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slicewise.functions import constants as K
-from slicewise.functions.exprs import clamp, column, pick, risk_tier
-from slicewise.functions.issues import advice, issue, issue_list
+from slicewise.functions.exprs import clamp_sql, pick_sql, text_sql, tier_sql
+from slicewise.functions.issues import Issue, advice_sql, issues_sql
 
 FLOPS_PER_TOKEN_AND_PARAM = 6.0
 TOKENS_PER_PARAM = 20.0
@@ -41,15 +41,12 @@ def with_scenarios(slices: DataFrame, scenarios: Sequence[dict]) -> DataFrame:
     rows = []
     for scenario in scenarios:
         full = check_scenario(scenario)
-        rows.append(
-            F.struct(
-                *[
-                    F.lit(float(full[f]) if f == "param_count_millions" else full[f]).alias(f)
-                    for f in SCENARIO_FIELDS
-                ]
-            )
-        )
-    return slices.select("*", F.inline(F.array(*rows)))
+        values = {
+            f: f"{float(full[f])}D" if f == "param_count_millions" else text_sql(full[f])
+            for f in SCENARIO_FIELDS
+        }
+        rows.append("named_struct(" + ", ".join(f"'{f}', {v}" for f, v in values.items()) + ")")
+    return slices.selectExpr("*", f"inline(array({', '.join(rows)}))")
 
 
 def token_counts(summary: DataFrame, data_type: str) -> DataFrame:
@@ -65,94 +62,70 @@ def token_counts(summary: DataFrame, data_type: str) -> DataFrame:
     )
 
 
-def memorization(slices: DataFrame, params_m: Column | str = "param_count_millions") -> DataFrame:
+def memorization(slices: DataFrame, params_m: str = "param_count_millions") -> DataFrame:
     """Tokens per parameter, lowered by duplication, and the risk that a model learns samples by heart.
 
-    Needs ``duplicate_pct``.
+    Needs ``duplicate_pct``. ``params_m`` is a column or SQL expression of parameters in millions.
     """
-    params = F.greatest(column(params_m).cast("double") * 1e6, F.lit(1.0))
-    tokens, repeats = F.col("token_count"), F.coalesce(F.col("duplicate_pct"), F.lit(0.0))
-    effective = F.col("effective_ratio")
-    high = F.col("memorization_level").isin("CRITICAL", "HIGH")
-    medium = F.col("memorization_level") == "MEDIUM"
-    few = (F.col("data_type") == "text") & (tokens < 1_000_000)
-    copied = repeats > 5
-    return (
-        slices.withColumn("token_to_param_ratio", tokens / params)
-        .withColumn("duplication_amplifier", F.lit(1.0) + repeats / 100 * 2)
-        .withColumn(
-            "effective_ratio",
-            F.col("token_to_param_ratio") / F.greatest(F.col("duplication_amplifier"), F.lit(1.0)),
-        )
-        .withColumn(
-            "memorization_level", risk_tier("effective_ratio", K.MEMORIZATION_TIERS, "MINIMAL")
-        )
-        .withColumn(
-            "memorization_probability",
-            F.lit(1.0) / (F.lit(1.0) + F.exp(F.log(F.greatest(effective, F.lit(1e-6))) * 0.8)),
-        )
-        .withColumn("leakage_score", F.col("memorization_probability") * 100)
-        .withColumn("privacy_flag", high)
-        .withColumn(
-            "memorization_issues",
-            issue_list(
-                issue(high, "FEW_TOKENS_PER_PARAMETER", "warning", effective, "effective tokens per parameter: memorization is likely"),
-                issue(medium, "MODERATE_TOKENS_PER_PARAMETER", "warning", effective, "effective tokens per parameter: moderate risk"),
-                issue(few, "SMALL_CORPUS", "warning", tokens, "tokens only: memorization is amplified"),
-                issue(copied, "DUPLICATION_AMPLIFIES", "warning", repeats, "percent repeats amplify memorization"),
-            ),
-        )
-        .withColumn(
-            "memorization_advice",
-            advice(
-                (high, "Collect far more data before training"),
-                (high, "Train with differential privacy"),
-                (high | copied, "Remove repeated samples"),
-                (medium, "Clip gradients and stop early"),
-                (medium, "Consider a smaller model"),
-            ),
-        )
+    high = "memorization_level IN ('CRITICAL', 'HIGH')"
+    medium = "memorization_level = 'MEDIUM'"
+    few = "(data_type = 'text' AND token_count < 1000000)"
+    copied = "duplicate_pct > 5"
+    found = [
+        Issue(high, "FEW_TOKENS_PER_PARAMETER", "warning", "effective_ratio", "effective tokens per parameter: memorization is likely"),
+        Issue(medium, "MODERATE_TOKENS_PER_PARAMETER", "warning", "effective_ratio", "effective tokens per parameter: moderate risk"),
+        Issue(few, "SMALL_CORPUS", "warning", "token_count", "tokens only: memorization is amplified"),
+        Issue(copied, "DUPLICATION_AMPLIFIES", "warning", "duplicate_pct", "percent repeats amplify memorization"),
+    ]
+    told = advice_sql(
+        (high, "Collect far more data before training"),
+        (high, "Train with differential privacy"),
+        (f"{high} OR {copied}", "Remove repeated samples"),
+        (medium, "Clip gradients and stop early"),
+        (medium, "Consider a smaller model"),
+    )
+    return slices.selectExpr(
+        "*",
+        f"token_count / greatest(({params_m}) * 1e6D, 1D) AS token_to_param_ratio",
+        "1D + coalesce(duplicate_pct, 0D) / 100 * 2 AS duplication_amplifier",
+        "token_to_param_ratio / greatest(duplication_amplifier, 1D) AS effective_ratio",
+        f"{tier_sql('effective_ratio', K.MEMORIZATION_TIERS, 'MINIMAL')} AS memorization_level",
+        "1D / (1D + exp(ln(greatest(effective_ratio, 1e-6D)) * 0.8D)) AS memorization_probability",
+        "memorization_probability * 100 AS leakage_score",
+        f"{high} AS privacy_flag",
+        f"{issues_sql(found)} AS memorization_issues",
+        f"{told} AS memorization_advice",
     )
 
 
-def model_params_m(model_size: Column | str, ai_type: Column | str) -> Column:
+def params_sql(model_size: str = "model_size", ai_type: str = "ai_type") -> str:
     """Parameters in millions; an unknown size counts as Medium, an unknown type as NLP."""
-    size, kind = column(model_size), column(ai_type)
-    out = F.when(F.lit(False), F.lit(0.0))
-    for name, table in K.MODEL_PARAMS_M.items():
-        values = {k: float(v) for k, v in table.items()}
-        out = out.when(size == name, pick(kind, values, values["NLP"]))
-    medium = {k: float(v) for k, v in K.MODEL_PARAMS_M["Medium"].items()}
-    return out.otherwise(pick(kind, medium, medium["NLP"]))
+    per_size = {
+        size: pick_sql(ai_type, {k: f"{v}D" for k, v in table.items()}, f"{table['NLP']}D")
+        for size, table in K.MODEL_PARAMS_M.items()
+    }
+    return pick_sql(model_size, per_size, per_size["Medium"])
 
 
 def training_cost(slices: DataFrame) -> DataFrame:
     """Floating-point operations and data sufficiency of slice × scenario rows."""
-    tokens = F.col("token_count").cast("double")
-    params = F.col("model_params_millions") * 1e6
-    ratio = F.col("chinchilla_ratio")
-    short = (ratio < 0.5) & (tokens > 0)
-    return (
-        slices.withColumn("model_params_millions", model_params_m("model_size", "ai_type"))
-        .withColumn("chinchilla_optimal_tokens", params * TOKENS_PER_PARAM)
-        .withColumn("chinchilla_ratio", tokens / F.greatest(params * TOKENS_PER_PARAM, F.lit(1.0)))
-        .withColumn("total_flops", F.lit(FLOPS_PER_TOKEN_AND_PARAM) * tokens * params)
-        .withColumn("total_pflops", F.col("total_flops") / 1e15)
-        .withColumn(
-            "data_sufficiency",
-            F.when((tokens == 0) | (ratio < 0.1), "CRITICALLY_INSUFFICIENT")
-            .when(ratio < 0.5, "INSUFFICIENT")
-            .when(ratio < 1.0, "MARGINAL")
-            .otherwise("SUFFICIENT"),
-        )
-        .withColumn(
-            "cost_advice",
-            advice(
-                (short, "Collect the tokens the model size asks for"),
-                (short, "Consider a smaller model size"),
-                (F.col("total_pflops") > 100, "Use mixed precision and gradient checkpointing"),
-            ),
-        )
+    short = "(chinchilla_ratio < 0.5 AND token_count > 0)"
+    told = advice_sql(
+        (short, "Collect the tokens the model size asks for"),
+        (short, "Consider a smaller model size"),
+        ("total_pflops > 100", "Use mixed precision and gradient checkpointing"),
+    )
+    return slices.selectExpr(
+        "*",
+        f"{params_sql()} AS model_params_millions",
+        f"model_params_millions * 1e6D * {TOKENS_PER_PARAM}D AS chinchilla_optimal_tokens",
+        "token_count / greatest(chinchilla_optimal_tokens, 1D) AS chinchilla_ratio",
+        f"{FLOPS_PER_TOKEN_AND_PARAM}D * token_count * (model_params_millions * 1e6D) AS total_flops",
+        "total_flops / 1e15D AS total_pflops",
+        "CASE WHEN token_count = 0 OR chinchilla_ratio < 0.1 THEN 'CRITICALLY_INSUFFICIENT' "
+        "WHEN chinchilla_ratio < 0.5 THEN 'INSUFFICIENT' WHEN chinchilla_ratio < 1 THEN 'MARGINAL' "
+        "ELSE 'SUFFICIENT' END AS data_sufficiency",
+        f"{told} AS cost_advice",
     )
 
 
@@ -162,21 +135,17 @@ def gpu_costs(
     utilization: float = K.GPU_UTILIZATION,
 ) -> DataFrame:
     """Hours and dollars per GPU type: one row per slice, scenario and GPU."""
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("gpu"),
-                F.lit(float(tflops)).alias("_tflops"),
-                F.lit(float(price)).alias("_price"),
-            )
-            for name, tflops, price in gpus
-        ]
+    rows = ", ".join(
+        f"named_struct('gpu', {text_sql(name)}, '_tflops', {float(tflops)}D, '_price', {float(price)}D)"
+        for name, tflops, price in gpus
     )
-    per_hour = F.col("_tflops") * 1e12 * utilization * 3600
     return (
-        costs.select("*", F.inline(rows))
-        .withColumn("hours", F.col("total_flops") / per_hour)
-        .withColumn("cost_usd", F.col("hours") * F.col("_price"))
+        costs.selectExpr("*", f"inline(array({rows}))")
+        .selectExpr(
+            "*",
+            f"total_flops / (_tflops * 1e12D * {utilization}D * 3600) AS hours",
+            "hours * _price AS cost_usd",
+        )
         .drop("_tflops", "_price")
     )
 
@@ -186,100 +155,71 @@ def compatibility(cards: DataFrame) -> DataFrame:
 
     A column ``mismatch_severity`` (see ``domain_mismatch``) adds findings and, if HIGH, takes 20 % off.
     """
-    data_type, size = F.col("data_type"), F.col("model_size")
-    ai_type, task = F.col("ai_type"), F.col("task_type")
 
-    def listed(key: Column, value: Column, table: dict[str, list[str]], default: list[str]) -> Column:
-        out = F.when(F.lit(False), F.lit(False))
-        for k, values in table.items():
-            out = out.when(key == k, value.isin(values))
-        return out.otherwise(value.isin(default) if default else F.lit(False))
+    def listed(key: str, value: str, table: dict[str, list[str]], default: str) -> str:
+        return pick_sql(
+            key,
+            {k: f"({value} IN ({', '.join(map(text_sql, v))}))" for k, v in table.items()},
+            default,
+        )
 
-    right_kind = listed(ai_type, data_type, K.ACCEPTED_KINDS, ["tabular"])
-    suits = listed(F.col("architecture"), task, K.ARCHITECTURE_TASKS, [])
-    rows_needed = {k: float(v[0]) for k, v in K.SIZE_NEEDS.items()}
-    tokens_needed = {k: float(v[1]) for k, v in K.SIZE_NEEDS.items()}
-    tabular = data_type == "tabular"
-    row_count = F.col("row_count") if "row_count" in cards.columns else F.lit(0)
-    actual = F.coalesce(F.when(tabular, row_count).otherwise(F.col("token_count")), F.lit(0))
-    needed = F.when(tabular, pick(size, rows_needed, rows_needed["Medium"])).otherwise(
-        pick(size, tokens_needed, tokens_needed["Medium"])
-    )
-    quality = F.coalesce(F.col("total_score"), F.lit(0.0))
-    wanted = pick(
-        F.col("domain"),
-        {k: float(v) for k, v in K.DOMAIN_QUALITY.items()},
-        float(K.DEFAULT_DOMAIN_QUALITY),
+    def need(slot: int) -> str:
+        sizes = {k: f"{v[slot]}L" for k, v in K.SIZE_NEEDS.items()}
+        return pick_sql("model_size", sizes, sizes["Medium"])
+
+    def either(tabular: object, text: object) -> str:
+        return f"IF(data_type = 'tabular', {tabular}, {text})"
+
+    row_count = "row_count" if "row_count" in cards.columns else "0L"
+    wanted = pick_sql(
+        "domain", {k: f"{v}D" for k, v in K.DOMAIN_QUALITY.items()}, f"{K.DEFAULT_DOMAIN_QUALITY}D"
     )
-    total = F.lit(0.0)
-    for name, weight in FIT_WEIGHTS.items():
-        total = total + F.col(name) * F.lit(weight)
+    total = " + ".join(f"{name} * {weight}D" for name, weight in FIT_WEIGHTS.items())
     if "mismatch_severity" not in cards.columns:
-        cards = cards.withColumn("mismatch_severity", F.lit("NONE"))
-    severity = F.col("mismatch_severity")
-    wrong_domain = severity != "NONE"
-    penalty = severity == "HIGH"
-    fit = F.col("_fit")
-    below = F.col("quality_fit") < 100
-    size_fit = F.col("size_fit")
-    wrong_kind, unsuited = F.col("type_fit") == 0, F.col("architecture_fit") < 100
-    return (
-        cards.withColumn("type_fit", F.when(right_kind, 100.0).otherwise(0.0))
-        .withColumn("architecture_fit", F.when(suits, 100.0).otherwise(30.0))
-        .withColumn("data_size", actual.cast("bigint"))
-        .withColumn("required_size", needed.cast("bigint"))
-        .withColumn("size_fit", clamp(actual / needed * 100))
-        .withColumn(
-            "quality_fit",
-            F.when(quality >= wanted, F.lit(100.0)).otherwise(
-                clamp(F.pow(quality / wanted, F.lit(2.5)) * 100)
-            ),
-        )
-        .withColumn(
-            "_fit",
-            clamp(F.when(wrong_kind, F.least(total, F.lit(WRONG_KIND_CAP))).otherwise(total)),
-        )
-        .withColumn("compatibility_score", F.when(penalty, fit * 0.8).otherwise(fit))
-        .withColumn(
-            "suitability",
-            F.when(fit >= 75, "SUITABLE").when(fit >= 45, "PARTIALLY_SUITABLE").otherwise("NOT_SUITABLE"),
-        )
-        .withColumn(
-            "size_verdict",
-            F.when(size_fit >= 100, "ENOUGH").when(size_fit >= 50, "MARGINAL").otherwise("NOT_ENOUGH"),
-        )
-        .withColumn("best_ai_type", F.when(tabular, "Recommendation").otherwise("NLP"))
-        .withColumn(
-            "best_model_size",
-            F.when(F.col("data_size") > F.when(tabular, 1_000_000).otherwise(500_000_000), "Large")
-            .when(F.col("data_size") > F.when(tabular, 50_000).otherwise(25_000_000), "Medium")
-            .otherwise("Small"),
-        )
-        .withColumn("best_architecture", F.lit("Transformer"))
-        .withColumn(
-            "compatibility_issues",
-            issue_list(
-                issue(wrong_domain, "DOMAIN_MISMATCH", "critical", fit, "the data look like another domain"),
-                issue(wrong_kind, "KIND_MISMATCH", "critical", F.lit(0.0), "the AI type does not take this kind of data"),
-                issue(unsuited, "ARCHITECTURE_MISMATCH", "critical", F.col("architecture_fit"), "the architecture does not suit the task"),
-                issue(size_fit < 50, "INSUFFICIENT_DATA", "critical", size_fit, "percent of the recommended size"),
-                issue((size_fit >= 50) & (size_fit < 100), "MARGINAL_DATA", "warning", size_fit, "percent of the recommended size"),
-                issue(below, "QUALITY_BELOW_DOMAIN", "warning", quality, "quality is below what the domain asks for"),
-                issue(penalty, "DOMAIN_PENALTY", "critical", F.col("compatibility_score"), "score lowered for the domain mismatch"),
-                clean=("COMPATIBILITY_OK", "the data suit the scenario"),
-            ),
-        )
-        .withColumn(
-            "compatibility_advice",
-            advice(
-                (wrong_kind, "Choose an AI type that takes this kind of data"),
-                (unsuited, "Choose an architecture that suits the task"),
-                (size_fit < 50, "Collect more data or choose a smaller model"),
-                (below, "Raise the quality to what the domain asks for"),
-            ),
-        )
-        .drop("_fit")
+        cards = cards.selectExpr("*", "'NONE' AS mismatch_severity")
+    wrong_kind, unsuited = "type_fit = 0", "architecture_fit < 100"
+    short, below = "size_fit < 50", "quality_fit < 100"
+    penalty = "mismatch_severity = 'HIGH'"
+    found = [
+        Issue("mismatch_severity <> 'NONE'", "DOMAIN_MISMATCH", "critical", "_fit", "the data look like another domain"),
+        Issue(wrong_kind, "KIND_MISMATCH", "critical", "0", "the AI type does not take this kind of data"),
+        Issue(unsuited, "ARCHITECTURE_MISMATCH", "critical", "architecture_fit", "the architecture does not suit the task"),
+        Issue(short, "INSUFFICIENT_DATA", "critical", "size_fit", "percent of the recommended size"),
+        Issue("size_fit >= 50 AND size_fit < 100", "MARGINAL_DATA", "warning", "size_fit", "percent of the recommended size"),
+        Issue(below, "QUALITY_BELOW_DOMAIN", "warning", "coalesce(total_score, 0D)", "quality is below what the domain asks for"),
+        Issue(penalty, "DOMAIN_PENALTY", "critical", "compatibility_score", "score lowered for the domain mismatch"),
+    ]
+    told = advice_sql(
+        (wrong_kind, "Choose an AI type that takes this kind of data"),
+        (unsuited, "Choose an architecture that suits the task"),
+        (short, "Collect more data or choose a smaller model"),
+        (below, "Raise the quality to what the domain asks for"),
     )
+    kinds = listed("ai_type", "data_type", K.ACCEPTED_KINDS, "(data_type = 'tabular')")
+    tasks = listed("architecture", "task_type", K.ARCHITECTURE_TASKS, "false")
+    low_quality = clamp_sql("power(coalesce(total_score, 0D) / _wanted, 2.5D) * 100")
+    return cards.selectExpr(
+        "*",
+        f"IF({kinds}, 100D, 0D) AS type_fit",
+        f"IF({tasks}, 100D, 30D) AS architecture_fit",
+        f"CAST(coalesce({either(row_count, 'token_count')}, 0L) AS BIGINT) AS data_size",
+        f"{either(need(0), need(1))} AS required_size",
+        f"{clamp_sql('data_size / required_size * 100')} AS size_fit",
+        f"{wanted} AS _wanted",
+        f"IF(coalesce(total_score, 0D) >= _wanted, 100D, {low_quality}) AS quality_fit",
+        f"{clamp_sql(f'IF({wrong_kind}, least({total}, {WRONG_KIND_CAP}D), {total})')} AS _fit",
+        f"IF({penalty}, _fit * 0.8D, _fit) AS compatibility_score",
+        "CASE WHEN _fit >= 75 THEN 'SUITABLE' WHEN _fit >= 45 THEN 'PARTIALLY_SUITABLE' "
+        "ELSE 'NOT_SUITABLE' END AS suitability",
+        "CASE WHEN size_fit >= 100 THEN 'ENOUGH' WHEN size_fit >= 50 THEN 'MARGINAL' "
+        "ELSE 'NOT_ENOUGH' END AS size_verdict",
+        f"{either(text_sql('Recommendation'), text_sql('NLP'))} AS best_ai_type",
+        f"CASE WHEN data_size > {either(1_000_000, 500_000_000)} THEN 'Large' "
+        f"WHEN data_size > {either(50_000, 25_000_000)} THEN 'Medium' ELSE 'Small' END AS best_model_size",
+        "'Transformer' AS best_architecture",
+        f"{issues_sql(found, None, ('COMPATIBILITY_OK', 'the data suit the scenario'))} AS compatibility_issues",
+        f"{told} AS compatibility_advice",
+    ).drop("_fit", "_wanted")
 
 
 def simulate(cards: DataFrame, scenarios: Sequence[dict]) -> DataFrame:

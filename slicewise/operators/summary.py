@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slicewise.functions.issues import issue, issue_list
+from slicewise.functions.issues import Issue, issues_sql
 from slicewise.operators.joining import as_list, cols, match
 from slicewise.operators.sampling import ranked_top
 
@@ -21,14 +21,12 @@ def table_summary(
     out = df.groupBy(*cols(by)).agg(F.count(F.lit(1)).alias("row_count"))
     if slices is not None:
         out = match(slices.select(*cols(by)).distinct(), out, by)
-    rows = F.coalesce(F.col("row_count"), F.lit(0).cast("bigint"))
-    return out.withColumn("row_count", rows).select(
-        *cols(by),
-        F.col("row_count"),
-        F.lit(len(df.columns)).cast("bigint").alias("column_count"),
-        issue_list(
-            issue(F.col("row_count") == 0, "EMPTY", "warning", F.lit(0.0), "no data rows")
-        ).alias("issues"),
+    empty = Issue("row_count = 0", "EMPTY", "warning", "0", "no data rows")
+    return out.fillna(0, ["row_count"]).selectExpr(
+        *[f"`{k}`" for k in by],
+        "row_count",
+        f"{len(df.columns)}L AS column_count",
+        f"{issues_sql([empty])} AS issues",
     )
 
 

@@ -17,16 +17,17 @@ from pyspark.sql.window import Window
 
 from slicewise.functions import constants as K
 from slicewise.functions.exprs import (
-    clamp,
+    clamp_sql,
     fingerprint,
-    low_entropy as is_low_entropy,
-    risk_tier,
     share,
+    share_sql,
     strip,
+    tier_sql,
     word_count,
     words,
 )
-from slicewise.functions.issues import advice, issue, issue_list
+from slicewise.functions.exprs import low_entropy as is_low_entropy
+from slicewise.functions.issues import Issue, advice_sql, issues_sql
 from slicewise.operators.joining import as_list, cols, match
 from slicewise.operators.table import histogram
 
@@ -188,37 +189,21 @@ def low_entropy(lines: DataFrame, by: str | Sequence[str] = ()) -> DataFrame:
 
 def with_vulnerability(df: DataFrame) -> DataFrame:
     """Score ``outlier_pct`` and ``low_entropy_pct`` columns for injected lines."""
-    score = F.least(F.lit(100.0), F.col("outlier_pct") * 4 + F.col("low_entropy_pct") * 2)
-    outlying, repetitive = F.col("outlier_pct") > 1, F.col("low_entropy_pct") > 5
-    return (
-        df.withColumn("vulnerability_score", clamp(score))
-        .withColumn("vulnerability_level", risk_tier("vulnerability_score", K.VULNERABILITY_TIERS))
-        .withColumn(
-            "vulnerability_issues",
-            issue_list(
-                issue(
-                    outlying,
-                    "LENGTH_OUTLIERS",
-                    "warning",
-                    F.col("outlier_pct"),
-                    "percent of the lines have an outlying length",
-                ),
-                issue(
-                    repetitive,
-                    "LOW_ENTROPY",
-                    "warning",
-                    F.col("low_entropy_pct"),
-                    "percent of the lines repeat few characters",
-                ),
-            ),
-        )
-        .withColumn(
-            "vulnerability_advice",
-            advice(
-                (outlying, "Drop lines whose length is beyond three deviations of the mean"),
-                (repetitive, "Drop padding and lines that repeat few characters"),
-            ),
-        )
+    outlying, repetitive = "outlier_pct > 1", "low_entropy_pct > 5"
+    found = [
+        Issue(outlying, "LENGTH_OUTLIERS", "warning", "outlier_pct", "percent of the lines have an outlying length"),
+        Issue(repetitive, "LOW_ENTROPY", "warning", "low_entropy_pct", "percent of the lines repeat few characters"),
+    ]
+    told = advice_sql(
+        (outlying, "Drop lines whose length is beyond three deviations of the mean"),
+        (repetitive, "Drop padding and lines that repeat few characters"),
+    )
+    return df.selectExpr(
+        "*",
+        f"{clamp_sql('outlier_pct * 4 + low_entropy_pct * 2')} AS vulnerability_score",
+        f"{tier_sql('vulnerability_score', K.VULNERABILITY_TIERS)} AS vulnerability_level",
+        f"{issues_sql(found)} AS vulnerability_issues",
+        f"{told} AS vulnerability_advice",
     )
 
 
@@ -277,16 +262,16 @@ def profile_text(
             total(F.col("hits")).alias("phrase_hits"),
         )
     )
-    out = match(totals, vocab(lines, by), by)
-    zero = F.lit(0).cast("bigint")
-    return (
-        out.withColumn("duplicate_lines", F.col("sampled_lines") - F.col("unique_lines"))
-        .withColumn("duplicate_pct", share("duplicate_lines", "sampled_lines"))
-        .withColumn("outlier_pct", share("outlier_lines", "sampled_lines"))
-        .withColumn("low_entropy_pct", share("low_entropy_lines", "sampled_lines"))
-        .withColumn("avg_raw_length", F.coalesce(F.try_divide("char_count", "line_count"), F.lit(0.0)))
-        .withColumn("estimated_tokens", F.floor(F.col("char_count") / 4))
-        .withColumn("word_count", F.coalesce("word_count", zero))
-        .withColumn("vocab_size", F.coalesce("vocab_size", zero))
-        .withColumn("type_token_ratio", F.coalesce("type_token_ratio", F.lit(0.0)))
-    )
+    out = match(totals, vocab(lines, by).withColumnsRenamed({"word_count": "_words", "vocab_size": "_vocab", "type_token_ratio": "_ttr"}), by)
+    return out.selectExpr(
+        "*",
+        "coalesce(_words, 0L) AS word_count",
+        "coalesce(_vocab, 0L) AS vocab_size",
+        "coalesce(_ttr, 0D) AS type_token_ratio",
+        "sampled_lines - unique_lines AS duplicate_lines",
+        f"{share_sql('duplicate_lines', 'sampled_lines')} AS duplicate_pct",
+        f"{share_sql('outlier_lines', 'sampled_lines')} AS outlier_pct",
+        f"{share_sql('low_entropy_lines', 'sampled_lines')} AS low_entropy_pct",
+        "coalesce(try_divide(char_count, line_count), 0D) AS avg_raw_length",
+        "floor(char_count / 4) AS estimated_tokens",
+    ).drop("_words", "_vocab", "_ttr")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slicewise.functions import constants as K
+from slicewise.functions.issues import NO_ADVICE, NO_ISSUES
 from slicewise.operators.contamination import table_contamination, with_text_contamination
 from slicewise.operators.domain import detect_domain, domain_scores, with_mismatch
 from slicewise.operators.fairness import fairness_table, fairness_text
@@ -67,24 +68,32 @@ def table_cards(
             by,
         )
     else:
-        empty_issues = F.array().cast(_issue_type(out))
-        out = (
-            out.withColumn("vulnerability_score", F.lit(None).cast("double"))
-            .withColumn("vulnerability_level", F.lit("UNKNOWN"))
-            .withColumn("vulnerability_issues", empty_issues)
-            .withColumn("vulnerability_advice", F.array().cast("array<string>"))
+        out = out.selectExpr(
+            "*",
+            "CAST(NULL AS DOUBLE) AS vulnerability_score",
+            "'UNKNOWN' AS vulnerability_level",
+            f"{NO_ISSUES} AS vulnerability_issues",
+            f"{NO_ADVICE} AS vulnerability_advice",
         )
     balance = materialize(profile.balance)
-    drift = fairness_table(balance_metrics(balance, by), by).select(
-        *cols(by), "drift_score", "drift_level", "drift_issues", "drift_advice"
-    )
-    out = (
-        match(out, drift, by)
-        .withColumn("drift_score", F.coalesce("drift_score", F.lit(10.0)))
-        .withColumn("drift_level", F.coalesce("drift_level", F.lit("LOW")))
-        .withColumn("drift_issues", F.coalesce("drift_issues", F.array().cast(_issue_type(out))))
-        .withColumn("drift_advice", F.coalesce("drift_advice", F.array().cast("array<string>")))
-    )
+    drift = fairness_table(balance_metrics(balance, by), by)
+    out = match(
+        out,
+        drift.selectExpr(
+            *[f"`{k}`" for k in by],
+            "drift_score AS _score",
+            "drift_level AS _level",
+            "drift_issues AS _issues",
+            "drift_advice AS _advice",
+        ),
+        by,
+    ).selectExpr(
+        "*",
+        "coalesce(_score, 10D) AS drift_score",
+        "coalesce(_level, 'LOW') AS drift_level",
+        f"coalesce(_issues, {NO_ISSUES}) AS drift_issues",
+        f"coalesce(_advice, {NO_ADVICE}) AS drift_advice",
+    ).drop("_score", "_level", "_issues", "_advice")
     out = token_counts(table_contamination(out), "tabular")
 
     # Column names are the same in every slice; the labels are those of the slice's class balance.
@@ -104,10 +113,6 @@ def table_cards(
     return match(out, detected if by else detected.drop("_slice"), by)
 
 
-def _issue_type(df: DataFrame) -> str:
-    return df.schema["quality_issues"].dataType.simpleString()
-
-
 def _finish(cards: DataFrame, scenarios: Sequence[dict], sample_size: str) -> DataFrame:
     # One small row per slice: written once, so no scenario repeats the work behind it.
     rows = with_scenarios(materialize(cards), scenarios)

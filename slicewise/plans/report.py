@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slicewise.functions import constants as K
-from slicewise.functions.exprs import column, risk_ci, risk_tier
-from slicewise.functions.issues import count_severity
+from slicewise.functions.exprs import risk_ci, tier_sql
+from slicewise.functions.issues import count_sql
 from slicewise.operators.joining import as_list, cols
 
 RISKS = {
@@ -39,60 +39,49 @@ ADVICE_COLUMNS = [
 
 def overall_risk(cards: DataFrame) -> DataFrame:
     """Mean of the four risks (a missing one counts as 0), its level, and how many were present."""
-    scores = [F.col(c) for c in RISKS.values()]
-    total, present = F.lit(0.0), F.lit(0)
-    for s in scores:
-        total = total + F.coalesce(s, F.lit(0.0))
-        present = present + s.isNotNull().cast("int")
-    return (
-        cards.withColumn("average_risk", total / len(scores))
-        .withColumn("overall_risk_level", risk_tier("average_risk", K.OVERALL_TIERS))
-        .withColumn("risks_present", present)
+    total = " + ".join(f"coalesce({c}, 0D)" for c in RISKS.values())
+    present = " + ".join(f"CAST({c} IS NOT NULL AS INT)" for c in RISKS.values())
+    return cards.selectExpr(
+        "*",
+        f"({total}) / {len(RISKS)} AS average_risk",
+        f"{tier_sql('average_risk', K.OVERALL_TIERS)} AS overall_risk_level",
+        f"{present} AS risks_present",
     )
 
 
 def with_intervals(cards: DataFrame, sample_size: str | None = None) -> DataFrame:
     """A confidence interval struct next to every risk score."""
     n = F.lit(K.RISK_SAMPLE) if sample_size is None else F.col(sample_size)
-    for name, score in RISKS.items():
-        cards = cards.withColumn(f"{name}_ci", risk_ci(score, n))
-    return cards
+    return cards.withColumns({f"{name}_ci": risk_ci(score, n) for name, score in RISKS.items()})
 
 
 def collect_findings(cards: DataFrame) -> DataFrame:
     """All findings of a row in one array, their counts by severity, and the advice without repeats."""
-    found = F.concat(*[F.col(c) for c in ISSUE_COLUMNS if c in cards.columns])
-    told = F.concat(*[F.col(c) for c in ADVICE_COLUMNS if c in cards.columns])
-    return (
-        cards.withColumn("issues", found)
-        .withColumn("critical_issues", count_severity(F.col("issues"), "critical"))
-        .withColumn("warnings", count_severity(F.col("issues"), "warning"))
-        .withColumn("recommendations", F.array_distinct(told))
-        .drop(*ISSUE_COLUMNS, *ADVICE_COLUMNS)
-    )
-
-
-def verdict(
-    compatibility: Column | str, quality: Column | str, risk: Column | str, critical: Column | str
-) -> Column:
-    fit = F.coalesce(column(compatibility), F.lit(0.0))
-    score = F.coalesce(column(quality), F.lit(0.0))
-    calm = column(risk).isin("LOW", "MEDIUM")
+    found = ", ".join(c for c in ISSUE_COLUMNS if c in cards.columns)
+    told = ", ".join(c for c in ADVICE_COLUMNS if c in cards.columns)
+    return cards.selectExpr(
+        "*",
+        f"concat({found}) AS issues",
+        f"{count_sql('issues', 'critical')} AS critical_issues",
+        f"{count_sql('issues', 'warning')} AS warnings",
+        f"array_distinct(concat({told})) AS recommendations",
+    ).drop(*ISSUE_COLUMNS, *ADVICE_COLUMNS)
+
+
+def verdict_sql(compatibility: str, quality: str, risk: str, critical: str) -> str:
+    fit, score = f"coalesce({compatibility}, 0D)", f"coalesce({quality}, 0D)"
     return (
-        F.when(column(critical) > 0, "NOT_READY")
-        .when((fit >= 75) & (score >= 70) & calm, "READY")
-        .when((fit >= 50) | (score >= 55), "CONDITIONALLY_READY")
-        .otherwise("NOT_READY")
+        f"CASE WHEN {critical} > 0 THEN 'NOT_READY' "
+        f"WHEN {fit} >= 75 AND {score} >= 70 AND {risk} IN ('LOW', 'MEDIUM') THEN 'READY' "
+        f"WHEN {fit} >= 50 OR {score} >= 55 THEN 'CONDITIONALLY_READY' ELSE 'NOT_READY' END"
     )
 
 
 def report(cards: DataFrame, sample_size: str | None = None) -> DataFrame:
     """Complete a row of scores to the final scorecard row."""
+    ready = verdict_sql("compatibility_score", "total_score", "overall_risk_level", "critical_issues")
     out = with_intervals(overall_risk(collect_findings(cards)), sample_size)
-    return out.withColumn(
-        "verdict",
-        verdict("compatibility_score", "total_score", "overall_risk_level", "critical_issues"),
-    )
+    return out.selectExpr("*", f"{ready} AS verdict")
 
 
 def issue_rows(cards: DataFrame, keys: str | Sequence[str] = ()) -> DataFrame:
