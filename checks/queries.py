@@ -15,6 +15,7 @@ from slicewise.functions.exprs import grade, risk_ci, risk_tier
 from slicewise.operators.joining import _ensure_checkpoint_dir
 from slicewise.operators.quality import noise_by_column
 from slicewise.plans.audit import text_cards
+from slicewise.sources.readers import spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -41,6 +42,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return S.read_table(spark, f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a text table, spread over all task slots if its file has few row groups."""
+    return spread(table(spark, folder, name).select(*columns))
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round the doubles of a result, as late as possible."""
     return df.select(
@@ -75,23 +81,25 @@ def gappy_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def doc_lines(spark: SparkSession, folder: str, keep: str | list[str]) -> DataFrame:
-    return S.lines_of(table(spark, folder, "documents"), "text", keep)
+    keep = [keep] if isinstance(keep, str) else keep
+    return S.lines_of(texts(spark, folder, "documents", *keep, "text"), "text", keep)
 
 
 def corpus_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of every text table, with the table and its part as the slice."""
     parts = [
-        ("documents", F.col("lang"), "text"),
-        ("conversations", F.col("role"), "text"),
-        ("benchmark", F.lit("all"), "text"),
-        ("pages", F.lit("all"), "html"),
+        ("documents", "lang", "text"),
+        ("conversations", "role", "text"),
+        ("benchmark", None, "text"),
+        ("pages", None, "html"),
     ]
     return reduce(
         DataFrame.unionByName,
         [
             S.lines_of(
-                table(spark, folder, name).select(
-                    F.concat(F.lit(name + "/"), part).alias("corpus"), F.col(text).alias("text")
+                texts(spark, folder, name, *([part] if part else []), text).select(
+                    F.concat(F.lit(name + "/"), F.col(part) if part else F.lit("all")).alias("corpus"),
+                    F.col(text).alias("text"),
                 ),
                 "text",
                 "corpus",
@@ -113,21 +121,24 @@ def all_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def full_catalog(spark: SparkSession, folder: str) -> DataFrame:
-    return reduce(
-        DataFrame.unionByName, [S.catalog(table(spark, folder, name), name) for name in TABLES]
-    )
+def all_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return {name: table(spark, folder, name) for name in TABLES}
+
+
+def full_catalog(tables: dict[str, DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [S.catalog(df, name) for name, df in tables.items()])
 
 
 def catalog_scores(spark: SparkSession, folder: str) -> DataFrame:
+    tables = all_tables(spark, folder)
     values = reduce(
         DataFrame.unionByName,
         [
-            S.value_evidence(table(spark, folder, name).withColumn("dataset", F.lit(name)), by="dataset")
-            for name in TABLES
+            S.value_evidence(df.withColumn("dataset", F.lit(name)), by="dataset")
+            for name, df in tables.items()
         ],
     )
-    return S.domain_scores(full_catalog(spark, folder), values)
+    return S.domain_scores(full_catalog(tables), values)
 
 
 def wide_customer(spark: SparkSession, folder: str) -> DataFrame:
@@ -481,7 +492,7 @@ def domain_mismatch_catalog(spark, folder):
 
 
 def assign_columns_catalog(spark, folder):
-    return rounded(S.assign_columns(full_catalog(spark, folder)))
+    return rounded(S.assign_columns(full_catalog(all_tables(spark, folder))))
 
 
 def column_groups_customer(spark, folder):

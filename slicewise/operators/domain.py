@@ -13,30 +13,25 @@ from slicewise.functions.exprs import name_tokens, text_array, text_sql
 from slicewise.operators.joining import as_list, cols, match
 from slicewise.operators.table import categorical_cols
 
+EMPTY_WORDS = "CAST(array() AS array<string>)"
 Signatures = dict[str, tuple[float, str, str]]
 
 
 def _domain_rows(signatures: Signatures) -> Column:
-    """The signatures as an array literal: (domain, position, weight, name words, value words)."""
+    """The signatures as an array literal: (domain, position, weight, names, values)."""
     rows = [(d, i, w, n, v) for i, (d, (w, n, v)) in enumerate(signatures.items())]
     rows.append((K.FALLBACK_DOMAIN, len(rows), 0.0, "", ""))
 
-    def word_list(text: str) -> Column:
+    def word_list(text: str) -> str:
         # Folded to an array literal when the query is planned.
-        return F.filter(F.split(F.lit(" ".join(text.split())), " "), lambda word: word != "")
-
-    return F.array(
-        *[
-            F.struct(
-                F.lit(domain).alias("domain"),
-                F.lit(position).alias("position"),
-                F.lit(weight).alias("weight"),
-                word_list(names).alias("names"),
-                word_list(values).alias("values"),
-            )
-            for domain, position, weight, names, values in rows
-        ]
+        return f"split({text_sql(' '.join(text.split()))}, ' ')" if text else EMPTY_WORDS
+
+    structs = ", ".join(
+        f"named_struct('domain', {text_sql(domain)}, 'position', {position}, 'weight', {weight}D, "
+        f"'names', {word_list(names)}, 'values', {word_list(values)})"
+        for domain, position, weight, names, values in rows
     )
+    return F.expr(f"array({structs})")
 
 
 def value_words(signatures: Signatures = K.DOMAIN_SIGNATURES) -> list[str]:

@@ -13,6 +13,22 @@ TABLE_SUFFIXES = {".csv": "csv", ".parquet": "parquet"}
 LINE_SUFFIXES = (".txt", ".jsonl", ".json")
 
 
+FEW_PARTITIONS = 32
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a plain scan that has fewer partitions than the cluster has task slots.
+
+    Small files, or files with few row groups, would leave work as heavy as text scanning to one or two
+    tasks. Above that the scan is returned as it is, so large data are never shuffled for this. Only
+    for scans: counting the partitions of a plan with a shuffle would run it.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < max(slots, FEW_PARTITIONS):
+        return df.repartition(slots)
+    return df
+
+
 def read_table(
     spark: SparkSession,
     path: str | list[str],
