@@ -97,7 +97,7 @@ def share(part: Column | str, whole: Column | str) -> Column:
 
 
 def _entropy_term(part: Column, whole: Column) -> Column:
-    p = part / whole
+    p = part / F.greatest(whole, F.lit(1))
     return p * F.log2(p + F.lit(1e-300))  # 0 for an absent part
 
 

@@ -142,7 +142,7 @@ def geometry_scan(
             F.count_if(F.col("distance") > F.col("_p95")).alias("_isolated"),
         )
     )
-    enough = f"sample_rows >= {LEAST_ROWS} AND _analyzed IS NOT NULL"
+    enough = f"sample_rows >= {LEAST_ROWS} AND coalesce(_analyzed, 0) > 0"
     outlying, isolated = "outlier_pct > 2", "isolated_pct > 5"
     found = [
         Issue(outlying, "GEOMETRIC_OUTLIERS", "warning", "outlier_pct", "percent of the probes are outliers"),

@@ -65,7 +65,9 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         .select(
             F.col("_metadata.file_path").alias("file"),
             F.monotonically_increasing_id().alias("line_no"),
-            F.replace(F.col("value"), F.lit("\ufffd"), F.lit("")).alias("line"),
+            F.when(F.is_valid_utf8("value"), F.col("value"))
+            .otherwise(F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit("")))
+            .alias("line"),
         )
         .withColumn("chars", F.length("line").cast("bigint") + 1)
     )
