@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from slicewise.functions import constants as K
 from slicewise.functions.exprs import clamp_sql, text_sql, tier_sql
 from slicewise.functions.issues import NO_ADVICE, Issue, advice_sql, issues_sql
-from slicewise.operators.joining import as_list, cols, match
-from slicewise.operators.summary import text_summary
+from slicewise.operators.joining import as_list, cols
 from slicewise.operators.text import has_phrase
 
 TABLE_PRINT = "TruthfulQA-style table"
@@ -80,10 +79,17 @@ def text_contamination(
     by: str | Sequence[str] = (),
     phrases: Sequence[str] = K.BENCHMARK_PHRASES,
 ) -> DataFrame:
-    """Fingerprint matches, phrase hits and the score they give, per slice."""
-    by = as_list(by)
-    hits = phrase_hits(lines, phrases, by).drop("line_count")
-    return with_text_contamination(match(text_summary(lines, by), hits, by))
+    """Fingerprint matches, phrase hits and the score they give, per slice, from one scan."""
+    counted = (
+        lines.groupBy(*cols(as_list(by)))
+        .agg(
+            F.count(F.lit(1)).alias("line_count"),
+            F.coalesce(F.sum("chars"), F.lit(0).cast("bigint")).alias("char_count"),
+            F.count_if(has_phrase(F.col("line"), phrases)).alias("phrase_hits"),
+        )
+        .withColumn("avg_raw_length", F.try_divide("char_count", "line_count"))
+    )
+    return with_text_contamination(counted)
 
 
 def table_contamination(summary: DataFrame) -> DataFrame:

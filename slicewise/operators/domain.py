@@ -58,7 +58,10 @@ def value_evidence(
     columns = categorical_cols(df, by) if columns is None else list(columns)
     if not columns:
         return df.select(*cols(by), F.lit(None).cast("string").alias("value")).filter("false")
-    values = F.array(*[F.lower(F.col(f"`{c}`").cast("string")) for c in columns])
+    # Lower-casing never takes characters away, so longer values cannot be value words.
+    longest = max(map(len, value_words(signatures)))
+    texts = [F.col(f"`{c}`").cast("string") for c in columns]
+    values = F.array(*[F.when(F.length(t) <= longest, F.lower(t)) for t in texts])
     return (
         df.select(*cols(by), F.explode(values).alias("value"))
         .filter(_is_value_word("value", signatures))

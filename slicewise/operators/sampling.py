@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from slicewise.functions import constants as K
 from slicewise.functions.exprs import column, key_md5
-from slicewise.operators.joining import as_list, cols
+from slicewise.operators.joining import as_list, attach, cols, match, materialize
 
 SPREAD = 128
 
@@ -80,12 +80,46 @@ def top_hash(
     """Fixed-size sample without replacement: the ``n`` rows (per slice) with the smallest key hash.
 
     ``key`` must identify a row; rows with the same key may replace each other.
+
+    Hashes are uniform, so the size of a slice tells below which hash its first ``n`` rows lie, give or
+    take. Large slices are therefore cut with a plain filter before anything is sorted. The rows that
+    pass are written (a little over ``n`` per slice) and counted; should a slice have kept fewer than
+    ``n``, which takes keys that repeat, the uncut table is ranked instead.
     """
-    keys = as_list(key)
-    out = ranked_top(df, n, [key_md5(keys), *cols(keys)], by, rank or "_rank")
+    keys, by = as_list(key), as_list(by)
+    order = [key_md5(keys), *cols(keys)]
+    cut = _below_threshold(df, keys, n, by)
+    out = ranked_top(df if cut is None else cut, n, order, by, rank or "_rank")
     return out if rank else out.drop("_rank")
 
 
+def _below_threshold(
+    df: DataFrame, keys: Sequence[str], n: int, by: Sequence[str]
+) -> DataFrame | None:
+    """Rows whose hash is below the threshold of their slice; None if there is nothing to gain or if a
+    slice would miss rows."""
+    slack = n + 8 * math.sqrt(n) + 64
+    sizes = materialize(df.groupBy(*cols(by)).agg(F.count(F.lit(1)).alias("_size")))
+    largest = sizes.agg(F.max("_size")).first()[0] or 0
+    if largest < 4 * slack:
+        return None
+    part = F.least(F.lit(1.0), F.lit(slack) / F.col("_size"))
+    limits = sizes.withColumn(
+        "_limit", F.lpad(F.lower(F.hex(F.floor(part * (2**32 - 1)))), 8, "0")
+    ).select(*cols(by), "_limit")
+    digits = F.substring(key_md5(keys), 1, 8)
+    if by:
+        kept = attach(df, materialize(limits), by).filter(digits <= F.col("_limit")).drop("_limit")
+    else:
+        kept = df.filter(digits <= F.lit(limits.first()["_limit"]))
+    kept = materialize(kept)
+    found = kept.groupBy(*cols(by)).agg(F.count(F.lit(1)).alias("_kept"))
+    short = match(sizes, found, by).filter(
+        F.coalesce(F.col("_kept"), F.lit(0)) < F.least(F.col("_size"), F.lit(n))
+    )
+    return kept if short.isEmpty() else None
+
+
 def head_lines(
     lines: DataFrame,
     n: int | None,

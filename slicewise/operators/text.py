@@ -208,10 +208,31 @@ def with_vulnerability(df: DataFrame) -> DataFrame:
 
 
 def text_vulnerability(lines: DataFrame, by: str | Sequence[str] = ()) -> DataFrame:
-    """Length outliers, low-entropy lines and the score they give, per slice."""
+    """Length outliers, low-entropy lines and the score they give, per slice, from one scan."""
     by = as_list(by)
-    entropy = low_entropy(lines, by).drop("sampled_lines")
-    return with_vulnerability(match(length_outliers(lines, by), entropy, by))
+    by_length = (
+        drop_blank(lines)
+        .select(*cols(by), F.length("line").alias("length"), is_low_entropy("line").alias("_low"))
+        .groupBy(*cols(by), "length")
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if("_low").alias("low"))
+    )
+    counted = (
+        _mark_outliers(by_length, by, F.col("n"))
+        .groupBy(*cols(by))
+        .agg(
+            F.expr("coalesce(sum(n), 0L) AS sampled_lines"),
+            F.expr("max(_mean) AS mean_length"),
+            F.expr("max(_std) AS std_length"),
+            F.expr("coalesce(sum(IF(_out, n, 0L)), 0L) AS outlier_lines"),
+            F.expr("coalesce(sum(low), 0L) AS low_entropy_lines"),
+        )
+        .selectExpr(
+            "*",
+            f"{share_sql('outlier_lines', 'sampled_lines')} AS outlier_pct",
+            f"{share_sql('low_entropy_lines', 'sampled_lines')} AS low_entropy_pct",
+        )
+    )
+    return with_vulnerability(counted)
 
 
 def profile_text(

@@ -301,3 +301,18 @@ def test_spread(spark):
     assert spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     many = spark.range(0, 100, 1, 64)
     assert spread(many).rdd.getNumPartitions() == 64
+
+
+def test_fixed_size_samples(spark):
+    """Large slices are cut by a hash threshold first; repeated keys make it fall back."""
+    df = spark.range(0, 20000, 1, 8).select("id", (F.col("id") % 997 % 2).cast("string").alias("k"), (F.col("id") % 3).alias("same"))
+    md5 = F.md5(F.col("id").cast("string"))
+    for by in ([], ["k"]):
+        found = S.top_hash(df, "id", 40, by)
+        everything = df.select("*", md5.alias("h")).orderBy("h").collect()
+        for k in {None} if not by else {"0", "1"}:
+            want = [r["id"] for r in everything if k is None or r["k"] == k][:40]
+            got = [r["id"] for r in found.collect() if k is None or r["k"] == k]
+            assert sorted(got) == sorted(want)
+    assert S.top_hash(df, "same", 40, "k").count() == 80
+    assert S.top_hash(df, "id", 50_000).count() == 20000
