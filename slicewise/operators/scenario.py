@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from slicewise.functions import constants as K
 from slicewise.functions.exprs import clamp_sql, pick_sql, text_sql, tier_sql
 from slicewise.functions.issues import Issue, advice_sql, issues_sql
+from slicewise.operators.domain import with_mismatch
 
 FLOPS_PER_TOKEN_AND_PARAM = 6.0
 TOKENS_PER_PARAM = 20.0
@@ -222,6 +223,16 @@ def compatibility(cards: DataFrame) -> DataFrame:
     ).drop("_fit", "_wanted")
 
 
+def check_domain(rows: DataFrame) -> DataFrame:
+    """Compare the scenario's domain with the detected one, where the cards carry a detection."""
+    if "detected_domain" not in rows.columns:
+        return rows
+    checked = with_mismatch(rows.withColumnRenamed("domain_confidence", "confidence"), "domain")
+    return checked.withColumnRenamed("confidence", "domain_confidence").drop("confidences")
+
+
 def simulate(cards: DataFrame, scenarios: Sequence[dict]) -> DataFrame:
-    """Compatibility, cost and memorization of many scenarios over many slices, in one narrow stage."""
-    return memorization(training_cost(compatibility(with_scenarios(cards, scenarios))))
+    """Domain check, compatibility, cost and memorization of many scenarios over many slices, in one
+    narrow stage."""
+    rows = check_domain(with_scenarios(cards, scenarios))
+    return memorization(training_cost(compatibility(rows)))

@@ -24,7 +24,6 @@ from slicewise.functions.exprs import (
     strip,
     tier_sql,
     word_count,
-    words,
 )
 from slicewise.functions.exprs import low_entropy as is_low_entropy
 from slicewise.functions.issues import Issue, advice_sql, issues_sql
@@ -104,7 +103,11 @@ def vocab(lines: DataFrame, by: str | Sequence[str] = ()) -> DataFrame:
     """Words, distinct words and type-token ratio. Word counts are combined before the shuffle."""
     by = as_list(by)
     return (
-        lines.select(*cols(by), F.explode(words("line")).alias("_word"))
+        # Empty parts are filtered after the explode, which stays compiled that way (see also lines_of).
+        lines.select(
+            *cols(by), F.explode_outer(F.split(F.lower("line"), K.WORD_BREAK)).alias("_word")
+        )
+        .filter(F.col("_word") != "")
         .groupBy(*cols(by), "_word")
         .agg(F.count(F.lit(1)).alias("_n"))
         .groupBy(*cols(by))

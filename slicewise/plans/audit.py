@@ -10,18 +10,12 @@ from pyspark.sql import functions as F
 from slicewise.functions import constants as K
 from slicewise.functions.issues import NO_ADVICE, NO_ISSUES
 from slicewise.operators.contamination import table_contamination, with_text_contamination
-from slicewise.operators.domain import detect_domain, domain_scores, with_mismatch
+from slicewise.operators.domain import detect_domain, domain_scores
 from slicewise.operators.fairness import fairness_table, fairness_text
 from slicewise.operators.geometry import geometry_scan
 from slicewise.operators.joining import as_list, cols, match, materialize
 from slicewise.operators.quality import score_table, score_text
-from slicewise.operators.scenario import (
-    compatibility,
-    memorization,
-    token_counts,
-    training_cost,
-    with_scenarios,
-)
+from slicewise.operators.scenario import simulate, token_counts
 from slicewise.operators.table import TableProfile, balance_metrics, profile_table
 from slicewise.operators.text import profile_text, with_vulnerability
 from slicewise.plans.report import advice_rows, issue_rows, report
@@ -115,11 +109,7 @@ def table_cards(
 
 def _finish(cards: DataFrame, scenarios: Sequence[dict], sample_size: str) -> DataFrame:
     # One small row per slice: written once, so no scenario repeats the work behind it.
-    rows = with_scenarios(materialize(cards), scenarios)
-    if "detected_domain" in rows.columns:
-        rows = with_mismatch(rows.withColumnRenamed("domain_confidence", "confidence"), "domain")
-        rows = rows.withColumnRenamed("confidence", "domain_confidence").drop("confidences")
-    return report(memorization(training_cost(compatibility(rows))), sample_size)
+    return report(simulate(materialize(cards), scenarios), sample_size)
 
 
 def audit_text(

@@ -254,6 +254,8 @@ def test_readers_and_writers(spark, tmp_path):
     csv.write_text("id,name,value\n1,a,2.5\n2,b,x\n", encoding="utf-8")
     df = S.read_table(spark, str(csv), "csv", schema="id long, name string, value double")
     assert [r["id"] for r in df.collect()] == [1]
+    assert df.count() == 1
+    assert [r["id"] for r in df.select("id").collect()] == [1]
     assert dict(S.read_table(spark, str(csv), "csv", infer=False).dtypes)["id"] == "string"
     (tmp_path / "e.csv").write_text("id,name,value\n", encoding="utf-8")
     assert S.table_summary(S.read_any(spark, str(tmp_path / "e.csv"))).first()["row_count"] == 0

@@ -239,3 +239,15 @@ def test_verdicts(spark, mixed):
     assert row["verdict"] == "NOT_READY"
     assert row["critical_issues"] >= 1
     assert len(row["recommendations"]) == len(set(row["recommendations"]))
+
+
+def test_audit_checks_the_domain(healthcare):
+    scenarios = [
+        {"ai_type": "Recommendation", "model_size": "Small", "domain": d} for d in ("Healthcare", "Finance")
+    ]
+    rows = {r["domain"]: r for r in S.audit(healthcare, "tabular", scenarios=scenarios, key="patient_id").collect()}
+    assert rows["Healthcare"]["detected_domain"] == "Healthcare"
+    assert rows["Healthcare"]["mismatch_severity"] == "NONE"
+    assert rows["Finance"]["mismatch"]
+    assert rows["Finance"]["compatibility_score"] < rows["Healthcare"]["compatibility_score"]
+    assert rows["Finance"]["risks_present"] == 4
