@@ -26,8 +26,8 @@ ROUNDS = 3
 
 def as_number(name: str) -> Column:
     """A numeric column as double, NaN as null."""
-    value = F.col(f"`{name}`").cast("double")
-    return F.when(~F.isnan(value), value)
+    value = f"CAST(`{name}` AS DOUBLE)"
+    return F.expr(f"CASE WHEN NOT isnan({value}) THEN {value} END")
 
 
 def long_numbers(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slicewise.functions.exprs import fingerprint, share
+from slicewise.functions.exprs import fingerprint, share, text_sql
 from slicewise.operators.joining import as_list, attach, cols, match, materialize
 from slicewise.operators.quantiles import as_number, long_numbers, quantiles, ranges
 from slicewise.operators.sampling import hash_sample, ranked_top
@@ -471,8 +471,8 @@ def correlation(
     """Pearson correlation matrix in long form, over the rows where both columns are present.
 
     Columns without spread (in the slice) are left out; an undefined coefficient is 0. Few columns are
-    one wide aggregation; for many columns the pairs are unpivoted, so the plan does not grow with
-    their square, and are combined before the shuffle.
+    one wide aggregation; the pairs of many columns are unpivoted, so that no aggregation buffer grows
+    with their square, and are combined before the shuffle.
     """
     by = as_list(by)
     columns = numeric_cols(df, by) if columns is None else list(columns)
@@ -488,33 +488,26 @@ def correlation(
         x, y = as_number(a), as_number(b)
         return F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
 
-    varying = F.struct(*[s.alias(f"_s{i}") for i, s in enumerate(spread)]).alias("_spread")
-    index = {c: i for i, c in enumerate(columns)}
-
-    def entries(values: dict[tuple[str, str], Column]) -> Column:
-        out = []
+    if len(pairs) <= WIDE_PAIRS:
+        index = {c: i for i, c in enumerate(columns)}
+        position = {p: i for i, p in enumerate(pairs)}
+        entries = []
         for a in columns:
             for b in columns:
-                r = F.lit(1.0) if a == b else values[(a, b) if index[a] < index[b] else (b, a)]
-                keep = F.col("_spread")[f"_s{index[a]}"] & F.col("_spread")[f"_s{index[b]}"]
-                out.append(
-                    F.when(
-                        keep,
-                        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r.alias("r")),
-                    )
+                r = "1D" if a == b else f"_r{position[(a, b) if index[a] < index[b] else (b, a)]}"
+                entries.append(
+                    f"IF(_spread{index[a]} AND _spread{index[b]}, named_struct('col_a', {text_sql(a)}, "
+                    f"'col_b', {text_sql(b)}, 'r', {r}), NULL)"
                 )
-        return F.filter(F.array(*out), lambda e: e.isNotNull())
-
-    if len(pairs) <= WIDE_PAIRS:
-        aggregates = [
-            coefficient(*masked(a, b)).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)
-        ]
         return (
             df.groupBy(*cols(by))
-            .agg(varying, *aggregates)
-            .select(
-                *cols(by),
-                F.inline(entries({p: F.col(f"_r{i}") for i, p in enumerate(pairs)})),
+            .agg(
+                *[s.alias(f"_spread{i}") for i, s in enumerate(spread)],
+                *[coefficient(*masked(a, b)).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)],
+            )
+            .selectExpr(
+                *[f"`{k}`" for k in by],
+                f"inline(filter(array({', '.join(entries)}), e -> e IS NOT NULL))",
             )
         )
     items = []
