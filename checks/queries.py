@@ -200,6 +200,7 @@ def quantiles_lineitem(spark, folder):
             [0.05, 0.5, 0.95],
             "l_returnflag",
             single_pass_rows=0,
+            enough=100,
         ),
         4,
     )

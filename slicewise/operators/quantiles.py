@@ -4,9 +4,10 @@
 slice is known to be small. Beyond that the wanted ranks are narrowed down: each round counts the values
 of the current bracket of a rank in ``CELLS`` equal cells (partial counts are combined before the
 shuffle, so only cell counts travel), picks the cell that holds the rank and shrinks the bracket to the
-least and greatest value in it. After ``ROUNDS`` rounds the few distinct values left in a bracket are
-counted and ranked. Rounds read the data once each and shuffle next to nothing; the answer is exact for
-any distribution, because an unlucky one only leaves more values for the last step.
+least and greatest value in it. Rounds end as soon as no bracket holds more than ``ENOUGH`` rows, or
+after ``ROUNDS``; then the distinct values left in the brackets are counted and ranked. Rounds read the
+data once each and shuffle next to nothing; the answer is exact for any distribution, because an unlucky
+one only leaves more values for the last step.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from slicewise.operators.joining import as_list, attach, cols, match, materializ
 SINGLE_PASS_ROWS = 1_000_000
 CELLS = 4096
 ROUNDS = 3
+ENOUGH = 100_000
 
 
 def as_number(name: str) -> Column:
@@ -64,6 +66,7 @@ def quantiles(
     by: str | Sequence[str] = (),
     stats: DataFrame | None = None,
     single_pass_rows: int = SINGLE_PASS_ROWS,
+    enough: int = ENOUGH,
 ) -> DataFrame:
     """Rows ``(by…, column, prob, value)``, linearly interpolated between neighbouring ranks.
 
@@ -75,7 +78,7 @@ def quantiles(
     largest = stats.agg(F.max("n")).first()[0] or 0
     if largest <= single_pass_rows:
         return _single_pass(df, columns, probs, by)
-    return _narrowed(df, columns, probs, by, stats)
+    return _narrowed(df, columns, probs, by, stats, enough)
 
 
 def _single_pass(
@@ -109,6 +112,7 @@ def _narrowed(
     probs: Sequence[float],
     by: Sequence[str],
     stats: DataFrame,
+    enough: int,
 ) -> DataFrame:
     keys = [*by, "column"]
     bracket = [*keys, "lo", "hi"]
@@ -126,17 +130,28 @@ def _narrowed(
             (position - F.floor(position)).alias("weight"),
             F.col("min").alias("lo"),
             F.col("max").alias("hi"),
+            "n",
         )
     )
     ranks = (
         wanted.withColumn("rank", F.explode(F.array("low_rank", "high_rank")))
-        .select(*cols(keys), "rank", "lo", "hi", F.lit(0).cast("bigint").alias("below"))
+        .select(
+            *cols(keys),
+            "rank",
+            "lo",
+            "hi",
+            F.lit(0).cast("bigint").alias("below"),
+            F.col("n").alias("inside"),
+        )
         .distinct()
     )
     wanted = materialize(wanted)
     ranks = materialize(ranks)
 
     for _ in range(ROUNDS):
+        fullest = ranks.filter(F.col("lo") < F.col("hi")).agg(F.max("inside")).first()[0]
+        if fullest is None or fullest <= enough:
+            break
         open_brackets = ranks.filter(F.col("lo") < F.col("hi")).select(*cols(bracket)).distinct()
         ranks = materialize(_shrink(numbers, ranks, materialize(open_brackets), keys, bracket))
 
@@ -220,6 +235,7 @@ def _shrink(
             F.col("new_lo").alias("lo"),
             F.col("new_hi").alias("hi"),
             (F.col("below") + F.col("start")).alias("below"),
+            F.col("n").alias("inside"),
         )
     )
     return narrowed.unionByName(ranks.filter(F.col("lo") == F.col("hi")))

@@ -146,11 +146,13 @@ def test_narrowed_quantiles_are_exact(spark, shape):
     }[shape]
     df = spark.createDataFrame([("a" if i % 3 else None, float(v)) for i, v in enumerate(values)], "k string, x double")
     probs = [0.0, 0.05, 0.25, 0.5, 0.95, 1.0]
-    out = {(r["k"], r["prob"]): r["value"] for r in quantiles(df, ["x"], probs, "k", single_pass_rows=0).collect()}
-    for k in ("a", None):
-        group = [v for i, v in enumerate(values) if (i % 3 > 0) == (k == "a")]
-        for p in probs:
-            assert out[(k, p)] == pytest.approx(np.quantile(group, p), rel=1e-12)
+    for enough in (0, 10, 100_000):
+        rows = quantiles(df, ["x"], probs, "k", single_pass_rows=0, enough=enough).collect()
+        out = {(r["k"], r["prob"]): r["value"] for r in rows}
+        for k in ("a", None):
+            group = [v for i, v in enumerate(values) if (i % 3 > 0) == (k == "a")]
+            for p in probs:
+                assert out[(k, p)] == pytest.approx(np.quantile(group, p), rel=1e-12)
 
 
 def test_salted_join_equals_broadcast(spark):
