@@ -248,11 +248,28 @@ def histogram(
         F.when(flat, F.col("min") - 0.5).otherwise(F.col("min")).alias("lo"),
         F.when(flat, F.col("max") + 0.5).otherwise(F.col("max")).alias("hi"),
     )
+    # One row of bounds per slice, so that a data row is joined once and not once per column.
+    wide = bounds.groupBy(*cols(by)).agg(
+        *[
+            F.max(F.when(F.col("column") == c, F.col(end))).alias(f"_{end}{i}")
+            for i, c in enumerate(columns)
+            for end in ("lo", "hi")
+        ]
+    )
     extra = [] if weight is None else [F.col(f"`{weight}`").alias("_weight")]
-    items = [F.struct(F.lit(c).alias("column"), as_number(c).alias("value")) for c in columns]
-    rows = df.select(*cols(by), *extra, F.inline(F.array(*items))).filter(
-        F.col("value").isNotNull()
+    values = [as_number(c).alias(f"_v{i}") for i, c in enumerate(columns)]
+    rows = df.select(*cols(by), *extra, *values)
+    if by:
+        rows = attach(rows, wide, by)
+    else:
+        rows = rows.withColumns({c: F.lit(v).cast("double") for c, v in wide.first().asDict().items()})
+    items = ", ".join(
+        f"named_struct('column', {text_sql(c)}, 'value', _v{i}, 'lo', _lo{i}, 'hi', _hi{i})"
+        for i, c in enumerate(columns)
     )
+    rows = rows.select(
+        *cols(by), *[F.col("_weight") for _ in extra], F.expr(f"inline(array({items}))")
+    ).filter("value IS NOT NULL AND lo IS NOT NULL AND abs(value) < double('infinity')")
     step = (F.col("hi") - F.col("lo")) / bins
 
     def edge(i: Column) -> Column:
@@ -263,8 +280,7 @@ def histogram(
         F.lit(bins - 1),
     )
     counted = (
-        attach(rows, bounds, keys)
-        .withColumn("_bin", guess)
+        rows.withColumn("_bin", guess)
         .withColumn("_bin", F.col("_bin") - (F.col("value") < edge(F.col("_bin"))).cast("int"))
         .withColumn(
             "_bin",
@@ -273,13 +289,21 @@ def histogram(
                 (F.col("_bin") < bins - 1) & (F.col("value") >= edge(F.col("_bin") + 1))
             ).cast("int"),
         )
-        .groupBy(*cols(keys), "lo", "hi", "_bin")
-        .agg((F.count(F.lit(1)) if weight is None else F.sum("_weight")).alias("_n"))
+        .groupBy(*cols(keys), "_bin")
+        .agg(
+            (F.count(F.lit(1)) if weight is None else F.sum("_weight")).alias("_n"),
+            F.max("lo").alias("lo"),
+            F.max("hi").alias("hi"),
+        )
     )
     # At most `bins` entries per slice and column.
     filled = (
-        counted.groupBy(*cols(keys), "lo", "hi")
-        .agg(F.map_from_entries(F.collect_list(F.struct("_bin", "_n"))).alias("_counts"))
+        counted.groupBy(*cols(keys))
+        .agg(
+            F.map_from_entries(F.collect_list(F.struct("_bin", "_n"))).alias("_counts"),
+            F.max("lo").alias("lo"),
+            F.max("hi").alias("hi"),
+        )
         .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     )
     i = F.col("_i")
