@@ -4,17 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from llm.decontaminate import decontaminate
+from llm.mixing import mix_sources, mixing_sql
 from llm.near_dedup import near_dedup
+from llm.secrets import BASE, as_text, find_secrets
 from llm.shared import table
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+    return found.select(
+        "doc_id",
+        F.col("n_words").cast("long").alias("n_words"),
+        F.col("n_hit").cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        "spans",
+    )
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), size=5, percent=85)
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = [rule.kind for rule in BASE]
+    found = find_secrets(table(spark, sf_dir, "documents"))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("secrets", lambda s: s["kind"].isin(kinds))
+    return found.select("doc_id", *map(number, kinds), F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("secrets")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op9_minhash_near_dedup,)
+    f.__name__: f
+    for f in (
+        op5_mix_sources,
+        op8_decontaminate,
+        op9_minhash_near_dedup,
+        op10_secrets,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op5_mix_sources": mixing_sql("documents", "doc_id, text, lang, source, n_chars", copy=True),
 }
-ORACLES: dict[str, str] = {}
