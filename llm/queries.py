@@ -12,6 +12,17 @@ from llm.mixing import mix_sources, mixing_sql
 from llm.near_dedup import near_dedup
 from llm.secrets import BASE, as_text, find_secrets
 from llm.shared import table
+from llm.toxicity import fold_of, score_toxicity
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id",
+        (fold_of(F.col("doc_id")) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +60,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op3_toxicity,
         op5_mix_sources,
         op8_decontaminate,
         op9_minhash_near_dedup,
