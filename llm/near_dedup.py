@@ -254,3 +254,16 @@ def near_dedup(
         )
         .withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
     )
+
+
+def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, that of the smallest key; of rows with
+    the same key one stays. Rows with a null key all stay, and so do texts without words."""
+    found = keep(near_dedup(docs, text, key, size, percent).select(F.col(key).alias("_gone"), "kept").filter("_gone IS NOT NULL"))
+    here = F.col(f"`{key}`") == F.col("_gone")
+    out = docs.join(maybe_broadcast(keep(found.filter("NOT kept").select("_gone").distinct())), here, "left_anti")
+    repeated = keep(found.filter("kept").groupBy("_gone").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_gone"))
+    if repeated.isEmpty():
+        return out
+    once = out.join(repeated, here, "left_semi").dropDuplicates([key])
+    return out.join(repeated, here, "left_anti").unionByName(once)

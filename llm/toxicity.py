@@ -5,8 +5,8 @@ counts, these back off to continuation counts shared by both classes, and these
 distribution with room for unknown words: a rare expression is smoothed alike in both classes.
 
 A document's evidence is the difference of the two log-likelihoods per word, for the whole text and for
-its most toxic run of 8 and of 32 words (runs are cut at the text's end, not averaged away by a long
-text). Logistic regression turns the three into a probability. It is fitted on evidence from models
+its most toxic run of 2, of 8 and of 32 words (runs are cut at the text's end, not averaged away by a long
+text). Logistic regression turns the four into a probability. It is fitted on evidence from models
 that have not seen the document's fold.
 
 Models are fitted on a bounded sample of labelled documents, ``sample_bytes`` of text in each class at
@@ -30,7 +30,10 @@ from llm.words import LETTERS, ODD, hashes, mix, slices, split
 
 SAMPLE_ROWS = 6_000
 SAMPLE_BYTES = 16 << 20
-RUNS = (8, 32)
+RUNS = (2, 8, 32)
+#: Taken from every count of a class: an expression this rare in it is left to the counts it backs off to.
+DISCOUNT = 5
+SHARED_DISCOUNT = 0.75
 START = np.uint64(0x5851F42D4C957F2D)
 FOLDS = (0, 1, 3)
 
@@ -82,11 +85,6 @@ class Ratio:
         return out
 
 
-def _discount(counts: np.ndarray) -> float:
-    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
-    return min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
-
-
 def kneser_ney(before: np.ndarray, here: np.ndarray, counts: tuple[np.ndarray, np.ndarray]) -> Ratio:
     """``counts`` of the distinct bigrams in the ordinary and in the toxic class."""
     used = (counts[0] + counts[1]) > 0
@@ -98,20 +96,17 @@ def kneser_ney(before: np.ndarray, here: np.ndarray, counts: tuple[np.ndarray, n
     words, w = np.unique(here, return_inverse=True)
     contexts, h = np.unique(before, return_inverse=True)
     kinds = np.bincount(w, minlength=len(words))
-    d = _discount(kinds)
+    d = SHARED_DISCOUNT
     shared = np.maximum(kinds - d, 0) / len(w) + d * len(words) / len(w) / (len(words) + 1)
     logs, word_logs, backoff_logs = [], [], []
     for c in counts:
-        seen = c > 0
-        kinds = np.bincount(w[seen], minlength=len(words))
-        d = _discount(kinds)
+        kinds = np.bincount(w[c > 0], minlength=len(words))
         total = kinds.sum()
-        p_word = np.maximum(kinds - d, 0) / total + d * (kinds > 0).sum() / total * shared
-        d = _discount(c)
+        p_word = np.maximum(kinds - DISCOUNT, 0) / total + np.minimum(kinds, DISCOUNT).sum() / total * shared
         mass = np.bincount(h, c, len(contexts))
-        after = np.bincount(h[seen], minlength=len(contexts))
-        backoff = np.where(mass > 0, d * after / np.maximum(mass, 1), 1.0)
-        p = np.maximum(c - d, 0) / np.maximum(mass[h], 1) + backoff[h] * p_word[w]
+        taken = np.bincount(h, np.minimum(c, DISCOUNT), len(contexts))
+        backoff = np.where(mass > 0, taken / np.maximum(mass, 1), 1.0)
+        p = np.maximum(c - DISCOUNT, 0) / np.maximum(mass[h], 1) + backoff[h] * p_word[w]
         logs.append(np.log(p))
         word_logs.append(np.log(p_word))
         backoff_logs.append(np.log(backoff))
@@ -267,9 +262,8 @@ def score_toxicity(
     rows: int = SAMPLE_ROWS,
     sample_bytes: int = SAMPLE_BYTES,
     fit_on: DataFrame | None = None,
-    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per row of ``docs``: key, score (0 to 1), mean_ratio, run8_ratio, run32_ratio, and ``carry``.
+    """Per row of ``docs``: key, score (0 to 1), mean_ratio, run2_ratio, run8_ratio, run32_ratio.
 
     Labels are learnt from documents of ``fit_on`` (default ``docs``) whose crc32(key as text) mod 4 is
     not ``held``: of each class the first ``rows`` in hash order, as far as their texts have no more than
@@ -280,27 +274,44 @@ def score_toxicity(
     there is none). Keys may be null or repeat; each row is scored by itself. Other columns are ignored.
     """
     model = fit(docs if fit_on is None else fit_on, labels, text, key, label, held, rows, sample_bytes)
+    return _scored(docs, model, text, [key]).select(F.col("c0").alias(key), *_names())
+
+
+def drop_toxic(
+    docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text: str = "text", key: str = "doc_id", label: str = "toxic"
+) -> DataFrame:
+    """``docs`` without the rows whose score is ``threshold`` or more; columns and other rows stay as they
+    are. Cases as in ``score_toxicity``."""
+    model = fit(docs, labels, text, key, label, 2, SAMPLE_ROWS, SAMPLE_BYTES)
+    scored = _scored(docs, model, text, docs.columns).filter(F.col("score") < threshold)
+    return scored.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
+def _names() -> list[str]:
+    return ["score", "mean_ratio", *(f"run{r}_ratio" for r in RUNS)]
+
+
+def _scored(docs: DataFrame, model: Model, text: str, kept: list[str]) -> DataFrame:
+    """The columns ``kept`` as c0, c1, ..., and the score with its evidence."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["score", "mean_ratio", *(f"run{r}_ratio" for r in RUNS)]
-    kept = list(dict.fromkeys((key, *carry)))
+    sources = [*kept, *([] if text in kept else [text])]
+    place = sources.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            for first, last, data, offsets in slices(batch.column(0)):
+            for first, last, data, offsets in slices(batch.column(place)):
                 before, here, of = _bigrams(data, offsets)
                 x = evidence(own.ratio.of(before, here), of)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch.column(1 + i).slice(first, last - first) for i in range(len(kept))),
+                        *(batch.column(i).slice(first, last - first) for i in range(len(kept))),
                         pa.array(own.score(x)),
                         *(pa.array(x[:, k]) for k in range(x.shape[1])),
                     ],
-                    [*(f"c{i}" for i in range(len(kept))), *names],
+                    [*(f"c{i}" for i in range(len(kept))), *_names()],
                 )
 
     types = [docs.schema[c].dataType.simpleString() for c in kept]
-    schema = ", ".join([f"c{i} {t}" for i, t in enumerate(types)] + [f"{n} double" for n in names])
-    given = docs.select(F.col(f"`{text}`").alias("text"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)))
-    out = given.mapInArrow(run, schema)
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), *names)
+    schema = ", ".join([f"c{i} {t}" for i, t in enumerate(types)] + [f"{n} double" for n in _names()])
+    return docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(sources))).mapInArrow(run, schema)
