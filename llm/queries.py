@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from llm.decontaminate import decontaminate
 from llm.mixing import mix_sources, mixing_sql
 from llm.near_dedup import near_dedup
+from llm.quality import MEASURES, clean_lines
 from llm.secrets import BASE, as_text, find_secrets
 from llm.shared import table
 from llm.toxicity import fold_of, score_toxicity
+from llm.warc import read_archives, write_archives
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,10 +27,20 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clean_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *MEASURES, "base_failed", "kept", "lost")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_archives(write_archives(table(spark, sf_dir, "pages"), least=0))
+    return records.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
     return found.select(
@@ -61,7 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op3_toxicity,
+        op4_clean_lines,
         op5_mix_sources,
+        op7_warc,
         op8_decontaminate,
         op9_minhash_near_dedup,
         op10_secrets,
