@@ -81,14 +81,14 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
     inside = NOT_SPACE[data]
     # Lines end at \n and at the end of their row; those without a word do not count.
-    starts = np.unique(np.concatenate([np.flatnonzero(data == 10) + 1, offsets[:-1]]))
+    breaks = np.append(np.flatnonzero(data == 10), len(data))
+    starts = np.unique(np.concatenate([breaks[:-1] + 1, offsets[:-1]]))
     starts = starts[starts < len(data)]
-    breaks = np.unique(np.concatenate([np.flatnonzero(data == 10), offsets[1:]]))
-    ends = breaks[np.searchsorted(breaks, starts)]
+    line_row = np.searchsorted(offsets, starts, "right") - 1
+    ends = np.minimum(breaks[np.searchsorted(breaks, starts)], offsets[line_row + 1])
     with_word = np.concatenate([[0], np.cumsum(inside)])
     some = with_word[ends] > with_word[starts]
-    starts, ends = starts[some], ends[some]
-    line_row = np.searchsorted(offsets, starts, "right") - 1
+    starts, ends, line_row = starts[some], ends[some], line_row[some]
     keys = _row_keys(hashes(data, starts, ends, EXACT) + (ends - starts).astype(np.uint64), line_row)
     _, first = np.unique(keys, return_index=True)
     again = np.ones(len(keys), np.int64)
