@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.decontaminate import decontaminate
+from llm.lm_score import cross_entropy_difference
 from llm.mixing import mix_sources, mixing_sql
 from llm.near_dedup import near_dedup
 from llm.quality import MEASURES, clean_lines
@@ -17,6 +18,14 @@ from llm.toxicity import fold_of, score_toxicity
 from llm.warc import read_archives, write_archives
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled as good."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_good")).distinct()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = docs.join(good, F.col("doc_id") == F.col("_good"), "left")
+    return cross_entropy_difference(marked, F.col("_good").isNotNull())
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select(
@@ -72,6 +81,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_lm_score,
         op3_toxicity,
         op4_clean_lines,
         op5_mix_sources,
