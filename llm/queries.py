@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from llm.near_dedup import near_dedup
 from llm.quality import MEASURES, clean_lines
 from llm.secrets import BASE, as_text, find_secrets
 from llm.shared import table
+from llm.token_counts import count_tokens
 from llm.toxicity import fold_of, score_toxicity
 from llm.warc import read_archives, write_archives
 
@@ -26,6 +28,11 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_entropy_difference(marked, F.col("_good").isNotNull())
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select(
@@ -82,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_lm_score,
+        op2_token_counts,
         op3_toxicity,
         op4_clean_lines,
         op5_mix_sources,
