@@ -12,6 +12,7 @@ from llm.decontaminate import decontaminate
 from llm.lm_score import cross_entropy_difference
 from llm.mixing import mix_sources, mixing_sql
 from llm.near_dedup import near_dedup
+from llm.passages import repeated_passages
 from llm.quality import MEASURES, clean_lines
 from llm.secrets import BASE, as_text, find_secrets
 from llm.shared import table
@@ -52,6 +53,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"), passage=50, percent=80)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = read_archives(write_archives(table(spark, sf_dir, "pages"), least=0))
     return records.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_toxicity,
         op4_clean_lines,
         op5_mix_sources,
+        op6_repeated_passages,
         op7_warc,
         op8_decontaminate,
         op9_minhash_near_dedup,
