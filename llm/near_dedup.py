@@ -7,10 +7,12 @@
 3. Within a band bucket every class is a candidate of the smallest one: a star, so a bucket of n gives
    n - 1 candidates. Candidates are confirmed on the full sets, first one per class, then those that
    still join different components.
-4. A star can miss a link between two classes that are both unlike its centre. Buckets that still hold
-   several components are therefore worked on: the next members become centres too, 1, 2, 4, ... of
-   them, until a bucket has one component or every member has been a centre. No pair of a bucket whose
-   ends are in different components stays unchecked, and no bucket is capped.
+4. A star can miss a link between two classes that are both unlike its centre. Members of buckets that
+   still hold several components are therefore dealt anew, by the rare shingles of their full sets: two
+   sets that are similar enough share one of their few rarest shingles, so texts that have only a
+   widespread passage in common part here. In a group that holds several components members become
+   centres, 1, 2, 4, ... of them, until it has one component or every member that can be the smaller
+   set of a link has been a centre. No pair that may be linked stays unchecked, and no group is capped.
 
 Only candidates' sets are shuffled; texts are not, unless the candidates are too many to broadcast
 their ids.
@@ -33,6 +35,7 @@ from llm.words import NOT_SPACE, hashes, mix, shingles, slices, split
 BANDS = 24
 ROWS = 5
 WALK = 512
+HOT = 1_000
 
 
 def _walk(bins: int) -> np.ndarray:
@@ -134,6 +137,31 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def rare_groups(sets: DataFrame, percent: int) -> DataFrame:
+    """(bucket, id, n, rest, few): each set of ``sets(id, found)`` under its rarest shingles, those in no other
+    set left out; ``rest`` counts the shingles from this one on. Two similar sets share at most ``rest``
+    shingles if this is the rarest that they share, so it must be at least n * percent / 100, and for the
+    smaller set of the two at least 2 * n * percent / (100 + percent) (``few``). Shingles in a ``HOT``-th of all rows or more are at most ``HOT`` and
+    joined by broadcast, so the shuffled join has no hot key."""
+    rows = sets.select("id", F.size("found").alias("n"), F.explode("found").alias("bucket"))
+    counts = keep(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"))
+    total = sets.agg(F.sum(F.size("found"))).first()[0] or 0
+    hot = counts.filter(F.col("often") * HOT >= total).select("bucket", F.col("often").alias("hot"))
+    other = counts.filter(F.col("often") * HOT < total)
+    known = rows.join(F.broadcast(hot), "bucket", "left")
+    placed = known.filter("hot IS NOT NULL").select("id", "n", "bucket", F.col("hot").alias("often")).unionByName(
+        known.filter("hot IS NULL").drop("hot").join(other, "bucket").select("id", "n", "bucket", "often")
+    )
+    # Shingles in no other set come first in the order; they only take places.
+    ordered = placed.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("often", "bucket"))).alias("shared"))
+    return (
+        ordered.select("id", "n", (F.col("n") - F.size("shared")).alias("before"), F.posexplode("shared"))
+        .select(F.col("col.bucket").alias("bucket"), "id", "n", (F.col("n") - F.col("before") - F.col("pos")).alias("rest"))
+        .filter(f"100 * rest >= {percent} * n")
+        .withColumn("few", F.expr(f"{100 + percent} * rest >= {2 * percent} * n"))
+    )
+
+
 def near_dedup(
     docs: DataFrame,
     text: str = "text",
@@ -200,43 +228,50 @@ def near_dedup(
         more = keep(more)
         if more.isEmpty():
             return False
-        links = keep(links.unionByName(more))
-        labels = keep(components(links))
+        links = links.unionByName(more)
+        known = labels.select(F.col("id").alias("u"), F.col("component").alias("v"))
+        labels = keep(components(known.unionByName(more)))
         return True
 
     tried = best.select("u", "v")
     grown(_confirmed(apart(stars.select("u", "v").join(tried, ["u", "v"], "left_anti")), sets, percent))
 
-    ranked, done = None, 1
-    while True:
-        known = labels.select("id", "component")
-        source = crowded.select("bucket", "id", "n") if ranked is None else ranked
-        with_component = source.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    def still_mixed(groups: DataFrame, condition: str) -> DataFrame:
+        """Rows of the groups that hold several components and fulfil ``condition``."""
+        here = groups.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = (
-            with_component.groupBy("bucket")
-            .agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("size"))
-            .filter(f"least <> most AND size > {done + 1 if ranked is not None else 2}")
+            here.groupBy("bucket")
+            .agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("size"), F.max("few").alias("open"))
+            .filter(f"least <> most AND {condition}")
             .select("bucket")
         )
-        left = with_component.drop("component").join(mixed, "bucket", "left_semi")
-        if ranked is None:
-            left = left.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("id")))
-        ranked = keep(left)
+        return here.join(mixed, "bucket", "left_semi").drop("component")
+
+    unsure = still_mixed(crowded.select("bucket", "id", F.lit(True).alias("few")), "size > 2").select("id").distinct()
+    open_sets = keep_table(sets.join(unsure, "id", "left_semi"))
+    groups = still_mixed(keep(rare_groups(open_sets, percent)), "open")
+    order = Window.partitionBy("bucket").orderBy(F.desc("few"), "id")
+    ranked = keep(groups.withColumn("rank", F.row_number().over(order)))
+    done = 0
+    while True:
+        # Pairs of a former centre have been checked.
+        ranked = keep(still_mixed(ranked.filter(f"rank > {done}"), "open"))
         if ranked.isEmpty():
             break
-        here = ranked.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        next_centres = here.filter(f"rank > {done} AND rank <= {2 * done}").select(
-            "bucket", F.col("id").alias("u"), F.col("n").alias("m"), F.col("rank").alias("r"), F.col("component").alias("c")
+        here = ranked.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        until = max(1, 2 * done)
+        next_centres = here.filter(f"few AND rank <= {until}").select(
+            "bucket", F.col("id").alias("u"), F.col("n").alias("m"), F.col("rest").alias("s"), F.col("rank").alias("r"), F.col("component").alias("c")
         )
+        enough = f"{100 + percent} * least(rest, s) >= {percent} * (n + m)"
         pairs = (
-            here.filter(f"rank > {done}")
-            .join(next_centres, "bucket")
-            .filter(f"rank > r AND component <> c AND {alike('n', 'm')}")
+            here.join(next_centres, "bucket")
+            .filter(f"rank > r AND component <> c AND {enough}")
             .select("u", F.col("id").alias("v"))
             .distinct()
         )
         grown(_confirmed(pairs, sets, percent))
-        done *= 2
+        done = until
 
     degree = (
         links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
