@@ -11,7 +11,7 @@
    still hold several components are therefore dealt anew, by the rare shingles of their full sets: two
    sets that are similar enough share one of their few rarest shingles, so texts that have only a
    widespread passage in common part here. In a group that holds several components members become
-   centres, 1, 2, 4, ... of them, until it has one component or every member that can be the smaller
+   centres, 1, 8, 64, ... of them, until it has one component or every member that can be the smaller
    set of a link has been a centre. No pair that may be linked stays unchecked, and no group is capped.
 
 Only candidates' sets are shuffled; texts are not, unless the candidates are too many to broadcast
@@ -259,7 +259,7 @@ def near_dedup(
         if ranked.isEmpty():
             break
         here = ranked.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        until = max(1, 2 * done)
+        until = max(1, 8 * done)
         next_centres = here.filter(f"few AND rank <= {until}").select(
             "bucket", F.col("id").alias("u"), F.col("n").alias("m"), F.col("rest").alias("s"), F.col("rank").alias("r"), F.col("component").alias("c")
         )
