@@ -163,6 +163,30 @@ def test_decontamination_against_brute_force(spark):
     assert left[0] == docs[0][1] and set(left) == {0, 1} and items[0][1].upper() not in left[1]
 
 
+def test_similar_sets_meet_under_a_rare_shingle(spark):
+    rng = random.Random(29)
+    common = list(range(40))
+    rows = []
+    for i in range(60):
+        base = [*common[: rng.randint(0, 40)], *rng.sample(range(100, 5000), rng.randint(1, 60))]
+        rows.append((2 * i, base))
+        rows.append((2 * i + 1, [*base[rng.randint(0, max(1, len(base) // 9)) :], *range(9000 + 9 * i, 9000 + 9 * i + rng.randint(0, 4))]))
+    sets = {i: set(found) for i, found in rows if found}
+    frame = spark.createDataFrame([(i, list(found)) for i, found in sets.items()], "id bigint, found array<bigint>")
+    rest = {(r["bucket"], r["id"]): (r["rest"], r["few"]) for r in near_dedup.rare_groups(frame, 85).collect()}
+    links = 0
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if (len(sets[a]), a) < (len(sets[b]), b) and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                links += 1
+                assert any(
+                    (t, b) in rest and rest.get((t, a), (0, False))[1] and 185 * min(rest[t, a][0], rest[t, b][0]) >= 85 * (len(sets[a]) + len(sets[b]))
+                    for t in sets[a] & sets[b]
+                )
+    assert links > 20
+
+
 def test_near_dedup_against_brute_force(spark):
     rng = random.Random(13)
     rows = [(i, prose(rng, 80)) for i in range(10)]
