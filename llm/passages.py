@@ -4,8 +4,10 @@
    token hashes gives compact windows (l, c, r): every run of tokens within [l, r] that includes c has its
    min-hash at c. Windows too short to hold a passage are left out, so a document has about
    2 n / passage of them per function.
-2. Windows with the same (function, min-hash) share a signature. Each is a candidate of the first and of the last
-   one of its group only: stars, so a group of n gives fewer than 2 n candidates.
+2. Windows with the same (function, min-hash) share a signature. Each is first a candidate of the first and of
+   the last one of its group: stars, so a group of n gives fewer than 2 n candidates. Windows whose min-hash then
+   lies in no repeated passage of their document go on: further windows of the group become centres, 1, 8, 64, ...
+   of them, until each is matched or has met every earlier document of its group. No group is capped.
 3. Candidates of the same two documents and the same alignment are joined: their intervals are united.
 4. Both texts are compared word by word along the alignment; runs of at least ``passage`` words of which ``percent``
    or more are equal are repeated passages of the later document.
@@ -19,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from llm.shared import keep_table, maybe_broadcast
 from llm.words import NOT_SPACE, hashes, mix, shingles, slices, split
@@ -116,6 +119,32 @@ def _verified(pairs: DataFrame, docs: DataFrame, passage: int, percent: int) ->
     )
 
 
+def _further(found: DataFrame, ends: DataFrame, tried: DataFrame, repeats: DataFrame, usable: DataFrame, passage: int, percent: int) -> DataFrame:
+    """``repeats`` with those of windows that the stars leave unmatched, from further centres of their groups."""
+    # Groups of two documents have been compared in full, but for further positions of one.
+    groups = found.join(ends.filter("size > 2").select("k", "value"), ["k", "value"], "left_semi")
+    ranked = keep_table(groups.withColumn("rank", F.row_number().over(Window.partitionBy("k", "value").orderBy("id", "c"))))
+    least = ranked.groupBy("k", "value").agg(F.min("id").alias("first"))
+    open_ = keep_table(ranked.join(least, ["k", "value"]).filter("id <> first").drop("first"))
+    done = 0
+    while True:
+        spans = repeats.select(F.col("id").alias("of"), "first_word", "end_word").distinct()
+        inside = (F.col("id") == F.col("of")) & (F.col("c") >= F.col("first_word")) & (F.col("c") + TOKEN_WORDS <= F.col("end_word"))
+        # A window has met all those before it once they have been centres.
+        open_ = keep_table(open_.filter(F.col("rank") > done + 1).join(spans, inside, "left_anti"))
+        if open_.isEmpty():
+            return repeats
+        until = max(1, 8 * done)
+        centres = ranked.filter((F.col("rank") > done) & (F.col("rank") <= until)).select(
+            "k", "value", F.col("id").alias("source"), F.col("c").alias("at")
+        )
+        pairs = open_.join(centres, ["k", "value"]).filter("id > source").select("id", "source", (F.col("c") - F.col("at")).alias("shift")).distinct()
+        fresh = keep_table(pairs.join(tried, ["id", "source", "shift"], "left_anti"))
+        tried = tried.unionByName(fresh)
+        repeats = repeats.unionByName(keep_table(_verified(fresh, usable, passage, percent)))
+        done = until
+
+
 def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", passage: int = 50, percent: int = 80, count: int = HASHES) -> DataFrame:
     """Per key: key, n_repeated (words in repeated passages), sources (keys of documents that they repeat, in
     order), spans (merged: first word, word after the last). Of two documents that share a passage, that of the
@@ -131,11 +160,11 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id",
     found = keep_table(windows(usable, passage, count))
     ends = (
         found.groupBy("k", "value")
-        .agg(F.min(F.struct("id", "c")).alias("low"), F.max(F.struct("id", "c")).alias("high"))
+        .agg(F.min(F.struct("id", "c")).alias("low"), F.max(F.struct("id", "c")).alias("high"), F.count(F.lit(1)).alias("size"))
         .filter("low.id <> high.id")
     )
     ends = keep_table(ends)
-    both = found.join(maybe_broadcast(ends), ["k", "value"]).select(
+    both = found.join(maybe_broadcast(ends.drop("size")), ["k", "value"]).select(
         "id", "c", F.explode(F.array("low", "high")).alias("other")
     )
     later = F.col("id") > F.col("other.id")
@@ -148,7 +177,8 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id",
         )
         .distinct()
     )
-    repeats = _verified(pairs, usable, passage, percent)
+    stars = keep_table(_verified(pairs, usable, passage, percent))
+    repeats = _further(found, ends, pairs, stars, usable, passage, percent)
     # Spans of one document are as many as its alignments at most.
     merged = F.aggregate(
         F.array_sort(F.collect_set(F.struct("first_word", "end_word"))),

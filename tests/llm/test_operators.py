@@ -129,6 +129,18 @@ def test_passages(spark):
     assert all(not got[i]["sources"] for i in [*range(20), 30])
 
 
+def test_passages_between_the_ends_of_a_group(spark):
+    """The first document has only phrases of the passage; those in the middle repeat each other, not it."""
+    rng = random.Random(31)
+    shared = prose(rng, 60).split()
+    # Every shingle of the passage as the least of some window, but no long run of the passage.
+    phrases = " ".join(" ".join(shared[k : k + 5]) + f" filler{j}" * 60 for j in range(8) for k in range(56))
+    rows = [(0, phrases), *((i, prose(rng, 70) + " " + " ".join(shared) + " " + prose(rng, 70)) for i in range(1, 6))]
+    got = {r["doc_id"]: r for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[i]["n_repeated"] for i in range(6)] == [0, 0, 60, 60, 60, 60]
+    assert all(got[i]["sources"] and min(got[i]["sources"]) >= 1 for i in range(2, 6))
+
+
 def test_warc_round_trip_and_damage(spark):
     rows = [(1, "http://a/é b", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (5, "u", "x" * 300_000), (5, "u", "x" * 300_000), (None, "u", "same")]
     archives = warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
