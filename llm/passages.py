@@ -8,9 +8,11 @@
    the last one of its group: stars, so a group of n gives fewer than 2 n candidates. Windows whose min-hash then
    lies in no repeated passage of their document go on: further windows of the group become centres, 1, 8, 64, ...
    of them, until each is matched or has met every earlier document of its group. No group is capped.
-3. Candidates of the same two documents and the same alignment are joined: their intervals are united.
-4. Both texts are compared word by word along the alignment; runs of at least ``passage`` words of which ``percent``
-   or more are equal are repeated passages of the later document.
+3. Candidates of the same two documents and the same alignment are joined. Intervals are not counted over the hash
+   functions: one shared signature makes a candidate, and the texts decide.
+4. Both texts are compared word by word along the alignment, and along the best path that stays within ``BAND`` words of
+   it, so words may be inserted and deleted; runs of at least ``passage`` words of which ``percent`` or more are
+   equal are repeated passages of the later document.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ from llm.words import NOT_SPACE, hashes, mix, shingles, slices, split
 
 HASHES = 4
 TOKEN_WORDS = 5
+#: Words by which a path may leave the alignment, and the equal words that each inserted or deleted word outweighs.
+BAND = 16
+GAP = 2
 
 
 def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -86,6 +91,45 @@ def aligned_runs(same: np.ndarray, passage: int, percent: int) -> list[tuple[int
     return out
 
 
+def banded(b: np.ndarray, a: np.ndarray, shift: int, passage: int, percent: int) -> list[tuple[int, int]]:
+    """Runs of ``b`` as in ``aligned_runs``, a word being equal if it is so on the best path within ``BAND`` words of
+    the alignment of b[i] with a[i - shift]."""
+    width = 2 * BAND + 1
+    at = np.arange(len(b) + width - 1) - shift - BAND
+    valid = (at >= 0) & (at < len(a))
+    near = np.lib.stride_tricks.sliding_window_view(np.where(valid, a[np.clip(at, 0, len(a) - 1)], 0), width)
+    equal = (near == b[:, None]) & np.lib.stride_tricks.sliding_window_view(valid, width)
+    out = []
+    # No path has more equal words than there are words with an equal one within the band.
+    for first, last in aligned_runs(equal.any(axis=1), passage, percent):
+        out += [(first + x, first + y) for x, y in aligned_runs(_path(equal[first:last]), passage, percent)]
+    return out
+
+
+def _path(equal: np.ndarray) -> np.ndarray:
+    """Which rows are equal on the best monotone path: one column up skips a word of the other text, one column down a row."""
+    rows, width = equal.shape
+    ramp, column = GAP * np.arange(width), np.arange(width, dtype=np.int16)
+    score = np.zeros(width, np.int64)
+    skipped, source = np.zeros((rows, width), bool), np.zeros((rows, width), np.int16)
+    for i in range(rows):
+        along = score + equal[i]
+        skip = np.append(score[1:], -(1 << 40)) - GAP
+        skipped[i] = skip > along
+        lifted = np.maximum(along, skip) + ramp
+        best = np.maximum.accumulate(lifted)
+        source[i] = np.maximum.accumulate(np.where(lifted == best, column, 0))
+        score = best - ramp
+    same, w = np.zeros(rows, bool), int(np.argmax(score))
+    for i in range(rows - 1, -1, -1):
+        w = int(source[i, w])
+        if skipped[i, w]:
+            w += 1
+        else:
+            same[i] = equal[i, w]
+    return same
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, passage: int, percent: int) -> DataFrame:
     """(id, source, first_word, end_word) of the repeated passages of candidate alignments."""
 
@@ -107,6 +151,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, passage: int, percent: int) ->
                 if end - begin >= passage:
                     same = b[begin:end] == a[begin - shift : end - shift]
                     out += [(later, source, begin + x, begin + y) for x, y in aligned_runs(same, passage, percent)]
+                if min(len(a), len(b)) >= passage:
+                    out += [(later, source, x, y) for x, y in banded(b, a, shift, passage, percent)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["id", "source", "first_word", "end_word"])
 

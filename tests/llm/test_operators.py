@@ -141,6 +141,19 @@ def test_passages_between_the_ends_of_a_group(spark):
     assert all(got[i]["sources"] and min(got[i]["sources"]) >= 1 for i in range(2, 6))
 
 
+def test_passages_with_an_inserted_or_deleted_word(spark):
+    rng = random.Random(37)
+    rows = []
+    for i, n in enumerate([60, 75] * 6):
+        shared = prose(rng, n).split()
+        edited = [*shared[: n // 2], *([] if i % 4 > 1 else ["zzz"]), *shared[n // 2 + (i % 4 > 1) :]]
+        rows += [(2 * i, prose(rng, 60) + " " + " ".join(shared) + " " + prose(rng, 60)), (2 * i + 1, prose(rng, 80) + " " + " ".join(edited) + " " + prose(rng, 40))]
+    got = {r["doc_id"]: r for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, n in enumerate([60, 75] * 6):
+        assert got[2 * i]["n_repeated"] == 0
+        assert got[2 * i + 1]["sources"] == [2 * i] and n - 3 <= got[2 * i + 1]["n_repeated"] <= n + 24
+
+
 def test_warc_round_trip_and_damage(spark):
     rows = [(1, "http://a/é b", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (5, "u", "x" * 300_000), (5, "u", "x" * 300_000), (None, "u", "same")]
     archives = warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
