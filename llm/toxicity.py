@@ -30,6 +30,8 @@ from llm.words import LETTERS, ODD, hashes, mix, slices, split
 
 SAMPLE_ROWS = 6_000
 SAMPLE_BYTES = 16 << 20
+#: A key's texts have at most this part of ``sample_bytes`` in the sample, so each class keeps that many keys or all.
+LEAST_KEYS = 64
 RUNS = (2, 8, 32)
 #: Taken from every count of a class: an expression this rare in it is left to the counts it backs off to.
 DISCOUNT = 5
@@ -186,10 +188,14 @@ def _sample(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str,
     chosen = keep(first[0].unionByName(first[1]))  # at most 2 * rows
     texts = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL")
     found = texts.join(F.broadcast(chosen), "id")
-    sizes = found.groupBy("id", "toxic", "place").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    share = most // LEAST_KEYS
+    sizes = keep(found.groupBy("id", "toxic", "place").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("n")))
     running = Window.partitionBy("toxic").orderBy("place", "id").rowsBetween(Window.unboundedPreceding, 0)
-    fitting = sizes.withColumn("sum", F.sum("bytes").over(running)).filter(F.col("sum") <= most)
-    return keep(texts.join(F.broadcast(chosen.join(fitting.select("id"), "id", "left_semi")), "id").select("toxic", "fold", "text"))
+    fitting = sizes.withColumn("sum", F.sum(F.least("bytes", F.lit(share))).over(running)).filter(F.col("sum") <= most)
+    # A character has four bytes at most.
+    part = F.when(F.col("bytes") > share, F.expr(f"left(text, int({share} div (4 * n)))")).otherwise(F.col("text"))
+    named = chosen.join(fitting.select("id", "bytes", "n"), "id")
+    return keep(texts.join(F.broadcast(named), "id").select("toxic", "fold", part.alias("text")))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, held: int, rows: int, most: int) -> Model:
@@ -267,7 +273,8 @@ def score_toxicity(
 
     Labels are learnt from documents of ``fit_on`` (default ``docs``) whose crc32(key as text) mod 4 is
     not ``held``: of each class the first ``rows`` in hash order, as far as their texts have no more than
-    ``sample_bytes`` together. Only texts are inputs of a score. Words are
+    ``sample_bytes`` together. If a key's texts have more than a ``LEAST_KEYS``-th of that, only the start of each is
+    used for fitting (together no more than this share); scores are always of whole texts. Only texts are inputs of a score. Words are
     ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with A-Z in lower case. Null, empty and wordless texts have no evidence
     and get the score of that. Labels that are null or neither 0 nor 1 are ignored; of several for a key
     the highest counts. Without labels, or with one class, all scores are the share of that class (0 if

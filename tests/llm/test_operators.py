@@ -98,6 +98,19 @@ def test_toxic_words_are_found_in_held_out_documents(spark):
     assert hits[False, True] <= 0.03 * (hits[False, True] + hits[False, False])
 
 
+def test_one_oversize_text_leaves_its_class_in_the_sample(spark):
+    rng = random.Random(41)
+    rows = [(i, prose(rng, 40) + (" vilebad nastybad vilebad" if i % 3 == 0 else "")) for i in range(600)]
+    fitted = spark.range(600).filter(toxicity.fold_of(F.col("id")) != 2).filter("id % 3 <> 0")
+    first = fitted.orderBy(F.xxhash64("id"), "id").first()[0]
+    rows[first] = (first, prose(rng, 70_000))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(600)], "doc_id bigint, toxic int")
+    found = toxicity.score_toxicity(docs, labels, sample_bytes=1 << 18).collect()
+    assert sum(r["score"] < 0.3 for r in found if r["doc_id"] % 3) >= 380
+    assert sum(r["score"] >= 0.3 for r in found if r["doc_id"] % 3 == 0) >= 190
+
+
 def test_quality_measures_and_lines(spark):
     texts = ["a b c\na b c\nx", "q\n\nq\n", "one | two | three\nA full sentence stands here.\nAll rights reserved"]
     rows = quality.clean_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()
