@@ -2,7 +2,8 @@
 
 Both models count n-grams over one vocabulary, that of all documents, with the same smoothing. The
 conditional probability of a word is the bigram's over its first word's, so a word's loss difference
-is the bigram's log-ratio less that of the word before it. Per document the words' mean is taken over all words. A document is thus a bag of signed grams, and one
+is the bigram's log-ratio less that of the word before it; the first word's is its own log-ratio. Per document the mean is
+taken over all words. A document is thus a bag of signed grams, and one
 table of log-ratios, keyed by gram, serves both orders.
 
 Counts come from all documents, and the table grows with them; it is never collected or broadcast as a whole.
@@ -28,7 +29,9 @@ HOT = 1_000
 
 
 def _grams(docs: DataFrame, text: str, carry: list[Column], types: list[str]) -> DataFrame:
-    """(c0, c1, ..., level, gram, n): distinct grams of each row; level 0 with n = number of words."""
+    """(c0, c1, ..., level, gram, n, weight): distinct grams of each row; level 0 with n = number of words. ``weight`` is how
+    often the gram's log-ratio counts in the sum of the words' losses: a bigram once each time, a word as the text's first
+    less each time that it is a context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -41,7 +44,10 @@ def _grams(docs: DataFrame, text: str, carry: list[Column], types: list[str]) ->
                 gram = np.concatenate([here, both])
                 row = np.concatenate([rows, rows[pair]])
                 level = np.concatenate([np.ones(len(here), np.int8), np.full(len(both), 2, np.int8)])
-                _, at, n = np.unique(mix(gram ^ mix(row.astype(np.uint64) * np.uint64(4) + level.astype(np.uint64) + np.uint64(1))), return_index=True, return_counts=True)
+                signed = np.concatenate([np.zeros(len(here), np.int64), np.ones(len(both), np.int64)])
+                signed[pair] -= 1
+                signed[words.of[:-1][np.diff(words.of) > 0]] += 1
+                _, at, inverse, n = np.unique(mix(gram ^ mix(row.astype(np.uint64) * np.uint64(4) + level.astype(np.uint64) + np.uint64(1))), return_index=True, return_inverse=True, return_counts=True)
                 size = last - first
                 where = np.concatenate([row[at], np.arange(size)])
                 part = batch.slice(first, size)
@@ -51,13 +57,14 @@ def _grams(docs: DataFrame, text: str, carry: list[Column], types: list[str]) ->
                         pa.array(np.concatenate([level[at], np.zeros(size, np.int8)]), pa.int8()),
                         pa.array(np.concatenate([gram[at], np.zeros(size, np.uint64)]).view(np.int64)),
                         pa.array(np.concatenate([n, np.diff(words.of)])),
+                        pa.array(np.concatenate([np.bincount(inverse, signed, len(at)).astype(np.int64), np.zeros(size, np.int64)])),
                     ],
-                    [*(f"c{i}" for i in range(len(types))), "level", "gram", "n"],
+                    [*(f"c{i}" for i in range(len(types))), "level", "gram", "n", "weight"],
                 )
 
     fields = ", ".join(f"c{i} {t}" for i, t in enumerate(types))
     given = docs.select(F.col(f"`{text}`").alias("text"), *(c.alias(f"c{i}") for i, c in enumerate(carry)))
-    return given.mapInArrow(run, f"{fields}, level tinyint, gram bigint, n bigint")
+    return given.mapInArrow(run, f"{fields}, level tinyint, gram bigint, n bigint, weight bigint")
 
 
 def cross_entropy_difference(docs: DataFrame, target: Column, text: str = "text", key: str = "doc_id", alpha: float = ALPHA) -> DataFrame:
@@ -99,29 +106,23 @@ def cross_entropy_difference(docs: DataFrame, target: Column, text: str = "text"
     hot = keep(valued.filter("hot").select("level", "gram", F.col("value").alias("hot_value")))
     rest = valued.filter("NOT hot").select(F.col("level").alias("l"), F.col("gram").alias("g"), "value")
 
-    grams = _grams(docs, text, [F.col(f"`{key}`")], [kind]).join(F.broadcast(hot), ["level", "gram"], "left")
+    counting = _grams(docs, text, [F.col(f"`{key}`")], [kind]).filter("level = 0 OR weight <> 0")
+    grams = counting.join(F.broadcast(hot), ["level", "gram"], "left")
     # Hot grams and the rows of level 0 need no second join: what is known of them is summed per key here.
     known = grams.filter("level = 0 OR hot_value IS NOT NULL")
     other = grams.filter("level > 0 AND hot_value IS NULL").join(rest, (F.col("level") == F.col("l")) & (F.col("gram") == F.col("g")), "left")
-    # Mean of the bigrams' ratios less the mean of the words': the words' mean stands for that of first words,
-    # from which it differs by a text's last word only.
     value = F.coalesce("value", by_level(F.lit(1.0), F.lit(0.0)))
-    columns = ["c0", "level", "n"]
+    columns = ["c0", "level", "n", "weight"]
     both = known.select(*columns, F.col("hot_value").alias("value")).unionByName(other.select(*columns, value.alias("value")))
     return (
         both.groupBy(F.col("c0").alias(key))
         .agg(
             F.sum(F.when(F.col("level") == 0, F.col("n"))).cast("long").alias("n_tokens"),
-            F.coalesce(F.sum(F.when(F.col("level") == 2, F.col("n") * F.col("value"))), F.lit(0.0)).alias("pairs"),
-            F.coalesce(F.sum(F.when(F.col("level") == 1, F.col("n") * F.col("value"))), F.lit(0.0)).alias("words"),
-            F.coalesce(F.sum(F.when(F.col("level") == 2, F.col("n"))), F.lit(0)).alias("n_pairs"),
+            F.coalesce(F.sum(F.when(F.col("level") > 0, F.col("weight") * F.col("value"))), F.lit(0.0)).alias("total"),
         )
         .select(
             key,
             "n_tokens",
-            F.when(
-                F.col("n_tokens") > 0,
-                F.round(F.when(F.col("n_pairs") > 0, F.col("pairs") / F.col("n_pairs") - F.col("words") / F.col("n_tokens")).otherwise(F.col("words")), 9),
-            ).alias("loss_difference"),
+            F.when(F.col("n_tokens") > 0, F.round(F.col("total") / F.col("n_tokens"), 9)).alias("loss_difference"),
         )
     )

@@ -1,5 +1,6 @@
 """Operators against brute force, and their edge cases, on small tables."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -111,6 +112,31 @@ def test_one_oversize_text_leaves_its_class_in_the_sample(spark):
     assert sum(r["score"] >= 0.3 for r in found if r["doc_id"] % 3 == 0) >= 190
 
 
+def test_loss_difference_is_the_mean_of_the_words_losses(spark):
+    rng = random.Random(43)
+    vocabulary = [a + b for a in "abcde" for b in "xyz"]
+    texts = ["ax", "ax by", "by ax", "ax ax ax", *(" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 12))) for _ in range(60))]
+    good = {i for i in range(len(texts)) if i % 3 == 0}
+    split = [t.split() for t in texts]
+    grams = {1: [(i, (w,)) for i, t in enumerate(split) for w in t], 2: [(i, p) for i, t in enumerate(split) for p in zip(t, t[1:])]}
+    every = {k: Counter(g for _, g in v) for k, v in grams.items()}
+    target = {k: Counter(g for i, g in v if i in good) for k, v in grams.items()}
+
+    def p(counts, gram):
+        k = len(gram)
+        return (counts[k][gram] + 0.5) / (sum(counts[k].values()) + 0.5 * len(every[k]))
+
+    def loss(counts, t):
+        first = -math.log(p(counts, (t[0],)))
+        return first - sum(math.log(p(counts, pair) / p(counts, pair[:1])) for pair in zip(t, t[1:]))
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in cross_entropy_difference(docs, F.col("doc_id") % 3 == 0).collect():
+        t = split[r["doc_id"]]
+        assert r["n_tokens"] == len(t)
+        assert r["loss_difference"] == pytest.approx((loss(target, t) - loss(every, t)) / len(t), abs=2e-9)
+
+
 def test_quality_measures_and_lines(spark):
     texts = ["a b c\na b c\nx", "q\n\nq\n", "one | two | three\nA full sentence stands here.\nAll rights reserved"]
     rows = quality.clean_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()
