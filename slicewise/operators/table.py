@@ -606,8 +606,9 @@ def profile_table(
 ) -> TableProfile:
     """Profile of a table, per slice and, if ``groups`` maps names to columns, per column group.
 
-    Distributions cover the first ``max_numeric`` numeric and ``max_categorical`` categorical columns
-    (of each group), as a profile is meant to be read; ``None`` lifts the limit. The data are read
+    Distributions cover all columns, so scores do not depend on the order of columns. ``numeric`` and
+    ``categorical`` list the first ``max_numeric`` and ``max_categorical`` of them (of each group), as a
+    profile is meant to be read; ``None`` lifts the limit. The data are read
     four times (statistics, duplicates, histogram, labels), each time with only the columns needed.
     """
     by = as_list(by)
@@ -620,6 +621,8 @@ def profile_table(
         numeric += [c for c in columns if c in is_numeric][:max_numeric]
         categorical += [c for c in columns if c not in is_numeric][:max_categorical]
     covered = [c for columns in members.values() for c in columns]
+    scored_numeric = [c for c in covered if c in is_numeric]
+    scored_categorical = [c for c in covered if c not in is_numeric]
 
     group_of = F.when(F.lit(False), F.lit(""))
     size_of = F.when(F.lit(False), F.lit(0))
@@ -631,10 +634,10 @@ def profile_table(
         return result if groups is None else result.withColumn("domain", group_of)
 
     stats = materialize(column_stats(df, covered, by))
-    bounds = stats.filter(F.col("column").isin(numeric) & (F.col("n") >= 2))
+    bounds = stats.filter(F.col("column").isin(scored_numeric) & (F.col("n") >= 2))
     doubles = duplicates(df, None, by, groups)
-    hist = histogram(df, numeric, by, bounds=bounds) if numeric else None
-    balance = class_balance(df, categorical, by, top) if categorical else None
+    hist = histogram(df, scored_numeric, by, bounds=bounds) if scored_numeric else None
+    balance = class_balance(df, scored_categorical, by, top) if scored_categorical else None
     keys = by if groups is None else [*by, "domain"]
 
     summary = grouped(stats).groupBy(*cols(keys)).agg(F.max("row_count").alias("row_count"))

@@ -320,3 +320,13 @@ def test_fixed_size_samples(spark):
             assert sorted(got) == sorted(want)
     assert S.top_hash(df, "same", 40, "k").count() == 80
     assert S.top_hash(df, "id", 50_000).count() == 20000
+
+
+def test_scores_do_not_depend_on_the_order_of_columns(spark):
+    labels = [f"CAST(id % 4 AS STRING) AS c{i}" for i in range(5)]
+    numbers = [f"CAST(id % 97 AS DOUBLE) AS x{i}" for i in range(10)]
+    odd = ["'same' AS odd", "CASE WHEN id < 3 THEN 1e6D ELSE id % 7 END AS wild"]
+    base = spark.range(400)
+    scores = [S.score_table(profile_table(base.selectExpr(*columns))).first().asDict() for columns in ([*labels, *numbers, *odd], [*odd, *labels, *numbers])]
+    for name in ("balance", "noise", "total_score"):
+        assert scores[0][name] == pytest.approx(scores[1][name])
