@@ -4,10 +4,10 @@
 slice is known to be small. Beyond that the wanted ranks are narrowed down: each round counts the values
 of the current bracket of a rank in ``CELLS`` equal cells (partial counts are combined before the
 shuffle, so only cell counts travel), picks the cell that holds the rank and shrinks the bracket to the
-least and greatest value in it. Rounds end as soon as no bracket holds more than ``ENOUGH`` rows, or
-after ``ROUNDS``; then the distinct values left in the brackets are counted and ranked. Rounds read the
-data once each and shuffle next to nothing; the answer is exact for any distribution, because an unlucky
-one only leaves more values for the last step.
+least and greatest value in it. Cells are equal in value and, every other round while a bracket spans more
+than one power of two, in logarithm: a few rounds reach neighbouring doubles whatever the distribution.
+Rounds end as soon as no bracket of several values holds more than ``ENOUGH`` rows; then the distinct
+values left in the brackets are counted and ranked. Rounds read the data once each and shuffle next to nothing.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from slicewise.operators.joining import as_list, attach, cols, match, materializ
 
 SINGLE_PASS_ROWS = 1_000_000
 CELLS = 4096
-ROUNDS = 3
 ENOUGH = 100_000
 
 
@@ -148,12 +147,15 @@ def _narrowed(
     wanted = materialize(wanted)
     ranks = materialize(ranks)
 
-    for _ in range(ROUNDS):
+    logarithmic = False
+    # Each round takes at least one value from every open bracket.
+    while True:
         fullest = ranks.filter(F.col("lo") < F.col("hi")).agg(F.max("inside")).first()[0]
         if fullest is None or fullest <= enough:
             break
         open_brackets = ranks.filter(F.col("lo") < F.col("hi")).select(*cols(bracket)).distinct()
-        ranks = materialize(_shrink(numbers, ranks, materialize(open_brackets), keys, bracket))
+        ranks = materialize(_shrink(numbers, ranks, materialize(open_brackets), keys, bracket, logarithmic))
+        logarithmic = not logarithmic
 
     left = materialize(ranks.filter(F.col("lo") < F.col("hi")).select(*cols(bracket)).distinct())
     counted = (
@@ -182,7 +184,24 @@ def _narrowed(
     return both.select(
         *cols(keys),
         "prob",
-        (F.col("low") + F.col("weight") * (F.col("high") - F.col("low"))).alias("value"),
+        _between(F.col("low"), F.col("high"), F.col("weight")).alias("value"),
+    )
+
+
+def _between(low: Column, high: Column, weight: Column) -> Column:
+    """Interpolated as ``percentile`` does it for infinite ends."""
+    infinite = (F.abs(low) == float("inf")) | (F.abs(high) == float("inf"))
+    return (
+        F.when(low == high, low)
+        .when(infinite, (1 - weight) * low + weight * high)
+        .otherwise(low + weight * (high - low))
+    )
+
+
+def _magnitude(value: Column) -> Column:
+    """Grows with a double, by one for each power of two; finite for infinities."""
+    return F.when(value == 0, 0.0).otherwise(
+        F.signum(value) * (F.least(F.log2(F.abs(value)), F.lit(1025.0)) + 1080)
     )
 
 
@@ -199,12 +218,21 @@ def _shrink(
     brackets: DataFrame,
     keys: Sequence[str],
     bracket: Sequence[str],
+    logarithmic: bool,
 ) -> DataFrame:
     width = F.col("hi") - F.col("lo")
     finite = width < F.lit(float("inf"))
+    least, spread = _magnitude(F.col("lo")), _magnitude(F.col("hi")) - _magnitude(F.col("lo"))
+    by_power = (spread > 1) & F.lit(logarithmic)
     cell = (
         F.when(F.col("value") == F.col("lo"), 0)
         .when(F.col("value") == F.col("hi"), CELLS - 1)
+        .when(
+            by_power,
+            F.least(
+                F.floor(F.when(by_power, (_magnitude(F.col("value")) - least) / spread * CELLS)), F.lit(CELLS - 1)
+            ),
+        )
         # An infinite end gets a cell of its own; the finite values between share one this round.
         .when(~finite, 1)
         .otherwise(

@@ -322,6 +322,18 @@ def test_fixed_size_samples(spark):
     assert S.top_hash(df, "id", 50_000).count() == 20000
 
 
+def test_quantiles_of_infinities_are_the_same_on_both_paths(spark):
+    inf = float("inf")
+    for values in ([float(i) for i in range(10)] + [inf] * 15, [-inf, 1.0, 2.0, inf], [-inf, -inf, 3.0, 4.0], [-1.7e308, 5e-324, 0.0, 1.7e308, inf]):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        got = []
+        for options in ({}, {"single_pass_rows": 0}, {"single_pass_rows": 0, "enough": 1}):
+            rows = S.quantiles(df, ["x"], [0.0, 0.1, 0.5, 0.75, 1.0], **options).orderBy("prob").collect()
+            got.append([r["value"] for r in rows])
+        for other in got[1:]:
+            assert other == pytest.approx(got[0], rel=1e-12, nan_ok=True)
+
+
 def test_scores_do_not_depend_on_the_order_of_columns(spark):
     labels = [f"CAST(id % 4 AS STRING) AS c{i}" for i in range(5)]
     numbers = [f"CAST(id % 97 AS DOUBLE) AS x{i}" for i in range(10)]
