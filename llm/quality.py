@@ -1,6 +1,6 @@
 """Line-first cleaning: rules per line, failing lines removed, documents that lose too much text rejected.
 
-A line fails if it is boilerplate (a phrase of BOILERPLATE), navigation (short items between separators),
+A line fails if it is boilerplate (it has a phrase of BOILERPLATE and is brief or mostly made of it), navigation (short items between separators),
 mostly symbols, or short without closing punctuation. All work on a document happens in the task that reads
 it; nothing is shuffled.
 """
@@ -19,13 +19,15 @@ from llm.words import EXACT, NOT_SPACE, hashes, mix, shingles, slices, split
 
 #: Phrases of lines that are about the page and not its content.
 BOILERPLATE = re.compile(
-    "lorem ipsum|licensed under|all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|"
-    "uses? cookies|enable javascript|copyright (?:\\(c\\)|©)|powered by|subscribe to our|sign in|log in to",
+    "\\b(?:lorem ipsum|licensed under|all rights reserved|terms of (?:use|services?)|privacy policy|cookie policy|"
+    "uses? cookies|enable javascript|powered by|subscribe to our|sign in|log in to)\\b|\\bcopyright (?:\\(c\\)|©)",
     re.I,
 )
 SEPARATORS = re.compile(r"\s[|>»·•/]\s")
 CLOSING = tuple(".!?…:;\"'”’»)]。！？")
 SHORT = 4
+#: Words of a line that a phrase of BOILERPLATE fails whatever else it says.
+BRIEF = 25
 MOST_SYMBOLS = 0.1
 MOST_LOST = 0.5
 
@@ -40,7 +42,8 @@ def line_verdict(line: str) -> str | None:
     words = WORDS.findall(line)
     if not words:
         return None
-    if BOILERPLATE.search(line):
+    phrases = sum(len(w) for found in BOILERPLATE.finditer(line) for w in WORDS.findall(found[0]))
+    if phrases and (len(words) <= BRIEF or 2 * phrases > sum(map(len, words))):
         return "boilerplate"
     parts = SEPARATORS.split(line.strip())
     if len(parts) >= 3 and sum(len(WORDS.findall(p)) for p in parts) <= 3 * len(parts):

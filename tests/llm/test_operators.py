@@ -145,6 +145,15 @@ def test_quality_measures_and_lines(spark):
     assert rows[2]["cleaned"] == "A full sentence stands here."
 
 
+def test_boilerplate_phrases_fail_brief_lines_only():
+    long = " ".join(["Words that stand here for the content of the page."] * 9)
+    for phrase in ("privacy policy", "sign in", "design in"):
+        assert quality.clean(f"{long} The {phrase} is mentioned here. {long}")[1] == 0
+    assert quality.line_verdict("They work on design in the large hall.") is None
+    assert quality.line_verdict("Please sign in to read on.") == "boilerplate"
+    assert quality.line_verdict("lorem ipsum " * 30) == "boilerplate"
+
+
 def test_mixing_equals_its_sql(spark):
     rows = [(i, f"t{i}", "en", "hot" if i % 3 else (None if i % 2 else f"s{i % 5}"), 2) for i in range(300)]
     got = mixing.mix_sources(spark.createDataFrame(rows, SCHEMA)).toPandas()
