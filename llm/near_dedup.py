@@ -20,6 +20,7 @@ their ids.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +33,21 @@ from llm.components import components
 from llm.shared import keep, keep_table, maybe_broadcast
 from llm.words import NOT_SPACE, hashes, mix, shingles, slices, split
 
+#: At ``MEANT`` percent; see ``bands_for``.
 BANDS = 24
 ROWS = 5
+MEANT = 85
 WALK = 512
 HOT = 1_000
 
 
+def bands_for(percent: int, rows: int = ROWS) -> int:
+    """The fewest bands by which a pair at ``percent`` shares none with at most the chance that ``BANDS`` bands of ``ROWS``
+    leave at ``MEANT``; one at 100 %."""
+    chance = BANDS * math.log1p(-((MEANT / 100) ** ROWS))
+    return 1 if percent >= 100 else math.ceil(chance / math.log1p(-((percent / 100) ** rows)) - 1e-9)
+
+
 def _walk(bins: int) -> np.ndarray:
     """WALK random bins for each bin, then all bins in turn, so that the walk always ends."""
     rng = np.random.Generator(np.random.PCG64(977))
@@ -168,12 +178,12 @@ def near_dedup(
     key: str = "doc_id",
     size: int = 5,
     percent: int = 85,
-    bands: int = BANDS,
+    bands: int | None = None,
     rows: int = ROWS,
 ) -> DataFrame:
     """Link documents whose ``size``-word shingle sets have a Jaccard similarity of ``percent`` or more.
 
-    Returns per row of ``docs``: key, n_shingles, n_links (confirmed links of its class to other
+    ``bands`` follows from ``percent`` and ``rows`` if it is not given. Returns per row of ``docs``: key, n_shingles, n_links (confirmed links of its class to other
     classes), component_id (smallest key reachable), kept (whether it is that document).
 
     ``key`` must be an integer. Words are ``[^\\x20\\x09-\\x0D]+``, A-Z in lower case. A text of fewer
@@ -182,7 +192,7 @@ def near_dedup(
     rows (same key) get the same component and are all kept or all dropped. Other columns are ignored.
     """
     spark = docs.sparkSession
-    found = keep_table(sketch(docs, text, key, size, bands, rows))
+    found = keep_table(sketch(docs, text, key, size, bands_for(percent, rows) if bands is None else bands, rows))
     usable = found.filter("n > 0 AND id IS NOT NULL")
     classes = usable.groupBy("n", "a", "b").agg(F.min("id").alias("rep"))
     member = keep(usable.join(classes, ["n", "a", "b"]).select("id", "rep", "n", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")).distinct())

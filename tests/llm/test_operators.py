@@ -285,6 +285,16 @@ def test_near_dedup_against_brute_force(spark):
     assert {r["doc_id"]: r["n_shingles"] for r in got} == {i: len(s) for i, s in found.items()}
 
 
+def test_bands_follow_from_the_similarity(spark, monkeypatch):
+    assert near_dedup.bands_for(85) == 24
+    asked = []
+    whole = near_dedup.sketch
+    monkeypatch.setattr(near_dedup, "sketch", lambda *a: asked.append(a[4:]) or whole(*a))
+    corpus_pipeline.near_duplicates(spark, spark.createDataFrame([(1, "a b c d e f")], "doc_id bigint, text string"), "")
+    (bands, rows), = asked
+    assert (1 - 0.8**rows) ** bands <= (1 - 0.85**5) ** 24
+
+
 def test_secrets_against_expressions(spark):
     texts = ['token=abcdef', 'é API_KEY: "abc/def=" x', "passwd==abc123 token=token=zzzzzz", "AKIA" + "B" * 16 + " " + "0f" * 12, "secret: ab", ""]
     rules = [(k, re.compile(p), n) for k, p, n in (("assign", secrets.OPENING.replace("(?i:", "(?:(?i:").replace("_?key)", "_?key))") + r"([A-Za-z0-9+/_.=-]+)", 6), ("access", r"(AKIA[A-Z0-9]+)", 20), ("hex", r"([0-9a-f]+)", 24))]
