@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from llm.collocations import collocations, collocations_sql
 from llm.decontaminate import decontaminate
 from llm.lm_score import cross_entropy_difference
 from llm.mixing import mix_sources, mixing_sql
@@ -90,6 +91,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(number, kinds), F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("secrets")).alias("spans"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), longest=3, least=10, top=2000, cover=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -103,8 +108,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decontaminate,
         op9_minhash_near_dedup,
         op10_secrets,
+        op11_collocations,
     )
 }
 ORACLES: dict[str, str] = {
     "op5_mix_sources": mixing_sql("documents", "doc_id, text, lang, source, n_chars", copy=True),
+    "op11_collocations": collocations_sql(),
 }
