@@ -34,7 +34,7 @@ BREAKS = [*range(0x0A, 0x0E), *b".,;:!?"]
 #: Words end at blanks and tabs, pieces at the bytes of BREAKS.
 IN_WORD = _table([0x20, 0x09, *BREAKS])
 IS_BREAK = ~_table(BREAKS)
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: Bits of a table for one entry, and of any table.
 BITS_EACH, MOST_BITS = 16, 27
 #: Parts into which a language's candidates are dealt before they are ranked.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from llm.collocations import collocations, collocations_sql
 from llm.decontaminate import decontaminate
+from llm.hard_negatives import hard_negatives, hard_negatives_sql
 from llm.lm_score import cross_entropy_difference
 from llm.mixing import mix_sources, mixing_sql
 from llm.near_dedup import near_dedup
@@ -95,6 +96,13 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"), longest=3, least=10, top=2000, cover=50)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some labels are moved on by one, so that the nearest rows are not all of the same label."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows, label=label, positives=5, negatives=3, low=50, high=95, scale=256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -109,9 +117,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_minhash_near_dedup,
         op10_secrets,
         op11_collocations,
+        op13_hard_negatives,
     )
 }
 ORACLES: dict[str, str] = {
     "op5_mix_sources": mixing_sql("documents", "doc_id, text, lang, source, n_chars", copy=True),
     "op11_collocations": collocations_sql(),
+    "op13_hard_negatives": hard_negatives_sql(),
 }
