@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from llm.collocations import collocations, collocations_sql
 from llm.decontaminate import decontaminate
 from llm.hard_negatives import hard_negatives, hard_negatives_sql
+from llm.language_id import identify_languages
 from llm.lm_score import cross_entropy_difference
 from llm.mixing import mix_sources, mixing_sql
 from llm.near_dedup import near_dedup
@@ -96,6 +97,13 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"), longest=3, least=10, top=2000, cover=50)
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify_languages(docs, fold_of(F.col("doc_id")) != 2)
+    held_out = F.coalesce(fold_of(F.col("doc_id")) == 2, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some labels are moved on by one, so that the nearest rows are not all of the same label."""
     rows = table(spark, sf_dir, "embeddings")
@@ -117,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_minhash_near_dedup,
         op10_secrets,
         op11_collocations,
+        op12_language_id,
         op13_hard_negatives,
     )
 }
