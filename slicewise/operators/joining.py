@@ -2,8 +2,8 @@
 
 Rules followed here:
 
-* A per-slice result grows with the number of slices, so it is broadcast only after its row count has
-  been checked; above the bound the join is shuffled on the slice key *and* a salt, so that a slice
+* A per-slice result grows with the number of slices, so it is broadcast only after its rows and bytes
+  have been counted; above the bounds the join is shuffled on the slice key *and* a salt, so that a slice
   holding a third of all rows is spread over many tasks.
 * Slice keys may be null; they match each other (``<=>``).
 * A small result that is used more than once is written with ``checkpoint()`` to the shared folder of
@@ -17,8 +17,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 SALTS = 64
 
 
@@ -49,9 +51,24 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def is_small(df: DataFrame, bound: int = BROADCAST_ROWS) -> bool:
-    """Whether a (materialised) result has at most ``bound`` rows; counts no further than that."""
-    return df.limit(bound + 1).count() <= bound
+def _row_bytes(df: DataFrame) -> Column:
+    """About the size of a row in a broadcast: a word per value and what strings and arrays hold besides."""
+    size = F.lit(16 + 8 * len(df.columns))
+    for f in df.schema:
+        value = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(value), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType)):
+            # Numbers and short structs, as slice results have them.
+            size = size + F.coalesce(F.size(value), F.lit(0)) * 40
+    return size
+
+
+def is_small(df: DataFrame, bound: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a (materialised) result has at most ``bound`` rows and ``most_bytes``; counts no further."""
+    counted = df.select(_row_bytes(df).alias("_size")).limit(bound + 1)
+    rows, size = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0))).first()
+    return rows <= bound and size <= most_bytes
 
 
 def match(
@@ -79,7 +96,7 @@ def attach(
 ) -> DataFrame:
     """Inner-join a materialised per-slice result onto row-level data without shuffling the rows.
 
-    ``small`` is broadcast if it has at most ``bound`` rows. Beyond that both sides are shuffled on
+    ``small`` is broadcast if it has at most ``bound`` rows and ``BROADCAST_BYTES``. Beyond that both sides are shuffled on
     (keys, salt): each small row is repeated once per salt, each data row gets one salt.
     """
     if is_small(small, bound):
