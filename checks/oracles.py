@@ -440,6 +440,18 @@ GEO_COLUMNS = (
 )
 
 
+def shingles_cte(table: str, keep: str, n: str = "(5), (8), (13)") -> str:
+    """Rows (keep, r, n, s) of the distinct n-word runs of every text of a table, with its row number."""
+    return f"""SELECT DISTINCT {keep}, r, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS s
+      FROM (SELECT {keep}, row_number() OVER () AS r, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM {table}),
+        (VALUES {n}) AS sizes(n) WHERE len(w) >= n"""
+
+
+def overlap_cte() -> str:
+    return f"""ds AS MATERIALIZED ({shingles_cte("documents", "doc_id, source")}), bs AS MATERIALIZED ({shingles_cte("benchmark", "item_id")}),
+      size AS (SELECT item_id, n, count(*) AS item_shingles FROM bs GROUP BY item_id, n)"""
+
+
 # ---- domains
 
 
@@ -772,6 +784,17 @@ def build() -> dict[str, str]:
     q["phrase_hits_docs"] = f"WITH {lines_cte('documents', 'source')} SELECT source, count(*) AS line_count, count(*) FILTER (WHERE {HIT}) AS phrase_hits FROM raw GROUP BY source"
     q["text_contamination_corpora"] = f"WITH {score_text_cte(CORPORA, 'corpus')} SELECT corpus, phrase_hits, round(contamination_score, 6) AS contamination_score, contamination_level FROM card"
     fp = "row_count BETWEEN 800 AND 1100 AND column_count IN (2, 3)"
+    q["ngram_overlap_docs"] = f"""WITH {overlap_cte()} SELECT doc_id, item_id, n, count(*) AS shared_shingles, item_shingles, round(count(*) / item_shingles * 100.0::DOUBLE, 6) AS item_coverage
+      FROM ds JOIN bs USING (n, s) JOIN size USING (item_id, n) GROUP BY doc_id, item_id, n, item_shingles"""
+    q["ngram_contamination_docs"] = f"""WITH {overlap_cte()},
+      hit AS (SELECT source, n, count(DISTINCT r) AS hit_docs FROM ds WHERE (n, s) IN (SELECT (n, s) FROM bs) GROUP BY source, n),
+      item AS (SELECT source, n, item_id, count(*) AS f, any_value(item_shingles) AS k FROM (SELECT DISTINCT source, n, s FROM ds) JOIN bs USING (n, s) JOIN size USING (item_id, n) GROUP BY source, n, item_id),
+      items AS (SELECT source, n, count(*) AS items_hit, max(f / k * 100.0::DOUBLE) AS max_item_coverage, count(*) FILTER (WHERE f = k) AS whole_items FROM item GROUP BY source, n),
+      j AS (SELECT source, n, doc_count, coalesce(hit_docs, 0) AS hit_docs, coalesce(items_hit, 0) AS items_hit, coalesce(max_item_coverage, 0) AS max_item_coverage, coalesce(whole_items, 0) AS whole_items
+            FROM (SELECT source, count(*) AS doc_count FROM documents GROUP BY source) CROSS JOIN (VALUES (5), (8), (13)) AS sizes(n) LEFT JOIN hit USING (source, n) LEFT JOIN items USING (source, n)),
+      sc AS (SELECT *, least(100.0::DOUBLE, items_hit * 10.0::DOUBLE) AS contamination_score FROM j)
+      SELECT *, round(hit_docs / doc_count * 100.0::DOUBLE, 6) AS hit_pct, {tier("contamination_score", K.CONTAMINATION_TIERS)} AS contamination_level
+      FROM (SELECT * REPLACE (round(max_item_coverage, 6) AS max_item_coverage) FROM sc)"""
     q["table_fingerprint"] = f"SELECT dataset, row_count, column_count, CASE WHEN {fp} THEN 25.0::DOUBLE ELSE 0.0::DOUBLE END AS contamination_score, CASE WHEN {fp} THEN 'MEDIUM' ELSE 'LOW' END AS contamination_level FROM ({counts()})"
     q["memorization_docs"] = docs_audit("SELECT source, model_size, token_count, " + ", ".join(rnd(c) for c in ("token_to_param_ratio", "effective_ratio")) + ", memorization_level, " + rnd("memorization_probability") + ", " + rnd("leakage_score") + ", privacy_flag FROM res")
     gpus = ", ".join(f"('{g}', {t}::DOUBLE, {p}::DOUBLE)" for g, t, p in K.GPUS)

@@ -33,6 +33,7 @@ GRID = [
     for d in ("General", "Healthcare", "Social Media", "NLP/Text")
 ]
 PHRASES = [*K.BENCHMARK_PHRASES, "is the", "of the"]
+SHINGLES = (5, 8, 13)
 LINEITEM_NUMBERS = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -409,6 +410,20 @@ def table_fingerprint(spark, folder):
     )
 
 
+def ngram_overlap_docs(spark, folder):
+    """Documents and benchmark items that share runs of 5, 8 and 13 words."""
+    docs, bench = texts(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark")
+    found = [S.ngram_overlap(docs, bench, n).withColumn("n", F.lit(n)) for n in SHINGLES]
+    return rounded(reduce(DataFrame.unionByName, found))
+
+
+def ngram_contamination_docs(spark, folder):
+    """The same per source, without pairs."""
+    docs, bench = texts(spark, folder, "documents", "source", "text"), table(spark, folder, "benchmark")
+    found = [S.ngram_contamination(docs, bench, n, "source").withColumn("n", F.lit(n)) for n in SHINGLES]
+    return rounded(reduce(DataFrame.unionByName, found).drop("contamination_issues", "contamination_advice"))
+
+
 def memorization_docs(spark, folder):
     lines = doc_lines(spark, folder, "source")
     repeats = S.duplicate_lines(lines, "source").select("source", "duplicate_pct")
@@ -775,6 +790,8 @@ QUERIES: dict[str, Query] = {
         phrase_hits_docs,
         text_contamination_corpora,
         table_fingerprint,
+        ngram_overlap_docs,
+        ngram_contamination_docs,
         memorization_docs,
         training_cost_docs,
         fairness_orders,

@@ -3,6 +3,8 @@
 from slicewise.operators.confidence import bootstrap_ci, risk_intervals
 from slicewise.operators.contamination import (
     fingerprint_match,
+    ngram_contamination,
+    ngram_overlap,
     phrase_hits,
     table_contamination,
     text_contamination,
