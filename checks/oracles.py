@@ -411,31 +411,31 @@ def event_quality() -> str:
 
 
 def geometry_cte(points: str, by: str) -> str:
-    """CTE geo(by, sample_rows, …) over rows (by, k, vec), where k is the md5 order and vec a list."""
+    """CTE geo(by, vectors, …) over rows (by, k, vec), where k is the md5 order and vec a list."""
     return f"""
     ord AS (SELECT {by}, vec, row_number() OVER (PARTITION BY {by} ORDER BY k, k2) AS rk FROM ({points})),
-    smp AS (SELECT * FROM ord WHERE rk <= 10000),
+    smp AS (SELECT * FROM ord WHERE vec IS NOT NULL),
     cells AS (SELECT {by}, rk, unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM smp),
     scl AS (SELECT {by}, dim, avg(x) AS mu, CASE WHEN stddev_pop(x) > 0 THEN stddev_pop(x) ELSE 1 END AS sd FROM cells
             GROUP BY {by}, dim HAVING count(x) = count(*)),
-    z AS (SELECT c.{by}, rk, list((x - mu) / sd ORDER BY c.dim) AS v FROM cells c JOIN scl s ON c.{by} = s.{by} AND c.dim = s.dim
-          WHERE rk <= 500 GROUP BY c.{by}, rk),
-    nd AS (SELECT a.{by}, a.rk, min(list_distance(a.v, b.v)) AS d FROM z a JOIN z b ON a.{by} = b.{by} AND a.rk <> b.rk GROUP BY a.{by}, a.rk),
+    z AS MATERIALIZED (SELECT c.{by}, rk, list((x - mu) / sd ORDER BY c.dim) AS v FROM cells c JOIN scl s ON c.{by} = s.{by} AND c.dim = s.dim
+          GROUP BY c.{by}, rk),
+    nd AS (SELECT a.{by}, a.rk, min(list_distance(a.v, b.v)) AS d FROM (SELECT * FROM z WHERE rk <= 500) a JOIN z b ON a.{by} = b.{by} AND a.rk <> b.rk GROUP BY a.{by}, a.rk),
     mm AS (SELECT {by}, avg(d) AS m, stddev_pop(d) AS s, quantile_cont(d, 0.95) AS p95 FROM nd GROUP BY {by}),
     oc AS (SELECT nd.{by}, count(*) AS samples_analyzed, count(*) FILTER (WHERE abs((d - m) / (s + 1e-9::DOUBLE)) > 3) AS outlier_count,
              count(*) FILTER (WHERE d > p95) AS isolated FROM nd JOIN mm ON nd.{by} = mm.{by} GROUP BY nd.{by}),
-    sz AS (SELECT {by}, count(*) AS sample_rows FROM smp GROUP BY {by}),
-    g0 AS (SELECT sz.{by}, sample_rows, CASE WHEN sample_rows >= 50 THEN samples_analyzed END AS samples_analyzed,
-             CASE WHEN sample_rows >= 50 THEN outlier_count END AS outlier_count,
-             CASE WHEN sample_rows >= 50 THEN outlier_count / samples_analyzed * 100.0::DOUBLE END AS outlier_pct,
-             CASE WHEN sample_rows >= 50 THEN isolated / samples_analyzed * 100.0::DOUBLE END AS isolated_pct
+    sz AS (SELECT {by}, count(vec) AS vectors, count(*) - count(vec) AS missing_vectors FROM ord GROUP BY {by}),
+    g0 AS (SELECT sz.{by}, vectors, missing_vectors, CASE WHEN vectors >= 50 THEN samples_analyzed END AS samples_analyzed,
+             CASE WHEN vectors >= 50 THEN outlier_count END AS outlier_count,
+             CASE WHEN vectors >= 50 THEN outlier_count / samples_analyzed * 100.0::DOUBLE END AS outlier_pct,
+             CASE WHEN vectors >= 50 THEN isolated / samples_analyzed * 100.0::DOUBLE END AS isolated_pct
            FROM sz LEFT JOIN oc ON sz.{by} = oc.{by}),
     g1 AS (SELECT *, CASE WHEN outlier_pct IS NOT NULL THEN {clamp("outlier_pct * 5 + isolated_pct * 2")} END AS vulnerability_score FROM g0),
     geo AS (SELECT *, {tier("vulnerability_score", K.VULNERABILITY_TIERS)} AS vulnerability_level FROM g1)"""
 
 
 GEO_COLUMNS = (
-    "sample_rows, samples_analyzed, outlier_count, round(outlier_pct, 6) AS outlier_pct, round(isolated_pct, 6) AS isolated_pct, "
+    "vectors, missing_vectors, samples_analyzed, outlier_count, round(outlier_pct, 6) AS outlier_pct, round(isolated_pct, 6) AS isolated_pct, "
     "round(vulnerability_score, 6) AS vulnerability_score, vulnerability_level"
 )
 

@@ -222,7 +222,9 @@ def test_geometry_bounds(spark):
     row = S.geometry_scan(same, "id", ["x"]).first()
     assert (row["outlier_count"], row["vulnerability_score"]) == (0, 0.0)
     with pytest.raises(ValueError, match="probes"):
-        S.geometry_scan(same, "id", ["x"], probes=100_000)
+        S.geometry_scan(same, "id", ["x"], probes=1)
+    row = S.geometry_scan(same, "id", ["x"], probes=100_000).first()
+    assert (row["samples_analyzed"], row["outlier_count"]) == (100, 0)
 
 
 def test_column_groups(spark):
