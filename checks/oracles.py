@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from checks.queries import GRID, PHRASES, SIZES, TABLES
+from checks.queries import GRID, PHRASES, SIZES, TABLES, WIDE
 from slicewise.functions import constants as K
 
 COLUMNS = {
@@ -341,7 +341,7 @@ def histogram_cte(source_rows: str, by: str) -> str:
 
 
 def balance_cte(source_rows: str, by: str, top: int = 20) -> str:
-    """CTEs cb (top labels) and bm (metrics) over rows (by, column, value)."""
+    """CTEs cb (top labels) and bm (metrics of all labels) over rows (by, column, value)."""
     b = f"{by}, " if by else ""
     group = f'{b}"column"'
     return f"""
@@ -352,7 +352,7 @@ def balance_cte(source_rows: str, by: str, top: int = 20) -> str:
     bm AS (SELECT {group}, count(*) AS n_classes, max(proportion) AS max_prop, min(proportion) AS min_prop,
              1 - sum(proportion * proportion) AS gini, -sum(proportion * log2(proportion)) AS entropy,
              -sum(proportion * log2(proportion)) / CASE WHEN count(*) > 1 THEN log2(count(*)) ELSE 1 END AS entropy_ratio
-           FROM cb GROUP BY {group})"""
+           FROM ranked GROUP BY {group})"""
 
 
 def table_quality_cte(
@@ -549,6 +549,17 @@ def correlation_sql() -> str:
     return pairs
 
 
+def correlation_wide_sql() -> str:
+    columns = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", *[f"w{i}" for i in range(len(WIDE))]]
+    made = ", ".join(f"{e} AS w{i}" for i, e in enumerate(WIDE))
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    wide = ", ".join("1.0::DOUBLE" if a == b else f"coalesce(round(corr({a}, {b}), 6), 0)" for a, b in pairs)
+    return f"""WITH src AS MATERIALIZED (SELECT *, {made} FROM {LINEITEM}),
+      agg AS (SELECT l_returnflag, [{wide}] AS rs FROM src GROUP BY l_returnflag),
+      tall AS (SELECT l_returnflag, unnest({strings(a for a, _ in pairs)}) AS a, unnest({strings(b for _, b in pairs)}) AS b, unnest(rs) AS r FROM agg)
+      SELECT l_returnflag, a AS col_a, b AS col_b, r FROM tall UNION ALL SELECT l_returnflag, b, a, r FROM tall WHERE a <> b"""
+
+
 def describe_sql() -> str:
     out = []
     for c in COLUMNS["part"].split():
@@ -675,7 +686,7 @@ def events_audit_sql() -> str:
         ("BENCHMARK_PRINT", "warning", "contamination_score > 0", "row_count"),
     ]
     return f"""WITH {event_quality()}, {geometry_cte(points, "event_type")},
-      cat AS ({cat}), {domain_cte("event_type", "SELECT event_type, label AS value FROM cb")},
+      cat AS ({cat}), {domain_cte("event_type", "SELECT event_type, label AS value FROM labs")},
       drift AS (SELECT event_type, max(CASE WHEN max_prop > 0.7 THEN 1 - gini WHEN max_prop > 0.5 THEN (1 - gini) / 2 END) AS peak,
                   count(*) FILTER (WHERE max_prop > 0.5) AS signals, count(*) FILTER (WHERE max_prop > 0.5) + count(*) FILTER (WHERE n_classes < 3) AS drift_warnings
                 FROM bm GROUP BY event_type),
@@ -728,11 +739,13 @@ def build() -> dict[str, str]:
     q["histogram_orders"] = f"""WITH {histogram_cte(unpivot("orders", ["o_totalprice"], "o_orderstatus"), "o_orderstatus")}
       SELECT o_orderstatus, "column", bin, round(bin_lo, 4) AS bin_lo, round(bin_hi, 4) AS bin_hi, n FROM hist"""
     q["correlation_lineitem"] = correlation_sql()
+    q["correlation_wide_lineitem"] = correlation_wide_sql()
     year = unpivot(ORDERS, ["o_orderstatus", "o_orderpriority"], "year", "VARCHAR")
     cb_columns = '"column", label, n, round(proportion, 6) AS proportion, rank'
     bm_columns = '"column", n_classes, ' + ", ".join(rnd(c) for c in ("max_prop", "min_prop", "gini", "entropy", "entropy_ratio"))
     q["class_balance_orders"] = f"WITH {balance_cte(year, 'year')} SELECT year, {cb_columns} FROM cb"
     q["balance_metrics_orders"] = f"WITH {balance_cte(year, 'year')} SELECT year, {bm_columns} FROM bm"
+    q["balance_metrics_parts"] = f"WITH {balance_cte(unpivot('part', ['p_name', 'p_brand', 'p_type'], '', 'VARCHAR'), '')} SELECT {bm_columns} FROM bm"
     q["class_balance_part_names"] = f"WITH {balance_cte(unpivot('part', ['p_name', 'p_brand', 'p_type'], '', 'VARCHAR'), '')} SELECT {cb_columns} FROM cb"
     labelled = "(SELECT lang, quality, toxic FROM documents JOIN labels ON documents.doc_id = labels.doc_id)"
     q["class_balance_labels"] = f"WITH {balance_cte(unpivot(labelled, ['quality', 'toxic'], 'lang', 'VARCHAR'), 'lang')} SELECT lang, {cb_columns} FROM cb"

@@ -34,6 +34,14 @@ GRID = [
 ]
 PHRASES = [*K.BENCHMARK_PHRASES, "is the", "of the"]
 SHINGLES = (5, 8, 13)
+#: SQL that Spark and DuckDB read alike.
+WIDE = [
+    *[f"CAST((l_orderkey * {k} + l_partkey) % {m} AS DOUBLE)" for k, m in ((1, 7), (3, 101), (5, 1009), (7, 53))],
+    "l_quantity * l_discount",
+    "l_extendedprice + 1000000000",
+    "l_extendedprice * l_tax",
+    "CASE WHEN l_suppkey % 3 = 0 THEN l_quantity - l_linenumber END",
+]
 LINEITEM_NUMBERS = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -217,16 +225,31 @@ def correlation_lineitem(spark, folder):
     return rounded(S.correlation(df, columns, "l_returnflag"))
 
 
+def wide_lineitem(spark: SparkSession, folder: str) -> DataFrame:
+    """lineitem with gaps and WIDE more numbers made of its own."""
+    return gappy_lineitem(spark, folder).selectExpr("l_returnflag", *LINEITEM_NUMBERS, *[f"{e} AS w{i}" for i, e in enumerate(WIDE)])
+
+
+def correlation_wide_lineitem(spark, folder):
+    """So many pairs of columns that they are counted by Gram matrices."""
+    return rounded(S.correlation(wide_lineitem(spark, folder), None, "l_returnflag"))
+
+
 def class_balance_orders(spark, folder):
     return rounded(S.class_balance(orders_by_year(spark, folder), None, "year"))
 
 
 def balance_metrics_orders(spark, folder):
     return rounded(
-        S.balance_metrics(S.class_balance(orders_by_year(spark, folder), None, "year"), "year")
+        S.balance_metrics(orders_by_year(spark, folder), None, "year")
     )
 
 
+def balance_metrics_parts(spark, folder):
+    """Columns of up to as many labels as rows: all of them count."""
+    return rounded(S.balance_metrics(table(spark, folder, "part"), ["p_name", "p_brand", "p_type"]))
+
+
 def class_balance_part_names(spark, folder):
     """More than twenty labels, with ties: the report keeps the first twenty."""
     return rounded(S.class_balance(table(spark, folder, "part"), ["p_name", "p_brand", "p_type"]))
@@ -465,8 +488,7 @@ def training_cost_docs(spark, folder):
 
 
 def fairness_orders(spark, folder):
-    balance = S.class_balance(skewed_orders(spark, folder), None, "year")
-    drift = S.fairness_table(S.balance_metrics(balance, "year"), "year")
+    drift = S.fairness_table(S.balance_metrics(skewed_orders(spark, folder), None, "year"), "year")
     return rounded(drift.drop("drift_issues", "drift_advice"))
 
 
@@ -761,8 +783,10 @@ QUERIES: dict[str, Query] = {
         quantiles_lineitem,
         histogram_orders,
         correlation_lineitem,
+        correlation_wide_lineitem,
         class_balance_orders,
         balance_metrics_orders,
+        balance_metrics_parts,
         class_balance_part_names,
         class_balance_labels,
         describe_part,

@@ -69,13 +69,7 @@ def multi_domain(df: DataFrame, by: str | Sequence[str] = ()) -> MultiDomain:
     names = {d: f"array({', '.join(map(text_sql, members))})" for d, members in groups.items()}
     gaps = profile.columns.groupBy(*cols([*by, "domain"])).agg(
         F.try_divide(F.sum("n"), F.sum("row_count")).alias("data_coverage"),
-        F.slice(
-            F.array_sort(
-                F.collect_list(F.when(F.col("missing_pct") > 20, F.struct("position", "column")))
-            ),
-            1,
-            4,
-        )
+        F.array_sort(F.collect_list(F.when(F.col("missing_pct") > 20, F.struct("position", "column"))))
         .getField("column")
         .alias("high_null_columns"),
     )

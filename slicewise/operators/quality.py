@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from slicewise.functions.exprs import clamp_sql, grade_sql
 from slicewise.functions.issues import ISSUE_TYPE, Issue, advice_sql, issue_sql, issues_sql
 from slicewise.operators.joining import as_list, cols, match
-from slicewise.operators.table import TableProfile, balance_metrics, profile_table
+from slicewise.operators.table import TableProfile, profile_table
 from slicewise.operators.text import profile_text
 
 # Dimension weights and the caps for small data (below that many rows, at most).
@@ -175,7 +175,7 @@ def score_table(profile: TableProfile) -> DataFrame:
     )
     repeats = profile.duplicates.select(*cols(keys), "duplicate_count", "duplicate_pct")
     noisy = noise(noise_by_column(profile.columns, profile.histogram, keys), keys)
-    balanced = balance(balance_metrics(profile.balance, keys), keys)
+    balanced = balance(profile.metrics, keys)
     out = profile.summary
     for part in (gaps, repeats, noisy.select(*cols(keys), "avg_noise"), balanced):
         out = match(out, part, keys)

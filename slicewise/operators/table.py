@@ -7,21 +7,24 @@ is read once and only one row per slice and task is shuffled. Only what needs th
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slicewise.functions.exprs import fingerprint, share, text_sql
 from slicewise.operators.joining import as_list, attach, cols, match, materialize
-from slicewise.operators.quantiles import as_number, long_numbers, quantiles, ranges
+from slicewise.operators.quantiles import as_number, quantiles, ranges
 from slicewise.operators.sampling import hash_sample, ranked_top
-from slicewise.operators.summary import table_summary
 
 BINS = 30
 WIDE_PAIRS = 45
+#: Numbers of the Gram matrices that a task holds.
+GRAM_CELLS = 1 << 23
 
 
 def numeric_cols(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -356,26 +359,68 @@ def class_balance(
     )
 
 
-def balance_metrics(balance: DataFrame, by: str | Sequence[str] = ()) -> DataFrame:
-    """Gini impurity, entropy, entropy ratio and extreme shares per slice and column.
+def _named(columns: Sequence[str], number: str = "_column") -> Column:
+    """The name of a column from its number; rows carry the number only."""
+    return F.element_at(F.array(*[F.lit(c) for c in columns]), F.col(number) + 1).alias("column")
 
-    They describe the labels kept by ``class_balance``, whose shares need not sum to 1.
+
+def label_moments(
+    df: DataFrame, columns: Sequence[str] | None = None, by: str | Sequence[str] = ()
+) -> DataFrame:
+    """What balance measures need to know about *all* labels: rows ``(by…, column, n, n_classes, most,
+    least, squares, n_log_n)`` with the number of labelled rows and of labels, the greatest and least count,
+    and the sums of n² and n·log2(n). Columns without a label have no row.
+
+    Labels are counted by a 128-bit fingerprint, combined before the shuffle; no text leaves its task.
     """
-    p = F.col("proportion")
-    classes = F.col("n_classes")
+    by = as_list(by)
+    columns = categorical_cols(df, by) if columns is None else list(columns)
+    items = []
+    for i, c in enumerate(columns):
+        label = _present(df, c).cast("string")
+        items.append(F.struct(F.lit(i).alias("_column"), label.isNotNull().alias("_seen"), *fingerprint(label)))
+    n = F.col("_n").cast("double")
     return (
-        balance.groupBy(*cols([*as_list(by), "column"]))
+        df.select(*cols(by), F.inline(F.array(*items)))
+        .filter("_seen")
+        .groupBy(*cols(by), "_column", "_fp1", "_fp2")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .groupBy(*cols(by), "_column")
         .agg(
+            F.sum("_n").alias("n"),
             F.count(F.lit(1)).alias("n_classes"),
-            F.max(p).alias("max_prop"),
-            F.min(p).alias("min_prop"),
-            (F.lit(1.0) - F.sum(p * p)).alias("gini"),
-            (-F.sum(F.when(p > 0, p * F.log2(p)).otherwise(F.lit(0.0)))).alias("entropy"),
-        )
-        .withColumn(
-            "entropy_ratio",
-            F.col("entropy") / F.when(classes > 1, F.log2(classes)).otherwise(F.lit(1.0)),
+            F.max("_n").alias("most"),
+            F.min("_n").alias("least"),
+            F.sum(n * n).alias("squares"),
+            F.sum(n * F.log2(n)).alias("n_log_n"),
         )
+        .select(*cols(by), _named(columns), "n", "n_classes", "most", "least", "squares", "n_log_n")
+    )
+
+
+def balance_metrics(
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    by: str | Sequence[str] = (),
+    moments: DataFrame | None = None,
+) -> DataFrame:
+    """Gini impurity, entropy, entropy ratio and extreme shares per slice and column, over all labels.
+
+    ``moments`` may hand in a result of ``label_moments``.
+    """
+    by = as_list(by)
+    if moments is None:
+        moments = label_moments(df, columns, by)
+    total, classes = F.col("n"), F.col("n_classes")
+    entropy = F.greatest(F.log2(total) - F.col("n_log_n") / total, F.lit(0.0))
+    return moments.select(
+        *cols([*by, "column"]),
+        "n_classes",
+        (F.col("most") / total).alias("max_prop"),
+        (F.col("least") / total).alias("min_prop"),
+        (F.lit(1.0) - F.col("squares") / (total.cast("double") * total)).alias("gini"),
+        entropy.alias("entropy"),
+        (entropy / F.when(classes > 1, F.log2(classes)).otherwise(F.lit(1.0))).alias("entropy_ratio"),
     )
 
 
@@ -494,9 +539,8 @@ def correlation(
 ) -> DataFrame:
     """Pearson correlation matrix in long form, over the rows where both columns are present.
 
-    Columns without spread (in the slice) are left out; an undefined coefficient is 0. Few columns are
-    one wide aggregation; the pairs of many columns are unpivoted, so that no aggregation buffer grows
-    with their square, and are combined before the shuffle.
+    Columns without spread (in the slice) are left out; an undefined coefficient, as with an infinite value, is 0. Few columns are
+    one wide aggregation; for many, tasks sum Gram matrices that are added afterwards.
     """
     by = as_list(by)
     columns = numeric_cols(df, by) if columns is None else list(columns)
@@ -504,9 +548,8 @@ def correlation(
     spread = [F.max(as_number(c)) > F.min(as_number(c)) for c in columns]
 
     def coefficient(x: Column, y: Column) -> Column:
-        return F.coalesce(
-            F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y)), F.lit(0.0)
-        )
+        r = F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+        return F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0))
 
     def masked(a: str, b: str) -> tuple[Column, Column]:
         x, y = as_number(a), as_number(b)
@@ -534,28 +577,89 @@ def correlation(
                 f"inline(filter(array({', '.join(entries)}), e -> e IS NOT NULL))",
             )
         )
-    items = []
-    for a, b in pairs:
-        x, y = masked(a, b)
-        items.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), x.alias("_x"), y.alias("_y")))
-    upper = (
-        df.select(*cols(by), F.inline(F.array(*items)))
-        .groupBy(*cols(by), "col_a", "col_b")
-        .agg(coefficient(F.col("_x"), F.col("_y")).alias("r"))
-    )
-    alive = ranges(df, columns, by).filter(F.col("max") > F.col("min")).select(*cols(by), "column")
-    whole = upper.unionByName(
-        upper.select(
-            *cols(by), F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "r"
-        )
-    ).unionByName(
-        alive.select(
-            *cols(by), F.col("column").alias("col_a"), F.col("column").alias("col_b"), F.lit(1.0).alias("r")
+    return _correlation_of_many(df, columns, by)
+
+
+def _correlation_of_many(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Correlations from Gram matrices: every task sums products of its rows, slice by slice, and the sums
+    are added per (slice, pair). The plan has the same size for any number of columns.
+
+    Values are taken relative to the mean of their slice and divided by its widest deviation, so the sums of
+    products keep their digits and stay finite.
+    """
+    def finite(c: str) -> Column:
+        return F.when(F.abs(as_number(c)) < float("inf"), as_number(c))
+
+    # One row per slice; numbered where it is written.
+    means = materialize(
+        df.groupBy(*cols(by))
+        .agg(
+            F.array(
+                *[F.struct(F.avg(finite(c)).alias("m"), (F.max(finite(c)) - F.min(finite(c))).alias("w")) for c in columns]
+            ).alias("_scale"),
+            F.array(*[F.max(as_number(c)) > F.min(as_number(c)) for c in columns]).alias("_alive"),
         )
+        .withColumn("_slice", F.monotonically_increasing_id())
+    )
+    values = F.array(*[as_number(c) for c in columns])
+    rows = attach(df.select(*cols(by), values.alias("_x")), means.drop("_alive"), by)
+    centred = F.zip_with("_x", "_scale", lambda x, s: F.when(s["w"] > 0, (x - s["m"]) / s["w"]).otherwise(x - s["m"]))
+    sums = _gram_sums(rows.select("_slice", centred.alias("_x")), len(columns))
+    # Nothing is divided where no row has both.
+    n, x, y = F.when(F.col("n") > 1, F.col("n")), F.col("sx"), F.col("sy")
+    # Sums over the rows where both columns are present.
+    cross = F.col("sxy") - x * y / n
+    spread = F.sqrt(F.greatest(F.col("sxx") - x * x / n, F.lit(0.0)) * F.greatest(F.col("syy") - y * y / n, F.lit(0.0)))
+    # A column that is constant on the common rows leaves rounding only.
+    flat = spread <= F.lit(1e-14) * F.sqrt(F.col("sxx") * F.col("syy"))
+    coefficient = F.when(flat | (F.col("infinite") > 0), F.lit(0.0)).otherwise(F.coalesce(F.try_divide(cross, spread), F.lit(0.0)))
+    upper = sums.select("_slice", "i", "j", F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(coefficient).alias("r"))
+    lower = upper.filter("i <> j").select("_slice", F.col("j").alias("i"), F.col("i").alias("j"), "r")
+    alive = lambda c: F.element_at("_alive", F.col(c) + 1)
+    return (
+        match(upper.unionByName(lower), means, ["_slice"], "inner")
+        .filter(alive("i") & alive("j"))
+        .select(*cols(by), _named(columns, "i").alias("col_a"), _named(columns, "j").alias("col_b"), "r")
     )
-    for side in ("col_a", "col_b"):
-        whole = match(whole, alive.withColumnRenamed("column", side), [*by, side], "left_semi")
-    return whole
+
+
+def _gram_sums(rows: DataFrame, width: int) -> DataFrame:
+    """(_slice, i, j, n, sx, sy, sxx, syy, sxy, infinite) for i <= j over the rows (_slice, _x) where both x_i and
+    x_j are present; infinite ones are only counted. A task holds the sums of as many slices as ``GRAM_CELLS`` allows and hands them on beyond that."""
+    first, second = np.triu_indices(width)
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy", "infinite"]
+    most = max(1, GRAM_CELLS // (len(names) * width * width))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for s, sums in held.items():
+                parts = [m[first, second] for m in sums]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(first), s)), pa.array(first.astype(np.int32)), pa.array(second.astype(np.int32)), *map(pa.array, parts)],
+                    ["_slice", "i", "j", *names],
+                )
+            held.clear()
+
+        for batch in batches:
+            slices = batch.column("_slice").to_numpy()
+            cells = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            for s in np.unique(slices).tolist():
+                x = cells[slices == s].astype(np.float64)
+                here, beyond = (~np.isnan(x)).astype(np.float64), np.isinf(x).astype(np.float64)
+                there = here - beyond
+                x = np.where(there > 0, x, 0.0)
+                # sx: x_i where x_j is present; sy: x_j where x_i is present.
+                sx, sxx = x.T @ there, (x * x).T @ there
+                sums = [there.T @ there, sx, sx.T, sxx, sxx.T, x.T @ x, beyond.T @ here + here.T @ beyond]
+                if s not in held and len(held) >= most:
+                    yield from flush()
+                held[s] = [a + b for a, b in zip(held[s], sums, strict=True)] if s in held else sums
+        yield from flush()
+
+    partial = rows.mapInArrow(run, "_slice bigint, i int, j int, " + ", ".join(f"{c} double" for c in names))
+    return partial.groupBy("_slice", "i", "j").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def custom_stats(
@@ -573,7 +677,9 @@ def custom_stats(
 
 @dataclass(frozen=True)
 class TableProfile:
-    """The tidy results of a profile; ``keys`` are the slice columns of all of them."""
+    """The tidy results of a profile; ``keys`` are the slice columns of all of them.
+
+    ``balance`` lists the most frequent labels, for reading; ``metrics`` describes all of them."""
 
     keys: list[str]
     summary: DataFrame
@@ -581,6 +687,7 @@ class TableProfile:
     duplicates: DataFrame
     histogram: DataFrame
     balance: DataFrame
+    metrics: DataFrame
     df: DataFrame
     by: list[str]
     numeric: list[str]
@@ -608,8 +715,9 @@ def profile_table(
 
     Distributions cover all columns, so scores do not depend on the order of columns. ``numeric`` and
     ``categorical`` list the first ``max_numeric`` and ``max_categorical`` of them (of each group), as a
-    profile is meant to be read; ``None`` lifts the limit. The data are read
-    four times (statistics, duplicates, histogram, labels), each time with only the columns needed.
+    profile is meant to be read; ``None`` lifts the limit. Scores read the data four times (statistics,
+    duplicates, histogram, label fingerprints), each time with only the columns needed; the labels
+    themselves are read only if ``balance`` is looked at.
     """
     by = as_list(by)
     everything = plain_cols(df, by)
@@ -638,6 +746,7 @@ def profile_table(
     doubles = duplicates(df, None, by, groups)
     hist = histogram(df, scored_numeric, by, bounds=bounds) if scored_numeric else None
     balance = class_balance(df, scored_categorical, by, top) if scored_categorical else None
+    metrics = balance_metrics(df, scored_categorical, by) if scored_categorical else None
     keys = by if groups is None else [*by, "domain"]
 
     summary = grouped(stats).groupBy(*cols(keys)).agg(F.max("row_count").alias("row_count"))
@@ -655,6 +764,12 @@ def profile_table(
         balance = spark.createDataFrame(
             [], types + "column string, label string, n bigint, proportion double, rank int"
         )
+    if metrics is None:
+        metrics = spark.createDataFrame(
+            [],
+            types + "column string, n_classes bigint, max_prop double, min_prop double, gini double, "
+            "entropy double, entropy_ratio double",
+        )
     return TableProfile(
         keys=keys,
         summary=summary,
@@ -662,6 +777,7 @@ def profile_table(
         duplicates=doubles,
         histogram=grouped(hist),
         balance=grouped(balance),
+        metrics=grouped(metrics),
         df=df,
         by=by,
         numeric=numeric,
@@ -684,12 +800,11 @@ __all__ = [
     "duplicates",
     "histogram",
     "label_counts",
-    "long_numbers",
+    "label_moments",
     "missing",
     "null_map",
     "numeric_cols",
     "numeric_stats",
     "plain_cols",
     "profile_table",
-    "table_summary",
 ]

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from slicewise.functions import constants as K
 from slicewise.functions.issues import NO_ADVICE, NO_ISSUES
 from slicewise.operators.contamination import table_contamination, with_text_contamination
-from slicewise.operators.domain import detect_domain, domain_scores
+from slicewise.operators.domain import detect_domain, domain_scores, value_evidence
 from slicewise.operators.fairness import fairness_table, fairness_text
 from slicewise.operators.geometry import geometry_scan
 from slicewise.operators.joining import as_list, cols, match, materialize
 from slicewise.operators.quality import score_table, score_text
 from slicewise.operators.scenario import simulate, token_counts
-from slicewise.operators.table import TableProfile, balance_metrics, profile_table
+from slicewise.operators.table import TableProfile, numeric_cols, profile_table
 from slicewise.operators.text import profile_text, with_vulnerability
 from slicewise.plans.report import advice_rows, issue_rows, report
 
@@ -48,7 +48,7 @@ def table_cards(
         profile = profile_table(df, by)
     out = score_table(profile)
     if key is not None:
-        features = profile.numeric if features is None else features
+        features = numeric_cols(df, by) if features is None else features
         scan = geometry_scan(df, key, features, by)
         out = match(
             out,
@@ -69,8 +69,7 @@ def table_cards(
             f"{NO_ISSUES} AS vulnerability_issues",
             f"{NO_ADVICE} AS vulnerability_advice",
         )
-    balance = materialize(profile.balance)
-    drift = fairness_table(balance_metrics(balance, by), by)
+    drift = fairness_table(profile.metrics, by)
     out = match(
         out,
         drift.selectExpr(
@@ -90,14 +89,14 @@ def table_cards(
     ).drop("_score", "_level", "_issues", "_advice")
     out = token_counts(table_contamination(out), "tabular")
 
-    # Column names are the same in every slice; the labels are those of the slice's class balance.
+    # Column names are the same in every slice; all values of the slice are looked through.
+    labels = value_evidence(df, None, by)
     slices = profile.summary.select(*cols(by))
     keys = by or ["_slice"]
     if not by:
         slices = slices.select(F.lit("all").alias("_slice"))
-        balance = balance.withColumn("_slice", F.lit("all"))
+        labels = labels.withColumn("_slice", F.lit("all"))
     names = slices.withColumn("column", F.explode(F.array(*[F.lit(c) for c in df.columns])))
-    labels = balance.select(*cols(keys), F.col("label").alias("value"))
     detected = detect_domain(domain_scores(names, labels, keys), keys).select(
         *cols(keys),
         "detected_domain",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 import slicewise as S
 from slicewise.functions.constants import WHITESPACE
 from slicewise.functions.exprs import char_entropy, low_entropy, strip, words
+from slicewise.operators import table as table_module
 from slicewise.operators.joining import attach, is_small, match
 from slicewise.operators.quantiles import quantiles
 from slicewise.operators.sampling import ranked_top
@@ -253,6 +255,41 @@ def test_many_correlated_columns(spark):
         assert wide[(b, a)] == pytest.approx(wide[(a, b)])
 
 
+@pytest.mark.parametrize("cells", [1 << 23, 1])
+def test_gram_matrices_equal_the_wide_aggregation(spark, monkeypatch, cells):
+    df = spark.range(300).selectExpr(
+        "CASE id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN NULL ELSE 'c' END AS k",
+        "CAST((id * 37) % 101 AS DOUBLE) AS x",
+        "IF(id % 3 = 0, NULL, 1e9 + sin(id)) AS y",
+        "IF(id % 5 = 0, double('NaN'), CAST((id * 7) % 13 AS FLOAT)) AS z",
+        "IF(id % 3 = 0, id, NULL) AS rare",
+        "IF(id % 4 = 1, 5, (id * 11) % 17) AS flat_in_b",
+        "CAST(NULL AS DOUBLE) AS nothing",
+        "IF(id = 7, double('Infinity'), CAST(id AS DOUBLE)) AS infinite",
+        "1e-9 * id AS tiny",
+        "CAST(id * 1e200 AS DOUBLE) AS huge",
+    ).repartition(5)
+    columns = df.columns[1:-1]
+    wide = {(r["k"], r["col_a"], r["col_b"]): r["r"] for r in S.correlation(df, columns, "k").collect()}
+    monkeypatch.setattr(table_module, "WIDE_PAIRS", 0)
+    monkeypatch.setattr(table_module, "GRAM_CELLS", cells)
+    gram = {(r["k"], r["col_a"], r["col_b"]): r["r"] for r in S.correlation(df, columns, "k").collect()}
+    assert gram.keys() == wide.keys() and len(gram) > 100
+    assert {p: (gram[p], r) for p, r in wide.items() if abs(gram[p] - r) > 1e-7} == {}
+    huge = {(r["col_a"], r["col_b"]): r["r"] for r in S.correlation(df, ["x", "huge", "tiny"]).collect()}
+    assert huge["huge", "tiny"] == pytest.approx(1.0)
+    assert S.correlation(df.limit(0), columns, "k").collect() == []
+
+
+def test_two_hundred_columns(spark):
+    df = spark.range(500).select(*[F.sin(F.col("id") * (i + 1)).alias(f"c{i}") for i in range(200)])
+    start = time.monotonic()
+    out = S.correlation(df)
+    assert len(out._jdf.queryExecution().executedPlan().toString()) < 200_000
+    assert out.count() == 200 * 200
+    assert time.monotonic() - start < 120
+
+
 def test_readers_and_writers(spark, tmp_path):
     csv = tmp_path / "t.csv"
     csv.write_text("id,name,value\n1,a,2.5\n2,b,x\n", encoding="utf-8")
@@ -344,3 +381,50 @@ def test_scores_do_not_depend_on_the_order_of_columns(spark):
     scores = [S.score_table(profile_table(base.selectExpr(*columns))).first().asDict() for columns in ([*labels, *numbers, *odd], [*odd, *labels, *numbers])]
     for name in ("balance", "noise", "total_score"):
         assert scores[0][name] == pytest.approx(scores[1][name])
+
+
+def test_all_labels_count(spark):
+    rows = spark.range(3000).selectExpr("CAST(id AS STRING) AS label", "IF(id < 2000, 'x', CAST(id AS STRING)) AS other")
+    found = {r["column"]: r for r in S.balance_metrics(rows).collect()}
+    assert found["label"]["n_classes"] == 3000
+    assert found["label"]["entropy"] == pytest.approx(math.log2(3000))
+    assert found["label"]["entropy_ratio"] == pytest.approx(1.0)
+    assert found["label"]["gini"] == pytest.approx(1 - 1 / 3000)
+    assert (found["other"]["n_classes"], found["other"]["max_prop"]) == (1001, pytest.approx(2 / 3))
+    p = [2 / 3] + [1 / 3000] * 1000
+    assert found["other"]["entropy"] == pytest.approx(-sum(x * math.log2(x) for x in p))
+    assert S.fairness_table(S.balance_metrics(rows, ["other"])).first()["drift_score"] == pytest.approx(
+        100 * (sum(x * x for x in p) / 2 + 0.05)
+    )
+
+
+def test_constant_labels_have_no_entropy(spark):
+    row = S.balance_metrics(spark.range(7).selectExpr("'a' AS label")).first()
+    assert (row["n_classes"], row["gini"], row["entropy"], row["entropy_ratio"]) == (1, 0.0, 0.0, 0.0)
+    assert S.balance_metrics(spark.range(7).selectExpr("CAST(NULL AS STRING) AS label")).collect() == []
+
+
+def test_counting_labels_shuffles_no_text(spark):
+    rows = spark.range(50).selectExpr("CAST(id AS STRING) AS label", "id % 3 AS k")
+    plan = S.balance_metrics(rows, ["label"], "k")._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert exchanges and not any("label" in line for line in exchanges)
+
+
+def test_audit_sees_every_column_and_label(spark):
+    """A hit word among many labels, and a far point in the last of twelve numeric columns."""
+    numbers = ", ".join(f"CAST((id * {7 + i}) % 101 AS DOUBLE) AS n{i}" for i in range(11))
+    table = spark.range(300).selectExpr(
+        "id", "CAST(id AS STRING) AS code", *numbers.split(", "),
+        "IF(id = 5, 1000000D, CAST(id % 10 AS DOUBLE)) AS last",
+    )
+    scores = [
+        S.audit(table.select("id", *order), "tabular", key="id").first()
+        for order in (table.columns[1:], table.columns[:0:-1])
+    ]
+    for name in ("vulnerability_score", "drift_score", "total_score", "verdict"):
+        assert scores[0][name] == scores[1][name]
+    without = S.audit(table.drop("last"), "tabular", key="id").first()
+    assert without["vulnerability_score"] != scores[0]["vulnerability_score"]
+    words = spark.range(200).selectExpr("id", "IF(id >= 197, element_at(array('diabetes', 'asthma', 'hypertension'), CAST(id - 196 AS INT)), CAST(id AS STRING)) AS code")
+    assert S.audit(words, "tabular").first()["detected_domain"] == "Healthcare"

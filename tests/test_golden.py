@@ -42,7 +42,7 @@ def test_duplicates_and_missing(repeated, gappy):
 
 def test_fairness(imbalanced, mixed):
     def drift(df, columns):
-        return S.fairness_table(S.balance_metrics(S.class_balance(df, columns))).first()
+        return S.fairness_table(S.balance_metrics(df, columns)).first()
 
     row = drift(imbalanced, ["label"])
     assert row["drift_score"] == pytest.approx(87.0)
