@@ -53,6 +53,10 @@ def rnd(expr: str, digits: int = 6, name: str | None = None) -> str:
     return f"round({expr}, {digits}) AS {name or expr}"
 
 
+def key_md5(*keys: str) -> str:
+    return "md5(" + " || ".join(f"coalesce(length({k}::VARCHAR)::VARCHAR || ':' || {k}::VARCHAR, 'n')" for k in keys) + ")"
+
+
 def strings(values) -> str:
     return "[" + ", ".join(quote(v) for v in values) + "]"
 
@@ -525,10 +529,12 @@ def bootstrap_sql() -> str:
         upto += term
         whens.append(f"WHEN u < {math.ceil(upto * 2**32)} THEN {k}")
         term /= k + 1
-    return f"""WITH h AS (SELECT event_type, value AS x, b.b AS blk, md5(b.b::VARCHAR || '|' || event_id::VARCHAR) AS h
-               FROM events CROSS JOIN (SELECT unnest(range(0, 25)) AS b) b),
-      u AS (SELECT event_type, x, blk * 4 + j.j AS rep, ('0x' || substr(h, (8 * j.j + 1)::BIGINT, 8))::UBIGINT AS u
-            FROM h CROSS JOIN (SELECT unnest(range(0, 4)) AS j) j),
+    mixed = "(xor({0} >> 16, {0}) * 73244475) & 4294967295"
+    return f"""WITH h AS (SELECT event_type, value AS x, ('0x' || substr(md5, 1, 8))::BIGINT AS h, ('0x' || substr(md5, 9, 8))::BIGINT AS step
+               FROM (SELECT *, {key_md5('event_id')} AS md5 FROM events)),
+      u0 AS (SELECT event_type, x, rep, (h + rep * step) & 4294967295 AS u FROM h CROSS JOIN (SELECT unnest(range(0, 100)) AS rep) r),
+      u1 AS (SELECT event_type, x, rep, {mixed.format("u")} AS u FROM u0),
+      u AS (SELECT event_type, x, rep, {mixed.format("u")} AS u FROM u1),
       w AS (SELECT event_type, rep, x, CASE {" ".join(whens)} ELSE 12 END AS w FROM u),
       m AS (SELECT event_type, rep, sum(w * x) / sum(w) AS m FROM w GROUP BY event_type, rep),
       s AS (SELECT event_type, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, stddev_samp(m) AS se FROM m GROUP BY event_type),
@@ -676,7 +682,7 @@ def events_audit_sql() -> str:
     cat = " UNION ALL ".join(
         f"SELECT DISTINCT event_type, '{c}' AS col FROM events" for c in COLUMNS["events"].split()
     )
-    points = f"SELECT event_type, md5(event_id::VARCHAR) AS k, event_id AS k2, [event_id::DOUBLE, user_id::DOUBLE, value] AS vec FROM {EVENTS}"
+    points = f"SELECT event_type, {key_md5('event_id')} AS k, event_id AS k2, [event_id::DOUBLE, user_id::DOUBLE, value] AS vec FROM {EVENTS}"
     gap = "(domain_confidence - coalesce((SELECT confidence FROM ds d WHERE d.event_type = card.event_type AND d.domain = scen.domain), 0))"
     differs = mismatch("detected_domain", "scen.domain", "domain_confidence")
     severity_sql = f"CASE WHEN NOT {differs} THEN 'NONE' ELSE {severity(gap)} END"
@@ -755,8 +761,8 @@ def build() -> dict[str, str]:
     q["light_profile_events"] = f"""SELECT (SELECT count(*) FROM events) AS row_count, 4::BIGINT AS column_count,
       (SELECT round(list_avg([{gap_events}]) * 100, 6) FROM events) AS avg_missing_pct, sum(n - 1)::BIGINT AS duplicate_count, round(sum(n - 1) / sum(n) * 100.0::DOUBLE, 6) AS duplicate_pct
       FROM (SELECT count(*) AS n FROM events GROUP BY user_id, event_type, value, props)"""
-    q["hash_sample_events"] = "SELECT event_id, event_type FROM events WHERE ('0x' || substr(md5(event_id::VARCHAR), 1, 8))::UBIGINT / 4294967296.0::DOUBLE < 0.1::DOUBLE"
-    q["top_hash_events"] = """SELECT event_type, event_id, rank FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY md5(event_id::VARCHAR), event_id)::INTEGER AS rank FROM events) WHERE rank <= 100"""
+    q["hash_sample_events"] = f"SELECT event_id, event_type FROM events WHERE ('0x' || substr({key_md5('event_id')}, 1, 8))::UBIGINT / 4294967296.0::DOUBLE < 0.1::DOUBLE"
+    q["top_hash_events"] = f"""SELECT event_type, event_id, rank FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY {key_md5('event_id')}, event_id)::INTEGER AS rank FROM events) WHERE rank <= 100"""
     n = "row_count"
     q["auto_sample_sizes"] = f"""SELECT dataset, {n}, (CASE WHEN {n} = 0 THEN 1000 WHEN {n} <= 1000 THEN {n} ELSE greatest(1000, least(1000000, {n},
         floor({n} * CASE WHEN {n} < 10000 THEN 1.0::DOUBLE WHEN {n} < 100000 THEN 0.5::DOUBLE WHEN {n} < 1000000 THEN 0.2::DOUBLE WHEN {n} < 10000000 THEN 0.05::DOUBLE ELSE 0.01::DOUBLE END))) END)::BIGINT AS sample_size,
@@ -787,8 +793,8 @@ def build() -> dict[str, str]:
     q["quality_docs"] = f"WITH {score_text_cte('documents', 'lang')} SELECT lang, " + ", ".join(
         rnd(c) for c in ("completeness", "duplication", "vocabulary_diversity", "noise", "structural_integrity", "total_score")
     ) + f", {grade('total_score')} AS grade FROM card"
-    q["geometry_embeddings"] = f"""WITH {geometry_cte("SELECT 1 AS one, md5(vec_id::VARCHAR) AS k, vec_id AS k2, embedding::DOUBLE[] AS vec FROM embeddings", "one")} SELECT {GEO_COLUMNS} FROM geo"""
-    key = "md5(concat_ws('|', l_orderkey::VARCHAR, l_partkey::VARCHAR, l_suppkey::VARCHAR, l_shipdate::VARCHAR))"
+    q["geometry_embeddings"] = f"""WITH {geometry_cte(f"SELECT 1 AS one, {key_md5('vec_id')} AS k, vec_id AS k2, embedding::DOUBLE[] AS vec FROM embeddings", "one")} SELECT {GEO_COLUMNS} FROM geo"""
+    key = key_md5("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate")
     q["geometry_lineitem"] = f"""WITH {geometry_cte(f"SELECT l_returnflag, {key} AS k, (l_orderkey, l_partkey) AS k2, [l_linenumber::DOUBLE, l_quantity, l_extendedprice, l_discount, l_tax] AS vec FROM {LINEITEM}", "l_returnflag")}
       SELECT l_returnflag, {GEO_COLUMNS} FROM geo"""
     q["fingerprint_corpora"] = f"""WITH {corpora}, s AS (SELECT raw.corpus, count(*) AS line_count, any_value(char_count) / count(*) AS avg_raw_length FROM raw JOIN chars ON raw.corpus = chars.corpus GROUP BY raw.corpus),

@@ -158,8 +158,11 @@ def fingerprint(*cols: Column) -> list[Column]:
 
 
 def key_md5(keys: Sequence[str]) -> Column:
-    """md5 of the key columns: the same order and the same sample for any partitioning."""
-    return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
+    """md5 of the key columns: the same order and the same sample for any partitioning.
+
+    Every value is written with its length, so no two different keys read alike; a null is ``n``."""
+    values = [F.col(f"`{k}`").cast("string") for k in keys]
+    return F.md5(F.concat(*[F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("n")) for v in values]))
 
 
 def normal_quantile(level: float) -> float:

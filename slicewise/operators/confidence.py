@@ -9,35 +9,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slicewise.functions import constants as K
-from slicewise.functions.exprs import risk_ci
+from slicewise.functions.exprs import key_md5, risk_ci
 from slicewise.operators.joining import as_list, cols, match
 
-PER_HASH = 4
-
-
-def _poisson_steps() -> list[str]:
-    """Cumulative Poisson(1) probabilities as thresholds on 8 hexadecimal digits."""
+def _poisson_steps() -> list[int]:
+    """Cumulative Poisson(1) probabilities as thresholds on 32 bits."""
     steps, upto, term, k = [], 0.0, math.exp(-1), 0
     while math.ceil((upto + term) * 2**32) < 2**32:
         upto += term
-        steps.append(f"{math.ceil(upto * 2**32):08x}")
+        steps.append(math.ceil(upto * 2**32))
         k += 1
         term /= k
     return steps
 
 
 POISSON_STEPS = _poisson_steps()
+BITS = 2**32 - 1
+#: An odd factor whose products with 32 bits are longs.
+FACTOR = 0x45D9F3B
 
 
-def poisson_weight(digits: Column) -> Column:
-    """Inverse Poisson(1) distribution of 8 hexadecimal digits read as a number in [0, 1).
+def poisson_weight(number: str) -> str:
+    """Inverse Poisson(1) distribution of 32 bits read as a number in [0, 1)."""
+    whens = " ".join(f"WHEN {number} < {step} THEN {k}" for k, step in enumerate(POISSON_STEPS))
+    return f"CASE {whens} ELSE {len(POISSON_STEPS)} END"
 
-    Digits of fixed width compare as text, so no conversion to a number is needed.
-    """
-    weight = F.when(F.lit(False), F.lit(0))
-    for k, step in enumerate(POISSON_STEPS):
-        weight = weight.when(digits < F.lit(step), F.lit(k))
-    return weight.otherwise(F.lit(len(POISSON_STEPS)))
+
+def mixed_bits(number: str) -> str:
+    """32 bits scrambled by multiplication."""
+    return f"((shiftright({number}, 16) ^ {number}) * {FACTOR}) & {BITS}"
 
 
 def bootstrap_ci(
@@ -50,63 +50,57 @@ def bootstrap_ci(
 ) -> DataFrame:
     """Poisson bootstrap of the mean of a column, per slice.
 
-    In every replicate a row has a Poisson(1) weight drawn from the md5 of (replicate, row key), so the
-    result is the same for any partitioning. One hash serves four replicates. Rows are repeated once
-    per hash within their task, and only one partial sum per slice and hash leaves it. An empty slice
-    has zeros, a single value no width.
+    In every replicate a row has a Poisson(1) weight, so replicates are weighted means. The weights come
+    from the md5 of the row key, taken once: the number of the replicate steps through it and the bits are scrambled,
+    so the result is the same for any partitioning. All replicates are sums of one aggregation of one scan.
+    An empty slice has zeros, a single value no width.
     """
     by, keys = as_list(by), as_list(key)
     number = F.col(f"`{value}`").cast("double")
     x = F.when(~F.isnan(number), number)
-    blocks = -(-reps // PER_HASH)
-    hashed = (
-        df.select(*cols(by), x.alias("_x"), F.concat_ws("|", *[F.col(f"`{k}`").cast("string") for k in keys]).alias("_key"))
-        .filter(F.col("_x").isNotNull())
-        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .withColumn("_hash", F.md5(F.concat_ws("|", F.col("_block").cast("string"), "_key")))
+    digits = key_md5(keys)
+    rows = df.select(
+        *cols(by),
+        x.alias("_x"),
+        F.conv(F.substring(digits, 1, 8), 16, 10).cast("bigint").alias("_h"),
+        F.conv(F.substring(digits, 9, 8), 16, 10).cast("bigint").alias("_step"),
     )
-    aggregates, items = [], []
-    for j in range(PER_HASH):
-        weight = poisson_weight(F.substring("_hash", 8 * j + 1, 8))
-        aggregates += [
-            F.sum(weight).alias(f"_w{j}"),
-            F.sum(weight * F.col("_x")).alias(f"_wx{j}"),
-        ]
-        items.append(
-            F.struct(
-                (F.col("_block") * PER_HASH + j).alias("rep"),
-                F.try_divide(F.col(f"_wx{j}"), F.col(f"_w{j}")).alias("_mean"),
-            )
+    names = [f"_u{i}" for i in range(reps)]
+    for j in range(3):
+        step = f"(_h + {{}} * _step) & {BITS}" if j == 0 else None
+        rows = rows.selectExpr(
+            *[f"`{c}`" for c in by], "_x", "_h", "_step", *[f"{step.format(i) if step else mixed_bits(n)} AS {n}" for i, n in enumerate(names)]
         )
-    # One row per slice and replicate from here on.
-    means = (
-        hashed.groupBy(*cols(by), "_block")
-        .agg(*aggregates)
-        .select(*cols(by), F.inline(F.array(*items)))
-        .filter(F.col("rep") < reps)
-    )
+    totals = []
+    for n in names:
+        weight = f"CASE WHEN _x IS NOT NULL THEN {poisson_weight(n)} END"
+        totals += [F.expr(f"sum({weight}) AS {n}_w"), F.expr(f"sum(({weight}) * _x) AS {n}_x")]
+    means = f"array({', '.join(f'try_divide({n}_x, {n}_w)' for n in names)})"
     tail = (1 - level) / 2
-    spread = means.groupBy(*cols(by)).agg(
-        F.percentile("_mean", F.lit(tail)).alias("_lower"),
-        F.percentile("_mean", F.lit(1 - tail)).alias("_upper"),
-        F.stddev_samp("_mean").alias("_error"),
-    )
-    points = df.groupBy(*cols(by)).agg(
-        F.count(x).alias("n"), F.coalesce(F.avg(x), F.lit(0.0)).alias("point_estimate")
-    )
-    one = F.col("n") <= 1
-    point = F.col("point_estimate")
-    return match(points, spread, by).select(
-        *cols(by),
-        "n",
-        "point_estimate",
-        F.when(one, point).otherwise(F.col("_lower")).alias("lower_bound"),
-        F.when(one, point).otherwise(F.col("_upper")).alias("upper_bound"),
-        F.lit(level).alias("confidence_level"),
-        F.when(one, F.lit(0.0)).otherwise(F.col("_error")).alias("standard_error"),
+    return (
+        rows.groupBy(*cols(by))
+        .agg(F.count("_x").alias("n"), F.expr("coalesce(avg(_x), 0D) AS point_estimate"), *totals)
+        .selectExpr("*", f"sort_array(filter({means}, m -> m IS NOT NULL)) AS _means")
+        .selectExpr("*", "aggregate(_means, 0D, (s, m) -> s + m) / greatest(size(_means), 1) AS _center")
+        .selectExpr(
+            *[f"`{c}`" for c in by],
+            "n",
+            "point_estimate",
+            f"CASE WHEN n <= 1 THEN point_estimate ELSE {_sorted_quantile('_means', tail)} END AS lower_bound",
+            f"CASE WHEN n <= 1 THEN point_estimate ELSE {_sorted_quantile('_means', 1 - tail)} END AS upper_bound",
+            f"{level}D AS confidence_level",
+            "CASE WHEN n <= 1 THEN 0D ELSE sqrt(try_divide(aggregate(_means, 0D, (s, m) -> s + (m - _center) * (m - _center)), size(_means) - 1)) END AS standard_error",
+        )
     )
 
 
+def _sorted_quantile(values: str, prob: float) -> str:
+    """Linearly interpolated quantile of a sorted array; null for an empty one."""
+    at = f"({prob}D * (size({values}) - 1))"
+    low, high = f"get({values}, cast(floor({at}) AS int))", f"get({values}, cast(ceil({at}) AS int))"
+    return f"{low} + ({at} - floor({at})) * ({high} - {low})"
+
+
 def risk_intervals(
     cards: DataFrame,
     scores: dict[str, str],
