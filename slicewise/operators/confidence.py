@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,21 +25,77 @@ def _poisson_steps() -> list[int]:
     return steps
 
 
-POISSON_STEPS = _poisson_steps()
+POISSON_STEPS = np.array(_poisson_steps(), np.int64)
 BITS = 2**32 - 1
 #: An odd factor whose products with 32 bits are longs.
 FACTOR = 0x45D9F3B
-
-
-def poisson_weight(number: str) -> str:
-    """Inverse Poisson(1) distribution of 32 bits read as a number in [0, 1)."""
-    whens = " ".join(f"WHEN {number} < {step} THEN {k}" for k, step in enumerate(POISSON_STEPS))
-    return f"CASE {whens} ELSE {len(POISSON_STEPS)} END"
-
-
-def mixed_bits(number: str) -> str:
-    """32 bits scrambled by multiplication."""
-    return f"((shiftright({number}, 16) ^ {number}) * {FACTOR}) & {BITS}"
+#: Weights that are made at once, and slices whose sums a task holds.
+BLOCK_WEIGHTS, HELD_SLICES = 1 << 20, 4096
+
+
+def poisson_weights(first: np.ndarray, step: np.ndarray, reps: int) -> np.ndarray:
+    """A Poisson(1) weight per row and replicate: 32 bits start at ``first``, go on by ``step`` with every
+    replicate, are scrambled by multiplication and looked up in the inverse distribution."""
+    bits = (first[:, None] + np.arange(reps) * step[:, None]) & BITS
+    for _ in range(2):
+        bits = (((bits >> 16) ^ bits) * FACTOR) & BITS
+    return np.searchsorted(POISSON_STEPS, bits, "right").astype(np.float64)
+
+
+def _replicate_sums(rows: DataFrame, by: Sequence[str], reps: int) -> DataFrame:
+    """(by…, rep, _w, _wx) of rows (by…, _x, _first, _step): sums of weights and of weighted values."""
+    keys = [f"_k{i}" for i in range(len(by))]
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        kinds: list[pa.DataType] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for values, sums in held.items():
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[pa.array([v] * reps, kind) for v, kind in zip(values, kinds, strict=True)],
+                        pa.array(np.arange(reps, dtype=np.int32)),
+                        pa.array(sums[0]),
+                        pa.array(sums[1]),
+                    ],
+                    [*keys, "rep", "_w", "_wx"],
+                )
+            held.clear()
+
+        for batch in batches:
+            kinds = [batch.column(k).type for k in keys]
+            x, first, step = (batch.column(c).to_numpy() for c in ("_x", "_first", "_step"))
+            group = np.zeros(len(x), np.int64)
+            for k in keys:
+                codes = batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                _, group = np.unique(group * (int(codes.max(initial=0)) + 1) + codes, return_inverse=True)
+            order = np.argsort(group, kind="stable")
+            ends = np.append(np.flatnonzero(np.diff(group[order])) + 1, len(order))
+            start = 0
+            for end in ends.tolist() if len(order) else []:
+                rows_of = order[start:end]
+                values = tuple(batch.column(k)[int(rows_of[0])].as_py() for k in keys)
+                if values not in held and len(held) >= HELD_SLICES:
+                    yield from flush()
+                sums = held.setdefault(values, np.zeros((2, reps)))
+                for part in range(0, len(rows_of), max(1, BLOCK_WEIGHTS // reps)):
+                    some = rows_of[part : part + max(1, BLOCK_WEIGHTS // reps)]
+                    weights = poisson_weights(first[some], step[some], reps)
+                    sums[0] += weights.sum(axis=0)
+                    sums[1] += x[some] @ weights
+                start = end
+        yield from flush()
+
+    named = rows.select(*[F.col(f"`{b}`").alias(k) for b, k in zip(by, keys, strict=True)], "_x", "_first", "_step")
+    schema = ", ".join([*[f"{k} {types[b]}" for b, k in zip(by, keys, strict=True)], "rep int, _w double, _wx double"])
+    return (
+        named.mapInArrow(run, schema)
+        .groupBy(*keys, "rep")
+        .agg(F.sum("_w").alias("_w"), F.sum("_wx").alias("_wx"))
+        .withColumnsRenamed(dict(zip(keys, by, strict=True)))
+    )
 
 
 def bootstrap_ci(
@@ -50,9 +108,9 @@ def bootstrap_ci(
 ) -> DataFrame:
     """Poisson bootstrap of the mean of a column, per slice.
 
-    In every replicate a row has a Poisson(1) weight, so replicates are weighted means. The weights come
-    from the md5 of the row key, taken once: the number of the replicate steps through it and the bits are scrambled,
-    so the result is the same for any partitioning. All replicates are sums of one aggregation of one scan.
+    In every replicate a row has a Poisson(1) weight, so replicates are weighted means. All weights of a row
+    come from one md5 of its key, so the result is the same for any partitioning. Rows are not repeated:
+    tasks add up the replicates of their rows as arrays, and one partial sum per slice and replicate leaves them.
     An empty slice has zeros, a single value no width.
     """
     by, keys = as_list(by), as_list(key)
@@ -62,43 +120,30 @@ def bootstrap_ci(
     rows = df.select(
         *cols(by),
         x.alias("_x"),
-        F.conv(F.substring(digits, 1, 8), 16, 10).cast("bigint").alias("_h"),
+        F.conv(F.substring(digits, 1, 8), 16, 10).cast("bigint").alias("_first"),
         F.conv(F.substring(digits, 9, 8), 16, 10).cast("bigint").alias("_step"),
-    )
-    names = [f"_u{i}" for i in range(reps)]
-    for j in range(3):
-        step = f"(_h + {{}} * _step) & {BITS}" if j == 0 else None
-        rows = rows.selectExpr(
-            *[f"`{c}`" for c in by], "_x", "_h", "_step", *[f"{step.format(i) if step else mixed_bits(n)} AS {n}" for i, n in enumerate(names)]
-        )
-    totals = []
-    for n in names:
-        weight = f"CASE WHEN _x IS NOT NULL THEN {poisson_weight(n)} END"
-        totals += [F.expr(f"sum({weight}) AS {n}_w"), F.expr(f"sum(({weight}) * _x) AS {n}_x")]
-    means = f"array({', '.join(f'try_divide({n}_x, {n}_w)' for n in names)})"
+    ).filter(F.col("_x").isNotNull())
+    means = _replicate_sums(rows, by, reps).withColumn("_mean", F.try_divide("_wx", "_w"))
     tail = (1 - level) / 2
-    return (
-        rows.groupBy(*cols(by))
-        .agg(F.count("_x").alias("n"), F.expr("coalesce(avg(_x), 0D) AS point_estimate"), *totals)
-        .selectExpr("*", f"sort_array(filter({means}, m -> m IS NOT NULL)) AS _means")
-        .selectExpr("*", "aggregate(_means, 0D, (s, m) -> s + m) / greatest(size(_means), 1) AS _center")
-        .selectExpr(
-            *[f"`{c}`" for c in by],
-            "n",
-            "point_estimate",
-            f"CASE WHEN n <= 1 THEN point_estimate ELSE {_sorted_quantile('_means', tail)} END AS lower_bound",
-            f"CASE WHEN n <= 1 THEN point_estimate ELSE {_sorted_quantile('_means', 1 - tail)} END AS upper_bound",
-            f"{level}D AS confidence_level",
-            "CASE WHEN n <= 1 THEN 0D ELSE sqrt(try_divide(aggregate(_means, 0D, (s, m) -> s + (m - _center) * (m - _center)), size(_means) - 1)) END AS standard_error",
-        )
+    spread = means.groupBy(*cols(by)).agg(
+        F.percentile("_mean", F.lit(tail)).alias("_lower"),
+        F.percentile("_mean", F.lit(1 - tail)).alias("_upper"),
+        F.stddev_samp("_mean").alias("_error"),
+    )
+    points = df.groupBy(*cols(by)).agg(
+        F.count(x).alias("n"), F.coalesce(F.avg(x), F.lit(0.0)).alias("point_estimate")
+    )
+    one = F.col("n") <= 1
+    point = F.col("point_estimate")
+    return match(points, spread, by).select(
+        *cols(by),
+        "n",
+        "point_estimate",
+        F.when(one, point).otherwise(F.col("_lower")).alias("lower_bound"),
+        F.when(one, point).otherwise(F.col("_upper")).alias("upper_bound"),
+        F.lit(level).alias("confidence_level"),
+        F.when(one, F.lit(0.0)).otherwise(F.col("_error")).alias("standard_error"),
     )
-
-
-def _sorted_quantile(values: str, prob: float) -> str:
-    """Linearly interpolated quantile of a sorted array; null for an empty one."""
-    at = f"({prob}D * (size({values}) - 1))"
-    low, high = f"get({values}, cast(floor({at}) AS int))", f"get({values}, cast(ceil({at}) AS int))"
-    return f"{low} + ({at} - floor({at})) * ({high} - {low})"
 
 
 def risk_intervals(

@@ -75,13 +75,14 @@ def noise_by_column(
     stats: DataFrame, hist: DataFrame, by: str | Sequence[str] = ()
 ) -> DataFrame:
     """Noise of every numeric column with spread: relative deviation plus the share of histogram bins
-    that lie wholly beyond three deviations."""
+    that lie wholly beyond three deviations. Deviations are those of the finite values; infinities lie beyond."""
     keys = [*as_list(by), "column"]
     mean, std = F.col("mean"), F.coalesce(F.col("std"), F.lit(0.0))
     reach = F.lit(3.0) * (std + F.lit(1e-9))
-    far = (F.col("bin_hi") < mean - reach) | (F.col("bin_lo") > mean + reach)
+    beyond = (F.col("bin_lo") == float("-inf")) | (F.col("bin_hi") == float("inf"))
+    far = beyond | (F.col("bin_hi") < mean - reach) | (F.col("bin_lo") > mean + reach)
     moments = stats.filter((F.col("n") >= 2) & (F.col("max") > F.col("min"))).select(
-        *cols(keys), "mean", "std"
+        *cols(keys), F.col("finite_mean").alias("mean"), F.col("finite_std").alias("std")
     )
     tails = (
         match(hist.select(*cols(keys), "bin_lo", "bin_hi", F.col("n").alias("_count")), moments, keys, "inner")

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from slicewise.functions.exprs import fingerprint, share, text_sql
 from slicewise.operators.joining import as_list, attach, cols, match, materialize
-from slicewise.operators.quantiles import as_number, quantiles, ranges
+from slicewise.operators.quantiles import as_number, quantiles
 from slicewise.operators.sampling import hash_sample, ranked_top
 
 BINS = 30
@@ -55,12 +55,60 @@ def _present(df: DataFrame, name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+#: What a numeric column has besides its counts.
+MOMENTS = ("mean", "std", "min", "max", "skewness", "finite_mean", "finite_std", "lo", "hi", "below", "above")
+
+
+def _finite(name: str) -> Column:
+    """A numeric column as double, without NaN and infinities."""
+    return F.when(F.abs(as_number(name)) < float("inf"), as_number(name))
+
+
+def _finite_aggregates(name: str, i: int) -> list[Column]:
+    v = _finite(name)
+    return [
+        F.avg(v).alias(f"_mean{i}"),
+        F.stddev_samp(v).alias(f"_std{i}"),
+        F.min(v).alias(f"_lo{i}"),
+        F.max(v).alias(f"_hi{i}"),
+        F.skewness(v).alias(f"_skew{i}"),
+        F.count_if(as_number(name) == float("-inf")).cast("double").alias(f"_below{i}"),
+        F.count_if(as_number(name) == float("inf")).cast("double").alias(f"_above{i}"),
+    ]
+
+
+def _moments(i: int) -> dict[str, Column]:
+    """Moments of a numeric column from its finite values and the number of infinite ones."""
+    n, below, above = F.col(f"_n{i}"), F.col(f"_below{i}"), F.col(f"_above{i}")
+    mean, std, lo, hi = (F.col(f"_{m}{i}") for m in ("mean", "std", "lo", "hi"))
+    corrected = F.col(f"_skew{i}") * F.sqrt(n * (n - 1)) / F.when(n > 2, n - 2)
+    least = F.when(below > 0, F.lit(float("-inf"))).when((above > 0) & lo.isNull(), F.lit(float("inf"))).otherwise(lo)
+    most = F.when(above > 0, F.lit(float("inf"))).when((below > 0) & hi.isNull(), F.lit(float("-inf"))).otherwise(hi)
+    infinite = below + above > 0
+    nan = F.lit(float("nan"))
+    return {
+        "mean": F.when((below > 0) & (above > 0), nan).when(above > 0, F.lit(float("inf"))).when(below > 0, F.lit(float("-inf"))).otherwise(mean),
+        "std": F.when(infinite, F.when(n > 1, nan)).otherwise(std),
+        "min": least,
+        "max": most,
+        "skewness": F.when(n > 2, F.when(most == least, F.lit(0.0)).when(infinite, nan).otherwise(corrected)),
+        "finite_mean": mean,
+        "finite_std": std,
+        "lo": lo,
+        "hi": hi,
+        "below": below,
+        "above": above,
+    }
+
+
 def column_stats(
     df: DataFrame, columns: Sequence[str] | None = None, by: str | Sequence[str] = ()
 ) -> DataFrame:
     """One row per slice and column: rows, nulls and, for numeric columns, moments and range.
 
-    ``skewness`` is bias-corrected; it is 0 for a constant column and null below three values.
+    ``skewness`` is bias-corrected; it is 0 for a constant column and null below three values. ``below`` and
+    ``above`` count negative and positive infinities; ``finite_mean``, ``finite_std``, ``lo`` and ``hi`` are those of
+    the other values.
     """
     by = as_list(by)
     columns = plain_cols(df, by) if columns is None else list(columns)
@@ -71,27 +119,10 @@ def column_stats(
     for i, c in enumerate(columns):
         aggregates.append(F.count(_present(df, c)).alias(f"_n{i}"))
         n = F.col(f"_n{i}")
-        moments = {"mean": empty, "std": empty, "min": empty, "max": empty, "skewness": empty}
+        moments = {m: empty for m in MOMENTS}
         if c in numeric:
-            v = as_number(c)
-            aggregates += [
-                F.avg(v).alias(f"_mean{i}"),
-                F.stddev_samp(v).alias(f"_std{i}"),
-                F.min(v).alias(f"_min{i}"),
-                F.max(v).alias(f"_max{i}"),
-                F.skewness(v).alias(f"_skew{i}"),
-            ]
-            corrected = F.col(f"_skew{i}") * F.sqrt(n * (n - 1)) / F.when(n > 2, n - 2)
-            moments = {
-                "mean": F.col(f"_mean{i}"),
-                "std": F.col(f"_std{i}"),
-                "min": F.col(f"_min{i}"),
-                "max": F.col(f"_max{i}"),
-                "skewness": F.when(
-                    n > 2,
-                    F.when(F.col(f"_max{i}") == F.col(f"_min{i}"), F.lit(0.0)).otherwise(corrected),
-                ),
-            }
+            aggregates += _finite_aggregates(c, i)
+            moments = _moments(i)
         items.append(
             F.struct(
                 F.lit(c).alias("column"),
@@ -223,6 +254,13 @@ def numeric_stats(
     return match(stats, medians, keys).filter(F.col("n") >= 2)
 
 
+def _finite_ranges(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Least and greatest finite value per slice and column."""
+    aggregates = [f(_finite(c)).alias(f"_{n}{i}") for i, c in enumerate(columns) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    items = [F.struct(F.lit(c).alias("column"), F.col(f"_lo{i}").alias("lo"), F.col(f"_hi{i}").alias("hi")) for i, c in enumerate(columns)]
+    return df.groupBy(*cols(by)).agg(*aggregates).select(*cols(by), F.inline(F.array(*items)))
+
+
 def histogram(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -234,22 +272,21 @@ def histogram(
     """Equal-width histogram per slice and column; empty bins are listed, the last bin is closed.
 
     Edges are ``lo + i * (hi - lo) / bins``; a value goes to the bin whose edges enclose it, also where
-    rounding of the quotient says otherwise. A constant column spans ±0.5 around its value.
-    ``weight`` names a column of row multiplicities. ``bounds`` may hand in a materialised result with
-    ``by…, column, n, min, max``.
+    rounding of the quotient says otherwise. A constant column spans ±0.5 around its value. The edges are
+    those of the finite values; where there are infinities, bin 0 counts the negative and bin ``bins + 1`` the positive
+    ones. A column without a finite value, or whose range is no finite number, has no rows. ``weight`` names a
+    column of row multiplicities. ``bounds`` may hand in a materialised result with ``by…, column, lo, hi``.
     """
     by = as_list(by)
     columns = numeric_cols(df, by) if columns is None else list(columns)
     keys = [*by, "column"]
     if bounds is None:
-        bounds = materialize(ranges(df, columns, by))
-    flat = F.col("min") == F.col("max")
-    bounds = bounds.filter(
-        (F.col("n") > 0) & (F.col("max") - F.col("min") < F.lit(float("inf")))
-    ).select(
+        bounds = materialize(_finite_ranges(df, columns, by))
+    flat = F.col("lo") == F.col("hi")
+    bounds = bounds.filter(F.col("hi") - F.col("lo") < F.lit(float("inf"))).select(
         *cols(keys),
-        F.when(flat, F.col("min") - 0.5).otherwise(F.col("min")).alias("lo"),
-        F.when(flat, F.col("max") + 0.5).otherwise(F.col("max")).alias("hi"),
+        F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
+        F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
     )
     # One row of bounds per slice, so that a data row is joined once and not once per column.
     wide = bounds.groupBy(*cols(by)).agg(
@@ -272,16 +309,16 @@ def histogram(
     )
     rows = rows.select(
         *cols(by), *[F.col("_weight") for _ in extra], F.expr(f"inline(array({items}))")
-    ).filter("value IS NOT NULL AND lo IS NOT NULL AND abs(value) < double('infinity')")
+    ).filter("value IS NOT NULL AND lo IS NOT NULL")
     step = (F.col("hi") - F.col("lo")) / bins
 
     def edge(i: Column) -> Column:
         return F.when(i == bins, F.col("hi")).otherwise(F.col("lo") + i * step)
 
-    guess = F.least(
-        F.floor((F.col("value") - F.col("lo")) * (F.lit(float(bins)) / (F.col("hi") - F.col("lo")))),
-        F.lit(bins - 1),
-    )
+    # Infinities are counted beside the bins, as -1 and ``bins``.
+    beyond = F.col("value").isin(float("-inf"), float("inf"))
+    place = (F.col("value") - F.col("lo")) * (F.lit(float(bins)) / (F.col("hi") - F.col("lo")))
+    guess = F.least(F.floor(F.when(~beyond, place)), F.lit(bins - 1))
     counted = (
         rows.withColumn("_bin", guess)
         .withColumn("_bin", F.col("_bin") - (F.col("value") < edge(F.col("_bin"))).cast("int"))
@@ -292,6 +329,7 @@ def histogram(
                 (F.col("_bin") < bins - 1) & (F.col("value") >= edge(F.col("_bin") + 1))
             ).cast("int"),
         )
+        .withColumn("_bin", F.when(beyond, F.when(F.col("value") > 0, bins).otherwise(-1)).otherwise(F.col("_bin")))
         .groupBy(*cols(keys), "_bin")
         .agg(
             (F.count(F.lit(1)) if weight is None else F.sum("_weight")).alias("_n"),
@@ -307,14 +345,15 @@ def histogram(
             F.max("lo").alias("lo"),
             F.max("hi").alias("hi"),
         )
-        .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+        .withColumn("_i", F.explode(F.sequence(F.lit(-1), F.lit(bins))))
+        .filter(F.col("_i").between(0, bins - 1) | F.try_element_at("_counts", F.col("_i").cast("bigint")).isNotNull())
     )
     i = F.col("_i")
     return filled.select(
         *cols(keys),
         (i + 1).alias("bin"),
-        edge(i).alias("bin_lo"),
-        edge(i + 1).alias("bin_hi"),
+        F.when(i < 0, F.lit(float("-inf"))).otherwise(edge(i)).alias("bin_lo"),
+        F.when(i == bins, F.lit(float("inf"))).otherwise(edge(i + 1)).alias("bin_hi"),
         F.coalesce(F.try_element_at("_counts", i.cast("bigint")), F.lit(0)).cast("bigint").alias("n"),
     )
 
@@ -587,15 +626,12 @@ def _correlation_of_many(df: DataFrame, columns: Sequence[str], by: Sequence[str
     Values are taken relative to the mean of their slice and divided by its widest deviation, so the sums of
     products keep their digits and stay finite.
     """
-    def finite(c: str) -> Column:
-        return F.when(F.abs(as_number(c)) < float("inf"), as_number(c))
-
     # One row per slice; numbered where it is written.
     means = materialize(
         df.groupBy(*cols(by))
         .agg(
             F.array(
-                *[F.struct(F.avg(finite(c)).alias("m"), (F.max(finite(c)) - F.min(finite(c))).alias("w")) for c in columns]
+                *[F.struct(F.avg(_finite(c)).alias("m"), (F.max(_finite(c)) - F.min(_finite(c))).alias("w")) for c in columns]
             ).alias("_scale"),
             F.array(*[F.max(as_number(c)) > F.min(as_number(c)) for c in columns]).alias("_alive"),
         )

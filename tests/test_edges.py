@@ -7,6 +7,7 @@ import random
 import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 import slicewise as S
 from slicewise.functions.constants import WHITESPACE
-from slicewise.functions.exprs import char_entropy, low_entropy, strip, words
+from slicewise.functions.exprs import char_entropy, key_md5, low_entropy, strip, words
+from slicewise.operators import confidence
 from slicewise.operators import table as table_module
 from slicewise.operators.joining import attach, is_small, match
 from slicewise.operators.quantiles import quantiles
@@ -428,3 +430,51 @@ def test_audit_sees_every_column_and_label(spark):
     assert without["vulnerability_score"] != scores[0]["vulnerability_score"]
     words = spark.range(200).selectExpr("id", "IF(id >= 197, element_at(array('diabetes', 'asthma', 'hypertension'), CAST(id - 196 AS INT)), CAST(id AS STRING)) AS code")
     assert S.audit(words, "tabular").first()["detected_domain"] == "Healthcare"
+
+
+def test_bootstrap_of_slices(spark, monkeypatch):
+    rows = spark.range(500).selectExpr(
+        "id AS `i.d`", "IF(id % 7 = 0, NULL, id % 3) AS `k.1`", "IF(id % 2 = 0, 'x', NULL) AS k2", "IF(id % 11 = 0, double('NaN'), CAST(id % 13 AS DOUBLE)) AS v"
+    )
+    whole = {(r[0], r[1]): r for r in S.bootstrap_ci(rows, "v", "i.d", 40, ["k.1", "k2"]).collect()}
+    assert len(whole) == 8
+    for r in whole.values():
+        assert r["lower_bound"] < r["point_estimate"] < r["upper_bound"]
+    monkeypatch.setattr(confidence, "HELD_SLICES", 1)
+    again = {(r[0], r[1]): r for r in S.bootstrap_ci(rows.repartition(7), "v", "i.d", 40, ["k.1", "k2"]).collect()}
+    assert again.keys() == whole.keys()
+    for k, r in whole.items():
+        assert list(again[k])[2:] == pytest.approx(list(r)[2:])
+    weights = confidence.poisson_weights(np.arange(1, 20_001) * 214_013 % 2**32, np.arange(20_001, 1, -1) * 69_069 % 2**32, 50)
+    assert weights.mean() == pytest.approx(1, abs=0.01) and weights.var() == pytest.approx(1, abs=0.03)
+
+
+def test_keys_with_nulls_and_dots(spark):
+    rows = spark.createDataFrame([(None, "x", 1), ("x", None, 2), ("x", "", 3), ("", "x", 4), ("1:x", None, 5), ("n", "n", 6)], "`a.b` string, c string, n int")
+    hashes = {r[0] for r in rows.select(key_md5(["a.b", "c"])).collect()}
+    assert len(hashes) == 6
+    assert S.hash_sample(rows, ["a.b", "c"], 0.999999).count() >= 5
+    assert S.top_hash(rows, ["a.b", "c"], 4).count() == 4
+
+
+def test_infinities_are_counted_beside_the_bins(spark):
+    inf = float("inf")
+    values = [float(i % 50) for i in range(300)]
+    odd = [*values, inf, inf, -inf, float("nan")]
+    rows = spark.createDataFrame([("a", v) for v in values] + [("b", v) for v in odd] + [("c", inf), ("c", -inf)], "k string, v double")
+    found = {(r["k"], r["bin"]): r for r in S.histogram(rows, ["v"], "k").collect()}
+    plain = {b: r for (k, b), r in found.items() if k == "a"}
+    assert sorted(plain) == list(range(1, 31))
+    assert sorted(b for k, b in found if k == "b") == list(range(32))
+    for b, r in plain.items():
+        assert list(found["b", b])[2:] == list(r)[2:]
+    assert (found["b", 0]["n"], found["b", 0]["bin_lo"], found["b", 31]["n"], found["b", 31]["bin_hi"]) == (1, -inf, 2, inf)
+    assert not any(k == "c" for k, _ in found)
+    stats = {r["k"]: r for r in column_stats(rows, ["v"], "k").collect()}
+    assert (stats["b"]["n"], stats["b"]["nulls"], stats["b"]["below"], stats["b"]["above"]) == (303, 1, 1, 2)
+    assert (stats["b"]["min"], stats["b"]["max"]) == (-inf, inf) and math.isnan(stats["b"]["mean"])
+    assert stats["b"]["finite_mean"] == stats["a"]["mean"] and stats["b"]["finite_std"] == stats["a"]["std"]
+    assert (stats["c"]["lo"], stats["c"]["min"], stats["c"]["max"]) == (None, -inf, inf)
+    clean, noisy = (S.quality_of_table(rows.filter(F.col("k") == k).select("v")).first() for k in "ab")
+    assert noisy["avg_noise"] == pytest.approx(clean["avg_noise"] + 3 * 3 / 303)
+    assert noisy["noise"] < clean["noise"]
