@@ -761,6 +761,14 @@ def build() -> dict[str, str]:
     q["light_profile_events"] = f"""SELECT (SELECT count(*) FROM events) AS row_count, 4::BIGINT AS column_count,
       (SELECT round(list_avg([{gap_events}]) * 100, 6) FROM events) AS avg_missing_pct, sum(n - 1)::BIGINT AS duplicate_count, round(sum(n - 1) / sum(n) * 100.0::DOUBLE, 6) AS duplicate_pct
       FROM (SELECT count(*) AS n FROM events GROUP BY user_id, event_type, value, props)"""
+    q["light_states_events"] = " UNION ALL ".join(
+        f"""SELECT event_type, {column} AS "column", count(*) AS row_count, {nulls}::BIGINT AS nulls, round({nulls} / count(*) * 100.0::DOUBLE, 6) AS missing_pct FROM {EVENTS} GROUP BY event_type"""
+        for column, nulls in (("NULL", "0"), *((quote(c), f"(count(*) - count({c}))") for c in ("user_id", "value", "props")))
+    )
+    q["empty_slices_events"] = """SELECT ts::DATE AS day, event_type, count(*) FILTER (WHERE value > 200) AS row_count,
+      (count(*) FILTER (WHERE value > 200) = 0)::BIGINT AS findings FROM events GROUP BY ALL"""
+    strings_of = unpivot("(SELECT c_custkey, c_name, c_mktsegment FROM customer)", ["c_custkey", "c_name", "c_mktsegment"], "", "VARCHAR")
+    q["csv_strings_roundtrip"] = f"WITH {balance_cte(strings_of, '')} SELECT {bm_columns} FROM bm"
     q["hash_sample_events"] = f"SELECT event_id, event_type FROM events WHERE ('0x' || substr({key_md5('event_id')}, 1, 8))::UBIGINT / 4294967296.0::DOUBLE < 0.1::DOUBLE"
     q["top_hash_events"] = f"""SELECT event_type, event_id, rank FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY {key_md5('event_id')}, event_id)::INTEGER AS rank FROM events) WHERE rank <= 100"""
     n = "row_count"

@@ -291,6 +291,13 @@ def light_profile_events(spark, folder):
     return rounded(gaps.join(repeats, "row_count"))
 
 
+def light_states_events(spark, folder):
+    """States of every day and type, merged to types. Estimated columns are left out: SQL counts exactly."""
+    events = gappy_events(spark, folder).withColumn("day", F.to_date("ts"))
+    states = S.merge_states(S.light_state(events, ["user_id", "value", "props"], ["day", "event_type"]), "event_type")
+    return rounded(S.light_profile(states, "event_type").drop("distinct", "duplicate_pct"))
+
+
 def hash_sample_events(spark, folder):
     return S.hash_sample(table(spark, folder, "events"), "event_id", 0.1).select(
         "event_id", "event_type"
@@ -734,6 +741,20 @@ def csv_roundtrip(spark, folder):
     )
 
 
+def csv_strings_roundtrip(spark, folder):
+    """customer written as CSV and read back as strings only: every column is a label."""
+    path = _scratch(spark, "customer.csv")
+    table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment").write.option("header", True).csv(path)
+    return rounded(S.balance_metrics(S.read_table(spark, path, "csv", infer=False)))
+
+
+def empty_slices_events(spark, folder):
+    """Large events per day and type; a day without any is a slice of no rows, with a finding."""
+    events = table(spark, folder, "events").withColumn("day", F.to_date("ts"))
+    found = S.table_summary(events.filter("value > 200"), ["day", "event_type"], events)
+    return found.select("day", "event_type", "row_count", F.size("issues").cast("long").alias("findings"))
+
+
 def lines_roundtrip(spark, folder):
     """Texts written as text files and read back as lines."""
     path = _scratch(spark, "documents.txt")
@@ -792,6 +813,7 @@ QUERIES: dict[str, Query] = {
         describe_part,
         custom_stats_events,
         light_profile_events,
+        light_states_events,
         hash_sample_events,
         top_hash_events,
         auto_sample_sizes,
@@ -835,6 +857,8 @@ QUERIES: dict[str, Query] = {
         audit_docs_by_source,
         audit_events_by_type,
         csv_roundtrip,
+        csv_strings_roundtrip,
+        empty_slices_events,
         lines_roundtrip,
         scorecard_roundtrip,
         grades_docs,

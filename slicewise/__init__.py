@@ -54,6 +54,10 @@ from slicewise.operators.table import (
     describe_all,
     duplicates,
     histogram,
+    label_moments,
+    light_profile,
+    light_state,
+    merge_states,
     missing,
     null_map,
     numeric_stats,

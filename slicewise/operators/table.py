@@ -22,6 +22,8 @@ from slicewise.operators.quantiles import as_number, quantiles
 from slicewise.operators.sampling import hash_sample, ranked_top
 
 BINS = 30
+#: Binary logarithm of the buckets of a sketch of distinct values.
+SKETCH_BITS = 12
 WIDE_PAIRS = 45
 #: Numbers of the Gram matrices that a task holds.
 GRAM_CELLS = 1 << 23
@@ -523,6 +525,61 @@ def null_map(
     )
 
 
+def light_state(
+    df: DataFrame, columns: Sequence[str] | None = None, by: str | Sequence[str] = ()
+) -> DataFrame:
+    """Mergeable state of a light profile: rows ``(by…, column, row_count, nulls, sketch)``.
+
+    ``sketch`` is a HyperLogLog of the values; the row with a null column has one of whole rows. One wide
+    aggregation, whose size does not depend on the data: states can be kept per file or day and merged later.
+    """
+    by = as_list(by)
+    columns = plain_cols(df, by) if columns is None else list(columns)
+    aggregates = [F.count(F.lit(1)).alias("_rows")]
+    items = []
+    for i, c in enumerate([None, *columns]):
+        prints = fingerprint(*[_present(df, x) for x in (columns if c is None else [c])])
+        seen = F.lit(True) if c is None else _present(df, c).isNotNull()
+        aggregates += [
+            F.count_if(~seen).alias(f"_nulls{i}"),
+            F.hll_sketch_agg(F.when(seen, prints[0]), F.lit(SKETCH_BITS)).alias(f"_sketch{i}"),
+        ]
+        items.append(
+            F.struct(
+                F.lit(c).cast("string").alias("column"),
+                F.col("_rows").alias("row_count"),
+                F.col(f"_nulls{i}").alias("nulls"),
+                F.col(f"_sketch{i}").alias("sketch"),
+            )
+        )
+    return df.groupBy(*cols(by)).agg(*aggregates).select(*cols(by), F.inline(F.array(*items)))
+
+
+def merge_states(states: DataFrame, by: str | Sequence[str] = ()) -> DataFrame:
+    """One state per slice and column from those of its parts; ``by`` may be fewer columns than before."""
+    return states.groupBy(*cols(as_list(by)), "column").agg(
+        F.sum("row_count").alias("row_count"),
+        F.sum("nulls").alias("nulls"),
+        F.hll_union_agg("sketch").alias("sketch"),
+    )
+
+
+def light_profile(states: DataFrame, by: str | Sequence[str] = ()) -> DataFrame:
+    """Profile of tables too large for more, from states: rows ``(by…, column, row_count, nulls,
+    missing_pct, distinct, duplicate_pct)``. Distinct values are estimated, within about 2 %; ``duplicate_pct`` is
+    that of whole rows, in the row with a null column."""
+    distinct = F.hll_sketch_estimate("sketch")
+    repeats = F.greatest(F.col("row_count") - distinct, F.lit(0))
+    return states.select(
+        *cols([*as_list(by), "column"]),
+        "row_count",
+        "nulls",
+        share("nulls", "row_count").alias("missing_pct"),
+        distinct.alias("distinct"),
+        F.when(F.col("column").isNull(), share(repeats, F.col("row_count"))).alias("duplicate_pct"),
+    )
+
+
 def describe_all(
     df: DataFrame, columns: Sequence[str] | None = None, by: str | Sequence[str] = ()
 ) -> DataFrame:
@@ -837,6 +894,9 @@ __all__ = [
     "histogram",
     "label_counts",
     "label_moments",
+    "light_profile",
+    "light_state",
+    "merge_states",
     "missing",
     "null_map",
     "numeric_cols",

@@ -478,3 +478,21 @@ def test_infinities_are_counted_beside_the_bins(spark):
     clean, noisy = (S.quality_of_table(rows.filter(F.col("k") == k).select("v")).first() for k in "ab")
     assert noisy["avg_noise"] == pytest.approx(clean["avg_noise"] + 3 * 3 / 303)
     assert noisy["noise"] < clean["noise"]
+
+
+def test_light_profile_of_merged_states(spark):
+    rows = spark.range(20_000).selectExpr(
+        "id % 2 AS part", "IF(id % 3 = 0, NULL, 'g') AS k", "id % 7000 AS a", "IF(id % 4 = 0, NULL, CAST(id AS STRING)) AS b", "IF(id % 5 = 0, double('NaN'), 1D) AS c"
+    )
+    columns = ["a", "b", "c"]
+    whole = S.light_profile(S.light_state(rows, columns, "k"), "k").collect()
+    merged = S.light_profile(S.merge_states(S.light_state(rows, columns, ["part", "k"]), "k"), "k").collect()
+    assert sorted(map(str, merged)) == sorted(map(str, whole)) and len(whole) == 8
+    total = {r["column"]: r for r in S.light_profile(S.merge_states(S.light_state(rows, columns, "k"))).collect()}
+    assert (total["b"]["row_count"], total["b"]["nulls"], total["b"]["missing_pct"]) == (20_000, 5_000, 25)
+    assert total["c"]["nulls"] == 4_000 and total["c"]["distinct"] == 1
+    assert total["a"]["distinct"] == pytest.approx(7_000, rel=0.05)
+    assert total["b"]["distinct"] == pytest.approx(15_000, rel=0.05)
+    assert total[None]["distinct"] == pytest.approx(rows.select(columns).distinct().count(), rel=0.05)
+    assert S.light_profile(S.light_state(rows.limit(0), columns, "k"), "k").collect() == []
+    assert {r["distinct"] for r in S.light_profile(S.light_state(rows.limit(0), columns)).collect()} == {0}
