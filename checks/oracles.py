@@ -462,8 +462,8 @@ def overlap_cte() -> str:
 def signature_cte() -> str:
     names, values = [], []
     for i, (domain, (weight, n, v)) in enumerate(K.DOMAIN_SIGNATURES.items()):
-        names += [f"({quote(domain)}, {i}, {weight}::DOUBLE, {quote(w)})" for w in n.split()]
-        values += [f"({quote(domain)}, {i}, {weight}::DOUBLE, {quote(w)})" for w in v.split()]
+        names += [f"({quote(domain)}, {i}, {weight}::DOUBLE, {quote(w)})" for w in n]
+        values += [f"({quote(domain)}, {i}, {weight}::DOUBLE, {quote(w)})" for w in v]
     domains = ", ".join(f"({quote(d)}, {i})" for i, d in enumerate(K.DOMAINS))
     return f"""
     nkw(domain, pos, weight, kw) AS (VALUES {", ".join(names)}),

@@ -116,61 +116,95 @@ RELATED_DOMAINS = {
 DOMAIN_SIGNATURES = {
     "Healthcare": (
         1.4,
-        "patient diagnosis symptom disease condition treatment medication drug dose dosage "
-        "prescription icd cpt blood glucose cholesterol bmi weight height age gender sex vital "
-        "pulse temperature oxygen systolic diastolic hemoglobin creatinine lab test result "
-        "hospital clinic ward surgery procedure",
-        "cancer diabetes hypertension asthma stroke healthy positive negative mg mmhg bpm cm kg "
-        "male female",
+        [
+            "patient", "diagnosis", "symptom", "disease", "condition", "treatment", "medication", "drug",
+            "dose", "dosage", "prescription", "icd", "cpt", "blood", "glucose", "cholesterol", "bmi",
+            "weight", "height", "age", "gender", "sex", "vital", "pulse", "temperature", "oxygen",
+            "systolic", "diastolic", "hemoglobin", "creatinine", "lab", "test", "result", "hospital",
+            "clinic", "ward", "surgery", "procedure",
+        ],
+        [
+            "cancer", "diabetes", "hypertension", "asthma", "stroke", "healthy", "positive", "negative",
+            "mg", "mmhg", "bpm", "cm", "kg", "male", "female",
+        ],
     ),
     "Finance": (
         1.4,
-        "transaction amount balance credit debit account payment merchant fraud currency bank "
-        "loan interest rate invest portfolio stock equity bond revenue profit loss tax invoice "
-        "fee charge transfer deposit withdrawal card iban swift ticker price close open volume "
-        "market",
-        "usd eur gbp jpy inr ngn fraud legitimate buy sell debit credit approved declined visa "
-        "mastercard amex",
+        [
+            "transaction", "amount", "balance", "credit", "debit", "account", "payment", "merchant", "fraud",
+            "currency", "bank", "loan", "interest", "rate", "invest", "portfolio", "stock", "equity", "bond",
+            "revenue", "profit", "loss", "tax", "invoice", "fee", "charge", "transfer", "deposit",
+            "withdrawal", "card", "iban", "swift", "ticker", "price", "close", "open", "volume", "market",
+        ],
+        [
+            "usd", "eur", "gbp", "jpy", "inr", "ngn", "fraud", "legitimate", "buy", "sell", "debit",
+            "credit", "approved", "declined", "visa", "mastercard", "amex",
+        ],
     ),
     "Social Media": (
         1.3,
-        "tweet post like share retweet follower following hashtag mention comment reply "
-        "engagement impression reach sentiment user username handle bio profile platform content "
-        "viral trending influence subscriber",
-        "positive negative neutral twitter instagram facebook tiktok reddit linkedin youtube love "
-        "hate awesome",
+        [
+            "tweet", "post", "like", "share", "retweet", "follower", "following", "hashtag", "mention",
+            "comment", "reply", "engagement", "impression", "reach", "sentiment", "user", "username",
+            "handle", "bio", "profile", "platform", "content", "viral", "trending", "influence",
+            "subscriber",
+        ],
+        [
+            "positive", "negative", "neutral", "twitter", "instagram", "facebook", "tiktok", "reddit",
+            "linkedin", "youtube", "love", "hate", "awesome",
+        ],
     ),
     "Computer Vision": (
         1.3,
-        "image img pixel width height channel class label bbox annotation bounding split train "
-        "val test augment filename path format jpeg png resolution brightness contrast blur "
-        "saturation hue mask segment detection",
-        "jpg jpeg png bmp webp svg train val test cat dog car person bird object background",
+        [
+            "image", "img", "pixel", "width", "height", "channel", "class", "label", "bbox", "annotation",
+            "bounding", "split", "train", "val", "test", "augment", "filename", "path", "format", "jpeg",
+            "png", "resolution", "brightness", "contrast", "blur", "saturation", "hue", "mask", "segment",
+            "detection",
+        ],
+        [
+            "jpg", "jpeg", "png", "bmp", "webp", "svg", "train", "val", "test", "cat", "dog", "car",
+            "person", "bird", "object", "background",
+        ],
     ),
     "Music/Audio": (
         1.3,
-        "song track artist album genre tempo bpm key chord note frequency pitch melody rhythm "
-        "beat measure bar time_signature lyric vocal instrument midi audio waveform sample "
-        "danceability energy valence acousticness loudness mode duration liveness speechiness "
-        "instrumentalness",
-        "major minor jazz rock pop classical blues electronic hip-hop reggae folk country metal "
-        "bpm hz db",
+        [
+            "song", "track", "artist", "album", "genre", "tempo", "bpm", "key", "chord", "note", "frequency",
+            "pitch", "melody", "rhythm", "beat", "measure", "bar", "time_signature", "lyric", "vocal",
+            "instrument", "midi", "audio", "waveform", "sample", "danceability", "energy", "valence",
+            "acousticness", "loudness", "mode", "duration", "liveness", "speechiness", "instrumentalness",
+        ],
+        [
+            "major", "minor", "jazz", "rock", "pop", "classical", "blues", "electronic", "hip-hop", "reggae",
+            "folk", "country", "metal", "bpm", "hz", "db",
+        ],
     ),
     "E-Commerce": (
         1.2,
-        "product order cart customer purchase price quantity category sku inventory stock "
-        "shipping delivery review rating seller buyer discount coupon return refund checkout "
-        "wishlist recommendation sale item description",
-        "in_stock out_of_stock pending shipped delivered cancelled 5_star 4_star electronics "
-        "clothing books furniture",
+        [
+            "product", "order", "cart", "customer", "purchase", "price", "quantity", "category", "sku",
+            "inventory", "stock", "shipping", "delivery", "review", "rating", "seller", "buyer", "discount",
+            "coupon", "return", "refund", "checkout", "wishlist", "recommendation", "sale", "item",
+            "description",
+        ],
+        [
+            "in_stock", "out_of_stock", "pending", "shipped", "delivered", "cancelled", "5_star", "4_star",
+            "electronics", "clothing", "books", "furniture",
+        ],
     ),
     "NLP/Text": (
         1.1,
-        "text sentence token word corpus document abstract content review paragraph sequence "
-        "input output label class language translation summary source target vocab embedding "
-        "tfidf ngram pos ner entity relation",
-        "positive negative neutral english french spanish german entailment contradiction true "
-        "false",
+        [
+            "text", "sentence", "token", "word", "corpus", "document", "abstract", "content", "review",
+            "paragraph", "sequence", "input", "output", "label", "class", "language", "translation",
+            "summary", "source", "target", "vocab", "embedding", "tfidf", "ngram", "pos", "ner", "entity",
+            "relation",
+        ],
+        [
+            "positive", "negative", "neutral", "english", "french", "spanish", "german", "entailment",
+            "contradiction", "true", "false",
+        ],
     ),
 }
 FALLBACK_DOMAIN = "General"

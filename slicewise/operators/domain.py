@@ -14,17 +14,16 @@ from slicewise.operators.joining import as_list, cols, match
 from slicewise.operators.table import categorical_cols
 
 EMPTY_WORDS = "CAST(array() AS array<string>)"
-Signatures = dict[str, tuple[float, str, str]]
+Signatures = dict[str, tuple[float, Sequence[str], Sequence[str]]]
 
 
 def _domain_rows(signatures: Signatures) -> Column:
     """The signatures as an array literal: (domain, position, weight, names, values)."""
     rows = [(d, i, w, n, v) for i, (d, (w, n, v)) in enumerate(signatures.items())]
-    rows.append((K.FALLBACK_DOMAIN, len(rows), 0.0, "", ""))
+    rows.append((K.FALLBACK_DOMAIN, len(rows), 0.0, [], []))
 
-    def word_list(text: str) -> str:
-        # Folded to an array literal when the query is planned.
-        return f"split({text_sql(' '.join(text.split()))}, ' ')" if text else EMPTY_WORDS
+    def word_list(words: Sequence[str]) -> str:
+        return f"array({', '.join(map(text_sql, words))})" if words else EMPTY_WORDS
 
     structs = ", ".join(
         f"named_struct('domain', {text_sql(domain)}, 'position', {position}, 'weight', {weight}D, "
@@ -35,7 +34,7 @@ def _domain_rows(signatures: Signatures) -> Column:
 
 
 def value_words(signatures: Signatures = K.DOMAIN_SIGNATURES) -> list[str]:
-    return sorted({word for _, _, values in signatures.values() for word in values.split()})
+    return sorted({word for _, _, values in signatures.values() for word in values})
 
 
 def _is_value_word(value: str, signatures: Signatures) -> Column:

@@ -15,13 +15,13 @@ DIMENSIONS = ("completeness", "duplication", "noise", "balance", "structural_int
 @pytest.mark.parametrize(
     ("name", "dimensions", "total", "letter"),
     [
-        ("mixed", (100, 100, 94.030163, 100, 11.741446), 65, "C"),
-        ("imbalanced", (100, 100, 91.113248, 6.211737, 46.981203), 64.0037, "C"),
-        ("gappy", (68.5, 100, 91.363592, 100, 10), 45, "D"),
-        ("repeated", (100, 0, 91.627164, 100, 0), 20, "F"),
-        ("halves", (100, 100, 90.797331, 100, 47.5), 82.8696, "B"),
-        ("healthcare", (100, 100, 95.606157, 100, 11.741446), 65, "C"),
-        ("finance", (100, 100, 84.322729, 100, 11.741446), 65, "C"),
+        ("parcels", (100, 100, 91.651086, 100, 17.185891), 65, "C"),
+        ("late_parcels", (100, 100, 91.092116, 0, 38.410944), 60.1871, "C"),
+        ("holes", (32, 100, 90.743263, 100, 10), 45, "D"),
+        ("repeats", (100, 0, 98.399687, 65.930066, 0), 20, "F"),
+        ("trials", (100, 100, 90.921287, 100, 48.64787), 83.2326, "B"),
+        ("ward", (100, 100, 96.192133, 100, 12.519224), 65, "C"),
+        ("ledger", (100, 100, 91.072802, 100, 12.519224), 65, "C"),
     ],
 )
 def test_table_quality(request, name, dimensions, total, letter):
@@ -32,22 +32,22 @@ def test_table_quality(request, name, dimensions, total, letter):
     assert row["quality_issues"]
 
 
-def test_duplicates_and_missing(repeated, gappy):
-    row = S.duplicates(repeated).first()
-    assert (row["row_count"], row["duplicate_count"]) == (9, 4)
-    gaps = {r["column"]: r["missing_pct"] for r in S.missing(gappy).collect()}
-    assert gaps == {"id": 0, "col_a": 20, "col_b": 50, "col_c": 0}
-    assert S.quality_of_table(gappy).first()["avg_missing_pct"] == pytest.approx(17.5)
+def test_duplicates_and_missing(repeats, holes):
+    row = S.duplicates(repeats).first()
+    assert (row["row_count"], row["duplicate_count"]) == (7, 3)
+    gaps = {r["column"]: r["missing_pct"] for r in S.missing(holes).collect()}
+    assert gaps == {"reading": 0, "upper_probe": 25, "lower_probe": 75}
+    assert S.quality_of_table(holes).first()["avg_missing_pct"] == pytest.approx(100 / 3)
 
 
-def test_fairness(imbalanced, mixed):
+def test_fairness(late_parcels, parcels):
     def drift(df, columns):
         return S.fairness_table(S.balance_metrics(df, columns)).first()
 
-    row = drift(imbalanced, ["label"])
-    assert row["drift_score"] == pytest.approx(87.0)
+    row = drift(late_parcels, ["status"])
+    assert row["drift_score"] == pytest.approx(100 * (0.95**2 + 0.05**2 + 0.05))
     assert row["drift_level"] == "CRITICAL"
-    row = drift(mixed, ["name", "category"])
+    row = drift(parcels, ["barcode", "depot"])
     assert row["drift_score"] == 10.0
     assert [i["severity"] for i in row["drift_issues"]] == ["info"]
 
@@ -56,9 +56,9 @@ def test_text_profile(corpora):
     lines = S.lines_of(corpora, "text", "corpus")
     rows = {r["corpus"]: r for r in S.quality_of_text(lines, "corpus").collect()}
     expected = {
-        "plain": (100, 5059, 1264, 95.0, 800, 34, 33.6138, 20),
-        "small": (3, 37, 9, 0.0, 6, 4, 77.2, 20),
-        "benchmark": (250, 14499, 3624, 98.0, 2300, 32, 29.7574, 20),
+        "prose": (120, 6989, 1747, 100 * 116 / 120, 1230, 34, 31.7883, 20),
+        "notes": (3, 35, 8, 0.0, 7, 7, 77.2, 20),
+        "exam": (120, 6719, 1679, 97.5, 1120, 23, 30.7875, 20),
     }
     for corpus, (n, chars, tokens, dup, words, vocab, _, total) in expected.items():
         row = rows[corpus]
@@ -75,23 +75,23 @@ def test_text_profile(corpora):
             + row["structural_integrity"] * 0.2
         )
         assert weighted == pytest.approx(expected[corpus][6], abs=5e-2)
-    assert rows["benchmark"]["phrase_hits"] == 250
-    assert rows["plain"]["phrase_hits"] == 0
+    assert rows["exam"]["phrase_hits"] == 120
+    assert rows["prose"]["phrase_hits"] == 0
 
 
 def test_text_risks(corpora):
     lines = S.lines_of(corpora, "text", "corpus")
     rows = {r["corpus"]: r for r in S.text_contamination(lines, "corpus").collect()}
-    assert rows["benchmark"]["contamination_score"] == 100
-    assert rows["benchmark"]["contamination_level"] == "CRITICAL"
-    assert rows["plain"]["contamination_score"] == 0
+    assert rows["exam"]["contamination_score"] == 100
+    assert rows["exam"]["contamination_level"] == "CRITICAL"
+    assert rows["prose"]["contamination_score"] == 0
     drift = {r["corpus"]: r["drift_score"] for r in S.fairness_text(S.profile_text(lines, "corpus")).collect()}
-    assert drift == {"plain": 100, "benchmark": 100, "small": 0}
+    assert drift == {"prose": 100, "exam": 100, "notes": 0}
 
 
-def test_table_contamination(mixed, imbalanced):
-    assert S.table_contamination(S.table_summary(mixed)).first()["contamination_score"] == 0
-    row = S.table_contamination(S.table_summary(imbalanced)).first()
+def test_table_contamination(parcels, late_parcels):
+    assert S.table_contamination(S.table_summary(parcels)).first()["contamination_score"] == 0
+    row = S.table_contamination(S.table_summary(late_parcels)).first()
     assert (row["contamination_score"], row["contamination_level"]) == (25, "MEDIUM")
 
 
@@ -141,8 +141,8 @@ def test_training_cost(spark):
     assert (row["data_sufficiency"], row["hours"]) == ("CRITICALLY_INSUFFICIENT", 0)
 
 
-def test_compatibility(mixed):
-    cards = S.token_counts(S.quality_of_table(mixed), "tabular")
+def test_compatibility(parcels):
+    cards = S.token_counts(S.quality_of_table(parcels), "tabular")
     vision = {"ai_type": "Computer Vision", "architecture": "CNN"}
     row = S.compatibility(S.with_scenarios(cards, [vision])).first()
     assert row["compatibility_score"] <= 35
@@ -152,12 +152,12 @@ def test_compatibility(mixed):
     assert row["architecture_fit"] == 30
     good = {"ai_type": "Recommendation", "model_size": "Small"}
     row = S.compatibility(S.with_scenarios(cards, [good])).first()
-    assert (row["type_fit"], row["size_fit"], row["quality_fit"]) == (100, 10, 100)
+    assert (row["type_fit"], row["size_fit"], row["quality_fit"]) == (100, 24, 100)
     assert row["best_ai_type"] == "Recommendation"
 
 
-def test_domain_penalty(mixed):
-    cards = S.token_counts(S.quality_of_table(mixed), "tabular").withColumn(
+def test_domain_penalty(parcels):
+    cards = S.token_counts(S.quality_of_table(parcels), "tabular").withColumn(
         "mismatch_severity", F.lit("HIGH")
     )
     plain = S.compatibility(S.with_scenarios(cards.withColumn("mismatch_severity", F.lit("NONE")), [{}]))
@@ -166,14 +166,14 @@ def test_domain_penalty(mixed):
     assert {"DOMAIN_MISMATCH", "DOMAIN_PENALTY"} <= {i["code"] for i in lowered["compatibility_issues"]}
 
 
-def test_bad_scenarios_are_rejected(mixed):
+def test_bad_scenarios_are_rejected(parcels):
     with pytest.raises(ValueError, match="Invalid ai_type"):
-        S.with_scenarios(mixed, [{"ai_type": "Magic"}])
+        S.with_scenarios(parcels, [{"ai_type": "Magic"}])
     with pytest.raises(ValueError, match="Unknown scenario fields"):
-        S.with_scenarios(mixed, [{"size": "Small"}])
+        S.with_scenarios(parcels, [{"size": "Small"}])
 
 
-@pytest.mark.parametrize(("name", "domain", "other"), [("healthcare", "Healthcare", "Finance"), ("finance", "Finance", "Healthcare")])
+@pytest.mark.parametrize(("name", "domain", "other"), [("ward", "Healthcare", "Finance"), ("ledger", "Finance", "Healthcare")])
 def test_domains(request, name, domain, other):
     df = request.getfixturevalue(name).withColumn("dataset", F.lit(name))
     scores = S.domain_scores(S.catalog(df.drop("dataset"), name), S.value_evidence(df, by="dataset"))
@@ -232,8 +232,8 @@ def test_isolated_share(spark, n, isolated):
     assert row["isolated_pct"] == pytest.approx(isolated / n * 100)
 
 
-def test_verdicts(spark, mixed):
-    row = S.audit(mixed, "tabular", scenarios=[{"ai_type": "Recommendation", "model_size": "Small"}]).first()
+def test_verdicts(spark, parcels):
+    row = S.audit(parcels, "tabular", scenarios=[{"ai_type": "Recommendation", "model_size": "Small"}]).first()
     assert row["vulnerability_level"] == "UNKNOWN"
     assert row["risks_present"] == 3
     assert row["verdict"] == "NOT_READY"
@@ -241,11 +241,11 @@ def test_verdicts(spark, mixed):
     assert len(row["recommendations"]) == len(set(row["recommendations"]))
 
 
-def test_audit_checks_the_domain(healthcare):
+def test_audit_checks_the_domain(ward):
     scenarios = [
         {"ai_type": "Recommendation", "model_size": "Small", "domain": d} for d in ("Healthcare", "Finance")
     ]
-    rows = {r["domain"]: r for r in S.audit(healthcare, "tabular", scenarios=scenarios, key="patient_id").collect()}
+    rows = {r["domain"]: r for r in S.audit(ward, "tabular", scenarios=scenarios, key="patient_no").collect()}
     assert rows["Healthcare"]["detected_domain"] == "Healthcare"
     assert rows["Healthcare"]["mismatch_severity"] == "NONE"
     assert rows["Finance"]["mismatch"]
