@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
+from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Broadcasts of data-dependent size happen below this many rows only; beyond, the join is shuffled.
 BROADCAST_ROWS = 500_000
@@ -51,5 +55,27 @@ def maybe_broadcast(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, bound) else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it, so that no column of ``df`` is called so."""
+    while any(c.lower() == name.lower() for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
+def map_batches(df: DataFrame, run: Callable) -> DataFrame:
+    """``mapInArrow`` to rows of the same columns, whatever their names; ``run`` finds them by position."""
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(df.schema)])
+    return df.toDF(*plain.names).mapInArrow(run, plain).toDF(*df.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def send(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcast an object of this package; tasks call the result to get it, once each.
+
+    A plain broadcast would name its class, which an executor without a copy of this package cannot import;
+    this one holds the class as well."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)

@@ -10,8 +10,8 @@ text). Logistic regression turns the four into a probability. It is fitted on ev
 that have not seen the document's fold.
 
 Models are fitted on a bounded sample of labelled documents, ``sample_bytes`` of text in each class at
-most, so their size is bounded too and they are broadcast. Counting is a Spark aggregation; only the
-counts of the sample come to the driver. Scoring is one pass over all texts without a shuffle.
+most, so their size is bounded too and they are broadcast. Counting is a Spark aggregation; only counts per
+word, per context and of the more frequent bigrams of the sample come to the driver. Scoring is one pass over all texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from llm.shared import keep
+from llm.shared import keep, keep_table, send
 from llm.words import LETTERS, ODD, hashes, mix, slices, split
 
 SAMPLE_ROWS = 6_000
@@ -87,41 +87,77 @@ class Ratio:
         return out
 
 
-def kneser_ney(before: np.ndarray, here: np.ndarray, counts: tuple[np.ndarray, np.ndarray]) -> Ratio:
-    """``counts`` of the distinct bigrams in the ordinary and in the toxic class."""
-    used = (counts[0] + counts[1]) > 0
-    before, here = before[used], here[used]
-    counts = (counts[0][used], counts[1][used])
-    if any(not c.any() for c in counts):
+def kneser_ney(words: pa.Table, contexts: pa.Table, pairs: pa.Table, version: int) -> Ratio:
+    """The ratio of one version of the counts, from the tables of ``_statistics``.
+
+    Bigrams that no class has more than ``DISCOUNT`` times need no entry: both classes leave them to what they
+    back off to, as they leave an unseen one."""
+
+    def sums(table: pa.Table, name: str) -> np.ndarray:
+        return table.column(f"{name}_{version}").to_numpy().astype(np.float64)
+
+    used = sums(words, "s") > 0
+    keys = words.column("here").to_numpy().view(np.uint64)[used]
+    seen = sums(contexts, "m0") + sums(contexts, "m1") > 0
+    before = contexts.column("before").to_numpy().view(np.uint64)[seen]
+    if any(not sums(contexts, f"m{k}").any() for k in (0, 1)):
         none, zero = np.zeros(0, np.uint64), np.zeros(0)
         return Ratio(none, zero, none, zero, none, zero)
-    words, w = np.unique(here, return_inverse=True)
-    contexts, h = np.unique(before, return_inverse=True)
-    kinds = np.bincount(w, minlength=len(words))
-    d = SHARED_DISCOUNT
-    shared = np.maximum(kinds - d, 0) / len(w) + d * len(words) / len(w) / (len(words) + 1)
+    kinds, d = sums(words, "s")[used], SHARED_DISCOUNT
+    bigrams = kinds.sum()
+    shared = np.maximum(kinds - d, 0) / bigrams + d * len(keys) / bigrams / (len(keys) + 1)
+    by_word, by_context = np.argsort(keys), np.argsort(before)
+    kept = sums(pairs, "c0") + sums(pairs, "c1") > 0
+    first, second = (pairs.column(c).to_numpy().view(np.uint64)[kept] for c in ("before", "here"))
+    h = by_context[np.searchsorted(before[by_context], first)]
+    w = by_word[np.searchsorted(keys[by_word], second)]
     logs, word_logs, backoff_logs = [], [], []
-    for c in counts:
-        kinds = np.bincount(w[c > 0], minlength=len(words))
+    for k in (0, 1):
+        kinds = sums(words, f"k{k}")[used]
         total = kinds.sum()
         p_word = np.maximum(kinds - DISCOUNT, 0) / total + np.minimum(kinds, DISCOUNT).sum() / total * shared
-        mass = np.bincount(h, c, len(contexts))
-        taken = np.bincount(h, np.minimum(c, DISCOUNT), len(contexts))
+        mass, taken = sums(contexts, f"m{k}")[seen], sums(contexts, f"t{k}")[seen]
         backoff = np.where(mass > 0, taken / np.maximum(mass, 1), 1.0)
-        p = np.maximum(c - DISCOUNT, 0) / np.maximum(mass[h], 1) + backoff[h] * p_word[w]
-        logs.append(np.log(p))
+        c = sums(pairs, f"c{k}")[kept]
+        logs.append(np.log(np.maximum(c - DISCOUNT, 0) / np.maximum(mass[h], 1) + backoff[h] * p_word[w]))
         word_logs.append(np.log(p_word))
         backoff_logs.append(np.log(backoff))
-    pairs = _both(before, here)
-    order = np.argsort(pairs)
+    hashed = _both(first, second)
+    order = np.argsort(hashed)
     return Ratio(
-        pairs[order],
+        hashed[order],
         (logs[1] - logs[0])[order].astype(np.float32),
-        words,
-        (word_logs[1] - word_logs[0]).astype(np.float32),
-        contexts,
-        (backoff_logs[1] - backoff_logs[0]).astype(np.float32),
+        keys[by_word],
+        (word_logs[1] - word_logs[0])[by_word].astype(np.float32),
+        before[by_context],
+        (backoff_logs[1] - backoff_logs[0])[by_context].astype(np.float32),
+    )
+
+
+def _statistics(counted: DataFrame) -> tuple[pa.Table, pa.Table, pa.Table]:
+    """What the models need of the distinct bigrams (before, here, n0 …) of the sample, in versions: one
+    without each fold, and last one of all.
+
+    Per word: distinct bigrams it ends (s), and those of each class (k0, k1). Per context: occurrences (m0, m1)
+    and what is taken from them (t0, t1). Bigrams (c0, c1) only if a class has more than ``DISCOUNT``."""
+
+    def count(k: int, version: int) -> Column:
+        folds = [f for f in FOLDS if version == len(FOLDS) or f != FOLDS[version]]
+        return sum((F.col(f"n{4 * k + f}") for f in folds), F.lit(0))
+
+    versions = range(len(FOLDS) + 1)
+    both = [(k, v) for v in versions for k in (0, 1)]
+    words = counted.groupBy("here").agg(
+        *[F.count_if(count(0, v) + count(1, v) > 0).cast("int").alias(f"s_{v}") for v in versions],
+        *[F.count_if(count(k, v) > 0).cast("int").alias(f"k{k}_{v}") for k, v in both],
+    )
+    contexts = counted.groupBy("before").agg(
+        *[F.sum(count(k, v)).cast("int").alias(f"m{k}_{v}") for k, v in both],
+        *[F.sum(F.least(count(k, v), F.lit(DISCOUNT))).cast("int").alias(f"t{k}_{v}") for k, v in both],
     )
+    often = F.greatest(count(0, len(FOLDS)), count(1, len(FOLDS))) > DISCOUNT
+    pairs = counted.filter(often).select("before", "here", *[count(k, v).alias(f"c{k}_{v}") for k, v in both])
+    return words.toArrow(), contexts.toArrow(), pairs.toArrow()
 
 
 def evidence(ratio: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -214,26 +250,22 @@ def fit(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, hel
                 )
 
     groups = [4 * k + f for k in (0, 1) for f in FOLDS]
-    counted = (
+    counted = keep_table(
         sample.mapInArrow(count, "own int, before bigint, here bigint")
         .groupBy("before", "here")
         .agg(*(F.count(F.when(F.col("own") == g, 1)).cast("int").alias(f"n{g}") for g in groups))
-        .toArrow()
     )
-    before = counted["before"].to_numpy().view(np.uint64)
-    here = counted["here"].to_numpy().view(np.uint64)
-    n = {g: counted[f"n{g}"].to_numpy() for g in groups}
-    total = tuple(sum(n[4 * k + f] for f in FOLDS) for k in (0, 1))
-    others = {f: kneser_ney(before, here, tuple(total[k] - n[4 * k + f] for k in (0, 1))) for f in FOLDS}
-    sent = spark.sparkContext.broadcast(others)
+    tables = _statistics(counted)
+    sent = send(spark, {f: kneser_ney(*tables, v) for v, f in enumerate(FOLDS)})
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        others = sent()
         for batch in batches:
             fold = batch.column(1).to_numpy()
             for first, last, data, offsets in slices(batch.column(2)):
                 before, here, of = _bigrams(data, offsets)
                 x = np.zeros((last - first, 1 + len(RUNS)))
-                for f, ratio in sent.value.items():
+                for f, ratio in others.items():
                     own = fold[first:last] == f
                     x[own] = evidence(ratio.of(before, here), of)[own]
                 yield pa.RecordBatch.from_arrays(
@@ -244,11 +276,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, hel
     schema = "toxic int, " + ", ".join(f"x{k} double" for k in range(1 + len(RUNS)))
     # At most 2 * rows rows, ordered so that sums do not depend on the tasks.
     points = sample.mapInArrow(measure, schema).toPandas().sort_values(list(f"x{k}" for k in range(1 + len(RUNS))))
-    sent.unpersist()
     shares = {r["toxic"]: r["n"] for r in labels.filter(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{label}`").cast("int").alias("toxic")).agg(F.count(F.when(fold_of(F.col(f"`{key}`")) != held, 1)).alias("n")).filter("toxic IN (0, 1)").collect()}
     y = points["toxic"].to_numpy(float)
     x = points.drop(columns="toxic").to_numpy(float)
-    whole = kneser_ney(before, here, total)
+    whole = kneser_ney(*tables, len(FOLDS))
     if len(y) == 0 or y.min() == y.max():
         constant = 0.0 if len(y) == 0 else float(y[0])
         zero = np.zeros(1 + len(RUNS))
@@ -300,12 +331,12 @@ def _names() -> list[str]:
 
 def _scored(docs: DataFrame, model: Model, text: str, kept: list[str]) -> DataFrame:
     """The columns ``kept`` as c0, c1, ..., and the score with its evidence."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = send(docs.sparkSession, model)
     sources = [*kept, *([] if text in kept else [text])]
     place = sources.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own = sent()
         for batch in batches:
             for first, last, data, offsets in slices(batch.column(place)):
                 before, here, of = _bigrams(data, offsets)
