@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.fm_index import FMIndex
-from llm.words import LETTERS, Words, buffers, hashes, slices, split
+from llm.shared import keep_table, map_batches, send
+from llm.words import LETTERS, Words, buffers, hashes, replaced, slices, split
 
 SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 16 << 20
@@ -145,13 +146,13 @@ SPANS = "array<struct<first_word: bigint, end_word: bigint, start: bigint, end:
 
 def _scan(frame: DataFrame, phrases: Phrases, last: bool) -> DataFrame:
     """One block over the shards. Adds to ``items`` and ``spans`` what earlier blocks have found."""
-    sent = frame.sparkSession.sparkContext.broadcast(phrases)
+    sent = send(frame.sparkSession, phrases)
     columns = "key string, n_words bigint, n_hit bigint, items array<string>, spans " + SPANS
     if not last:
         columns += ", text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = sent.value
+        block = sent()
         for batch in batches:
             text = batch.column("text")
             for first, end, data, offsets in slices(text, SHARD_BYTES):
@@ -257,26 +258,39 @@ def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def cut_benchmark(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id", size: int = 10
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item_text: str = "text",
+    item_key: str = "item_id",
+    size: int = 10,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``docs`` with every benchmark passage cut out of ``text``; a document of which no word is left
     goes. Cutting joins what stood around a passage, so a changed text is searched again until
-    nothing is found. Rows without hits, and all other columns, stay as they are."""
+    nothing of any block is found. Rows without hits, and all other columns, stay as they are. Bytes of a cut text that
+    are not UTF-8 become U+FFFD."""
+    blocks = blocks_of(benchmark, item_text, item_key, size, block_bytes)
+    if len(blocks) == 1:
+        return _cut(docs, blocks[0], text)
     frame = docs
-    for block in blocks_of(benchmark, item_text, item_key, size):
-        frame = _cut(frame, block, text)
-    return frame
+    while True:
+        for block in blocks:
+            frame = keep_table(_cut(frame, block, text))
+        found = decontaminate(frame, benchmark, text, text, item_text, item_key, size, block_bytes)
+        if found.filter("n_hit > 0").isEmpty():
+            return frame
 
 
 def _cut(docs: DataFrame, phrases: Phrases, text: str) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(phrases)
+    sent = send(docs.sparkSession, phrases)
     place = docs.columns.index(text)
 
-    def cleaned(value: str) -> str:
+    def cleaned(value: str, phrases: Phrases) -> str:
         while True:
             data, offsets = buffers(pa.array([value], pa.string()))
             words = split(data, offsets, LETTERS)
-            hit = merged_hits(words, *occurrences(hashes(data, words.starts, words.ends), words.of, sent.value), sent.value)
+            hit = merged_hits(words, *occurrences(hashes(data, words.starts, words.ends), words.of, phrases), phrases)
             if not hit.any():
                 return value if len(hit) else ""
             raw = data.tobytes()
@@ -284,20 +298,19 @@ def _cut(docs: DataFrame, phrases: Phrases, text: str) -> DataFrame:
             value = remove_spans(value, [(letter(words.starts[a]), letter(words.ends[b - 1])) for a, b, _ in zip(*_spans(hit, words.of), strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = sent()
         for batch in batches:
             for first, end, data, offsets in slices(batch.column(place), SHARD_BYTES):
                 part = batch.slice(first, end - first)
                 words = split(data, offsets, LETTERS)
-                _, at = occurrences(hashes(data, words.starts, words.ends), words.of, sent.value)
+                _, at = occurrences(hashes(data, words.starts, words.ends), words.of, phrases)
                 rows = np.unique(np.searchsorted(words.of, at, "right") - 1).tolist()
                 if rows:
-                    values = part.column(place).to_pylist()
-                    for i in rows:
-                        values[i] = cleaned(values[i]) or None
+                    left = {i: cleaned(data[offsets[i] : offsets[i + 1]].tobytes().decode(errors="replace"), phrases) for i in rows}
                     gone = np.zeros(end - first, bool)
-                    gone[[i for i in rows if values[i] is None]] = True
-                    part = part.set_column(place, part.schema.field(place), pa.array(values, part.schema.field(place).type))
+                    gone[[i for i, value in left.items() if not value]] = True
+                    part = part.set_column(place, part.schema.field(place), replaced(part.column(place), left))
                     part = part.filter(pa.array(~gone))
                 yield part
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run)

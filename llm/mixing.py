@@ -18,7 +18,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.shared import keep, maybe_broadcast
+from llm.shared import free_name, keep, maybe_broadcast
 
 PIECE = 16.0
 #: Terms of the inversion: the chance of more at a mean of 16 is below 2^-52, the step of the hash.
@@ -80,25 +80,26 @@ def mix_sources(
     and very long ones count as any other. An empty table gives an empty one. Without any weight on a
     source that occurs nothing is left.
     """
-    table = rates(docs, targets, by).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
+    source, rate, number, place = (free_name(docs, n) for n in ("_source", "_rate", "_number", "_place"))
+    table = rates(docs, targets, by).select(F.col("source").alias(source), F.col("rate").alias(rate))
     name = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null"))
-    pieces = F.greatest(F.ceil(F.col("_rate") / PIECE), F.lit(1)).cast("int")
+    pieces = F.greatest(F.ceil(F.col(rate) / PIECE), F.lit(1)).cast("int")
     count = F.aggregate(
         F.sequence(F.lit(1), pieces),
         F.lit(0),
         lambda total, piece: total
-        + poisson(F.col("_rate") / pieces, uniform(F.lit(seed), name, piece.cast("string"))),
+        + poisson(F.col(rate) / pieces, uniform(F.lit(seed), name, piece.cast("string"))),
     )
     columns = [F.col(f"`{c}`") for c in docs.columns if c != copy]
     many = (
-        docs.join(maybe_broadcast(table), F.col(f"`{by}`").cast("string").eqNullSafe(F.col("_source")))
-        .withColumn("_count", count)
-        .filter("_count > 0")
-        .select(*columns, F.explode(F.sequence(F.lit(1), F.col("_count"))).alias("_copy"))
-        .withColumn("_place", F.md5(F.concat_ws(":", F.lit(f"{seed}/place"), name, F.col("_copy").cast("string"))))
+        docs.join(maybe_broadcast(table), F.col(f"`{by}`").cast("string").eqNullSafe(F.col(source)))
+        .withColumn(number, count)
+        .filter(F.col(number) > 0)
+        .select(*columns, F.explode(F.sequence(F.lit(1), F.col(number))).alias(number))
+        .withColumn(place, F.md5(F.concat_ws(":", F.lit(f"{seed}/place"), name, F.col(number).cast("string"))))
     )
-    mixed = many.repartition("_place").sortWithinPartitions("_place")
-    return mixed.select(*columns, *([F.col("_copy").alias(copy)] if copy else []))
+    mixed = many.repartition(place).sortWithinPartitions(place)
+    return mixed.select(*columns, *([F.col(number).alias(copy)] if copy else []))
 
 
 def mixing_sql(source: str, columns: str, copy: bool) -> str:

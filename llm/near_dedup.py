@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from llm.components import components
-from llm.shared import keep, keep_table, maybe_broadcast
+from llm.shared import free_name, keep, keep_table, maybe_broadcast
 from llm.words import NOT_SPACE, hashes, mix, shingles, slices, split
 
 #: At ``MEANT`` percent; see ``bands_for``.
@@ -213,8 +213,9 @@ def near_dedup(
         .agg(F.count(F.lit(1)).alias("shared"))
     )
     wanted = keep(crowded.select("id").distinct())
+    own = free_name(docs, "_wanted")
     texts = docs.filter(F.col(f"`{key}`").isNotNull()).join(
-        maybe_broadcast(wanted.withColumnRenamed("id", "_wanted")), F.col(f"`{key}`") == F.col("_wanted"), "left_semi"
+        maybe_broadcast(wanted.withColumnRenamed("id", own)), F.col(f"`{key}`") == F.col(own), "left_semi"
     )
     sets = keep_table(full_sets(texts, text, key, size).dropDuplicates(["id"]))
 
@@ -304,10 +305,12 @@ def near_dedup(
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, that of the smallest key; of rows with
     the same key one stays. Rows with a null key all stay, and so do texts without words."""
-    found = keep(near_dedup(docs, text, key, size, percent).select(F.col(key).alias("_gone"), "kept").filter("_gone IS NOT NULL"))
-    here = F.col(f"`{key}`") == F.col("_gone")
-    out = docs.join(maybe_broadcast(keep(found.filter("NOT kept").select("_gone").distinct())), here, "left_anti")
-    repeated = keep(found.filter("kept").groupBy("_gone").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_gone"))
+    own = free_name(docs, "_gone")
+    gone = F.col(own)
+    found = keep(near_dedup(docs, text, key, size, percent).select(F.col(f"`{key}`").alias(own), "kept").filter(gone.isNotNull()))
+    here = F.col(f"`{key}`") == gone
+    out = docs.join(maybe_broadcast(keep(found.filter("NOT kept").select(own).distinct())), here, "left_anti")
+    repeated = keep(found.filter("kept").groupBy(own).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(own))
     if repeated.isEmpty():
         return out
     once = out.join(repeated, here, "left_semi").dropDuplicates([key])

@@ -118,7 +118,8 @@ def clean_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", most_l
     """Per row of ``docs``: key, the measures, lost (share of word characters in failing lines), cleaned (the
     text of the other lines), base_failed (fewer than 50 words, or more than half of them repeated), kept.
 
-    Null, empty and blank texts have no words and are not kept; cleaned is then empty. Keys may be null or
+    Null, empty and blank texts have no words and are not kept; cleaned is then empty. In lines, bytes that
+    are not UTF-8 are U+FFFD. Keys may be null or
     repeat; each row stands for itself. Other columns are ignored, whatever their names.
     """
 
@@ -127,7 +128,7 @@ def clean_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", most_l
             for first, last, data, offsets in slices(batch.column(1)):
                 found = measures(data, offsets)
                 raw = data.tobytes()
-                results = [clean(raw[a:b].decode()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                results = [clean(raw[a:b].decode(errors="replace")) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, last - first),

@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from llm.automaton import Automaton, compile_rules
-from llm.words import buffers
+from llm.shared import map_batches, send
+from llm.words import buffers, replaced
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
 OPENING = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
@@ -164,10 +165,10 @@ def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", rules
     Null and empty texts have none. Keys may be null or repeat; each row stands for itself. Other
     columns are ignored, whatever their names.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(scanner_for(rules))
+    sent = send(docs.sparkSession, scanner_for(rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = sent.value
+        scanner = sent()
         for batch in batches:
             data, offsets = buffers(batch.column(1))
             raw, ends = memoryview(data), offsets.tolist()
@@ -193,7 +194,7 @@ def as_text(secrets: Column) -> Column:
 def mask_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE + MORE, mask: str = "[{kind}]") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by the name of its kind; overlapping secrets are
     replaced together, under the first one's. All rows and all other columns stay as they are."""
-    sent = docs.sparkSession.sparkContext.broadcast(scanner_for(rules))
+    sent = send(docs.sparkSession, scanner_for(rules))
     place = docs.columns.index(text)
 
     def masked(value: bytes, spans: list[tuple[str, int, int]]) -> str:
@@ -205,7 +206,7 @@ def mask_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
         return b"".join([*parts, value[last:]]).decode("utf-8", "replace")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = sent.value
+        scanner = sent()
         for batch in batches:
             column = batch.column(place)
             data, offsets = buffers(column)
@@ -216,10 +217,7 @@ def mask_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
                 if found := scanner.spans(own):
                     changed[i] = masked(own, found)
             if changed:
-                values = column.to_pylist()
-                for i, value in changed.items():
-                    values[i] = value
-                batch = batch.set_column(place, batch.schema.field(place), pa.array(values, column.type))
+                batch = batch.set_column(place, batch.schema.field(place), replaced(column, changed))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run)

@@ -139,6 +139,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", key: str = "doc
 
     ``path`` is a byte-level BPE vocabulary file, read on the driver (its size is fixed) and sent to the
     tasks. Strings of added tokens inside a text are one token each. Null and empty texts have 0 of both.
+    Bytes that are not UTF-8 are counted in n_bytes as they are and as U+FFFD in tokens.
     Keys may be null or repeat; each row stands for itself. Other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
@@ -148,7 +149,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", key: str = "doc
         for batch in batches:
             for first, last, data, offsets in slices(batch.column(1)):
                 raw = data.tobytes()
-                texts = [raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                texts = [raw[a:b].decode(errors="replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, last - first), pa.array(np.diff(offsets)), pa.array(machine.chunk(texts))],
                     ["key", "n_bytes", "n_tokens"],

@@ -125,13 +125,13 @@ def _heads(pages: DataFrame, key: str, html: str, least: int) -> tuple[DataFrame
 def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> DataFrame:
     """(archive, content) with a record per row of ``pages``, kept in the shared folder.
 
-    The payload is the html in UTF-8, null as empty. Of equal payloads of at least ``least`` bytes the
+    The payload is the bytes of the html, null as empty. Of equal payloads of at least ``least`` bytes the
     records of the largest id are responses and the others revisit it; repeated rows of that id are all
     responses, and so is a group without any id. A null url is empty. Other columns are ignored. An
     empty table has no archives.
     """
     groups, print_ = _heads(pages, key, html, least)
-    frame = pages.select(F.col(f"`{key}`").alias("id"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"), print_.alias("print"))
+    frame = pages.select(F.col(f"`{key}`").alias("id"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").cast("binary").alias("html"), print_.alias("print"))
     if small(groups):
         frame = frame.join(F.broadcast(groups.select("print", "head")), "print", "left")
     else:
@@ -156,7 +156,7 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", htm
         for batch in batches:
             for i in range(batch.num_rows):
                 one = [batch.column(k)[i].as_py() for k in range(4)]
-                held.append(record(one[0], one[1], (one[2] or "").encode(), one[3]))
+                held.append(record(one[0], one[1], one[2] or b"", one[3]))
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
                     yield archive()

@@ -80,6 +80,16 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def replaced(column: pa.Array, changed: dict[int, str]) -> pa.Array:
+    """A string column with other texts in some rows. Bytes of the others are not looked at: they need not be UTF-8."""
+    wide = pa.types.is_large_string(column.type)
+    kind = pa.large_binary() if wide else pa.binary()
+    values = column.view(kind).to_pylist()
+    for i, value in changed.items():
+        values[i] = value.encode()
+    return pa.array(values, kind).view(column.type)
+
+
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) of runs of rows of at most ``most`` bytes."""
     data, offsets = buffers(column)
