@@ -25,7 +25,7 @@ from llm.fm_index import FMIndex
 from llm.shared import keep_table, map_batches, send
 from llm.words import LETTERS, Words, buffers, hashes, replaced, slices, split
 
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 BLOCK_BYTES = 16 << 20
 
 
