@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.shared import keep
+from llm.shared import packed
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -28,9 +28,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates the two star contractions (neighbours above a node move to its least neighbour, then
     those below it) until the edges stay as they are: they then are stars around the least ids. The
-    number of rounds is logarithmic in the diameter. Each round is kept in the shared folder.
+    number of rounds is logarithmic in the diameter. Each round is kept in the shared folder, in partitions by
+    its number of edges, so rounds over few edges do not shuffle.
     """
-    edges = keep(
+    edges = packed(
         edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
     state = _state(edges)
@@ -38,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = _with_least(large.distinct())
-        edges = keep(
+        edges = packed(
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(small.select("u", F.col("m").alias("v")))
             .filter("u <> v")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from llm.components import components
-from llm.shared import free_name, keep, keep_table, maybe_broadcast
+from llm.shared import free_name, keep, keep_table, maybe_broadcast, packed
 from llm.words import NOT_SPACE, hashes, mix, shingles, slices, split
 
 #: At ``MEANT`` percent; see ``bands_for``.
@@ -134,6 +134,24 @@ def full_sets(docs: DataFrame, text: str, key: str, size: int) -> DataFrame:
     )
 
 
+def _classes(usable: DataFrame) -> DataFrame:
+    """(id, rep): the smallest id with the same set. Sets of a ``HOT``-th of all rows or more are at most ``HOT`` and
+    joined by broadcast, so the shuffled join has no hot key."""
+    same = ["n", "a", "b"]
+    rows = usable.select("id", *same)
+    total = rows.count()
+    several = packed(rows.groupBy(*same).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("often")).filter("often > 1"))
+    hot = several.filter(F.col("often") * HOT >= total).select(*same, F.col("least").alias("hot"))
+    other = several.filter(F.col("often") * HOT < total).select(*same, "least")
+    known = rows.join(F.broadcast(hot), same, "left")
+    return (
+        known.filter("hot IS NOT NULL")
+        .select("id", F.col("hot").alias("rep"))
+        .unionByName(known.filter("hot IS NULL").join(maybe_broadcast(other), same, "left").select("id", F.coalesce("least", "id").alias("rep")))
+        .distinct()
+    )
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(u, v) of the candidate pairs whose full sets are similar enough."""
     left = sets.select(F.col("id").alias("u"), F.col("found").alias("fu"))
@@ -194,25 +212,25 @@ def near_dedup(
     spark = docs.sparkSession
     found = keep_table(sketch(docs, text, key, size, bands_for(percent, rows) if bands is None else bands, rows))
     usable = found.filter("n > 0 AND id IS NOT NULL")
-    classes = usable.groupBy("n", "a", "b").agg(F.min("id").alias("rep"))
-    member = keep(usable.join(classes, ["n", "a", "b"]).select("id", "rep", "n", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")).distinct())
-    buckets = member.filter("id = rep").select("id", "n", F.explode("bands").alias("bucket")).distinct()
+    member = keep(_classes(usable))
+    reps = member.filter("id = rep").select("id").distinct()
+    buckets = usable.join(maybe_broadcast(keep(reps)), "id", "left_semi").select("id", "n", F.explode("bands").alias("bucket")).distinct()
     centres = buckets.groupBy("bucket").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("size"))
-    crowded = keep(buckets.join(centres.filter("size > 1"), "bucket"))
+    crowded = packed(buckets.join(centres.filter("size > 1"), "bucket"))
 
     # Sizes alone rule out many candidates.
     def alike(a: str, b: str) -> str:
         return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
     centre = crowded.filter("id = centre").select("bucket", F.col("n").alias("m"))
-    stars = keep(
+    stars = packed(
         crowded.filter("id <> centre")
         .join(centre, "bucket")
         .filter(alike("n", "m"))
         .groupBy(F.col("centre").alias("u"), F.col("id").alias("v"))
         .agg(F.count(F.lit(1)).alias("shared"))
     )
-    wanted = keep(crowded.select("id").distinct())
+    wanted = packed(crowded.select("id").distinct())
     own = free_name(docs, "_wanted")
     texts = docs.filter(F.col(f"`{key}`").isNotNull()).join(
         maybe_broadcast(wanted.withColumnRenamed("id", own)), F.col(f"`{key}`") == F.col(own), "left_semi"
@@ -220,13 +238,14 @@ def near_dedup(
     sets = keep_table(full_sets(texts, text, key, size).dropDuplicates(["id"]))
 
     best = stars.groupBy("v").agg(F.max_by("u", F.struct("shared", -F.col("u"))).alias("u"))
-    links = keep(_confirmed(best, sets, percent))
-    labels = keep(components(links))
+    links = packed(_confirmed(best, sets, percent))
+    labels = packed(components(links))
 
     def apart(pairs: DataFrame) -> DataFrame:
         """Pairs whose ends are in different components so far."""
-        lu = labels.select(F.col("id").alias("u"), F.col("component").alias("cu"))
-        lv = labels.select(F.col("id").alias("v"), F.col("component").alias("cv"))
+        known = maybe_broadcast(labels)
+        lu = known.select(F.col("id").alias("u"), F.col("component").alias("cu"))
+        lv = known.select(F.col("id").alias("v"), F.col("component").alias("cv"))
         return (
             pairs.join(lu, "u", "left")
             .join(lv, "v", "left")
@@ -236,12 +255,12 @@ def near_dedup(
 
     def grown(more: DataFrame) -> bool:
         nonlocal links, labels
-        more = keep(more)
+        more = packed(more)
         if more.isEmpty():
             return False
         links = links.unionByName(more)
         known = labels.select(F.col("id").alias("u"), F.col("component").alias("v"))
-        labels = keep(components(known.unionByName(more)))
+        labels = packed(components(known.unionByName(more)))
         return True
 
     tried = best.select("u", "v")
@@ -249,7 +268,7 @@ def near_dedup(
 
     def still_mixed(groups: DataFrame, condition: str) -> DataFrame:
         """Rows of the groups that hold several components and fulfil ``condition``."""
-        here = groups.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        here = groups.join(maybe_broadcast(labels), "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = (
             here.groupBy("bucket")
             .agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("size"), F.max("few").alias("open"))
@@ -260,16 +279,16 @@ def near_dedup(
 
     unsure = still_mixed(crowded.select("bucket", "id", F.lit(True).alias("few")), "size > 2").select("id").distinct()
     open_sets = keep_table(sets.join(unsure, "id", "left_semi"))
-    groups = still_mixed(keep(rare_groups(open_sets, percent)), "open")
+    groups = still_mixed(packed(rare_groups(open_sets, percent)), "open")
     order = Window.partitionBy("bucket").orderBy(F.desc("few"), "id")
-    ranked = keep(groups.withColumn("rank", F.row_number().over(order)))
+    ranked = packed(groups.withColumn("rank", F.row_number().over(order)))
     done = 0
     while True:
         # Pairs of a former centre have been checked.
-        ranked = keep(still_mixed(ranked.filter(f"rank > {done}"), "open"))
+        ranked = packed(still_mixed(ranked.filter(f"rank > {done}"), "open"))
         if ranked.isEmpty():
             break
-        here = ranked.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        here = ranked.join(maybe_broadcast(labels), "id", "left").withColumn("component", F.coalesce("component", "id"))
         until = max(1, 8 * done)
         next_centres = here.filter(f"few AND rank <= {until}").select(
             "bucket", F.col("id").alias("u"), F.col("n").alias("m"), F.col("rest").alias("s"), F.col("rank").alias("r"), F.col("component").alias("c")

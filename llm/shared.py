@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Broadcasts of data-dependent size happen below this many rows only; beyond, the join is shuffled.
 BROADCAST_ROWS = 500_000
+#: Rows of a partition in ``packed``.
+PACK_ROWS = 200_000
 
 
 def folder(spark: SparkSession) -> str:
@@ -45,6 +47,13 @@ def keep_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, rows: int = PACK_ROWS) -> DataFrame:
+    """As ``keep``, in partitions of about ``rows`` rows; for narrow rows. What fits in one partition is then
+    grouped, and joined with others like it, without a shuffle."""
+    kept = keep(df)
+    return kept.coalesce(max(1, -(-kept.count() // rows)))
+
+
 def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> bool:
     """Whether a kept result has at most ``bound`` rows; counts no further than that."""
     return df.limit(bound + 1).count() <= bound
