@@ -15,13 +15,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from llm.automaton import Automaton, compile_rules
 from llm.shared import map_batches, send
-from llm.words import buffers, replaced
+from llm.words import replaced, slices
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
 OPENING = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
@@ -141,6 +142,13 @@ def _alive(machine: Automaton, state: int) -> bool:
     return bool(machine.accepts[state]) or any(t != state for t in row)
 
 
+def _texts(data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
+    """The texts of a slice, one at a time."""
+    raw, ends = memoryview(data), offsets.tolist()
+    for a, b in zip(ends, ends[1:], strict=False):
+        yield raw[a:b].tobytes()
+
+
 SPANS = "array<struct<kind: string, start: bigint, end: bigint>>"
 SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -170,13 +178,11 @@ def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", rules
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = sent()
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
-            raw, ends = memoryview(data), offsets.tolist()
-            rows = []
-            for a, b in zip(ends, ends[1:], strict=False):
-                own = raw[a:b].tobytes()
-                rows.append([{"kind": k, "start": s, "end": e} for k, s, e in in_letters(own, scanner.spans(own))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, SPAN_TYPE)], ["key", "secrets"])
+            for first, last, data, offsets in slices(batch.column(1)):
+                rows = []
+                for own in _texts(data, offsets):
+                    rows.append([{"kind": k, "start": s, "end": e} for k, s, e in in_letters(own, scanner.spans(own))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(rows, SPAN_TYPE)], ["key", "secrets"])
 
     kind = docs.schema[key].dataType.simpleString()
     return (
@@ -208,16 +214,11 @@ def mask_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = sent()
         for batch in batches:
-            column = batch.column(place)
-            data, offsets = buffers(column)
-            raw, ends = memoryview(data), offsets.tolist()
-            changed = {}
-            for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
-                own = raw[a:b].tobytes()
-                if found := scanner.spans(own):
-                    changed[i] = masked(own, found)
-            if changed:
-                batch = batch.set_column(place, batch.schema.field(place), replaced(column, changed))
-            yield batch
+            for first, last, data, offsets in slices(batch.column(place)):
+                part = batch.slice(first, last - first)
+                changed = {i: masked(own, found) for i, own in enumerate(_texts(data, offsets)) if (found := scanner.spans(own))}
+                if changed:
+                    part = part.set_column(place, part.schema.field(place), replaced(part.column(place), changed))
+                yield part
 
     return map_batches(docs, run)

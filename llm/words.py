@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 
@@ -135,7 +135,9 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.nd
     """64-bit hash of each byte span; with LOWERED A-Z count as a-z."""
     powers, inverses = _powers_to(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * powers[:-1], out=sums[1:])
+    np.take(values, data, out=sums[1:], mode="clip")
+    sums[1:] *= powers[:-1]
+    np.cumsum(sums[1:], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverses[starts])
 
 
