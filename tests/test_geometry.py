@@ -107,3 +107,10 @@ def test_distances_shuffle_only_minima(spark):
     probes = df.filter("id < 40").withColumn("_rank", F.col("id"))
     plan = nn_distance(probes, df, "id", "k", "v")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_equal_distances_are_not_split_by_rounding(spark):
+    """Steps of a hundredth differ in their last bits only: no probe lies above the others."""
+    rows = [(i, "x", [round(90_000 + i * 0.07, 2)]) for i in range(3000)]
+    row = scan(spark, rows)
+    assert (row["samples_analyzed"], row["outlier_count"], row["isolated_pct"]) == (500, 0, 0)
