@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slicewise.functions import constants as K
-from slicewise.functions.exprs import clamp_sql, share, text_sql, tier_sql, words
+from slicewise.functions.exprs import clamp_sql, share, text_sql, tier_sql
 from slicewise.functions.issues import NO_ADVICE, Issue, advice_sql, issues_sql
 from slicewise.operators.joining import as_list, cols, is_small, match, materialize
+from slicewise.operators.shingles import shingle_rows
 from slicewise.operators.text import has_phrase
 
 TABLE_PRINT = "TruthfulQA-style table"
@@ -106,56 +107,50 @@ def table_contamination(summary: DataFrame) -> DataFrame:
     )
 
 
-def word_shingles(text: Column, n: int) -> Column:
-    """All runs of ``n`` words of a text, as an array of 128-bit fingerprints (``a``, ``b``).
-
-    Words are lower-cased and split at white space; a text of fewer words, and a null one, has none.
-    """
-    # The arrays of one value bind the words, and every run, once instead of once per use.
-    runs = F.transform(
-        F.array(words(text)),
-        lambda w: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.slice(w, i, n)
-        ),
-    )
-    whole = F.filter(F.get(runs, F.lit(0)), lambda run: F.size(run) == n)
-    prints = F.transform(
-        whole, lambda run: F.struct(F.xxhash64(run).alias("a"), F.xxhash64(F.lit(1), run).alias("b"))
-    )
-    return F.when(text.isNotNull(), prints)
-
-
-def benchmark_index(benchmark: DataFrame, n: int, text: str = "text", key: str = "item_id") -> DataFrame:
-    """Inverted index of a benchmark: rows (a, b, item), one per distinct shingle of an item.
+def benchmark_index(
+    benchmark: DataFrame, sizes: Sequence[int], text: str = "text", key: str = "item_id"
+) -> DataFrame:
+    """Inverted index of a benchmark: rows (_n, _a, _b, item), one per distinct shingle of an item.
 
     Items with a null key or without a shingle are not in it; rows that share a key are one item.
     """
     rows = benchmark.filter(F.col(f"`{key}`").isNotNull()).select(
-        F.col(f"`{key}`").alias("item"), word_shingles(F.col(f"`{text}`"), n).alias("_shingles")
+        F.col(f"`{key}`").alias("item"), F.col(f"`{text}`").alias("_text")
     )
-    return rows.select("item", F.inline("_shingles")).distinct().select("a", "b", "item")
+    return shingle_rows(rows, "_text", sizes).distinct().select("_n", "_a", "_b", "item")
+
+
+PRINT = ["_n", "_a", "_b"]
 
 
-def _hits(docs: DataFrame, index: DataFrame, n: int, keep: Sequence[str]) -> DataFrame:
-    """The shingles of documents that are in the index: rows (keep…, a, b), one per occurrence.
+def _hits(docs: DataFrame, index: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """The shingles of documents that are in the index: the columns of ``docs`` but ``_text``, and those of ``PRINT``, one
+    row per occurrence.
 
     The shingles of a document are looked up where it is read. Only if those of the benchmark are too
-    many to be broadcast, both sides are shuffled by shingle, and one of very many documents is split by AQE.
+    many to be sent, both sides are shuffled by shingle, and one of very many documents is split by AQE.
     """
-    known = materialize(index.select(F.col("a").alias("_a"), F.col("b").alias("_b")).distinct())
-    known = F.broadcast(known) if is_small(known) else known
-    rows = docs.select(*cols(keep), F.inline(word_shingles(F.col("_text"), n)))
-    return rows.join(known, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_semi")
+    known = materialize(index.select(*PRINT).distinct())
+    if is_small(known):
+        return shingle_rows(docs, "_text", sizes, known)
+    return shingle_rows(docs, "_text", sizes).join(known, PRINT, "left_semi")
 
 
 def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_small(df) else df
 
 
+def _sizes(n: int | Sequence[int]) -> list[int]:
+    sizes = [n] if isinstance(n, int) else list(dict.fromkeys(n))
+    if not sizes or min(sizes) < 1:
+        raise ValueError("n must be at least 1")
+    return sizes
+
+
 def ngram_overlap(
     docs: DataFrame,
     benchmark: DataFrame,
-    n: int = 5,
+    n: int | Sequence[int] = 5,
     key: str = "doc_id",
     text: str = "text",
     item_key: str = "item_id",
@@ -165,27 +160,29 @@ def ngram_overlap(
 
     Rows (key, item key, shared_shingles, item_shingles, item_coverage) for every pair with a shared
     shingle; item_coverage is the percentage of the item's distinct shingles. Rows of ``docs`` with the
-    same key are one document. A shingle of many items and many documents gives a row for each pair; use
-    ``ngram_contamination`` for totals without pairs.
+    same key are one document. Several lengths ``n`` are looked up in one pass and told apart by a column ``n``. A shingle of
+    many items and many documents gives a row for each pair; use ``ngram_contamination`` for totals without pairs.
     """
-    index = materialize(benchmark_index(benchmark, n, item_text, item_key))
-    sizes = materialize(index.groupBy("item").agg(F.count(F.lit(1)).alias("item_shingles")))
+    lengths = _sizes(n)
+    index = materialize(benchmark_index(benchmark, lengths, item_text, item_key))
+    sizes = materialize(index.groupBy("_n", "item").agg(F.count(F.lit(1)).alias("item_shingles")))
     rows = docs.select(F.col(f"`{key}`").alias("_doc"), F.col(f"`{text}`").alias("_text"))
-    hits = _hits(rows, index, n, ["_doc"]).distinct()
-    pairs = hits.join(_bounded(index), ["a", "b"]).groupBy("_doc", "item").agg(F.count(F.lit(1)).alias("shared_shingles"))
-    return pairs.join(_bounded(sizes), "item").select(
+    hits = _hits(rows, index, lengths).distinct()
+    pairs = hits.join(_bounded(index), PRINT).groupBy("_doc", "_n", "item").agg(F.count(F.lit(1)).alias("shared_shingles"))
+    return pairs.join(_bounded(sizes), ["_n", "item"]).select(
         F.col("_doc").alias(key),
         F.col("item").alias(item_key),
         "shared_shingles",
         "item_shingles",
         share("shared_shingles", "item_shingles").alias("item_coverage"),
+        *([] if isinstance(n, int) else [F.col("_n").alias("n")]),
     )
 
 
 def ngram_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
-    n: int = 5,
+    n: int | Sequence[int] = 5,
     by: str | Sequence[str] = (),
     text: str = "text",
     item_key: str = "item_id",
@@ -197,24 +194,27 @@ def ngram_contamination(
     contamination_score, …): documents with a shingle of the benchmark, items with a shingle in the
     slice, the greatest percentage of an item's shingles found in it, the items found whole. Ten points
     per item, 100 at most. Every row of ``docs`` is a document. No pairs of documents and items are formed:
-    shingles are counted once per document for the documents and once per slice for the items.
+    shingles are counted once per document for the documents and once per slice for the items. Several lengths ``n`` are
+    looked up in one pass and told apart by a column ``n``.
     """
-    by = as_list(by)
-    index = materialize(benchmark_index(benchmark, n, item_text, item_key))
-    sizes = index.groupBy("item").agg(F.count(F.lit(1)).alias("_size"))
+    by, lengths = as_list(by), _sizes(n)
+    index = materialize(benchmark_index(benchmark, lengths, item_text, item_key))
+    sizes = index.groupBy("_n", "item").agg(F.count(F.lit(1)).alias("_size"))
     rows = docs.select(*cols(by), F.monotonically_increasing_id().alias("_row"), F.col(f"`{text}`").alias("_text"))
     # A row's hits are in one task: repeats are combined before the shuffle.
-    hits = materialize(_hits(rows, index, n, [*by, "_row"]).distinct())
+    hits = materialize(_hits(rows, index, lengths).distinct())
+    keys = [*by, "_n"]
     counts = docs.groupBy(*cols(by)).agg(F.count(F.lit(1)).alias("doc_count"))
-    touched = hits.select(*cols(by), "_row").distinct().groupBy(*cols(by)).agg(F.count(F.lit(1)).alias("hit_docs"))
+    counts = counts.select("*", F.explode(F.array(*map(F.lit, lengths))).alias("_n"))
+    touched = hits.select(*cols(keys), "_row").distinct().groupBy(*cols(keys)).agg(F.count(F.lit(1)).alias("hit_docs"))
     covered = (
-        hits.select(*cols(by), "a", "b")
+        hits.select(*cols(by), *PRINT)
         .distinct()
-        .join(_bounded(index), ["a", "b"])
-        .groupBy(*cols(by), "item")
+        .join(_bounded(index), PRINT)
+        .groupBy(*cols(keys), "item")
         .agg(F.count(F.lit(1)).alias("_found"))
-        .join(sizes, "item")
-        .groupBy(*cols(by))
+        .join(sizes, ["_n", "item"])
+        .groupBy(*cols(keys))
         .agg(
             F.count(F.lit(1)).alias("items_hit"),
             F.max(share("_found", "_size")).alias("max_item_coverage"),
@@ -230,8 +230,8 @@ def ngram_contamination(
         (hit, "Decontaminate before evaluating on this benchmark"),
         ("whole_items > 0", "Check whether the benchmark itself was collected as training data"),
     )
-    return (
-        match(match(counts, touched, by), covered, by)
+    out = (
+        match(match(counts, touched, keys), covered, keys)
         .fillna(0, ["hit_docs", "items_hit", "max_item_coverage", "whole_items"])
         .withColumn("hit_pct", share("hit_docs", "doc_count"))
         .selectExpr(
@@ -242,3 +242,4 @@ def ngram_contamination(
             f"{told} AS contamination_advice",
         )
     )
+    return out.drop("_n") if isinstance(n, int) else out.withColumn("n", F.col("_n")).drop("_n")

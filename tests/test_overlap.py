@@ -104,3 +104,25 @@ def test_broadcasts_are_bounded_in_bytes(spark):
     assert joining.is_small(wide)
     assert not joining.is_small(wide, most_bytes=100_000)
     assert not joining.is_small(wide, bound=99)
+
+
+def test_lengths_in_one_pass_and_all_white_space(spark, sample):
+    """Several lengths cost one pass over the texts; words end at the same characters as elsewhere in the library."""
+    docs, bench = sample
+    odd = " ".join(["Ärger", "und", "İx"]) + " z　é\x1fy\u0085w €â"
+    docs = [*docs, (300, odd, "s", 0, 0), (301, "x " + odd.replace(" ", "\r\n"), "t", 0, 0)]
+    bench = [*bench, (200, odd.replace(" ", "  "), "x", 1)]
+    frames = spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, BENCH)
+    scans = []
+    whole = contamination.shingle_rows
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(contamination, "shingle_rows", lambda *a, **k: scans.append(a) or whole(*a, **k))
+        found = S.ngram_overlap(*frames, n=[2, 5, 7]).collect()
+    assert len(scans) == 2
+    for n in (2, 5, 7):
+        assert sorted((*r[:4], round(r[4], 9)) for r in found if r["n"] == n) == brute(docs, bench, n)
+    assert {(r["doc_id"], r["item_coverage"]) for r in found if r["n"] == 7 and r["item_id"] == 200} == {(300, 100.0), (301, 100.0)}
+    totals = S.ngram_contamination(*frames, n=[2, 5], by="source").collect()
+    for n in (2, 5):
+        alone = {r["source"]: r.asDict() for r in S.ngram_contamination(*frames, n=n, by="source").collect()}
+        assert {r["source"]: {k: v for k, v in r.asDict().items() if k != "n"} for r in totals if r["n"] == n} == alone
