@@ -8,13 +8,14 @@ are compiled when a text first leads to them, and forgotten when there are ``MOS
 
 The pieces are the vocabulary's own pre-tokens. At the end of a piece every state leads back to the first
 one, so the state map of a chunk of whole pieces is constant, and composing chunks is a prefix sum of
-their counts: that is how texts, and pieces within texts, are put together in a batch.
+their counts: that is how texts, and pieces within texts, are put together in a batch. The maps of up to
+``MOST_PIECES`` pieces are held, so bytes are read one by one only in pieces that are new.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from llm.words import slices
 
 MOST_STATES = 1_000_000
+#: Pieces whose constant state map is held, and the letters that one of them may have.
+MOST_PIECES, MOST_LETTERS = 200_000, 64
 #: The pieces that byte-level pre-tokenisation cuts a text into.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -52,6 +55,22 @@ def read_vocabulary(path: str) -> tuple[dict[tuple[bytes, bytes], int], set[byte
     return ranks, tokens, added
 
 
+class Pieces(dict):
+    """Annotations of whole pieces summed up, so that a piece that recurs is one transition."""
+
+    def __init__(self, count: Callable[[bytes], int]):
+        super().__init__()
+        self.count = count
+
+    def __missing__(self, piece: str) -> int:
+        number = self.count(piece.encode())
+        if len(piece) <= MOST_LETTERS:
+            if len(self) >= MOST_PIECES:
+                self.clear()
+            self[piece] = number
+        return number
+
+
 class Transducer:
     def __init__(self, ranks: dict[tuple[bytes, bytes], int], tokens: set[bytes], added: list[str]):
         self.ranks, self.tokens, self.added = ranks, tokens, added
@@ -59,6 +78,7 @@ class Transducer:
         self.neighbours: dict[tuple[bytes, bytes], bool] = {}
         self.pieces = regex.compile(PIECES)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        self.whole = Pieces(self.piece)
         self.forget()
 
     def forget(self) -> None:
@@ -120,13 +140,13 @@ class Transducer:
     def chunk(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text, as differences of one prefix sum over the pieces of all."""
         counts, ends = [], [0]
-        find, piece = self.pieces.findall, self.piece
+        find, count = self.pieces.findall, self.whole.__getitem__
         for text in texts:
             for part in self.special.split(text) if self.special else [text]:
                 if part in self.added:
                     counts.append(1)
                 else:
-                    counts.extend([piece(p.encode()) for p in find(part)])
+                    counts.extend(map(count, find(part)))
             ends.append(len(counts))
             if len(self.step) > MOST_STATES:
                 self.forget()
