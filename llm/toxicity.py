@@ -1,17 +1,18 @@
 """Toxicity by class-conditional Kneser-Ney models: length-normalised log-likelihoods compared.
 
-Each class has an interpolated Kneser-Ney bigram model. It backs off to the class's continuation
-counts, these back off to continuation counts shared by both classes, and these to a uniform
-distribution with room for unknown words: a rare expression is smoothed alike in both classes.
+Each class has an interpolated Kneser-Ney bigram model. It backs off to the class's continuation counts
+of the word, and a word is spelt byte by byte: the next byte given the word's beginning, up to ``SPELT`` bytes, which backs
+off to a uniform distribution. So an expression that neither class has is judged by its beginning (a stem with an ending
+not seen before), and a rare beginning is smoothed alike in both classes.
 
 A document's evidence is the difference of the two log-likelihoods per word, for the whole text and for
-its most toxic run of 2, of 8 and of 32 words (runs are cut at the text's end, not averaged away by a long
-text). Logistic regression turns the four into a probability. It is fitted on evidence from models
+its most toxic word and run of 2, of 8 and of 32 words (runs are cut at the text's end, not averaged away by a long
+text). Logistic regression turns the five into a probability. It is fitted on evidence from models
 that have not seen the document's fold.
 
 Models are fitted on a bounded sample of labelled documents, ``sample_bytes`` of text in each class at
-most, so their size is bounded too and they are broadcast. Counting is a Spark aggregation; only counts per
-word, per context and of the more frequent bigrams of the sample come to the driver. Scoring is one pass over all texts without a shuffle.
+most, so their size is bounded too and they are broadcast. Counting is a Spark aggregation; only counts of the more frequent
+words, beginnings and bigrams of the sample, and of contexts of the latter, come to the driver. Scoring is one pass over all texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -26,16 +27,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from llm.shared import keep, keep_table, send
-from llm.words import LETTERS, ODD, hashes, mix, slices, split
+from llm.words import LETTERS, ODD, Words, hashes, mix, slices, split
 
 SAMPLE_ROWS = 6_000
 SAMPLE_BYTES = 16 << 20
 #: A key's texts have at most this part of ``sample_bytes`` in the sample, so each class keeps that many keys or all.
 LEAST_KEYS = 64
-RUNS = (2, 8, 32)
+RUNS = (1, 2, 8, 32)
 #: Taken from every count of a class: an expression this rare in it is left to the counts it backs off to.
 DISCOUNT = 5
-SHARED_DISCOUNT = 0.75
+#: Bytes of a word that are spelt; what follows them is one more symbol.
+SPELT = 8
+#: The uniform distribution of the next byte.
+UNIFORM = 1 / 256
+BEGINNINGS = np.array([(1 << 64) - (1 << (64 - 8 * k)) for k in range(SPELT + 1)], np.uint64)
+LOWER = np.arange(256, dtype=np.uint64)
+LOWER[0x41:0x5B] += np.uint64(0x20)
 START = np.uint64(0x5851F42D4C957F2D)
 FOLDS = (0, 1, 3)
 
@@ -44,14 +51,28 @@ def fold_of(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 4
 
 
-def _bigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, the hashes of the words before them, and ``of`` with the first word of each row."""
+def _bigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, Words]:
+    """Word hashes, the hashes of the words before them, and the words."""
     words = split(data, offsets, LETTERS)
     here = hashes(data, words.starts, words.ends)
     before = np.empty_like(here)
     before[1:] = here[:-1]
     before[words.of[:-1][np.diff(words.of) > 0]] = START
-    return before, here, words.of
+    return before, here, words
+
+
+def _heads(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first ``SPELT`` bytes of each word as a number, A-Z as a-z; no word has a zero byte, so zeros end a shorter one."""
+    head = np.zeros(len(starts), np.uint64)
+    for k in range(SPELT):
+        byte = LOWER[data[np.minimum(starts + k, ends - 1)]]
+        head = (head << np.uint64(8)) | np.where(starts + k < ends, byte, np.uint64(0))
+    return head
+
+
+def _sizes(head: np.ndarray) -> np.ndarray:
+    """How many bytes of each word are in its head."""
+    return sum((head & BEGINNINGS[k]) != (head & BEGINNINGS[k - 1]) for k in range(1, SPELT + 1))
 
 
 def _both(before: np.ndarray, here: np.ndarray) -> np.ndarray:
@@ -73,13 +94,22 @@ class Ratio:
     pair_ratio: np.ndarray
     words: np.ndarray
     word_ratio: np.ndarray
+    #: Per length of a beginning, from 0: that of words that go on in a way not tabulated.
+    heads: list[np.ndarray]
+    head_ratio: list[np.ndarray]
     contexts: np.ndarray
     backoff_ratio: np.ndarray
 
-    def of(self, before: np.ndarray, here: np.ndarray) -> np.ndarray:
+    def of(self, data: np.ndarray, before: np.ndarray, here: np.ndarray, words: Words) -> np.ndarray:
         out = np.zeros(len(here))
         at, known = _place(self.words, here)
         out[known] = self.word_ratio[at[known]]
+        other = np.flatnonzero(~known)
+        head = _heads(data, words.starts[other], words.ends[other])
+        for k in range(len(self.heads) - 1, -1, -1):
+            at, known = _place(self.heads[k], head & BEGINNINGS[k])
+            out[other[known]] = self.head_ratio[k][at[known]]
+            other, head = other[~known], head[~known]
         at, known = _place(self.contexts, before)
         out[known] += self.backoff_ratio[at[known]]
         at, known = _place(self.pairs, _both(before, here))
@@ -87,77 +117,144 @@ class Ratio:
         return out
 
 
-def kneser_ney(words: pa.Table, contexts: pa.Table, pairs: pa.Table, version: int) -> Ratio:
-    """The ratio of one version of the counts, from the tables of ``_statistics``.
+@dataclass
+class Statistics:
+    """What the models need of the distinct bigrams of the sample, in versions: one without each fold, and last
+    one of all.
+
+    Per word and per beginning of words: distinct bigrams of each class that end in it (k0, k1). Per context:
+    occurrences (m0, m1) and what is taken from them (t0, t1). Per bigram: occurrences (c0, c1). Words, beginnings and
+    bigrams of which no class has more than ``DISCOUNT`` need no entry: both classes leave them to what they back off to, as they
+    leave unseen ones; nor do contexts without such a bigram."""
+
+    words: pa.Table
+    beginnings: pa.Table
+    contexts: pa.Table
+    pairs: pa.Table
+
 
-    Bigrams that no class has more than ``DISCOUNT`` times need no entry: both classes leave them to what they
-    back off to, as they leave an unseen one."""
+def kneser_ney(counts: Statistics, version: int) -> Ratio:
+    """The ratio of one version of the counts."""
 
     def sums(table: pa.Table, name: str) -> np.ndarray:
-        return table.column(f"{name}_{version}").to_numpy().astype(np.float64)
+        return np.stack([table.column(f"{name}{k}_{version}").to_numpy().astype(np.float64) for k in (0, 1)])
+
+    def longs(table: pa.Table, name: str) -> np.ndarray:
+        return table.column(name).to_numpy().view(np.uint64)
+
+    def over(count: np.ndarray) -> np.ndarray:
+        return np.maximum(count - DISCOUNT, 0)
 
-    used = sums(words, "s") > 0
-    keys = words.column("here").to_numpy().view(np.uint64)[used]
-    seen = sums(contexts, "m0") + sums(contexts, "m1") > 0
-    before = contexts.column("before").to_numpy().view(np.uint64)[seen]
-    if any(not sums(contexts, f"m{k}").any() for k in (0, 1)):
+    level = counts.beginnings.column("level").to_numpy()
+    rows = [np.flatnonzero(level == k) for k in range(SPELT + 1)]
+    begun, heads = sums(counts.beginnings, "k"), longs(counts.beginnings, "head")
+    rows = [r[np.argsort(heads[r])] for r in rows]
+    if not len(rows[0]) or (begun[:, rows[0][0]] == 0).any():
         none, zero = np.zeros(0, np.uint64), np.zeros(0)
-        return Ratio(none, zero, none, zero, none, zero)
-    kinds, d = sums(words, "s")[used], SHARED_DISCOUNT
-    bigrams = kinds.sum()
-    shared = np.maximum(kinds - d, 0) / bigrams + d * len(keys) / bigrams / (len(keys) + 1)
-    by_word, by_context = np.argsort(keys), np.argsort(before)
-    kept = sums(pairs, "c0") + sums(pairs, "c1") > 0
-    first, second = (pairs.column(c).to_numpy().view(np.uint64)[kept] for c in ("before", "here"))
-    h = by_context[np.searchsorted(before[by_context], first)]
-    w = by_word[np.searchsorted(keys[by_word], second)]
-    logs, word_logs, backoff_logs = [], [], []
-    for k in (0, 1):
-        kinds = sums(words, f"k{k}")[used]
-        total = kinds.sum()
-        p_word = np.maximum(kinds - DISCOUNT, 0) / total + np.minimum(kinds, DISCOUNT).sum() / total * shared
-        mass, taken = sums(contexts, f"m{k}")[seen], sums(contexts, f"t{k}")[seen]
-        backoff = np.where(mass > 0, taken / np.maximum(mass, 1), 1.0)
-        c = sums(pairs, f"c{k}")[kept]
-        logs.append(np.log(np.maximum(c - DISCOUNT, 0) / np.maximum(mass[h], 1) + backoff[h] * p_word[w]))
-        word_logs.append(np.log(p_word))
-        backoff_logs.append(np.log(backoff))
+        return Ratio(none, zero, none, zero, [], [], none, zero)
+    levels = [heads[r] for r in rows]
+    kinds = [begun[:, r] for r in rows]
+    here, head, ended = longs(counts.words, "here"), longs(counts.words, "head"), sums(counts.words, "k")
+    size = _sizes(head)
+    # What a beginning passes on is what its longer ones and words have beyond the discount; the rest is left to the uniform distribution.
+    passed = [np.zeros_like(n) for n in kinds]
+    up = [np.zeros(0, np.int64)] + [np.searchsorted(levels[k - 1], levels[k] & BEGINNINGS[k - 1]) for k in range(1, SPELT + 1)]
+    own = np.zeros(len(here), np.int64)
+    for k in range(SPELT + 1):
+        at = np.flatnonzero(size == k)
+        own[at] = np.searchsorted(levels[k], head[at])
+        for c in (0, 1):
+            passed[k][c] += np.bincount(own[at], over(ended[c, at]), len(levels[k]))
+            if k < SPELT:
+                passed[k][c] += np.bincount(up[k + 1], over(kinds[k + 1][c]), len(levels[k]))
+    left = [np.where(n > 0, (n - t) / np.maximum(n, 1), 1.0) for n, t in zip(kinds, passed, strict=True)]
+    logs = [np.zeros((2, len(levels[0])))]
+    for k in range(1, SPELT + 1):
+        step = over(kinds[k]) / np.maximum(kinds[k - 1][:, up[k]], 1) + left[k - 1][:, up[k]] * UNIFORM
+        logs.append(logs[k - 1][:, up[k]] + np.log(step))
+    word_logs = np.zeros((2, len(here)))
+    for k in range(SPELT + 1):
+        at = np.flatnonzero(size == k)
+        word_logs[:, at] = logs[k][:, own[at]] + np.log(over(ended[:, at]) / np.maximum(kinds[k][:, own[at]], 1) + left[k][:, own[at]] * UNIFORM)
+    by_word = np.argsort(here)
+    here, word_logs = here[by_word], word_logs[:, by_word]
+
+    # Bigrams, their words by the same tables.
+    first, second, last = longs(counts.pairs, "before"), longs(counts.pairs, "here"), longs(counts.pairs, "head")
+    before = longs(counts.contexts, "before")
+    by_context = np.argsort(before)
+    before = before[by_context]
+    mass, taken = sums(counts.contexts, "m")[:, by_context], sums(counts.contexts, "t")[:, by_context]
+    backoff = np.where(mass > 0, taken / np.maximum(mass, 1), 1.0)
+    at, known = _place(here, second)
+    p_word = np.zeros((2, len(second)))
+    p_word[:, known] = word_logs[:, at[known]]
+    size, open_ = _sizes(last), np.flatnonzero(~known)
+    for k in range(SPELT, -1, -1):
+        at, known = _place(levels[k], last[open_] & BEGINNINGS[k])
+        found, at = open_[known], at[known]
+        p_word[:, found] = logs[k][:, at] + np.log(left[k][:, at]) + (size[found] - k + 1) * np.log(UNIFORM)
+        open_ = open_[~known]
+    h = np.searchsorted(before, first)
+    pair_logs = np.log(over(sums(counts.pairs, "c")) / np.maximum(mass[:, h], 1) + backoff[:, h] * np.exp(p_word))
     hashed = _both(first, second)
     order = np.argsort(hashed)
+
+    def ratio(of: np.ndarray) -> np.ndarray:
+        return (of[1] - of[0]).astype(np.float32)
+
     return Ratio(
         hashed[order],
-        (logs[1] - logs[0])[order].astype(np.float32),
-        keys[by_word],
-        (word_logs[1] - word_logs[0])[by_word].astype(np.float32),
-        before[by_context],
-        (backoff_logs[1] - backoff_logs[0])[by_context].astype(np.float32),
+        ratio(pair_logs)[order],
+        here,
+        ratio(word_logs),
+        levels,
+        [ratio(p + np.log(rest)) for p, rest in zip(logs, left, strict=True)],
+        before,
+        ratio(np.log(backoff)),
     )
 
 
-def _statistics(counted: DataFrame) -> tuple[pa.Table, pa.Table, pa.Table]:
-    """What the models need of the distinct bigrams (before, here, n0 …) of the sample, in versions: one
-    without each fold, and last one of all.
-
-    Per word: distinct bigrams it ends (s), and those of each class (k0, k1). Per context: occurrences (m0, m1)
-    and what is taken from them (t0, t1). Bigrams (c0, c1) only if a class has more than ``DISCOUNT``."""
+def _statistics(counted: DataFrame) -> Statistics:
+    """From the distinct bigrams (before, here, head, n0 …) of the sample."""
 
     def count(k: int, version: int) -> Column:
         folds = [f for f in FOLDS if version == len(FOLDS) or f != FOLDS[version]]
         return sum((F.col(f"n{4 * k + f}") for f in folds), F.lit(0))
 
-    versions = range(len(FOLDS) + 1)
-    both = [(k, v) for v in versions for k in (0, 1)]
-    words = counted.groupBy("here").agg(
-        *[F.count_if(count(0, v) + count(1, v) > 0).cast("int").alias(f"s_{v}") for v in versions],
-        *[F.count_if(count(k, v) > 0).cast("int").alias(f"k{k}_{v}") for k, v in both],
+    whole = len(FOLDS)
+    both = [(k, v) for v in range(whole + 1) for k in (0, 1)]
+
+    def often(name: str) -> Column:
+        return F.greatest(F.col(f"{name}0_{whole}"), F.col(f"{name}1_{whole}")) > DISCOUNT
+
+    words = keep_table(
+        counted.groupBy("here", "head").agg(*[F.count_if(count(k, v) > 0).cast("int").alias(f"k{k}_{v}") for k, v in both])
+    )
+    masks = [F.lit(int(m)) for m in BEGINNINGS.view(np.int64)]
+
+    def beginning(level: Column) -> Column:
+        return F.col("head").bitwiseAND(F.element_at(F.array(*masks), level + 1))
+
+    # A word has no beginnings beyond its length.
+    begun = words.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(SPELT)))).filter(
+        (F.col("level") == 0) | (beginning(F.col("level")) != beginning(F.greatest(F.col("level") - 1, F.lit(0))))
+    )
+    beginnings = (
+        begun.groupBy("level", beginning(F.col("level")).alias("head"))
+        .agg(*[F.sum(f"k{k}_{v}").cast("int").alias(f"k{k}_{v}") for k, v in both])
+        .filter((F.col("level") == 0) | often("k"))
     )
-    contexts = counted.groupBy("before").agg(
-        *[F.sum(count(k, v)).cast("int").alias(f"m{k}_{v}") for k, v in both],
-        *[F.sum(F.least(count(k, v), F.lit(DISCOUNT))).cast("int").alias(f"t{k}_{v}") for k, v in both],
+    contexts = (
+        counted.groupBy("before")
+        .agg(
+            *[F.sum(count(k, v)).cast("int").alias(f"m{k}_{v}") for k, v in both],
+            *[F.sum(F.least(count(k, v), F.lit(DISCOUNT))).cast("int").alias(f"t{k}_{v}") for k, v in both],
+        )
+        .filter(" OR ".join(f"m{k}_{whole} > t{k}_{whole}" for k in (0, 1)))
     )
-    often = F.greatest(count(0, len(FOLDS)), count(1, len(FOLDS))) > DISCOUNT
-    pairs = counted.filter(often).select("before", "here", *[count(k, v).alias(f"c{k}_{v}") for k, v in both])
-    return words.toArrow(), contexts.toArrow(), pairs.toArrow()
+    pairs = counted.select("before", "here", "head", *[count(k, v).alias(f"c{k}_{v}") for k, v in both]).filter(often("c"))
+    return Statistics(words.filter(often("k")).toArrow(), beginnings.toArrow(), contexts.toArrow(), pairs.toArrow())
 
 
 def evidence(ratio: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -242,32 +339,33 @@ def fit(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, hel
         for batch in batches:
             group = batch.column(0).to_numpy() * 4 + batch.column(1).to_numpy()
             for first, last, data, offsets in slices(batch.column(2)):
-                before, here, of = _bigrams(data, offsets)
-                own = np.repeat(group[first:last], np.diff(of))
+                before, here, words = _bigrams(data, offsets)
+                own = np.repeat(group[first:last], np.diff(words.of))
+                head = _heads(data, words.starts, words.ends)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own, pa.int32()), pa.array(before.view(np.int64)), pa.array(here.view(np.int64))],
-                    ["own", "before", "here"],
+                    [pa.array(own, pa.int32()), *(pa.array(x.view(np.int64)) for x in (before, here, head))],
+                    ["own", "before", "here", "head"],
                 )
 
     groups = [4 * k + f for k in (0, 1) for f in FOLDS]
     counted = keep_table(
-        sample.mapInArrow(count, "own int, before bigint, here bigint")
-        .groupBy("before", "here")
+        sample.mapInArrow(count, "own int, before bigint, here bigint, head bigint")
+        .groupBy("before", "here", "head")
         .agg(*(F.count(F.when(F.col("own") == g, 1)).cast("int").alias(f"n{g}") for g in groups))
     )
-    tables = _statistics(counted)
-    sent = send(spark, {f: kneser_ney(*tables, v) for v, f in enumerate(FOLDS)})
+    counts = _statistics(counted)
+    sent = send(spark, {f: kneser_ney(counts, v) for v, f in enumerate(FOLDS)})
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         others = sent()
         for batch in batches:
             fold = batch.column(1).to_numpy()
             for first, last, data, offsets in slices(batch.column(2)):
-                before, here, of = _bigrams(data, offsets)
+                before, here, words = _bigrams(data, offsets)
                 x = np.zeros((last - first, 1 + len(RUNS)))
                 for f, ratio in others.items():
                     own = fold[first:last] == f
-                    x[own] = evidence(ratio.of(before, here), of)[own]
+                    x[own] = evidence(ratio.of(data, before, here, words), words.of)[own]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, last - first), *(pa.array(x[:, k]) for k in range(x.shape[1]))],
                     ["toxic", *(f"x{k}" for k in range(x.shape[1]))],
@@ -279,7 +377,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str, hel
     shares = {r["toxic"]: r["n"] for r in labels.filter(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{label}`").cast("int").alias("toxic")).agg(F.count(F.when(fold_of(F.col(f"`{key}`")) != held, 1)).alias("n")).filter("toxic IN (0, 1)").collect()}
     y = points["toxic"].to_numpy(float)
     x = points.drop(columns="toxic").to_numpy(float)
-    whole = kneser_ney(*tables, len(FOLDS))
+    whole = kneser_ney(counts, len(FOLDS))
     if len(y) == 0 or y.min() == y.max():
         constant = 0.0 if len(y) == 0 else float(y[0])
         zero = np.zeros(1 + len(RUNS))
@@ -300,7 +398,7 @@ def score_toxicity(
     sample_bytes: int = SAMPLE_BYTES,
     fit_on: DataFrame | None = None,
 ) -> DataFrame:
-    """Per row of ``docs``: key, score (0 to 1), mean_ratio, run2_ratio, run8_ratio, run32_ratio.
+    """Per row of ``docs``: key, score (0 to 1), mean_ratio, run1_ratio, run2_ratio, run8_ratio, run32_ratio.
 
     Labels are learnt from documents of ``fit_on`` (default ``docs``) whose crc32(key as text) mod 4 is
     not ``held``: of each class the first ``rows`` in hash order, as far as their texts have no more than
@@ -339,8 +437,8 @@ def _scored(docs: DataFrame, model: Model, text: str, kept: list[str]) -> DataFr
         own = sent()
         for batch in batches:
             for first, last, data, offsets in slices(batch.column(place)):
-                before, here, of = _bigrams(data, offsets)
-                x = evidence(own.ratio.of(before, here), of)
+                before, here, words = _bigrams(data, offsets)
+                x = evidence(own.ratio.of(data, before, here, words), words.of)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(i).slice(first, last - first) for i in range(len(kept))),
