@@ -99,6 +99,25 @@ def test_toxic_words_are_found_in_held_out_documents(spark):
     assert hits[False, True] <= 0.03 * (hits[False, True] + hits[False, False])
 
 
+def test_toxic_stems_are_found_with_endings_not_seen_before(spark):
+    rng = random.Random(47)
+    ends = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    rows, marks = [], []
+    for i in range(1600):
+        words = prose(rng, rng.randint(60, 400)).split()
+        if i % 8 == 0:
+            for _ in range(2):
+                words.insert(rng.randrange(len(words)), rng.choice(["vile", "schlecht"]) + rng.choice(ends) + rng.choice(ends))
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(i % 8 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = toxicity.score_toxicity(docs, spark.createDataFrame(marks, "doc_id bigint, toxic int"))
+    held = found.filter(toxicity.fold_of(F.col("doc_id")) == 2).select("doc_id", "score").collect()
+    hits = Counter((r["doc_id"] % 8 == 0, r["score"] >= 0.3) for r in held)
+    assert hits[True, True] >= 0.9 * (hits[True, True] + hits[True, False])
+    assert hits[False, True] <= 0.03 * (hits[False, True] + hits[False, False])
+
+
 def test_one_oversize_text_leaves_its_class_in_the_sample(spark):
     rng = random.Random(41)
     rows = [(i, prose(rng, 40) + (" vilebad nastybad vilebad" if i % 3 == 0 else "")) for i in range(600)]
