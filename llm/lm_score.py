@@ -6,10 +6,11 @@ is the bigram's log-ratio less that of the word before it; the first word's is i
 taken over all words. A document is thus a bag of signed grams, and one
 table of log-ratios, keyed by gram, serves both orders.
 
-Counts come from all documents, and the table grows with them; it is never collected or broadcast as a whole.
-A gram that occurs once in the background and never in the target has a known log-ratio, so such grams, the
-bulk of a vocabulary, stay out of the table. Grams in at least a ``HOT``-th of all documents' rows are at
-most ``HOT`` and broadcast; so the shuffled join has no hot key.
+Counts come from all documents and are never collected or broadcast as a whole. Grams are dealt once, with their documents, into
+buckets by hash: a bucket's task counts its grams, takes their log-ratios and sums them per document. What the size of the
+models adds to a log-ratio is the same for all grams of an order, so it is added to a document's sum at the end. Buckets grow in number with
+the texts. Grams that a sample shows in more than ``HOT`` rows are counted apart, broadcast and summed where the text is read;
+so no bucket has a hot key, and the sample decides on the way only, not on the result.
 """
 
 from __future__ import annotations
@@ -21,53 +22,121 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.shared import keep, keep_table
+from llm.shared import keep_table, send
 from llm.words import LETTERS, ODD, hashes, mix, slices, split
 
 ALPHA = 0.5
-HOT = 1_000
+#: Rows with a gram from which it counts as hot, and bytes of text per bucket.
+HOT = 200_000
+BUCKET_BYTES = 16 << 20
+#: One row of so many is looked at for hot grams.
+SAMPLED = 64
+
+
+def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct grams of each row (row, gram, n, weight) in order of rows, and the number of words of each row. The lowest bit of
+    a gram tells bigrams from words. ``weight`` is how often the gram's log-ratio counts in the sum of the words' losses: a bigram
+    once each time, a word as the text's first less each time that it is a context."""
+    words = split(data, offsets, LETTERS)
+    here = hashes(data, words.starts, words.ends)
+    rows = words.rows
+    pair = np.flatnonzero(rows[1:] == rows[:-1]) if len(rows) else np.zeros(0, np.int64)
+    both = mix(here[pair] * ODD[0] + here[pair + 1] * ODD[1])
+    one = np.uint64(1)
+    gram = np.concatenate([here & ~one, both | one])
+    row = np.concatenate([rows, rows[pair]])
+    signed = np.concatenate([np.zeros(len(here), np.int64), np.ones(len(both), np.int64)])
+    signed[pair] -= 1
+    signed[words.of[:-1][np.diff(words.of) > 0]] += 1
+    order = np.lexsort((gram, row))
+    gram, row, signed = gram[order], row[order], signed[order]
+    first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])])) if len(gram) else np.zeros(0, np.int64)
+    weight = np.add.reduceat(signed, first) if len(first) else first
+    return row[first], gram[first], np.diff(np.append(first, len(gram))), weight, np.diff(words.of)
+
+
+def _hot(given: DataFrame, most: int) -> pa.Table:
+    """(gram, n, t) of the grams that a sample shows in more than ``most`` rows, counted in all rows, in order of grams."""
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in slices(batch.column(0)):
+                gram = _grams(data, offsets)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64))], ["gram"])
+
+    sample = given.filter(F.pmod(F.xxhash64("key", "text"), F.lit(SAMPLED)) == 0).select("text")
+    often = sample.mapInArrow(seen, "gram bigint").groupBy("gram").count().filter(F.col("count") * SAMPLED > most)
+    wanted = np.sort(often.select("gram").toArrow().column("gram").to_numpy().view(np.uint64))
+    sent = send(given.sparkSession, wanted)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = sent()
+        for batch in batches:
+            own = batch.column(2).to_numpy(zero_copy_only=False)
+            for first, last, data, offsets in slices(batch.column(0)):
+                row, gram, n, _, _ = _grams(data, offsets)
+                at, known = _place(hot, gram)
+                at, n, t = at[known], n[known], (n * own[first:last][row])[known]
+                sums = [np.bincount(at, x, len(hot)).astype(np.int64) for x in (n, t)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hot.view(np.int64), *sums)], ["gram", "n", "t"])
+
+    counted = given.mapInArrow(count, "gram bigint, n bigint, t bigint").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    found = counted.toArrow()  # at most the sample's grams over ``most`` rows
+    return found.take(pa.array(np.argsort(found.column("gram").to_numpy().view(np.uint64))))
+
+
+def _place(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``keys`` in the sorted ``table``, and which are there."""
+    place = np.searchsorted(table, keys)
+    place[place == len(table)] = 0
+    return place, (table[place] == keys if len(table) else np.zeros(len(keys), bool))
 
 
-def _grams(docs: DataFrame, text: str, carry: list[Column], types: list[str]) -> DataFrame:
-    """(c0, c1, ..., level, gram, n, weight): distinct grams of each row; level 0 with n = number of words. ``weight`` is how
-    often the gram's log-ratio counts in the sum of the words' losses: a bigram once each time, a word as the text's first
-    less each time that it is a context."""
+def _dealt(given: DataFrame, buckets: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """One row per slice of texts and bucket: the keys and kinds of its texts, how many grams each has, and gram by gram
+    gram, n and what its weight differs from n (for words: from -n) as numbers side by side; and one row per slice with all its texts, their words and their sums over hot grams."""
+    sent = send(given.sparkSession, hot)
+    kind = given.schema["key"].dataType.simpleString()
+    names = ["grams", "gram", "n", "extra", "words", "known"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, value = sent()
         for batch in batches:
-            for first, last, data, offsets in slices(batch.column(0), 1 << 20):
-                words = split(data, offsets, LETTERS)
-                here = hashes(data, words.starts, words.ends)
-                rows = words.rows
-                pair = np.flatnonzero(rows[1:] == rows[:-1]) if len(rows) else np.zeros(0, np.int64)
-                both = mix(here[pair] * ODD[0] + here[pair + 1] * ODD[1])
-                gram = np.concatenate([here, both])
-                row = np.concatenate([rows, rows[pair]])
-                level = np.concatenate([np.ones(len(here), np.int8), np.full(len(both), 2, np.int8)])
-                signed = np.concatenate([np.zeros(len(here), np.int64), np.ones(len(both), np.int64)])
-                signed[pair] -= 1
-                signed[words.of[:-1][np.diff(words.of) > 0]] += 1
-                _, at, inverse, n = np.unique(mix(gram ^ mix(row.astype(np.uint64) * np.uint64(4) + level.astype(np.uint64) + np.uint64(1))), return_index=True, return_inverse=True, return_counts=True)
-                size = last - first
-                where = np.concatenate([row[at], np.arange(size)])
-                part = batch.slice(first, size)
+            for first, last, data, offsets in slices(batch.column(0)):
+                part = batch.slice(first, last - first)
+                row, gram, n, weight, words = _grams(data, offsets)
+                at, known = _place(hot, gram)
+                sums = np.bincount(row[known], weight[known] * value[at[known]], len(words))
+                extra = weight - np.where(gram & np.uint64(1), n, -n)
+                row, gram, n, extra = (x[~known] for x in (row, gram, n, extra))
+                bucket = (mix(gram) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                ends = np.append(np.flatnonzero(np.diff(bucket[order])) + 1, len(order)) if len(order) else []
+                begin, lists = 0, []
+                for end in ends:
+                    of = order[begin:end]
+                    texts, grams = np.unique(row[of], return_counts=True)
+                    lists.append((int(bucket[of[0]]), texts, grams.astype(np.int32), gram[of], n[of].astype(np.int32), extra[of].astype(np.int32), b"", b""))
+                    begin = end
+                # Any bucket will do for the texts themselves.
+                lists.append((len(data) % buckets, np.arange(len(words)), np.zeros(len(words), np.int32), b"", b"", b"", words.astype(np.int64), sums))
+                size = pa.array(np.cumsum([0] + [len(x[1]) for x in lists]), pa.int32())
+                where = pa.array(np.concatenate([x[1] for x in lists]))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(part.column(1 + i).take(pa.array(where)) for i in range(len(types))),
-                        pa.array(np.concatenate([level[at], np.zeros(size, np.int8)]), pa.int8()),
-                        pa.array(np.concatenate([gram[at], np.zeros(size, np.uint64)]).view(np.int64)),
-                        pa.array(np.concatenate([n, np.diff(words.of)])),
-                        pa.array(np.concatenate([np.bincount(inverse, signed, len(at)).astype(np.int64), np.zeros(size, np.int64)])),
+                        pa.array([x[0] for x in lists], pa.int32()),
+                        *(pa.ListArray.from_arrays(size, part.column(c).take(where)) for c in (1, 2)),
+                        *(pa.array([bytes(x[c]) for x in lists], pa.binary()) for c in range(2, 8)),
                     ],
-                    [*(f"c{i}" for i in range(len(types))), "level", "gram", "n", "weight"],
+                    ["bucket", "keys", "own", *names],
                 )
 
-    fields = ", ".join(f"c{i} {t}" for i, t in enumerate(types))
-    given = docs.select(F.col(f"`{text}`").alias("text"), *(c.alias(f"c{i}") for i, c in enumerate(carry)))
-    return given.mapInArrow(run, f"{fields}, level tinyint, gram bigint, n bigint, weight bigint")
+    return given.mapInArrow(run, f"bucket int, keys array<{kind}>, own array<boolean>, " + ", ".join(f"{n} binary" for n in names))
 
 
-def cross_entropy_difference(docs: DataFrame, target: Column, text: str = "text", key: str = "doc_id", alpha: float = ALPHA) -> DataFrame:
+def cross_entropy_difference(
+    docs: DataFrame, target: Column, text: str = "text", key: str = "doc_id", alpha: float = ALPHA, hot: int = HOT, bucket: int = BUCKET_BYTES
+) -> DataFrame:
     """Per key: n_tokens, loss_difference (mean over its words of target loss less background loss; the
     lower, the more alike to the target).
 
@@ -77,52 +146,73 @@ def cross_entropy_difference(docs: DataFrame, target: Column, text: str = "text"
     those of the null key, are scored together. Without any target row all differences follow from
     smoothing alone. Other columns are ignored.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    counted = _grams(docs, text, [F.coalesce(target, F.lit(False))], ["boolean"]).filter("level > 0")
-    own = F.when(F.col("c0"), F.col("n")).otherwise(0)
-    every = keep_table(
-        counted.groupBy("level", "gram").agg(F.sum("n").alias("n"), F.sum(own).alias("t"), F.count(F.lit(1)).alias("rows"))
+    given = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").alias("key"), F.coalesce(target, F.lit(False)).alias("own"))
+    kind = given.schema["key"].dataType.simpleString()
+    size = given.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    buckets = (size["bytes"] or 0) // bucket + 1
+    none = pa.table({"gram": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "t": pa.array([], pa.int64())})
+    apart = _hot(given, hot) if size["rows"] > hot else none
+    gram, n, t = (apart.column(c).to_numpy() for c in ("gram", "n", "t"))
+    gram = gram.view(np.uint64)
+
+    def summed(table: pa.Table) -> pa.Table:
+        def numbers(name: str, kind: type) -> np.ndarray:
+            return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in table.column(name))])
+
+        keys, own = (table.column(c).combine_chunks() for c in ("keys", "own"))
+        if isinstance(keys, pa.ChunkedArray):
+            keys, own = keys.chunk(0), own.chunk(0)
+        length = keys.value_lengths().to_numpy()
+        at = np.repeat(np.arange(length.sum()), numbers("grams", np.int32))
+        grams, which = np.unique(numbers("gram", np.uint64), return_inverse=True)
+        n = numbers("n", np.int32)
+        weight = numbers("extra", np.int32) + np.where(grams & np.uint64(1), 1, -1)[which] * n
+        every = np.bincount(which, n, len(grams))
+        good = np.bincount(which, n * own.flatten().to_numpy(zero_copy_only=False)[at], len(grams))
+        value = np.log(every + alpha) - np.log(good + alpha)
+        total = np.bincount(at, weight * value[which], int(length.sum()))
+        texts = np.repeat([len(x.as_buffer()) > 0 for x in table.column("words")], length)
+        words = np.zeros(len(total), np.int64)
+        words[texts] = numbers("words", np.int64)
+        total[texts] = numbers("known", np.float64)
+        level = (grams & np.uint64(1)).astype(np.int64)
+        found = pa.table(
+            {
+                "key": keys.flatten(),
+                "words": words,
+                "some": (words > 0).astype(np.int64),
+                "total": total,
+                "level": pa.nulls(len(total), pa.int32()),
+                "kinds": pa.nulls(len(total), pa.int64()),
+                "n": pa.nulls(len(total), pa.int64()),
+                "t": pa.nulls(len(total), pa.int64()),
+            }
+        )
+        empty = {c: pa.nulls(2, found.schema.field(c).type) for c in ("key", "words", "some", "total")}
+        sums = [np.bincount(level, x, 2).astype(np.int64) for x in (np.ones(len(level)), every, good)]
+        return pa.concat_tables([found, pa.table(empty | {"level": pa.array([1, 2], pa.int32())} | dict(zip(("kinds", "n", "t"), map(pa.array, sums), strict=True)))])
+
+    dealt = _dealt(given, buckets, (gram, np.log(n + alpha) - np.log(t + alpha))).repartition(2 * buckets, "bucket")
+    sums = keep_table(
+        dealt.groupBy("bucket").applyInArrow(summed, f"key {kind}, words bigint, some bigint, total double, level int, kinds bigint, n bigint, t bigint")
     )
     # One row per level.
-    totals = {
-        r["level"]: r
-        for r in every.groupBy("level").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.count(F.lit(1)).alias("kinds"), F.sum("rows").alias("rows")).collect()
-    }
-
-    def ratio(level: int, n: Column, t: Column) -> Column:
-        """Log of the background's smoothed share over the target's."""
-        r = totals.get(level)
-        if r is None:
-            return F.lit(0.0)
-        return F.log((n + alpha) / (r["n"] + alpha * r["kinds"])) - F.log((t + alpha) / (r["t"] + alpha * r["kinds"]))
-
-    def by_level(n: Column, t: Column) -> Column:
-        return F.when(F.col("level") == 2, ratio(2, n, t)).otherwise(ratio(1, n, t))
-
-    everything = sum(r["rows"] for r in totals.values())
-    valued = every.filter("n > 1 OR t > 0").select(
-        "level", "gram", by_level(F.col("n"), F.col("t")).alias("value"), (F.col("rows") * HOT >= everything).alias("hot")
-    )
-    hot = keep(valued.filter("hot").select("level", "gram", F.col("value").alias("hot_value")))
-    rest = valued.filter("NOT hot").select(F.col("level").alias("l"), F.col("gram").alias("g"), "value")
-
-    counting = _grams(docs, text, [F.col(f"`{key}`")], [kind]).filter("level = 0 OR weight <> 0")
-    grams = counting.join(F.broadcast(hot), ["level", "gram"], "left")
-    # Hot grams and the rows of level 0 need no second join: what is known of them is summed per key here.
-    known = grams.filter("level = 0 OR hot_value IS NOT NULL")
-    other = grams.filter("level > 0 AND hot_value IS NULL").join(rest, (F.col("level") == F.col("l")) & (F.col("gram") == F.col("g")), "left")
-    value = F.coalesce("value", by_level(F.lit(1.0), F.lit(0.0)))
-    columns = ["c0", "level", "n", "weight"]
-    both = known.select(*columns, F.col("hot_value").alias("value")).unionByName(other.select(*columns, value.alias("value")))
+    totals = sums.filter("level IS NOT NULL").groupBy("level").agg(*[F.sum(c).alias(c) for c in ("kinds", "n", "t")]).collect()
+    size = {r["level"]: [r["kinds"], r["n"], r["t"]] for r in totals}
+    for level in size:
+        here = (gram & np.uint64(1)) == level - 1
+        size[level] = [x + int(y) for x, y in zip(size[level], (here.sum(), n[here].sum(), t[here].sum()), strict=True)]
+
+    def models(level: int) -> Column:
+        """What the models' sizes add to each log-ratio of a level."""
+        kinds, n, t = size.get(level, (0, 0, 0))
+        return F.lit(float(np.log(t + alpha * kinds) - np.log(n + alpha * kinds)) if kinds else 0.0)
+
     return (
-        both.groupBy(F.col("c0").alias(key))
-        .agg(
-            F.sum(F.when(F.col("level") == 0, F.col("n"))).cast("long").alias("n_tokens"),
-            F.coalesce(F.sum(F.when(F.col("level") > 0, F.col("weight") * F.col("value"))), F.lit(0.0)).alias("total"),
-        )
-        .select(
-            key,
-            "n_tokens",
-            F.when(F.col("n_tokens") > 0, F.round(F.col("total") / F.col("n_tokens"), 9)).alias("loss_difference"),
-        )
+        sums.filter("level IS NULL")
+        .groupBy(F.col("key").alias(key))
+        .agg(F.sum("words").alias("n_tokens"), F.sum("some").alias("_some"), F.sum("total").alias("_total"))
+        # The weights of a text of n words sum up to 2 - n for words and n - 1 for bigrams.
+        .withColumn("_total", F.col("_total") + (2 * F.col("_some") - F.col("n_tokens")) * models(1) + (F.col("n_tokens") - F.col("_some")) * models(2))
+        .select(key, "n_tokens", F.when(F.col("n_tokens") > 0, F.round(F.col("_total") / F.col("n_tokens"), 9)).alias("loss_difference"))
     )

@@ -131,6 +131,21 @@ def test_one_oversize_text_leaves_its_class_in_the_sample(spark):
     assert sum(r["score"] >= 0.3 for r in found if r["doc_id"] % 3 == 0) >= 190
 
 
+def test_loss_differences_do_not_depend_on_buckets_and_hot_grams(spark):
+    rng = random.Random(53)
+    rows = [(None if i % 97 == 0 else i // 2, f"the {prose(rng, rng.randint(0, 40))} of the" if i % 5 else None, i % 3 == 0) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, good boolean").repartition(5)
+
+    def scored(**sizes):
+        return sorted(map(tuple, cross_entropy_difference(docs, F.col("good"), **sizes).collect()), key=str)
+
+    whole = scored()
+    assert len(whole) > 900 and all((d is None) == (n == 0) for _, n, d in whole)
+    for got in (scored(bucket=1000), scored(hot=200), scored(hot=200, bucket=1000)):
+        assert [r[:2] for r in got] == [r[:2] for r in whole]
+        assert max(abs(a[2] - b[2]) for a, b in zip(got, whole) if a[2] is not None) < 1e-8
+
+
 def test_loss_difference_is_the_mean_of_the_words_losses(spark):
     rng = random.Random(43)
     vocabulary = [a + b for a in "abcde" for b in "xyz"]
