@@ -2,7 +2,7 @@
 
 1. The tokens of a document are its word shingles. For each of HASHES hash functions the Cartesian tree of the
    token hashes gives compact windows (l, c, r): every run of tokens within [l, r] that includes c has its
-   min-hash at c. Windows too short to hold a passage are left out, so a document has about
+   min-hash at c. Only c is looked for, as the least of a run. Windows too short to hold a passage are left out, so a document has about
    2 n / passage of them per function.
 2. Windows with the same (function, min-hash) share a signature. Each is first a candidate of the first and of
    the last one of its group: stars, so a group of n gives fewer than 2 n candidates. Windows whose min-hash then
@@ -35,16 +35,27 @@ BAND = 16
 GAP = 2
 
 
-def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(l, c, r), inclusive, of the Cartesian tree of ``values``; of equal values the leftmost is the least."""
-    n = len(values)
-    left, right, stack = [0] * n, [n - 1] * n, []
-    for i, value in enumerate(values.tolist()):
-        while stack and stack[-1][1] > value:
-            right[stack.pop()[0]] = i - 1
-        left[i] = stack[-1][0] + 1 if stack else 0
-        stack.append((i, value))
-    return [(left[i], i, right[i]) for i in range(n) if right[i] - left[i] + 1 >= least]
+def window_centres(values: np.ndarray, of: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, position) of the centres of the compact windows of ``least`` tokens or more; ``of`` has the first token of each row.
+
+    A centre is the leftmost least of its window, so of some run of ``least`` tokens, and the least of any such run is a centre:
+    the windows' ends need not be looked for. Minima of runs are put together from those of runs of half the length."""
+    centre, length = np.arange(len(values)), 1
+
+    def lesser(step: int) -> np.ndarray:
+        left, right = centre[: max(0, len(centre) - step)], centre[step:]
+        return np.where(values[left] <= values[right], left, right)
+
+    while 2 * length <= least:
+        centre, length = lesser(length), 2 * length
+    if length < least:
+        centre = lesser(least - length)
+    row = np.repeat(np.arange(len(of) - 1), np.diff(of))[: len(centre)]
+    inside = np.arange(len(centre)) + least <= of[1:][row]
+    row, centre = row[inside], centre[inside]
+    # Centres do not go back as runs go on.
+    new = np.concatenate([[True], (centre[1:] != centre[:-1])]) if len(centre) else np.zeros(0, bool)
+    return row[new], centre[new]
 
 
 def windows(docs: DataFrame, passage: int, count: int) -> DataFrame:
@@ -57,20 +68,12 @@ def windows(docs: DataFrame, passage: int, count: int) -> DataFrame:
                 words = split(data, offsets, NOT_SPACE)
                 tokens, at = shingles(hashes(data, words.starts, words.ends), words.of, TOKEN_WORDS)
                 of = np.searchsorted(at, words.of)
-                out: list[tuple[int, int, int, int]] = []
                 for k, seed in enumerate(seeds):
                     values = mix(tokens ^ seed)
-                    for i in range(last - first):
-                        own = values[of[i] : of[i + 1]]
-                        if len(own) >= passage - TOKEN_WORDS + 1:
-                            for _, c, _ in compact_windows(own, passage - TOKEN_WORDS + 1):
-                                out.append((i, k, int(own[c].view(np.int64)), c))
-                if out:
-                    i, k, value, c = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(first, last - first).take(pa.array(i)), pa.array(k, pa.int32()), pa.array(value, pa.int64()), pa.array(c, pa.int64())],
-                        ["id", "k", "value", "c"],
-                    )
+                    row, centre = window_centres(values, of, passage - TOKEN_WORDS + 1)
+                    if len(row):
+                        own = [pa.array(np.full(len(row), k), pa.int32()), pa.array(values[centre].view(np.int64)), pa.array(centre - of[row])]
+                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first).take(pa.array(row)), *own], ["id", "k", "value", "c"])
 
     return docs.select("id", "text").mapInArrow(run, "id bigint, k int, value bigint, c bigint")
 
@@ -141,26 +144,26 @@ def _verified(pairs: DataFrame, docs: DataFrame, passage: int, percent: int) ->
 
         for batch in batches:
             out = []
-            last_pair, a, b = None, None, None
             for i in range(batch.num_rows):
-                later, source, shift = (batch.column(n)[i].as_py() for n in range(3))
-                if (later, source) != last_pair:
-                    b, a = words_of(batch.column(3)[i].as_py()), words_of(batch.column(4)[i].as_py())
-                    last_pair = (later, source)
-                begin, end = max(0, shift), min(len(b), len(a) + shift)
-                if end - begin >= passage:
-                    same = b[begin:end] == a[begin - shift : end - shift]
-                    out += [(later, source, begin + x, begin + y) for x, y in aligned_runs(same, passage, percent)]
-                if min(len(a), len(b)) >= passage:
-                    out += [(later, source, x, y) for x, y in banded(b, a, shift, passage, percent)]
+                later, source, shifts = (batch.column(n)[i].as_py() for n in range(3))
+                b, a = words_of(batch.column(3)[i].as_py()), words_of(batch.column(4)[i].as_py())
+                for shift in shifts:
+                    begin, end = max(0, shift), min(len(b), len(a) + shift)
+                    if end - begin >= passage:
+                        same = b[begin:end] == a[begin - shift : end - shift]
+                        out += [(later, source, begin + x, begin + y) for x, y in aligned_runs(same, passage, percent)]
+                    if min(len(a), len(b)) >= passage:
+                        out += [(later, source, x, y) for x, y in banded(b, a, shift, passage, percent)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["id", "source", "first_word", "end_word"])
 
     texts = docs.select("id", "text")
+    # The texts of two documents are sent once for all their alignments.
     return (
-        pairs.join(texts, "id")
+        pairs.groupBy("id", "source").agg(F.collect_set("shift").alias("shifts"))
+        .join(texts, "id")
         .join(texts.select(F.col("id").alias("source"), F.col("text").alias("source_text")), "source")
-        .select("id", "source", "shift", "text", "source_text")
+        .select("id", "source", "shifts", "text", "source_text")
         .mapInArrow(run, "id bigint, source bigint, first_word bigint, end_word bigint")
     )
 
@@ -201,7 +204,12 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id",
     key the least text is taken. Other columns are ignored.
     """
     given = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).filter("id IS NOT NULL")
-    once = keep_table(given.groupBy("id").agg(F.min("text").alias("text")))
+    again = keep_table(given.groupBy("id").count().filter("count > 1").select("id"))
+    # Only texts of repeated keys need to be brought together.
+    once = given
+    if not again.isEmpty():
+        least = given.join(again, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+        once = keep_table(given.join(again, "id", "left_anti").unionByName(least))
     usable = once.filter("text IS NOT NULL")
     found = keep_table(windows(usable, passage, count))
     ends = (

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
@@ -211,6 +212,25 @@ def test_passages(spark):
     assert all(not got[i]["sources"] for i in [*range(20), 30])
 
 
+def test_window_centres_are_those_of_all_long_windows():
+    rng = np.random.default_rng(1)
+    for trial in range(60):
+        of = np.concatenate([[0], np.cumsum(rng.integers(0, 60, rng.integers(0, 6)))]).astype(np.int64)
+        values, least = rng.integers(0, [3, 50, 2**62][trial % 3], of[-1]).astype(np.uint64), int(rng.integers(1, 30))
+        want = set()
+        for row in range(len(of) - 1):
+            for c in range(of[row], of[row + 1]):
+                left, right = c, c
+                while left > of[row] and values[left - 1] > values[c]:
+                    left -= 1
+                while right + 1 < of[row + 1] and values[right + 1] >= values[c]:
+                    right += 1
+                if right - left + 1 >= least:
+                    want.add((row, c))
+        row, centre = passages.window_centres(values, of, least)
+        assert len(row) == len(want) and set(zip(row.tolist(), centre.tolist())) == want
+
+
 def test_passages_between_the_ends_of_a_group(spark):
     """The first document has only phrases of the passage; those in the middle repeat each other, not it."""
     rng = random.Random(31)
