@@ -3,14 +3,14 @@
 Both models count n-grams over one vocabulary, that of all documents, with the same smoothing. The
 conditional probability of a word is the bigram's over its first word's, so a word's loss difference
 is the bigram's log-ratio less that of the word before it; the first word's is its own log-ratio. Per document the mean is
-taken over all words. A document is thus a bag of signed grams, and one
-table of log-ratios, keyed by gram, serves both orders.
-
-Counts come from all documents and are never collected or broadcast as a whole. Grams are dealt once, with their documents, into
-buckets by hash: a bucket's task counts its grams, takes their log-ratios and sums them per document. What the size of the
-models adds to a log-ratio is the same for all grams of an order, so it is added to a document's sum at the end. Buckets grow in number with
-the texts. Grams that a sample shows in more than ``HOT`` rows are counted apart, broadcast and summed where the text is read;
-so no bucket has a hot key, and the sample decides on the way only, not on the result.
+taken over all words.
+
+Counts come from all documents and are never collected or broadcast as a whole. Texts are read in slices, and a slice sends
+each of its distinct grams once, sorted and packed, to buckets that are ranges of hashes. A bucket's task adds up
+the slices' counts and sends them back in the same order. They meet the slice's texts again, which travel as numbers of words: so what is shuffled
+does not depend on how many buckets there are, and a gram that all documents have costs a bucket one number per slice.
+What the size of the models adds to a log-ratio is the same for all grams of an order, so it is added to a document's sum at
+the end. Buckets grow in number with the texts.
 """
 
 from __future__ import annotations
@@ -19,123 +19,110 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.shared import keep_table, send
+from llm.shared import keep_table
 from llm.words import LETTERS, ODD, hashes, mix, slices, split
 
 ALPHA = 0.5
-#: Rows with a gram from which it counts as hot, and bytes of text per bucket.
-HOT = 200_000
+#: Bytes of text per slice and per bucket.
+TEXT_BYTES = 16 << 20
 BUCKET_BYTES = 16 << 20
-#: One row of so many is looked at for hot grams.
-SAMPLED = 64
-
-
-def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct grams of each row (row, gram, n, weight) in order of rows, and the number of words of each row. The lowest bit of
-    a gram tells bigrams from words. ``weight`` is how often the gram's log-ratio counts in the sum of the words' losses: a bigram
-    once each time, a word as the text's first less each time that it is a context."""
-    words = split(data, offsets, LETTERS)
-    here = hashes(data, words.starts, words.ends)
-    rows = words.rows
-    pair = np.flatnonzero(rows[1:] == rows[:-1]) if len(rows) else np.zeros(0, np.int64)
-    both = mix(here[pair] * ODD[0] + here[pair + 1] * ODD[1])
-    one = np.uint64(1)
-    gram = np.concatenate([here & ~one, both | one])
-    row = np.concatenate([rows, rows[pair]])
-    signed = np.concatenate([np.zeros(len(here), np.int64), np.ones(len(both), np.int64)])
-    signed[pair] -= 1
-    signed[words.of[:-1][np.diff(words.of) > 0]] += 1
-    order = np.lexsort((gram, row))
-    gram, row, signed = gram[order], row[order], signed[order]
-    first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])])) if len(gram) else np.zeros(0, np.int64)
-    weight = np.add.reduceat(signed, first) if len(first) else first
-    return row[first], gram[first], np.diff(np.append(first, len(gram))), weight, np.diff(words.of)
-
-
-def _hot(given: DataFrame, most: int) -> pa.Table:
-    """(gram, n, t) of the grams that a sample shows in more than ``most`` rows, counted in all rows, in order of grams."""
-
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets in slices(batch.column(0)):
-                gram = _grams(data, offsets)[1]
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64))], ["gram"])
 
-    sample = given.filter(F.pmod(F.xxhash64("key", "text"), F.lit(SAMPLED)) == 0).select("text")
-    often = sample.mapInArrow(seen, "gram bigint").groupBy("gram").count().filter(F.col("count") * SAMPLED > most)
-    wanted = np.sort(often.select("gram").toArrow().column("gram").to_numpy().view(np.uint64))
-    sent = send(given.sparkSession, wanted)
+#: Columns of rows between the tasks, beside the slice and its keys.
+PACKED = "bucket int, size bigint, grams binary, n binary, t binary, words binary, distinct binary, length bigint, places binary"
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Unsigned numbers, compressed byte place by byte place."""
+    places = np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.itemsize)
+    return pa.compress(places.T.tobytes(), codec="zstd", asbytes=True) if len(numbers) else b""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = sent()
-        for batch in batches:
-            own = batch.column(2).to_numpy(zero_copy_only=False)
-            for first, last, data, offsets in slices(batch.column(0)):
-                row, gram, n, _, _ = _grams(data, offsets)
-                at, known = _place(hot, gram)
-                at, n, t = at[known], n[known], (n * own[first:last][row])[known]
-                sums = [np.bincount(at, x, len(hot)).astype(np.int64) for x in (n, t)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hot.view(np.int64), *sums)], ["gram", "n", "t"])
 
-    counted = given.mapInArrow(count, "gram bigint, n bigint, t bigint").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    found = counted.toArrow()  # at most the sample's grams over ``most`` rows
-    return found.take(pa.array(np.argsort(found.column("gram").to_numpy().view(np.uint64))))
+def _unpack(packed: bytes, count: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    if not count:
+        return np.zeros(0, kind)
+    places = np.frombuffer(pa.decompress(packed, decompressed_size=count * size, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(places.reshape(size, count).T).view(kind).ravel()
 
 
-def _place(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of ``keys`` in the sorted ``table``, and which are there."""
-    place = np.searchsorted(table, keys)
-    place[place == len(table)] = 0
-    return place, (table[place] == keys if len(table) else np.zeros(len(keys), bool))
+def _pairs(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words that another one of their text follows, and the hashes of these pairs, with the lowest bit set."""
+    follows = np.ones(len(words), bool)
+    follows[np.cumsum(counts)[counts > 0] - 1] = False
+    at = np.flatnonzero(follows)
+    return at, mix(words[at] * ODD[0] + words[np.minimum(at + 1, len(words) - 1)] * ODD[1]) | np.uint64(1)
 
 
-def _dealt(given: DataFrame, buckets: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """One row per slice of texts and bucket: the keys and kinds of its texts, how many grams each has, and gram by gram
-    gram, n and what its weight differs from n (for words: from -n) as numbers side by side; and one row per slice with all its texts, their words and their sums over hot grams."""
-    sent = send(given.sparkSession, hot)
+def _dealt(given: DataFrame, buckets: int, most: int) -> DataFrame:
+    """Per slice of texts a row for each bucket, with its distinct grams in order and how often all texts and those of the
+    target have them, and a row with the texts: keys, numbers of words, distinct words, the commonest first, and word by word
+    its place among these."""
     kind = given.schema["key"].dataType.simpleString()
-    names = ["grams", "gram", "n", "extra", "words", "known"]
+    names = [c.split()[0] for c in PACKED.split(", ")]
+
+    def rows_of(number: int, words: np.ndarray, counts: np.ndarray, own: np.ndarray) -> Iterator[dict]:
+        of_target = np.repeat(own, counts)
+        at, pairs = _pairs(words, counts)
+        gram, n, t = [], [], []
+        for values, good in ((words, of_target), (pairs, of_target[at])):
+            distinct, which = np.unique(values, return_inverse=True)
+            gram.append(distinct)
+            n.append(np.bincount(which, minlength=len(distinct)))
+            t.append(np.bincount(which[good], minlength=len(distinct)))
+            if len(gram) == 1:
+                common = np.argsort(-n[0], kind="stable")
+                place = np.empty(len(common), np.uint32)
+                place[common] = np.arange(len(common))
+                text = {"words": _pack(counts.astype(np.uint32)), "distinct": _pack(distinct[common]), "size": len(distinct), "places": _pack(place[which]), "length": len(words)}
+        gram, n, t = (np.concatenate(x) for x in (gram, n, t))
+        order = np.argsort(gram, kind="stable")
+        gram, n, t = gram[order], n[order].astype(np.uint64), t[order].astype(np.uint64)
+        # Buckets go up with the hashes.
+        of = (gram >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        edge = np.searchsorted(of, np.arange(buckets + 1, dtype=np.uint64)).tolist()
+        for b in range(buckets):
+            here = slice(edge[b], edge[b + 1])
+            if edge[b] < edge[b + 1]:
+                grams = _pack(np.diff(gram[here], prepend=np.uint64(0)))
+                yield {"bucket": b, "size": edge[b + 1] - edge[b], "grams": grams, "n": _pack(n[here]), "t": _pack(t[here])}
+        # Any bucket will do for the texts themselves.
+        yield {"bucket": number % buckets} | text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, value = sent()
+        task, done, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def sent() -> pa.RecordBatch:
+            words, counts, own = (np.concatenate([x[i] for x in held]) for i in range(3))
+            keys = pa.concat_arrays([x[3] for x in held])
+            rows = list(rows_of(task + done, words, counts, own))
+            lists = pa.ListArray.from_arrays(pa.array([0] * len(rows) + [len(keys)], pa.int32()), keys)
+            packed = pa.RecordBatch.from_pylist(rows, kinds).columns
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | done] * len(rows), pa.int64()), lists, *packed], ["slice", "keys", *names])
+
         for batch in batches:
             for first, last, data, offsets in slices(batch.column(0)):
+                words = split(data, offsets, LETTERS)
+                hashed = hashes(data, words.starts, words.ends) & ~np.uint64(1)
                 part = batch.slice(first, last - first)
-                row, gram, n, weight, words = _grams(data, offsets)
-                at, known = _place(hot, gram)
-                sums = np.bincount(row[known], weight[known] * value[at[known]], len(words))
-                extra = weight - np.where(gram & np.uint64(1), n, -n)
-                row, gram, n, extra = (x[~known] for x in (row, gram, n, extra))
-                bucket = (mix(gram) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                ends = np.append(np.flatnonzero(np.diff(bucket[order])) + 1, len(order)) if len(order) else []
-                begin, lists = 0, []
-                for end in ends:
-                    of = order[begin:end]
-                    texts, grams = np.unique(row[of], return_counts=True)
-                    lists.append((int(bucket[of[0]]), texts, grams.astype(np.int32), gram[of], n[of].astype(np.int32), extra[of].astype(np.int32), b"", b""))
-                    begin = end
-                # Any bucket will do for the texts themselves.
-                lists.append((len(data) % buckets, np.arange(len(words)), np.zeros(len(words), np.int32), b"", b"", b"", words.astype(np.int64), sums))
-                size = pa.array(np.cumsum([0] + [len(x[1]) for x in lists]), pa.int32())
-                where = pa.array(np.concatenate([x[1] for x in lists]))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([x[0] for x in lists], pa.int32()),
-                        *(pa.ListArray.from_arrays(size, part.column(c).take(where)) for c in (1, 2)),
-                        *(pa.array([bytes(x[c]) for x in lists], pa.binary()) for c in range(2, 8)),
-                    ],
-                    ["bucket", "keys", "own", *names],
-                )
-
-    return given.mapInArrow(run, f"bucket int, keys array<{kind}>, own array<boolean>, " + ", ".join(f"{n} binary" for n in names))
+                held.append((hashed, np.diff(words.of), part.column(2).to_numpy(zero_copy_only=False), part.column(1)))
+                size += len(data)
+                if size >= most:
+                    yield sent()
+                    held, size, done = [], 0, done + 1
+        if held:
+            yield sent()
+
+    kinds = pa.schema([(n, {"bucket": pa.int32(), "size": pa.int64(), "length": pa.int64()}.get(n, pa.binary())) for n in names])
+    return given.mapInArrow(run, f"slice bigint, keys array<{kind}>, {PACKED}")
 
 
 def cross_entropy_difference(
-    docs: DataFrame, target: Column, text: str = "text", key: str = "doc_id", alpha: float = ALPHA, hot: int = HOT, bucket: int = BUCKET_BYTES
+    docs: DataFrame, target: Column, text: str = "text", key: str = "doc_id", alpha: float = ALPHA, hot: int | None = None, bucket: int = BUCKET_BYTES
 ) -> DataFrame:
     """Per key: n_tokens, loss_difference (mean over its words of target loss less background loss; the
     lower, the more alike to the target).
@@ -144,64 +131,74 @@ def cross_entropy_difference(
     are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with A-Z in lower case; a text of one word is scored by that word.
     Texts without words, null among them, have n_tokens 0 and a null loss_difference. Rows of equal keys, and
     those of the null key, are scored together. Without any target row all differences follow from
-    smoothing alone. Other columns are ignored.
+    smoothing alone. Other columns are ignored. ``hot`` has no effect any more: no gram is sent more than once per slice.
     """
     given = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").alias("key"), F.coalesce(target, F.lit(False)).alias("own"))
     kind = given.schema["key"].dataType.simpleString()
-    size = given.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
-    buckets = (size["bytes"] or 0) // bucket + 1
-    none = pa.table({"gram": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "t": pa.array([], pa.int64())})
-    apart = _hot(given, hot) if size["rows"] > hot else none
-    gram, n, t = (apart.column(c).to_numpy() for c in ("gram", "n", "t"))
-    gram = gram.view(np.uint64)
-
-    def summed(table: pa.Table) -> pa.Table:
-        def numbers(name: str, kind: type) -> np.ndarray:
-            return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in table.column(name))])
-
-        keys, own = (table.column(c).combine_chunks() for c in ("keys", "own"))
-        if isinstance(keys, pa.ChunkedArray):
-            keys, own = keys.chunk(0), own.chunk(0)
-        length = keys.value_lengths().to_numpy()
-        at = np.repeat(np.arange(length.sum()), numbers("grams", np.int32))
-        grams, which = np.unique(numbers("gram", np.uint64), return_inverse=True)
-        n = numbers("n", np.int32)
-        weight = numbers("extra", np.int32) + np.where(grams & np.uint64(1), 1, -1)[which] * n
-        every = np.bincount(which, n, len(grams))
-        good = np.bincount(which, n * own.flatten().to_numpy(zero_copy_only=False)[at], len(grams))
-        value = np.log(every + alpha) - np.log(good + alpha)
-        total = np.bincount(at, weight * value[which], int(length.sum()))
-        texts = np.repeat([len(x.as_buffer()) > 0 for x in table.column("words")], length)
-        words = np.zeros(len(total), np.int64)
-        words[texts] = numbers("words", np.int64)
-        total[texts] = numbers("known", np.float64)
+    buckets = (given.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket + 1
+
+    def counted(table: pa.Table) -> pa.Table:
+        """Rows with the counts of all slices in place of the slice's own, and one with sums per level."""
+        with_grams = pc.is_valid(table.column("grams"))
+        given, texts = table.filter(with_grams), table.filter(pc.invert(with_grams))
+        sizes = given.column("size").to_pylist()
+        gram = [np.cumsum(_unpack(x.as_buffer(), k, np.uint64), dtype=np.uint64) for x, k in zip(given.column("grams"), sizes, strict=True)]
+        if not gram:
+            return table
+        grams, which = np.unique(np.concatenate(gram), return_inverse=True)
+        del gram
+        sums = [
+            np.bincount(which, np.concatenate([_unpack(x.as_buffer(), k, np.uint64) for x, k in zip(given.column(c), sizes, strict=True)]), len(grams)).astype(np.uint64)
+            for c in ("n", "t")
+        ]
+        ends = np.cumsum(sizes)
+        for name, values in zip(("n", "t"), sums, strict=True):
+            packed = pa.array([_pack(values[which[end - k : end]]) for end, k in zip(ends, sizes, strict=True)], pa.binary())
+            given = given.set_column(given.column_names.index(name), name, packed)
+        given = given.set_column(given.column_names.index("grams"), "grams", pa.array([b""] * len(sizes), pa.binary()))
         level = (grams & np.uint64(1)).astype(np.int64)
-        found = pa.table(
-            {
-                "key": keys.flatten(),
-                "words": words,
-                "some": (words > 0).astype(np.int64),
-                "total": total,
-                "level": pa.nulls(len(total), pa.int32()),
-                "kinds": pa.nulls(len(total), pa.int64()),
-                "n": pa.nulls(len(total), pa.int64()),
-                "t": pa.nulls(len(total), pa.int64()),
-            }
+        levels = np.array([np.bincount(level, x, 2) for x in (np.ones(len(level)), *sums)]).T.astype(np.int64)
+        total = pa.Table.from_pylist([{"slice": -1, "bucket": 0, "n": levels.tobytes()}], table.schema)
+        return pa.concat_tables([given.cast(table.schema), texts, total])
+
+    def scored(table: pa.Table) -> pa.Table:
+        found = pa.schema([("key", table.schema.field("keys").type.value_type), *columns])
+        if table.column("slice")[0].as_py() < 0:
+            levels = sum(np.frombuffer(x.as_buffer(), np.int64).reshape(2, 3) for x in table.column("n"))
+            return pa.Table.from_pylist([{"level": k + 1, "kinds": int(x[0]), "n": int(x[1]), "t": int(x[2])} for k, x in enumerate(levels)], found)
+        with_grams = pc.is_valid(table.column("grams"))
+        values = table.filter(with_grams).sort_by("bucket")
+        (texts,) = (x for x in table.filter(pc.invert(with_grams)).to_batches() if x.num_rows)
+        length, size = (texts.column(c)[0].as_py() for c in ("length", "size"))
+        keys = texts.column("keys").flatten()
+        counts = _unpack(texts.column("words")[0].as_buffer(), len(keys), np.uint32).astype(np.int64)
+        places = _unpack(texts.column("places")[0].as_buffer(), length, np.uint32)
+        distinct = _unpack(texts.column("distinct")[0].as_buffer(), size, np.uint64)
+        at, pairs = _pairs(distinct[places], counts)
+        pairs, which = np.unique(pairs, return_inverse=True)
+        every, good = (
+            np.concatenate([np.zeros(0, np.uint64), *(_unpack(x.as_buffer(), k.as_py(), np.uint64) for x, k in zip(values.column(c), values.column("size"), strict=True))])
+            for c in ("n", "t")
         )
-        empty = {c: pa.nulls(2, found.schema.field(c).type) for c in ("key", "words", "some", "total")}
-        sums = [np.bincount(level, x, 2).astype(np.int64) for x in (np.ones(len(level)), every, good)]
-        return pa.concat_tables([found, pa.table(empty | {"level": pa.array([1, 2], pa.int32())} | dict(zip(("kinds", "n", "t"), map(pa.array, sums), strict=True)))])
-
-    dealt = _dealt(given, buckets, (gram, np.log(n + alpha) - np.log(t + alpha))).repartition(2 * buckets, "bucket")
-    sums = keep_table(
-        dealt.groupBy("bucket").applyInArrow(summed, f"key {kind}, words bigint, some bigint, total double, level int, kinds bigint, n bigint, t bigint")
-    )
+        if len(every) != size + len(pairs):
+            raise RuntimeError("a slice of the texts was not the same when it was read again")
+        value = np.empty(len(every))
+        value[np.argsort(np.concatenate([distinct, pairs]), kind="stable")] = np.log(every + alpha) - np.log(good + alpha)
+        some = np.flatnonzero(counts)
+        total = np.bincount(np.repeat(np.arange(len(counts)), counts)[at], value[size:][which] - value[places[at]], len(counts)).astype(np.float64)
+        total[some] += value[places[(np.cumsum(counts) - counts)[some]]]
+        own = {"key": keys, "words": pa.array(counts), "some": pa.array((counts > 0).astype(np.int64)), "total": pa.array(total)}
+        return pa.table([own[n] if n in own else pa.nulls(len(counts), found.field(n).type) for n in found.names], found)
+
+    numbers = "words bigint, some bigint, total double, level int, kinds bigint, n bigint, t bigint"
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    columns = [(name, kinds[of]) for name, of in (c.split() for c in numbers.split(", "))]
+    dealt = _dealt(given, buckets, TEXT_BYTES).repartition(2 * buckets, "bucket")
+    back = dealt.groupBy("bucket").applyInArrow(counted, dealt.schema).repartition(2 * buckets, "slice")
+    sums = keep_table(back.groupBy("slice").applyInArrow(scored, f"key {kind}, {numbers}"))
     # One row per level.
     totals = sums.filter("level IS NOT NULL").groupBy("level").agg(*[F.sum(c).alias(c) for c in ("kinds", "n", "t")]).collect()
-    size = {r["level"]: [r["kinds"], r["n"], r["t"]] for r in totals}
-    for level in size:
-        here = (gram & np.uint64(1)) == level - 1
-        size[level] = [x + int(y) for x, y in zip(size[level], (here.sum(), n[here].sum(), t[here].sum()), strict=True)]
+    size = {r["level"]: (r["kinds"], r["n"], r["t"]) for r in totals}
 
     def models(level: int) -> Column:
         """What the models' sizes add to each log-ratio of a level."""

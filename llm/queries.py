@@ -18,7 +18,7 @@ from llm.near_dedup import near_dedup
 from llm.passages import repeated_passages
 from llm.quality import MEASURES, clean_lines
 from llm.secrets import BASE, as_text, find_secrets
-from llm.shared import table
+from llm.shared import keep_table, maybe_broadcast, table
 from llm.token_counts import count_tokens
 from llm.toxicity import fold_of, score_toxicity
 from llm.warc import read_archives, write_archives
@@ -28,7 +28,8 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled as good."""
     good = table(spark, sf_dir, "labels").filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_good")).distinct()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    marked = docs.join(good, F.col("doc_id") == F.col("_good"), "left")
+    # Few keys are broadcast, so that the texts are not shuffled for them.
+    marked = docs.join(maybe_broadcast(keep_table(good)), F.col("doc_id") == F.col("_good"), "left")
     return cross_entropy_difference(marked, F.col("_good").isNotNull())
 
 

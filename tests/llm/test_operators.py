@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from llm import fm_index, mixing, near_dedup, passages, quality, secrets, token_counts, toxicity, warc
+from llm import fm_index, lm_score, mixing, near_dedup, passages, quality, secrets, token_counts, toxicity, warc
 from llm.decontaminate import cut_benchmark, decontaminate
 from llm.lm_score import cross_entropy_difference
+from llm.shared import keep_table
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 EDGES = [
@@ -147,6 +148,15 @@ def test_loss_differences_do_not_depend_on_buckets_and_hot_grams(spark):
         assert max(abs(a[2] - b[2]) for a, b in zip(got, whole) if a[2] is not None) < 1e-8
 
 
+def test_what_buckets_send_back_does_not_grow_with_their_number(spark, monkeypatch):
+    rng = random.Random(54)
+    docs = spark.createDataFrame([(i, prose(rng, 60), i % 3 == 0) for i in range(400)], "doc_id bigint, text string, good boolean").repartition(2)
+    kept = []
+    monkeypatch.setattr(lm_score, "keep_table", lambda df: kept.append(keep_table(df)) or kept[-1])
+    assert cross_entropy_difference(docs, F.col("good"), bucket=2000).count() == 400
+    assert [df.count() for df in kept] == [402]
+
+
 def test_loss_difference_is_the_mean_of_the_words_losses(spark):
     rng = random.Random(43)
     vocabulary = [a + b for a in "abcde" for b in "xyz"]
