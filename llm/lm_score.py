@@ -99,6 +99,7 @@ def _dealt(given: DataFrame, buckets: int, most: int) -> DataFrame:
         def sent() -> pa.RecordBatch:
             words, counts, own = (np.concatenate([x[i] for x in held]) for i in range(3))
             keys = pa.concat_arrays([x[3] for x in held])
+            held.clear()
             rows = list(rows_of(task + done, words, counts, own))
             lists = pa.ListArray.from_arrays(pa.array([0] * len(rows) + [len(keys)], pa.int32()), keys)
             packed = pa.RecordBatch.from_pylist(rows, kinds).columns
@@ -109,11 +110,13 @@ def _dealt(given: DataFrame, buckets: int, most: int) -> DataFrame:
                 words = split(data, offsets, LETTERS)
                 hashed = hashes(data, words.starts, words.ends) & ~np.uint64(1)
                 part = batch.slice(first, last - first)
-                held.append((hashed, np.diff(words.of), part.column(2).to_numpy(zero_copy_only=False), part.column(1)))
+                # A copy of the keys, as the column itself would hold the whole batch.
+                keys = part.column(1).take(pa.array(np.arange(last - first)))
+                held.append((hashed, np.diff(words.of), part.column(2).to_numpy(zero_copy_only=False), keys))
                 size += len(data)
                 if size >= most:
                     yield sent()
-                    held, size, done = [], 0, done + 1
+                    size, done = 0, done + 1
         if held:
             yield sent()
 
