@@ -26,13 +26,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from llm.shared import keep_table, maybe_broadcast
-from llm.words import NOT_SPACE, hashes, mix, shingles, slices, split
+from llm.words import NOT_SPACE, buffers, hashes, mix, shingles, slices, split
 
 HASHES = 4
 TOKEN_WORDS = 5
 #: Words by which a path may leave the alignment, and the equal words that each inserted or deleted word outweighs.
 BAND = 16
 GAP = 2
+#: Words of the other text that a path may skip within ``passage`` words for the pair of documents to be sure to be compared; the equal
+#: words of a passage do not outweigh more.
+SKIPS = 21
+#: Pairs of documents that are compared side by side, and equal pairs of words per word from which they are compared without a look ahead.
+TOGETHER = 256
+DENSE = 20
 
 
 def window_centres(values: np.ndarray, of: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,87 +100,229 @@ def aligned_runs(same: np.ndarray, passage: int, percent: int) -> list[tuple[int
     return out
 
 
-def banded(b: np.ndarray, a: np.ndarray, shift: int, passage: int, percent: int) -> list[tuple[int, int]]:
-    """Runs of ``b`` as in ``aligned_runs``, a word being equal if it is so on the best path within ``BAND`` words of
-    the alignment of b[i] with a[i - shift]."""
+def _inside(first: int, last: int, spans: list[tuple[int, int]]) -> bool:
+    return any(x <= first and last <= y for x, y in spans)
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, put together where they meet."""
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(spans):
+        if out and out[-1][1] >= first:
+            out[-1] = (out[-1][0], max(out[-1][1], last))
+        else:
+            out.append((first, last))
+    return out
+
+
+def repeats_of(pairs: list[tuple[np.ndarray, np.ndarray, list[int]]], passage: int, percent: int) -> list[list[tuple[int, int]]]:
+    """For each (b, a, shifts) the spans of ``b`` that repeat ``a`` along an alignment or on a path around it, merged. Alignments go on
+    in turns for all pairs; what is known to be repeated is not compared again, as it could only be found again."""
+    spans: list[list[tuple[int, int]]] = [[] for _ in pairs]
+
+    def known(n: int, shift: int, band: int) -> bool:
+        b, a, _ = pairs[n]
+        first, last = max(0, shift - band), min(len(b), len(a) + shift + band)
+        return last - first < passage or _inside(first, last, spans[n])
+
+    for n, (b, a, shifts) in enumerate(pairs):
+        for shift in shifts:
+            if not known(n, shift, 0):
+                begin, end = max(0, shift), min(len(b), len(a) + shift)
+                same = b[begin:end] == a[begin - shift : end - shift]
+                spans[n] = merged(spans[n] + [(begin + x, begin + y) for x, y in aligned_runs(same, passage, percent)])
+    left = {n: list(shifts) for n, (b, a, shifts) in enumerate(pairs) if min(len(a), len(b)) >= passage}
+    where: dict[int, tuple] = {}
+    while left:
+        turn = []
+        for n in list(left):
+            taken = 0
+            while left[n] and taken < max(1, len(pairs) // len(left)):
+                shift = left[n].pop()
+                if not known(n, shift, BAND):
+                    taken += 1
+                    turn.append((n, shift))
+                    if n not in where:
+                        where[n] = places(*pairs[n][:2])
+            if not left[n]:
+                del left[n]
+        found = banded([(*pairs[n][:2], shift, spans[n], where[n]) for n, shift in turn], passage, percent)
+        for (n, _), more in zip(turn, found, strict=True):
+            spans[n] = merged(spans[n] + more)
+    return spans
+
+
+def places(b: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of ``b`` are in ``a``: places of ``a`` in order of words, as numbers that hold both; the words of ``b`` that ``a``
+    has, and the number from which the places of each begin."""
+    distinct, which = np.unique(a, return_inverse=True)
+    size = len(a) + 1
+    at = np.minimum(np.searchsorted(distinct, b), len(distinct) - 1)
+    rows = np.flatnonzero(distinct[at] == b)
+    return np.sort(which * size + np.arange(len(a))), rows, at[rows] * size
+
+
+def banded(texts: list[tuple], passage: int, percent: int) -> list[list[tuple[int, int]]]:
+    """For each (b, a, shift, known, ``places`` of b in a) runs of ``b`` as in ``aligned_runs``, a word being equal if it is so on the best
+    path within ``BAND`` words of the alignment of b[i] with a[i - shift]; those within one of the ``known`` spans are left out."""
     width = 2 * BAND + 1
-    at = np.arange(len(b) + width - 1) - shift - BAND
-    valid = (at >= 0) & (at < len(a))
-    near = np.lib.stride_tricks.sliding_window_view(np.where(valid, a[np.clip(at, 0, len(a) - 1)], 0), width)
-    equal = (near == b[:, None]) & np.lib.stride_tricks.sliding_window_view(valid, width)
-    out = []
-    # No path has more equal words than there are words with an equal one within the band.
-    for first, last in aligned_runs(equal.any(axis=1), passage, percent):
-        out += [(first + x, first + y) for x, y in aligned_runs(_path(equal[first:last]), passage, percent)]
+    runs = []
+    for number, (b, a, shift, known, (held, rows, base)) in enumerate(texts):
+        low = np.searchsorted(held, base + np.clip(rows - shift - BAND, 0, len(a)))
+        high = np.searchsorted(held, base + np.clip(rows - shift + BAND + 1, 0, len(a)))
+        near = np.zeros(len(b), bool)
+        near[rows] = high > low
+        # No path has more equal words than there are words with an equal one within the band.
+        for first, last in aligned_runs(near, passage, percent):
+            if not _inside(first, last, known):
+                at = np.arange(first, last + width - 1) - shift - BAND
+                valid = (at >= 0) & (at < len(a))
+                words = np.lib.stride_tricks.sliding_window_view(a[np.clip(at, 0, len(a) - 1)], width)
+                runs.append((number, first, (words == b[first:last, None]) & np.lib.stride_tricks.sliding_window_view(valid, width)))
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    for (number, first, _), same in zip(runs, _paths([equal for _, _, equal in runs]), strict=True):
+        out[number] += [(first + x, first + y) for x, y in aligned_runs(same, passage, percent)]
     return out
 
 
-def _path(equal: np.ndarray) -> np.ndarray:
-    """Which rows are equal on the best monotone path: one column up skips a word of the other text, one column down a row."""
-    rows, width = equal.shape
-    ramp, column = GAP * np.arange(width), np.arange(width, dtype=np.int16)
-    score = np.zeros(width, np.int64)
-    skipped, source = np.zeros((rows, width), bool), np.zeros((rows, width), np.int16)
-    for i in range(rows):
-        along = score + equal[i]
-        skip = np.append(score[1:], -(1 << 40)) - GAP
-        skipped[i] = skip > along
-        lifted = np.maximum(along, skip) + ramp
-        best = np.maximum.accumulate(lifted)
-        source[i] = np.maximum.accumulate(np.where(lifted == best, column, 0))
-        score = best - ramp
-    same, w = np.zeros(rows, bool), int(np.argmax(score))
-    for i in range(rows - 1, -1, -1):
-        w = int(source[i, w])
-        if skipped[i, w]:
-            w += 1
-        else:
-            same[i] = equal[i, w]
-    return same
+def _paths(equals: list[np.ndarray]) -> list[np.ndarray]:
+    """For each table which rows are equal on the best monotone path: one column up skips a word of the other text, one column
+    down a row. Tables go row by row side by side, the longest first, and drop out where they end."""
+    out: list[np.ndarray] = [np.zeros(0, bool)] * len(equals)
+    order = sorted(range(len(equals)), key=lambda i: -len(equals[i]))
+    while order:
+        # Tables of up to 8 M cells at once.
+        cells = max(1, (8 << 20) // equals[order[0]].size)
+        some, order = order[:cells], order[cells:]
+        lengths = np.array([len(equals[i]) for i in some])
+        rows, width = equals[some[0]].shape
+        equal = np.zeros((rows, len(some), width), bool)
+        for n, i in enumerate(some):
+            equal[: lengths[n], n] = equals[i]
+        left = np.searchsorted(-lengths, -np.arange(rows)).tolist()
+        ramp, column = GAP * np.arange(width, dtype=np.int32), np.arange(width, dtype=np.int8)
+        score = np.zeros((len(some), width), np.int32)
+        skipped, source = np.zeros(equal.shape, bool), np.zeros(equal.shape, np.int8)
+        skip = np.full((len(some), width), -(1 << 30), np.int32)
+        for i, n in enumerate(left):
+            along = score[:n] + equal[i, :n]
+            skip[:n, :-1] = score[:n, 1:] - GAP
+            skipped[i, :n] = skip[:n] > along
+            lifted = np.maximum(along, skip[:n]) + ramp
+            best = np.maximum.accumulate(lifted, axis=1)
+            source[i, :n] = np.maximum.accumulate(np.where(lifted == best, column, 0), axis=1)
+            score[:n] = best - ramp
+        same, w, every = np.zeros((rows, len(some)), bool), np.argmax(score, axis=1), np.arange(len(some))
+        for i in range(rows - 1, -1, -1):
+            n = left[i]
+            here = source[i, every[:n], w[:n]].astype(np.int64)
+            over = skipped[i, every[:n], here]
+            same[i, :n] = ~over & equal[i, every[:n], here]
+            w[:n] = here + over
+        for n, i in enumerate(some):
+            out[i] = same[: lengths[n], n]
+    return out
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, passage: int, percent: int) -> DataFrame:
-    """(id, source, first_word, end_word) of the repeated passages of candidate alignments."""
+def _hopeful(b: np.ndarray, a: np.ndarray, order: np.ndarray, shifts: list[int], passage: int, percent: int) -> bool:
+    """Whether enough pairs of words of ``b`` are in ``a`` within the band of a shift. ``b`` and ``a`` have a number per pair,
+    ``order`` sorts ``a``. Of ``passage`` words with ``percent`` equal on a path that skips u words of the other text, each equal
+    one but the last before an unequal one, a skip or the end starts an equal pair."""
+    apart = passage - -(-percent * passage // 100)
+    least = passage - 2 * apart - 1 - SKIPS
+    if least <= 0:
+        return True
+    low, high = np.searchsorted(a, b, "left", order), np.searchsorted(a, b, "right", order)
+    count = high - low
+    total = int(count.sum())
+    if total < least:
+        return False
+    if total > DENSE * len(b):
+        return True
+    row = np.repeat(np.arange(len(b)), count)
+    at = order[np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
+    shift = np.array(sorted(shifts))
+    place = np.searchsorted(shift, row - at - BAND)
+    near = shift[np.minimum(place, len(shift) - 1)] - (row - at)
+    rows = row[(np.abs(near) <= BAND) & (place < len(shift))]
+    rows = rows[np.diff(rows, prepend=-1) > 0]
+    return len(rows) >= least and bool((rows[least - 1 :] - rows[: len(rows) - least + 1] < passage).any())
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, passage: int, percent: int) -> DataFrame:
+    """(id, source, first_word, end_word) of the repeated passages of candidate alignments.
+
+    Pairs of documents meet as a byte per word first; the texts of those that this leaves are then sent and compared."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs_of(x: bytes) -> np.ndarray:
+            words = np.frombuffer(x, np.uint8)
+            return words[:-1].astype(np.uint16) << 8 | words[1:]
+
+        last = None
+        for batch in batches:
+            good = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                source, shifts, later, earlier = (batch.column(n)[i].as_py() for n in range(1, 5))
+                if source != last:
+                    a = pairs_of(earlier)
+                    order, last = np.argsort(a, kind="stable"), source
+                good[i] = min(len(later), len(earlier)) >= passage and _hopeful(pairs_of(later), a, order, shifts, passage, percent)
+            yield batch.select([0, 1, 2]).filter(pa.array(good))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def words_of(text: str) -> np.ndarray:
-            data = np.frombuffer(text.encode(), np.uint8)
+        def words_of(packed: bytes, size: int) -> np.ndarray:
+            data = np.frombuffer(pa.decompress(packed, decompressed_size=size, codec="zstd"), np.uint8)
             words = split(data, np.array([0, len(data)]), NOT_SPACE)
             return hashes(data, words.starts, words.ends)
 
         for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                later, source, shifts = (batch.column(n)[i].as_py() for n in range(3))
-                b, a = words_of(batch.column(3)[i].as_py()), words_of(batch.column(4)[i].as_py())
-                for shift in shifts:
-                    begin, end = max(0, shift), min(len(b), len(a) + shift)
-                    if end - begin >= passage:
-                        same = b[begin:end] == a[begin - shift : end - shift]
-                        out += [(later, source, begin + x, begin + y) for x, y in aligned_runs(same, passage, percent)]
-                    if min(len(a), len(b)) >= passage:
-                        out += [(later, source, x, y) for x, y in banded(b, a, shift, passage, percent)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["id", "source", "first_word", "end_word"])
-
-    texts = docs.select("id", "text")
-    # The texts of two documents are sent once for all their alignments.
-    return (
-        pairs.groupBy("id", "source").agg(F.collect_set("shift").alias("shifts"))
-        .join(texts, "id")
-        .join(texts.select(F.col("id").alias("source"), F.col("text").alias("source_text")), "source")
-        .select("id", "source", "shifts", "text", "source_text")
-        .mapInArrow(run, "id bigint, source bigint, first_word bigint, end_word bigint")
+            for at in range(0, batch.num_rows, TOGETHER):
+                rows = batch.slice(at, TOGETHER).to_pylist()
+                texts = [(words_of(r["text"], r["size"]), words_of(r["source_text"], r["source_size"]), r["shifts"]) for r in rows]
+                out = [(r["id"], r["source"], *span) for r, spans in zip(rows, repeats_of(texts, passage, percent), strict=True) for span in spans]
+                if out:
+                    columns = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["id", "source", "first_word", "end_word"])
+
+    kind = "id bigint, source bigint, shifts array<bigint>"
+    per_pair = pairs.groupBy("id", "source").agg(F.collect_set("shift").alias("shifts"))
+    left = keep_table(
+        per_pair.join(prints, "id")
+        .join(prints.select(F.col("id").alias("source"), F.col("print").alias("source_print")), "source")
+        .select("id", "source", "shifts", "print", "source_print")
+        .mapInArrow(look, kind)
     )
+    needed = keep_table(left.select("id").union(left.select("source")).distinct())
+    texts = docs.join(maybe_broadcast(needed), "id", "left_semi").select("id", "text").mapInArrow(_zipped, "id bigint, text binary, size bigint")
+    others = texts.select(F.col("id").alias("source"), F.col("text").alias("source_text"), F.col("size").alias("source_size"))
+    return left.join(texts, "id").join(others, "source").mapInArrow(run, "id bigint, source bigint, first_word bigint, end_word bigint")
+
+
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text, size): texts compressed, and their bytes."""
+    for batch in batches:
+        data, offsets = buffers(batch.column(1))
+        texts = [pa.compress(data[a:b].tobytes(), codec="zstd", asbytes=True) for a, b in zip(offsets, offsets[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), pa.array(np.diff(offsets), pa.int64())], ["id", "text", "size"])
 
 
-def _further(found: DataFrame, ends: DataFrame, tried: DataFrame, repeats: DataFrame, usable: DataFrame, passage: int, percent: int) -> DataFrame:
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, print): a byte of the hash of each word."""
+    for batch in batches:
+        for first, last, data, offsets in slices(batch.column(1)):
+            words = split(data, offsets, NOT_SPACE)
+            found = (hashes(data, words.starts, words.ends) >> np.uint64(56)).astype(np.uint8)
+            prints = pa.array([found[a:b].tobytes() for a, b in zip(words.of, words.of[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), prints], ["id", "print"])
+
+
+def _further(grouped: DataFrame, tried: DataFrame, repeats: DataFrame, usable: DataFrame, prints: DataFrame, passage: int, percent: int) -> DataFrame:
     """``repeats`` with those of windows that the stars leave unmatched, from further centres of their groups."""
     # Groups of two documents have been compared in full, but for further positions of one.
-    groups = found.join(ends.filter("size > 2").select("k", "value"), ["k", "value"], "left_semi")
-    ranked = keep_table(groups.withColumn("rank", F.row_number().over(Window.partitionBy("k", "value").orderBy("id", "c"))))
-    least = ranked.groupBy("k", "value").agg(F.min("id").alias("first"))
-    open_ = keep_table(ranked.join(least, ["k", "value"]).filter("id <> first").drop("first"))
+    columns = ["id", "k", "value", "c", "rank"]
+    ranked = grouped.filter("size > 2").select(*columns)
+    open_ = grouped.filter("size > 2 AND id <> low.id").select(*columns)
     done = 0
     while True:
         spans = repeats.select(F.col("id").alias("of"), "first_word", "end_word").distinct()
@@ -190,7 +338,7 @@ def _further(found: DataFrame, ends: DataFrame, tried: DataFrame, repeats: DataF
         pairs = open_.join(centres, ["k", "value"]).filter("id > source").select("id", "source", (F.col("c") - F.col("at")).alias("shift")).distinct()
         fresh = keep_table(pairs.join(tried, ["id", "source", "shift"], "left_anti"))
         tried = tried.unionByName(fresh)
-        repeats = repeats.unionByName(keep_table(_verified(fresh, usable, passage, percent)))
+        repeats = repeats.unionByName(keep_table(_verified(fresh, usable, prints, passage, percent)))
         done = until
 
 
@@ -211,16 +359,18 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id",
         least = given.join(again, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
         once = keep_table(given.join(again, "id", "left_anti").unionByName(least))
     usable = once.filter("text IS NOT NULL")
-    found = keep_table(windows(usable, passage, count))
-    ends = (
-        found.groupBy("k", "value")
-        .agg(F.min(F.struct("id", "c")).alias("low"), F.max(F.struct("id", "c")).alias("high"), F.count(F.lit(1)).alias("size"))
+    prints = keep_table(usable.select("id", "text").mapInArrow(_prints, "id bigint, print binary"))
+    # Most windows share their signature with no other document and are not kept.
+    group = Window.partitionBy("k", "value")
+    grouped = keep_table(
+        windows(usable, passage, count)
+        .withColumn("rank", F.row_number().over(group.orderBy("id", "c")))
+        .withColumn("low", F.min(F.struct("id", "c")).over(group))
+        .withColumn("high", F.max(F.struct("id", "c")).over(group))
+        .withColumn("size", F.count(F.lit(1)).over(group))
         .filter("low.id <> high.id")
     )
-    ends = keep_table(ends)
-    both = found.join(maybe_broadcast(ends.drop("size")), ["k", "value"]).select(
-        "id", "c", F.explode(F.array("low", "high")).alias("other")
-    )
+    both = grouped.select("id", "c", F.explode(F.array("low", "high")).alias("other"))
     later = F.col("id") > F.col("other.id")
     pairs = keep_table(
         both.filter(F.col("id") != F.col("other.id"))
@@ -231,8 +381,8 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id",
         )
         .distinct()
     )
-    stars = keep_table(_verified(pairs, usable, passage, percent))
-    repeats = _further(found, ends, pairs, stars, usable, passage, percent)
+    stars = keep_table(_verified(pairs, usable, prints, passage, percent))
+    repeats = _further(grouped, pairs, stars, usable, prints, passage, percent)
     # Spans of one document are as many as its alignments at most.
     merged = F.aggregate(
         F.array_sort(F.collect_set(F.struct("first_word", "end_word"))),

@@ -148,6 +148,34 @@ def test_loss_differences_do_not_depend_on_buckets_and_hot_grams(spark):
         assert max(abs(a[2] - b[2]) for a, b in zip(got, whole) if a[2] is not None) < 1e-8
 
 
+def test_pairs_of_documents_are_compared_side_by_side(monkeypatch):
+    rng = np.random.default_rng(5)
+    text = rng.integers(0, 1 << 40, 400).astype(np.uint64)
+    other = rng.integers(0, 1 << 40, 300).astype(np.uint64)
+    edited = np.concatenate([other[:90], text[100:130], text[132:200], other[90:]])
+    line = np.tile(text[:7], 60)
+    pairs = [(edited, text, [10, -10, 3]), (other, text, [0]), (line, line[:200], list(range(-140, 350, 7)))]
+    together = passages.repeats_of(pairs, 50, 80)
+    assert together == [passages.repeats_of([pair], 50, 80)[0] for pair in pairs]
+    assert together == [[(90, 188)], [], [(0, 420)]]
+    # What is known to be repeated is not compared again.
+    compared = []
+    monkeypatch.setattr(passages, "banded", lambda texts, *_: compared.extend(texts) or [[] for _ in texts])
+    assert passages.repeats_of(pairs[2:], 50, 80) == [[(0, 420)]] and not compared
+
+
+def test_only_texts_that_may_share_a_passage_are_sent():
+    rng = np.random.default_rng(6)
+    text, other = rng.integers(0, 1 << 16, (2, 300)).astype(np.uint16)
+    other[40:45] = text[60:65]
+    near = other.copy()
+    near[100:150] = text[200:250]
+    near[100:150:5] = 0
+    order = np.argsort(text, kind="stable")
+    assert not passages._hopeful(other, text, order, [-20], 50, 80)
+    assert passages._hopeful(near, text, order, [-20, -100], 50, 80)
+
+
 def test_what_buckets_send_back_does_not_grow_with_their_number(spark, monkeypatch):
     rng = random.Random(54)
     docs = spark.createDataFrame([(i, prose(rng, 60), i % 3 == 0) for i in range(400)], "doc_id bigint, text string, good boolean").repartition(2)
