@@ -33,12 +33,8 @@ TOKEN_WORDS = 5
 #: Words by which a path may leave the alignment, and the equal words that each inserted or deleted word outweighs.
 BAND = 16
 GAP = 2
-#: Words of the other text that a path may skip within ``passage`` words for the pair of documents to be sure to be compared; the equal
-#: words of a passage do not outweigh more.
-SKIPS = 21
-#: Pairs of documents that are compared side by side, and equal pairs of words per word from which they are compared without a look ahead.
+#: Pairs of documents that are compared side by side.
 TOGETHER = 256
-DENSE = 20
 
 
 def window_centres(values: np.ndarray, of: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,18 +158,24 @@ def places(b: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.sort(which * size + np.arange(len(a))), rows, at[rows] * size
 
 
+def _near(size: int, others: int, shift: int, where: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which of ``size`` words are among the ``others`` of the other text within the band of an alignment."""
+    held, rows, base = where
+    low = np.searchsorted(held, base + np.clip(rows - shift - BAND, 0, others))
+    high = np.searchsorted(held, base + np.clip(rows - shift + BAND + 1, 0, others))
+    near = np.zeros(size, bool)
+    near[rows] = high > low
+    return near
+
+
 def banded(texts: list[tuple], passage: int, percent: int) -> list[list[tuple[int, int]]]:
     """For each (b, a, shift, known, ``places`` of b in a) runs of ``b`` as in ``aligned_runs``, a word being equal if it is so on the best
     path within ``BAND`` words of the alignment of b[i] with a[i - shift]; those within one of the ``known`` spans are left out."""
     width = 2 * BAND + 1
     runs = []
-    for number, (b, a, shift, known, (held, rows, base)) in enumerate(texts):
-        low = np.searchsorted(held, base + np.clip(rows - shift - BAND, 0, len(a)))
-        high = np.searchsorted(held, base + np.clip(rows - shift + BAND + 1, 0, len(a)))
-        near = np.zeros(len(b), bool)
-        near[rows] = high > low
+    for number, (b, a, shift, known, where) in enumerate(texts):
         # No path has more equal words than there are words with an equal one within the band.
-        for first, last in aligned_runs(near, passage, percent):
+        for first, last in aligned_runs(_near(len(b), len(a), shift, where), passage, percent):
             if not _inside(first, last, known):
                 at = np.arange(first, last + width - 1) - shift - BAND
                 valid = (at >= 0) & (at < len(a))
@@ -224,29 +226,12 @@ def _paths(equals: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def _hopeful(b: np.ndarray, a: np.ndarray, order: np.ndarray, shifts: list[int], passage: int, percent: int) -> bool:
-    """Whether enough pairs of words of ``b`` are in ``a`` within the band of a shift. ``b`` and ``a`` have a number per pair,
-    ``order`` sorts ``a``. Of ``passage`` words with ``percent`` equal on a path that skips u words of the other text, each equal
-    one but the last before an unequal one, a skip or the end starts an equal pair."""
-    apart = passage - -(-percent * passage // 100)
-    least = passage - 2 * apart - 1 - SKIPS
-    if least <= 0:
-        return True
-    low, high = np.searchsorted(a, b, "left", order), np.searchsorted(a, b, "right", order)
-    count = high - low
-    total = int(count.sum())
-    if total < least:
+def _hopeful(b: np.ndarray, a: np.ndarray, shifts: list[int], passage: int, percent: int) -> bool:
+    """Whether a passage may repeat along or around one of the alignments. Words may be given by anything that is equal for equal ones."""
+    if min(len(a), len(b)) < passage:
         return False
-    if total > DENSE * len(b):
-        return True
-    row = np.repeat(np.arange(len(b)), count)
-    at = order[np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
-    shift = np.array(sorted(shifts))
-    place = np.searchsorted(shift, row - at - BAND)
-    near = shift[np.minimum(place, len(shift) - 1)] - (row - at)
-    rows = row[(np.abs(near) <= BAND) & (place < len(shift))]
-    rows = rows[np.diff(rows, prepend=-1) > 0]
-    return len(rows) >= least and bool((rows[least - 1 :] - rows[: len(rows) - least + 1] < passage).any())
+    where = places(b, a)
+    return any(aligned_runs(_near(len(b), len(a), shift, where), passage, percent) for shift in shifts)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, passage: int, percent: int) -> DataFrame:
@@ -255,20 +240,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, passage: int
     Pairs of documents meet as a byte per word first; the texts of those that this leaves are then sent and compared."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs_of(x: bytes) -> np.ndarray:
-            words = np.frombuffer(x, np.uint8)
-            return words[:-1].astype(np.uint16) << 8 | words[1:]
-
-        last = None
         for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
+            good = []
             for i in range(batch.num_rows):
-                source, shifts, later, earlier = (batch.column(n)[i].as_py() for n in range(1, 5))
-                if source != last:
-                    a = pairs_of(earlier)
-                    order, last = np.argsort(a, kind="stable"), source
-                good[i] = min(len(later), len(earlier)) >= passage and _hopeful(pairs_of(later), a, order, shifts, passage, percent)
-            yield batch.select([0, 1, 2]).filter(pa.array(good))
+                shifts, later, earlier = (batch.column(n)[i].as_py() for n in range(2, 5))
+                good.append(_hopeful(np.frombuffer(later, np.uint8), np.frombuffer(earlier, np.uint8), shifts, passage, percent))
+            good = pa.array(good, pa.bool_())
+            yield batch.select([0, 1, 2]).filter(good)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def words_of(packed: bytes, size: int) -> np.ndarray:

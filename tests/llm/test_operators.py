@@ -171,9 +171,8 @@ def test_only_texts_that_may_share_a_passage_are_sent():
     near = other.copy()
     near[100:150] = text[200:250]
     near[100:150:5] = 0
-    order = np.argsort(text, kind="stable")
-    assert not passages._hopeful(other, text, order, [-20], 50, 80)
-    assert passages._hopeful(near, text, order, [-20, -100], 50, 80)
+    assert not passages._hopeful(other, text, [-20], 50, 80)
+    assert passages._hopeful(near, text, [-20, -100], 50, 80)
 
 
 def test_what_buckets_send_back_does_not_grow_with_their_number(spark, monkeypatch):
