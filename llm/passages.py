@@ -17,7 +17,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,10 @@ TOKEN_WORDS = 5
 #: Words by which a path may leave the alignment, and the equal words that each inserted or deleted word outweighs.
 BAND = 16
 GAP = 2
-#: Pairs of documents that are compared side by side.
-TOGETHER = 256
+#: Pairs of documents that are compared side by side, words that are laid out at once to look ahead, and words whose bands are.
+TOGETHER = 1024
+LAID = 1 << 21
+ROWS = 1 << 18
 
 
 def window_centres(values: np.ndarray, of: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,20 +82,20 @@ def windows(docs: DataFrame, passage: int, count: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id bigint, k int, value bigint, c bigint")
 
 
-def aligned_runs(same: np.ndarray, passage: int, percent: int) -> list[tuple[int, int]]:
-    """Maximal unions of ``passage``-word runs with ``percent`` or more equal words, trimmed to equal ends."""
-    if len(same) < passage:
-        return []
+def runs_in(same: np.ndarray, sizes: list[int], passage: int, percent: int, gap: int = 0) -> tuple[np.ndarray, ...]:
+    """(row, first, last, first equal, after last equal) of maximal unions of ``passage``-word runs with ``percent`` or more equal words.
+    ``same`` has the words of rows of these ``sizes``, the last ``gap`` of which do not count; places are counted in the row."""
     sums = np.concatenate([[0], np.cumsum(same)])
     good = np.flatnonzero(100 * (sums[passage:] - sums[:-passage]) >= percent * passage)
-    if not len(good):
-        return []
-    cut = np.flatnonzero(np.diff(good) > passage)
-    out = []
-    for a, b in zip(good[np.concatenate([[0], cut + 1])].tolist(), (good[np.concatenate([cut, [len(good) - 1]])] + passage).tolist(), strict=True):
-        inside = np.flatnonzero(same[a:b])
-        out.append((a + int(inside[0]), a + int(inside[-1]) + 1))
-    return out
+    ends = np.cumsum(sizes)
+    row = np.searchsorted(ends, good, "right")
+    inside = good + passage <= ends[row] - gap
+    good, row = good[inside], row[inside]
+    new = np.concatenate([[True], (np.diff(good) > passage) | (np.diff(row) > 0)]) if len(good) else np.zeros(0, bool)
+    first, last, row = good[new], good[np.roll(new, -1)] + passage, row[new]
+    there = np.flatnonzero(same)
+    places = first, last, there[np.searchsorted(there, first)], there[np.searchsorted(there, last) - 1] + 1
+    return row, *(x - (ends - sizes)[row] for x in places)
 
 
 def _inside(first: int, last: int, spans: list[tuple[int, int]]) -> bool:
@@ -111,79 +113,108 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def prints_of(words: np.ndarray) -> np.ndarray:
+    """A byte of the hash of each word; 0 and 1 stand for no word in ``_laid_runs``."""
+    return np.maximum(words >> np.uint64(56), np.uint64(2)).astype(np.uint8)
+
+
 def repeats_of(pairs: list[tuple[np.ndarray, np.ndarray, list[int]]], passage: int, percent: int) -> list[list[tuple[int, int]]]:
-    """For each (b, a, shifts) the spans of ``b`` that repeat ``a`` along an alignment or on a path around it, merged. Alignments go on
-    in turns for all pairs; what is known to be repeated is not compared again, as it could only be found again."""
+    """For each (b, a, shifts) the spans of ``b`` that repeat ``a`` along an alignment or on a path around it, merged. Alignments are
+    looked at by a byte per word first and go on in turns for all pairs; what is known to be repeated is not compared again, as it
+    could only be found again."""
     spans: list[list[tuple[int, int]]] = [[] for _ in pairs]
-
-    def known(n: int, shift: int, band: int) -> bool:
-        b, a, _ = pairs[n]
-        first, last = max(0, shift - band), min(len(b), len(a) + shift + band)
-        return last - first < passage or _inside(first, last, spans[n])
-
-    for n, (b, a, shifts) in enumerate(pairs):
-        for shift in shifts:
-            if not known(n, shift, 0):
-                begin, end = max(0, shift), min(len(b), len(a) + shift)
-                same = b[begin:end] == a[begin - shift : end - shift]
-                spans[n] = merged(spans[n] + [(begin + x, begin + y) for x, y in aligned_runs(same, passage, percent)])
-    left = {n: list(shifts) for n, (b, a, shifts) in enumerate(pairs) if min(len(a), len(b)) >= passage}
-    where: dict[int, tuple] = {}
+    prints = [(prints_of(b).tobytes(), prints_of(a).tobytes()) for b, a, _ in pairs]
+
+    def runs(band: int, some: slice = slice(None)) -> Iterator[tuple[int, int, tuple[int, int, int, int]]]:
+        open_ = []
+        for n, (b, a, shifts) in enumerate(pairs):
+            for shift in shifts[some]:
+                first, last = max(0, shift - band), min(len(b), len(a) + shift + band)
+                if min(len(a), len(b)) >= passage and last - first >= passage and not _inside(first, last, spans[n]):
+                    open_.append((n, shift))
+        for at, found in _runs_of([(*prints[n], shift) for n, shift in open_], band, passage, percent):
+            yield from ((*open_[at + row], run) for row, *run in zip(*(x.tolist() for x in found), strict=True))
+
+    def add(numbers: list[int], found: list[list[tuple[int, int]]]) -> None:
+        for n, more in zip(numbers, found, strict=True):
+            if more:
+                spans[n] = merged(spans[n] + more)
+
+    # The first alignment of a pair often leaves nothing for the others.
+    for some in (slice(0, 1), slice(1, None)):
+        for chunk in _chunks([(n, shift, *run) for n, shift, run in runs(0, some)], lambda x: x[3] - x[2]):
+            chunk = [x for x in chunk if not _inside(*x[4:], spans[x[0]])]
+            texts = [(*pairs[n][:2], shift, first, last, spans[n]) for n, shift, first, last, *_ in chunk]
+            add([n for n, *_ in chunk], _plain(texts, passage, percent))
+    left: dict[int, list] = {}
+    for n, shift, run in runs(BAND):
+        left.setdefault(n, []).append((shift, run))
     while left:
         turn = []
         for n in list(left):
-            taken = 0
-            while left[n] and taken < max(1, len(pairs) // len(left)):
-                shift = left[n].pop()
-                if not known(n, shift, BAND):
+            taken, most = 0, max(1, len(pairs) // len(left))
+            while left[n] and taken < most:
+                shift, (first, last, low, high) = left[n].pop()
+                if not _inside(low, high, spans[n]):
                     taken += 1
-                    turn.append((n, shift))
-                    if n not in where:
-                        where[n] = places(*pairs[n][:2])
+                    turn.append((n, shift, first, last))
             if not left[n]:
                 del left[n]
-        found = banded([(*pairs[n][:2], shift, spans[n], where[n]) for n, shift in turn], passage, percent)
-        for (n, _), more in zip(turn, found, strict=True):
-            spans[n] = merged(spans[n] + more)
+        for chunk in _chunks(turn, lambda x: x[3] - x[2], ROWS):
+            add([n for n, *_ in chunk], banded([(*pairs[n][:2], *where, spans[n]) for n, *where in chunk], passage, percent))
     return spans
 
 
-def places(b: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where the words of ``b`` are in ``a``: places of ``a`` in order of words, as numbers that hold both; the words of ``b`` that ``a``
-    has, and the number from which the places of each begin."""
-    distinct, which = np.unique(a, return_inverse=True)
-    size = len(a) + 1
-    at = np.minimum(np.searchsorted(distinct, b), len(distinct) - 1)
-    rows = np.flatnonzero(distinct[at] == b)
-    return np.sort(which * size + np.arange(len(a))), rows, at[rows] * size
+def _chunks(rows: list, cells: Callable, most: int = 0) -> Iterator[list]:
+    """``rows`` in order, one or at most ``most`` cells (``LAID``, if 0) at a time."""
+    at = 0
+    while at < len(rows):
+        until, total = at, 0
+        while until < len(rows) and (until == at or total + cells(rows[until]) <= (most or LAID)):
+            total += cells(rows[until])
+            until += 1
+        yield rows[at:until]
+        at = until
 
 
-def _near(size: int, others: int, shift: int, where: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """Which of ``size`` words are among the ``others`` of the other text within the band of an alignment."""
-    held, rows, base = where
-    low = np.searchsorted(held, base + np.clip(rows - shift - BAND, 0, others))
-    high = np.searchsorted(held, base + np.clip(rows - shift + BAND + 1, 0, others))
-    near = np.zeros(size, bool)
-    near[rows] = high > low
-    return near
+def _plain(texts: list[tuple], passage: int, percent: int) -> list[list[tuple[int, int]]]:
+    """For each (b, a, shift, from, to, known) the runs of ``b`` along the alignment of b[i] with a[i - shift]."""
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    if texts:
+        same = np.concatenate([b[first:last] == a[first - shift : last - shift] for b, a, shift, first, last, _ in texts])
+        row, _, _, low, high = runs_in(same, [last - first for _, _, _, first, last, _ in texts], passage, percent)
+        for n, x, y in zip(row.tolist(), low.tolist(), high.tolist(), strict=True):
+            out[n].append((texts[n][3] + x, texts[n][3] + y))
+    return out
 
 
 def banded(texts: list[tuple], passage: int, percent: int) -> list[list[tuple[int, int]]]:
-    """For each (b, a, shift, known, ``places`` of b in a) runs of ``b`` as in ``aligned_runs``, a word being equal if it is so on the best
+    """For each (b, a, shift, from, to, known) runs of ``b`` as in ``runs_in``, a word being equal if it is so on the best
     path within ``BAND`` words of the alignment of b[i] with a[i - shift]; those within one of the ``known`` spans are left out."""
     width = 2 * BAND + 1
-    runs = []
-    for number, (b, a, shift, known, where) in enumerate(texts):
-        # No path has more equal words than there are words with an equal one within the band.
-        for first, last in aligned_runs(_near(len(b), len(a), shift, where), passage, percent):
-            if not _inside(first, last, known):
-                at = np.arange(first, last + width - 1) - shift - BAND
-                valid = (at >= 0) & (at < len(a))
-                words = np.lib.stride_tricks.sliding_window_view(a[np.clip(at, 0, len(a) - 1)], width)
-                runs.append((number, first, (words == b[first:last, None]) & np.lib.stride_tricks.sliding_window_view(valid, width)))
+    later, earlier, sizes = [], [], []
+    for b, a, shift, begin, end, _ in texts:
+        low, high = begin - shift - BAND, end - shift + BAND
+        later += [b[begin:end], np.zeros(width - 1, np.uint64)]
+        earlier += [np.zeros(max(0, -low), np.uint64), a[max(0, low) : high], np.zeros(max(0, high - len(a)), np.uint64)]
+        sizes.append(end - begin + width - 1)
+    # No word's hash is 0.
+    b, a = np.concatenate([*later, np.zeros(0, np.uint64)]), np.concatenate([*earlier, np.zeros(width - 1, np.uint64)])
+    equal = np.lib.stride_tricks.sliding_window_view(a, width) == np.where(b == 0, np.uint64(1), b)[:, None]
+    # No path has more equal words than there are words with an equal one within the band.
+    row, _, _, low, high = runs_in(equal.any(axis=1), sizes, passage, percent, width - 1)
+    start, runs = np.concatenate([[0], np.cumsum(sizes)]).tolist(), []
+    for number, x, y in zip(row.tolist(), low.tolist(), high.tolist(), strict=True):
+        begin, known = texts[number][3], texts[number][5]
+        if not _inside(begin + x, begin + y, known):
+            runs.append((number, begin + x, equal[start[number] + x : start[number] + y]))
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
-    for (number, first, _), same in zip(runs, _paths([equal for _, _, equal in runs]), strict=True):
-        out[number] += [(first + x, first + y) for x, y in aligned_runs(same, passage, percent)]
+    if runs:
+        same = _paths([table for _, _, table in runs])
+        row, _, _, low, high = runs_in(np.concatenate(same), [len(x) for x in same], passage, percent)
+        for n, x, y in zip(row.tolist(), low.tolist(), high.tolist(), strict=True):
+            number, first, _ = runs[n]
+            out[number].append((first + x, first + y))
     return out
 
 
@@ -193,45 +224,88 @@ def _paths(equals: list[np.ndarray]) -> list[np.ndarray]:
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(equals)
     order = sorted(range(len(equals)), key=lambda i: -len(equals[i]))
     while order:
-        # Tables of up to 8 M cells at once.
-        cells = max(1, (8 << 20) // equals[order[0]].size)
-        some, order = order[:cells], order[cells:]
+        many = max(1, int(np.searchsorted(np.cumsum([len(equals[i]) for i in order]), ROWS, "right")))
+        some, order = order[:many], order[many:]
         lengths = np.array([len(equals[i]) for i in some])
         rows, width = equals[some[0]].shape
-        equal = np.zeros((rows, len(some), width), bool)
+        left = np.searchsorted(-lengths, -np.arange(rows))
+        # Rows i of all tables come one after the other; tables are then the last axis, so that steps across the band go over all at once.
+        start = np.concatenate([[0], np.cumsum(left)])
+        equal = np.zeros((start[-1], width), bool)
         for n, i in enumerate(some):
-            equal[: lengths[n], n] = equals[i]
-        left = np.searchsorted(-lengths, -np.arange(rows)).tolist()
-        ramp, column = GAP * np.arange(width, dtype=np.int32), np.arange(width, dtype=np.int8)
-        score = np.zeros((len(some), width), np.int32)
-        skipped, source = np.zeros(equal.shape, bool), np.zeros(equal.shape, np.int8)
-        skip = np.full((len(some), width), -(1 << 30), np.int32)
-        for i, n in enumerate(left):
-            along = score[:n] + equal[i, :n]
-            skip[:n, :-1] = score[:n, 1:] - GAP
-            skipped[i, :n] = skip[:n] > along
-            lifted = np.maximum(along, skip[:n]) + ramp
-            best = np.maximum.accumulate(lifted, axis=1)
-            source[i, :n] = np.maximum.accumulate(np.where(lifted == best, column, 0), axis=1)
-            score[:n] = best - ramp
-        same, w, every = np.zeros((rows, len(some)), bool), np.argmax(score, axis=1), np.arange(len(some))
-        for i in range(rows - 1, -1, -1):
-            n = left[i]
-            here = source[i, every[:n], w[:n]].astype(np.int64)
-            over = skipped[i, every[:n], here]
-            same[i, :n] = ~over & equal[i, every[:n], here]
-            w[:n] = here + over
+            equal[start[: lengths[n]] + n] = equals[i]
+        skipped, source = np.zeros(equal.size, bool), np.zeros(equal.size, np.int8)
+        of = [slice(x, y) for x, y in zip(start.tolist(), start[1:].tolist())]
+        cells = [(slice(width * x.start, width * x.stop), x.stop - x.start) for x in of]
+        kind = np.int16 if rows + GAP * width < 1 << 15 else np.int32
+        ramp, column = (GAP * np.arange(width, dtype=kind))[:, None], np.arange(width, dtype=np.int8)[:, None]
+        score = np.zeros((width, len(some)), kind)
+        # No score is below 0.
+        skip = np.full((width, len(some)), -1, kind)
+        for here, (cell, n) in zip(of, cells):
+            along = score[:, :n] + equal[here].T
+            np.subtract(score[1:, :n], kind(GAP), out=skip[:-1, :n])
+            np.greater(skip[:, :n], along, out=skipped[cell].reshape(width, n))
+            lifted = np.maximum(along, skip[:, :n]) + ramp
+            best = np.maximum.accumulate(lifted, axis=0)
+            np.maximum.accumulate(np.where(lifted == best, column, np.int8(0)), axis=0, out=source[cell].reshape(width, n))
+            np.subtract(best, ramp, out=score[:, :n])
+        same, w, every = np.zeros(start[-1], bool), np.argmax(score, axis=0), np.arange(len(some))
+        for here, (cell, n) in zip(of[::-1], cells[::-1]):
+            at = source[cell].reshape(width, n)[w[:n], every[:n]].astype(np.int64)
+            over = skipped[cell].reshape(width, n)[at, every[:n]]
+            same[here] = ~over & equal[here][every[:n], at]
+            w[:n] = at + over
         for n, i in enumerate(some):
-            out[i] = same[: lengths[n], n]
+            out[i] = same[start[: lengths[n]] + n]
     return out
 
 
-def _hopeful(b: np.ndarray, a: np.ndarray, shifts: list[int], passage: int, percent: int) -> bool:
-    """Whether a passage may repeat along or around one of the alignments. Words may be given by anything that is equal for equal ones."""
-    if min(len(a), len(b)) < passage:
-        return False
-    where = places(b, a)
-    return any(aligned_runs(_near(len(b), len(a), shift, where), passage, percent) for shift in shifts)
+def _laid_runs(rows: list[tuple[bytes, bytes, int]], band: int, passage: int, percent: int) -> tuple[np.ndarray, ...]:
+    """(row, first, last, first equal, after last equal) of the runs of (later, earlier, shift), given a byte per word as in ``prints_of``,
+    a word being equal if an equal one is within ``band`` words of the alignment.
+
+    All are laid out one after the other, the words of the earlier text ``band`` before those that they are held against, and compared
+    at every step of the band at once. Runs that reach into the gaps between them do not count."""
+    width, gap = 2 * band + 1, max(passage, 2 * band)
+    later, earlier, sizes, begin = [], [], [], []
+    for b, a, shift in rows:
+        first, last = max(0, shift - band), min(len(b), len(a) + shift + band)
+        low, high = first - shift - band, last - shift + band
+        later += [b[first:last], b"\1" * gap]
+        earlier += [b"\0" * -low, a[max(0, low) : high], b"\0" * (gap - width + 1 + max(0, high - len(a)))]
+        sizes.append(last - first + gap)
+        begin.append(first)
+    b, a = (np.frombuffer(b"".join(x), np.uint8) for x in (later, earlier))
+    near, same = np.zeros(len(b), bool), np.empty(1 << 15, bool)
+    end = len(b) - width + 1
+    for at in range(0, end, len(same)):
+        until = min(end, at + len(same))
+        for step in range(width):
+            np.equal(b[at:until], a[at + step : until + step], out=same[: until - at])
+            near[at:until] |= same[: until - at]
+    row, *places = runs_in(near, sizes, passage, percent, gap)
+    return row, *(x + np.array(begin, np.int64)[row] for x in places)
+
+
+def _runs_of(rows: list[tuple[bytes, bytes, int]], band: int, passage: int, percent: int) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """(first row, its and the next ones' ``_laid_runs``), by at most ``LAID`` words or one row."""
+    at = 0
+    for some in _chunks(rows, lambda row: len(row[0])):
+        yield at, _laid_runs(some, band, passage, percent)
+        at += len(some)
+
+
+def _hopeful(pairs: list[tuple[bytes, bytes, list[int]]], passage: int, percent: int) -> np.ndarray:
+    """Whether a passage may repeat along or around one of the alignments of (later, earlier, shifts), given as in ``_laid_runs``: the first
+    alignment of each pair, then all of those that are still open."""
+    out = np.zeros(len(pairs), bool)
+    able = [n for n, (b, a, _) in enumerate(pairs) if min(len(a), len(b)) >= passage]
+    for some in (slice(0, 1), slice(1, None)):
+        rows = [(n, shift) for n in able if not out[n] for shift in pairs[n][2][some]]
+        for at, (found, *_) in _runs_of([(*pairs[n][:2], shift) for n, shift in rows], BAND, passage, percent):
+            out[[rows[at + row][0] for row in found.tolist()]] = True
+    return out
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, passage: int, percent: int) -> DataFrame:
@@ -241,11 +315,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, passage: int
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for i in range(batch.num_rows):
-                shifts, later, earlier = (batch.column(n)[i].as_py() for n in range(2, 5))
-                good.append(_hopeful(np.frombuffer(later, np.uint8), np.frombuffer(earlier, np.uint8), shifts, passage, percent))
-            good = pa.array(good, pa.bool_())
+            given = list(zip(*(batch.column(n).to_pylist() for n in (3, 4, 2)), strict=True))
+            good = pa.array(_hopeful(given, passage, percent), pa.bool_())
             yield batch.select([0, 1, 2]).filter(good)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +361,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, data, offsets in slices(batch.column(1)):
             words = split(data, offsets, NOT_SPACE)
-            found = (hashes(data, words.starts, words.ends) >> np.uint64(56)).astype(np.uint8)
+            found = prints_of(hashes(data, words.starts, words.ends))
             prints = pa.array([found[a:b].tobytes() for a, b in zip(words.of, words.of[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), prints], ["id", "print"])
 

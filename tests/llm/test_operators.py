@@ -268,6 +268,39 @@ def test_window_centres_are_those_of_all_long_windows():
         assert len(row) == len(want) and set(zip(row.tolist(), centre.tolist())) == want
 
 
+def test_alignments_compared_together_are_as_one_by_one(monkeypatch):
+    rng = np.random.default_rng(5)
+    pairs = []
+    for trial in range(300):
+        words = rng.integers(2, [4, 30, 250][trial % 3], (2, 300)).astype(np.uint64) << np.uint64(56)
+        a, b = words[0, : rng.integers(20, 300)], words[1, : rng.integers(20, 300)]
+        x, y, n, more = (int(rng.integers(0, k)) for k in (len(a), len(b), 120, 18))
+        middle = a[x : x + n].copy()
+        middle[rng.random(len(middle)) < [0, 0.1, 0.2][trial % 3]] = 7 << 56
+        b = np.concatenate([b[:y], middle[: n // 2], words[1, :more], middle[n // 2 :], b[y:]])
+        pairs.append((b, a, [s for s in (y - x + 20, y - x, y - x - 9, 5) if -len(a) < s < len(b)]))
+    prints = [(*(passages.prints_of(x).tobytes() for x in pair[:2]), pair[2]) for pair in pairs]
+
+    def near(b, a, shift):
+        places = np.arange(len(b))[:, None] - shift + np.arange(-passages.BAND, passages.BAND + 1)
+        return ((places >= 0) & (places < len(a)) & (a[np.clip(places, 0, len(a) - 1)] == b[:, None])).any(axis=1)
+
+    def alone(pair):
+        return passages.repeats_of([pair], 50, 80)[0]
+
+    want = [alone(pair) for pair in pairs]
+    assert 50 < sum(map(bool, want)) < 300
+    hopeful = passages._hopeful(prints, 50, 80)
+    for (b, a, shifts), spans, yes in zip(pairs, want, hopeful.tolist(), strict=True):
+        runs = [len(passages.runs_in(near(b, a, s), [len(b)], 50, 80)[0]) for s in shifts] if min(len(a), len(b)) >= 50 else []
+        # Runs by the edge of the band reach out of the words that are compared.
+        assert yes <= any(runs) and bool(spans) <= yes
+    for many in (1 << 21, 400):
+        monkeypatch.setattr(passages, "LAID", many)
+        monkeypatch.setattr(passages, "ROWS", many)
+        assert passages.repeats_of(pairs, 50, 80) == want and (passages._hopeful(prints, 50, 80) == hopeful).all()
+
+
 def test_passages_between_the_ends_of_a_group(spark):
     """The first document has only phrases of the passage; those in the middle repeat each other, not it."""
     rng = random.Random(31)
