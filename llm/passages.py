@@ -6,8 +6,9 @@
    2 n / passage of them per function.
 2. Windows with the same (function, min-hash) share a signature. Each is first a candidate of the first and of
    the last one of its group: stars, so a group of n gives fewer than 2 n candidates. Windows whose min-hash then
-   lies in no repeated passage of their document go on: further windows of the group become centres, 1, 8, 64, ...
-   of them, until each is matched or has met every earlier document of its group. No group is capped.
+   lies in no repeated passage of their document go on: the first ``FIRST`` windows of the group become centres; after these, all earlier
+   members that have one of the rarest words of each run of words around the min-hash (by the number of words that may differ in
+   a passage, no other member can share one there). No group is capped.
 3. Candidates of the same two documents and the same alignment are joined. Intervals are not counted over the hash
    functions: one shared signature makes a candidate, and the texts decide.
 4. Both texts are compared word by word along the alignment, and along the best path that stays within ``BAND`` words of
@@ -21,12 +22,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from llm.shared import keep_table, maybe_broadcast
-from llm.words import NOT_SPACE, buffers, hashes, mix, shingles, slices, split
+from llm.words import NOT_SPACE, ODD, buffers, hashes, mix, shingles, slices, split
 
 HASHES = 4
 TOKEN_WORDS = 5
@@ -37,6 +40,8 @@ GAP = 2
 TOGETHER = 1024
 LAID = 1 << 21
 ROWS = 1 << 18
+#: Members of a group that all its open windows are held against; further ones only where a passage around the min-hash is possible.
+FIRST = 8
 
 
 def window_centres(values: np.ndarray, of: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -367,28 +372,173 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _further(grouped: DataFrame, tried: DataFrame, repeats: DataFrame, usable: DataFrame, prints: DataFrame, passage: int, percent: int) -> DataFrame:
-    """``repeats`` with those of windows that the stars leave unmatched, from further centres of their groups."""
-    # Groups of two documents have been compared in full, but for further positions of one.
+    """``repeats`` with those of windows that the stars leave unmatched, from further members of their groups."""
+    # Groups of two documents have been compared in full, but for further positions of one. Of windows in a row, all of one word,
+    # some are enough: the others' alignments are within the band of theirs.
     columns = ["id", "k", "value", "c", "rank"]
-    ranked = grouped.filter("size > 2").select(*columns)
-    open_ = grouped.filter("size > 2 AND id <> low.id").select(*columns)
-    done = 0
-    while True:
+    ranked = grouped.filter("size > 2 AND NOT inner").select(*columns)
+    open_ = grouped.filter("size > 2 AND NOT inner AND id <> low.id").select(*columns)
+    # The stars have met the first window of each group.
+    for done, until in [(1, FIRST), (FIRST, None)]:
         spans = repeats.select(F.col("id").alias("of"), "first_word", "end_word").distinct()
         inside = (F.col("id") == F.col("of")) & (F.col("c") >= F.col("first_word")) & (F.col("c") + TOKEN_WORDS <= F.col("end_word"))
         # A window has met all those before it once they have been centres.
         open_ = keep_table(open_.filter(F.col("rank") > done + 1).join(spans, inside, "left_anti"))
         if open_.isEmpty():
-            return repeats
-        until = max(1, 8 * done)
-        centres = ranked.filter((F.col("rank") > done) & (F.col("rank") <= until)).select(
-            "k", "value", F.col("id").alias("source"), F.col("c").alias("at")
-        )
-        pairs = open_.join(centres, ["k", "value"]).filter("id > source").select("id", "source", (F.col("c") - F.col("at")).alias("shift")).distinct()
+            break
+        if until is None:
+            pairs = _around(open_, ranked.filter(F.col("rank") > done), usable, passage, percent)
+        else:
+            centres = ranked.filter((F.col("rank") > done) & (F.col("rank") <= until)).select(
+                "k", "value", F.col("id").alias("source"), F.col("c").alias("at")
+            )
+            pairs = open_.join(centres, ["k", "value"]).filter("id > source").select("id", "source", (F.col("c") - F.col("at")).alias("shift")).distinct()
         fresh = keep_table(pairs.join(tried, ["id", "source", "shift"], "left_anti"))
         tried = tried.unionByName(fresh)
         repeats = repeats.unionByName(keep_table(_verified(fresh, usable, prints, passage, percent)))
-        done = until
+    return repeats
+
+
+def _around(open_: DataFrame, ranked: DataFrame, usable: DataFrame, passage: int, percent: int) -> DataFrame:
+    """(id, source, shift) of all windows in ``open_`` and earlier members of their groups that may share a passage around the min-hash.
+
+    Among any words of a run of ``passage`` that are one more than may differ in a passage is an equal one. The rarest in the group are
+    taken, of every run that touches the min-hash, and looked for around the other members."""
+    reach = passage - 1 + BAND
+    ends = open_.select("k", "value").distinct()
+    asking = open_.select("k", "value", "id", "c", F.lit(True).alias("open"))
+    members = ranked.join(ends, ["k", "value"], "left_semi").join(asking, ["k", "value", "id", "c"], "left")
+    per = members.groupBy("id").agg(F.collect_list(F.struct("value", "c", F.col("open").isNotNull().alias("open"))).alias("windows"))
+    per = keep_table(per)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            fields, offset = lists.flatten(), lists.offsets.to_numpy()
+            offset = offset - offset[0]
+            value, c, asks = (fields.field(n) for n in range(3))
+            for first, last, data, offsets in slices(batch.column(1)):
+                words = split(data, offsets, NOT_SPACE)
+                found = (hashes(data, words.starts, words.ends) >> np.uint64(32)).astype(np.uint32)
+                at, until = int(offset[first]), int(offset[last])
+                row = np.repeat(np.arange(last - first), np.diff(offset[first : last + 1]))
+                own = c.slice(at, until - at).to_numpy()
+                begin = np.maximum(own - reach, 0)
+                end = np.minimum(own + TOKEN_WORDS + reach, np.diff(words.of)[row])
+                near = [found[x:y].tobytes() for x, y in zip((words.of[row] + begin).tolist(), (words.of[row] + end).tolist(), strict=True)]
+                ids = batch.column(0).slice(first, last - first).take(pa.array(row))
+                columns = [ids, value.slice(at, until - at), pa.array(own), asks.slice(at, until - at), pa.array(own - begin), pa.array(near, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "value", "c", "open", "lead", "near"])
+
+    texts = usable.select("id", "text").join(maybe_broadcast(per.select("id")), "id", "left_semi")
+    kind = "id bigint, value bigint, c bigint, open boolean, lead bigint, near binary"
+    contexts = keep_table(texts.join(per, "id").select("id", "text", "windows").mapInArrow(cut, kind))
+    counted = contexts.agg(F.sum(F.length("near")), F.count_if("open")).first()
+    counts = _counters(contexts, _log(counted[0] // 32))
+    region, spare = 2 * passage + TOKEN_WORDS - 2, passage - max(1, -(-percent * passage // 100))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = counts.value
+        start = np.arange(region - passage + 1)[:, None]
+        step = start + np.arange(passage)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256)
+                near, row, place = _near(rows)
+                # Places in the region of the runs that touch the min-hash.
+                place += passage - 1 - rows.column(4).to_numpy()[row]
+                inside = (place >= 0) & (place < region)
+                words, there = np.zeros((rows.num_rows, region), np.uint64), np.zeros((rows.num_rows, region), bool)
+                words[row[inside], place[inside]] = near[inside] * ODD[0]
+                there[row[inside], place[inside]] = True
+                # The word in each place, and how often it has come in a run by then.
+                before = np.zeros((*words.shape, region + 1), np.uint8)
+                np.cumsum(words[:, :, None] == words[:, None, :], axis=2, dtype=np.uint8, out=before[:, :, 1:])
+                often = before[:, step, step + 1] - before[:, step, start]
+                keys = _key(rows.column(1).to_numpy().view(np.uint64)[:, None, None], words[:, step], often)
+                rarity = (_slot(many, keys) << 32) | (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                # Only runs within the document.
+                taken = (rarity <= np.partition(rarity, spare, axis=2)[:, :, spare, None]) & there[:, step].all(axis=2, keepdims=True)
+                yield _distinct(rows, keys[taken], np.nonzero(taken)[0])
+
+    asked = keep_table(contexts.filter("open").mapInArrow(ask, "key bigint, id bigint, c bigint"))
+    wanted = _counters(asked, _log(asked.count() * 8), whole=True)
+
+    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, row = _keys(batch)
+            some = _slot(wanted.value, keys) > 0
+            yield _distinct(batch, keys[some], row[some])
+
+    offered = contexts.mapInArrow(offer, "key bigint, id bigint, c bigint").toDF("key", "source", "at")
+    return asked.join(offered, "key").filter("id > source").select("id", "source", (F.col("c") - F.col("at")).alias("shift")).distinct()
+
+
+def _near(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, row, place) of the words around windows."""
+    near, sizes = np.frombuffer(b"".join(rows.column(5).to_pylist()), np.uint32), pa.compute.binary_length(rows.column(5)).to_numpy() // 4
+    row = np.repeat(np.arange(rows.num_rows), sizes)
+    return near.astype(np.uint64), row, np.arange(len(near)) - (np.cumsum(sizes) - sizes)[row]
+
+
+def _key(value: np.ndarray, words: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Stands for a word in a group that comes for the so many-th time; ``words`` are multiplied by ODD[0]."""
+    return mix(value ^ (words + often.astype(np.uint64) * ODD[1]))
+
+
+def _keys(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of the words around windows, each a first, second, ... time. A path meets no word twice, so a run has no more of
+    its equal words than there are around the other min-hash."""
+    near, row, _ = _near(rows)
+    order = np.lexsort((near, row))
+    near, row = near[order], row[order]
+    new = np.concatenate([[True], (near[1:] != near[:-1]) | (row[1:] != row[:-1])]) if len(near) else np.zeros(0, bool)
+    begin = np.flatnonzero(new)
+    often = np.arange(len(near)) - begin[np.cumsum(new) - 1] + 1
+    return _key(rows.column(1).to_numpy().view(np.uint64)[row], near * ODD[0], often), row
+
+
+def _distinct(rows: pa.RecordBatch, keys: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
+    order = np.lexsort((keys, row))
+    keys, row = keys[order], row[order]
+    new = np.concatenate([[True], (np.diff(row) > 0) | (keys[1:] != keys[:-1])]) if len(keys) else np.zeros(0, bool)
+    which = pa.array(row[new])
+    return pa.RecordBatch.from_arrays([pa.array(keys[new].view(np.int64)), rows.column(0).take(which), rows.column(2).take(which)], ["key", "id", "c"])
+
+
+def _log(entries: int) -> int:
+    """Binary logarithm of the size of a table of counters."""
+    return min(23, max(16, int(entries).bit_length()))
+
+
+def _slot(counts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return counts[(keys >> np.uint64(65 - len(counts).bit_length())).astype(np.int64)].astype(np.int64)
+
+
+def _counters(rows: DataFrame, size: int, whole: bool = False) -> Broadcast:
+    """How often keys fall into each of 2^``size`` places, by their first bits, up to 255 a task and in all; of words around windows, or keys
+    given as a column (``whole``). They are broadcast; more than one key may share a place, so they only tell what need not be sent."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << size, np.uint8)
+        for batch in batches:
+            keys = batch.column(0).to_numpy().view(np.uint64) if whole else _keys(batch)[0]
+            at, n = np.unique((keys >> np.uint64(64 - size)).astype(np.int64), return_counts=True)
+            counts[at] = np.minimum(255, counts[at] + n)
+        parts = counts.reshape(-1, 1 << 16)
+        some = [n for n in range(len(parts)) if parts[n].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[n].tobytes() for n in some], pa.binary())], ["part", "counts"])
+
+    def add(parts: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.uint8).astype(np.int64) for x in parts.column(1).to_pylist())
+        return pa.table({"part": parts.column(0)[:1], "counts": pa.array([np.minimum(255, total).astype(np.uint8).tobytes()], pa.binary())})
+
+    kind = "part int, counts binary"
+    merged_parts = rows.mapInArrow(count, kind).groupBy("part").applyInArrow(add, kind).toArrow()
+    counts = np.zeros((1 << (size - 16), 1 << 16), np.uint8)
+    for part, data in zip(*(x.to_pylist() for x in merged_parts.columns), strict=True):
+        counts[part] = np.frombuffer(data, np.uint8)
+    return rows.sparkSession.sparkContext.broadcast(counts.ravel())
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", passage: int = 50, percent: int = 80, count: int = HASHES) -> DataFrame:
@@ -411,12 +561,18 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id",
     prints = keep_table(usable.select("id", "text").mapInArrow(_prints, "id bigint, print binary"))
     # Most windows share their signature with no other document and are not kept.
     group = Window.partitionBy("k", "value")
+
+    def follows(other: Callable, step: int) -> Column:
+        its = other(F.struct("id", "c")).over(group.orderBy("id", "c"))
+        return F.coalesce((its["id"] == F.col("id")) & (its["c"] + step == F.col("c")), F.lit(False))
+
     grouped = keep_table(
         windows(usable, passage, count)
         .withColumn("rank", F.row_number().over(group.orderBy("id", "c")))
         .withColumn("low", F.min(F.struct("id", "c")).over(group))
         .withColumn("high", F.max(F.struct("id", "c")).over(group))
         .withColumn("size", F.count(F.lit(1)).over(group))
+        .withColumn("inner", follows(F.lag, 1) & follows(F.lead, -1) & (F.col("c") % BAND != 0))
         .filter("low.id <> high.id")
     )
     both = grouped.select("id", "c", F.explode(F.array("low", "high")).alias("other"))
