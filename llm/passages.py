@@ -6,9 +6,9 @@
    2 n / passage of them per function.
 2. Windows with the same (function, min-hash) share a signature. Each is first a candidate of the first and of
    the last one of its group: stars, so a group of n gives fewer than 2 n candidates. Windows whose min-hash then
-   lies in no repeated passage of their document go on: the first ``FIRST`` windows of the group become centres; after these, all earlier
-   members that have one of the rarest words of each run of words around the min-hash (by the number of words that may differ in
-   a passage, no other member can share one there). No group is capped.
+   lies in no repeated passage of their document go on: they are held against all earlier members of the group that have one of the
+   rarest words of some run of words around the min-hash (by the number of words that may differ in a passage, no other member
+   can share one there). No group is capped.
 3. Candidates of the same two documents and the same alignment are joined. Intervals are not counted over the hash
    functions: one shared signature makes a candidate, and the texts decide.
 4. Both texts are compared word by word along the alignment, and along the best path that stays within ``BAND`` words of
@@ -40,8 +40,6 @@ GAP = 2
 TOGETHER = 1024
 LAID = 1 << 21
 ROWS = 1 << 18
-#: Members of a group that all its open windows are held against; further ones only where a passage around the min-hash is possible.
-FIRST = 8
 
 
 def window_centres(values: np.ndarray, of: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -333,7 +331,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, passage: int
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
                 rows = batch.slice(at, TOGETHER).to_pylist()
-                texts = [(words_of(r["text"], r["size"]), words_of(r["source_text"], r["source_size"]), r["shifts"]) for r in rows]
+                packed = {r["id"]: (r["text"], r["size"]) for r in rows} | {r["source"]: (r["source_text"], r["source_size"]) for r in rows}
+                words = {key: words_of(*text) for key, text in packed.items()}
+                texts = [(words[r["id"]], words[r["source"]], r["shifts"]) for r in rows]
                 out = [(r["id"], r["source"], *span) for r, spans in zip(rows, repeats_of(texts, passage, percent), strict=True) for span in spans]
                 if out:
                     columns = zip(*out, strict=True)
@@ -378,25 +378,15 @@ def _further(grouped: DataFrame, tried: DataFrame, repeats: DataFrame, usable: D
     columns = ["id", "k", "value", "c", "rank"]
     ranked = grouped.filter("size > 2 AND NOT inner").select(*columns)
     open_ = grouped.filter("size > 2 AND NOT inner AND id <> low.id").select(*columns)
+    spans = repeats.select(F.col("id").alias("of"), "first_word", "end_word").distinct()
+    inside = (F.col("id") == F.col("of")) & (F.col("c") >= F.col("first_word")) & (F.col("c") + TOKEN_WORDS <= F.col("end_word"))
     # The stars have met the first window of each group.
-    for done, until in [(1, FIRST), (FIRST, None)]:
-        spans = repeats.select(F.col("id").alias("of"), "first_word", "end_word").distinct()
-        inside = (F.col("id") == F.col("of")) & (F.col("c") >= F.col("first_word")) & (F.col("c") + TOKEN_WORDS <= F.col("end_word"))
-        # A window has met all those before it once they have been centres.
-        open_ = keep_table(open_.filter(F.col("rank") > done + 1).join(spans, inside, "left_anti"))
-        if open_.isEmpty():
-            break
-        if until is None:
-            pairs = _around(open_, ranked.filter(F.col("rank") > done), usable, passage, percent)
-        else:
-            centres = ranked.filter((F.col("rank") > done) & (F.col("rank") <= until)).select(
-                "k", "value", F.col("id").alias("source"), F.col("c").alias("at")
-            )
-            pairs = open_.join(centres, ["k", "value"]).filter("id > source").select("id", "source", (F.col("c") - F.col("at")).alias("shift")).distinct()
-        fresh = keep_table(pairs.join(tried, ["id", "source", "shift"], "left_anti"))
-        tried = tried.unionByName(fresh)
-        repeats = repeats.unionByName(keep_table(_verified(fresh, usable, prints, passage, percent)))
-    return repeats
+    open_ = keep_table(open_.filter("rank > 2").join(spans, inside, "left_anti"))
+    if open_.isEmpty():
+        return repeats
+    pairs = _around(open_, ranked.filter("rank > 1"), usable, passage, percent)
+    fresh = keep_table(pairs.join(tried, ["id", "source", "shift"], "left_anti"))
+    return repeats.unionByName(keep_table(_verified(fresh, usable, prints, passage, percent)))
 
 
 def _around(open_: DataFrame, ranked: DataFrame, usable: DataFrame, passage: int, percent: int) -> DataFrame:
@@ -560,7 +550,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id",
     usable = once.filter("text IS NOT NULL")
     prints = keep_table(usable.select("id", "text").mapInArrow(_prints, "id bigint, print binary"))
     # Most windows share their signature with no other document and are not kept.
-    group = Window.partitionBy("k", "value")
+    group = Window.partitionBy("value", "k")
 
     def follows(other: Callable, step: int) -> Column:
         its = other(F.struct("id", "c")).over(group.orderBy("id", "c"))

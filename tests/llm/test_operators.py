@@ -313,6 +313,30 @@ def test_passages_between_the_ends_of_a_group(spark):
     assert all(got[i]["sources"] and min(got[i]["sources"]) >= 1 for i in range(2, 6))
 
 
+def test_passages_around_a_line_that_many_documents_have(spark, monkeypatch):
+    """All share a line, few a passage around it: the others are not held against each other."""
+    rng = random.Random(41)
+    line, words = prose(rng, 12), [f"w{k}" for k in range(20_000)]
+    some = lambda n: " ".join(rng.choices(words, k=n))
+    before, after = some(30), some(30)
+    rows = [(i, f"{some(100)} {line} {some(100)}") for i in range(150)]
+    # In the middle of the group: neither its first nor its last member has the passage.
+    for i in (60, 70, 80):
+        near = f"{before} {line} {after}".split()
+        near[i // 10], near[i // 2 + 20] = "yyy", "zzz"
+        rows[i] = (i, f"{some(100)} {' '.join(near)} {some(100)}")
+    # Windows in a row of one word, too.
+    rows += [(150 + i, f"{some(60)} {'again ' * 200} {some(60)}") for i in range(3)]
+    sent, verified = [], passages._verified
+    monkeypatch.setattr(passages, "_verified", lambda pairs, *rest: sent.append(pairs.count()) or verified(pairs, *rest))
+    got = {r["doc_id"]: r for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {i for i in got if got[i]["n_repeated"]} == {70, 80, 151, 152}
+    assert got[70]["sources"] == [60] and got[80]["sources"][0] in (60, 70) and min(got[i]["n_repeated"] for i in (70, 80)) >= 68
+    assert min(got[i]["n_repeated"] for i in (151, 152)) >= 200
+    # All pairs of windows on the line would be tens of thousands.
+    assert sum(sent) < 150 * 2 * 12
+
+
 def test_passages_with_an_inserted_or_deleted_word(spark):
     rng = random.Random(37)
     rows = []
