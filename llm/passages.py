@@ -6,8 +6,8 @@
    2 n / passage of them per function.
 2. Windows with the same (function, min-hash) share a signature. Each is first a candidate of the first and of
    the last one of its group: stars, so a group of n gives fewer than 2 n candidates. Windows whose min-hash then
-   lies in no repeated passage of their document go on: they are held against all earlier members of the group that have one of the
-   rarest words of some run of words around the min-hash (by the number of words that may differ in a passage, no other member
+   lies in no repeated passage of their document go on: they are held against all earlier members of the group that have ``SHARED`` of the
+   rarest words of the runs of words around the min-hash (by the number of words that may differ in a passage, no other member
    can share one there). No group is capped.
 3. Candidates of the same two documents and the same alignment are joined. Intervals are not counted over the hash
    functions: one shared signature makes a candidate, and the texts decide.
@@ -40,6 +40,8 @@ GAP = 2
 TOGETHER = 1024
 LAID = 1 << 21
 ROWS = 1 << 18
+#: Rare words around the min-hash that two members of a group must share to be compared.
+SHARED = 3
 
 
 def window_centres(values: np.ndarray, of: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,6 +107,18 @@ def _inside(first: int, last: int, spans: list[tuple[int, int]]) -> bool:
     return any(x <= first and last <= y for x, y in spans)
 
 
+def _unknown(first: int, last: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Parts of [first, last) that are in none of the spans, which are in order."""
+    out = []
+    for x, y in spans:
+        if x > first:
+            out.append((first, min(x, last)))
+        first = max(first, y)
+        if first >= last:
+            break
+    return [(x, y) for x, y in [*out, (first, last)] if x < y]
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans in order, put together where they meet."""
     out: list[tuple[int, int]] = []
@@ -149,16 +163,18 @@ def repeats_of(pairs: list[tuple[np.ndarray, np.ndarray, list[int]]], passage: i
             chunk = [x for x in chunk if not _inside(*x[4:], spans[x[0]])]
             texts = [(*pairs[n][:2], shift, first, last, spans[n]) for n, shift, first, last, *_ in chunk]
             add([n for n, *_ in chunk], _plain(texts, passage, percent))
+    # Runs that reach beyond those along an alignment lie within ``passage`` words of what these leave.
     left: dict[int, list] = {}
-    for n, shift, run in runs(BAND):
-        left.setdefault(n, []).append((shift, run))
+    for n, shift, (first, last, low, high) in runs(BAND):
+        parts = merged([(max(first, x - passage), min(last, y + passage)) for x, y in _unknown(low, high, spans[n])])
+        left.setdefault(n, []).extend((shift, *part) for part in parts)
     while left:
         turn = []
         for n in list(left):
             taken, most = 0, max(1, len(pairs) // len(left))
             while left[n] and taken < most:
-                shift, (first, last, low, high) = left[n].pop()
-                if not _inside(low, high, spans[n]):
+                shift, first, last = left[n].pop()
+                if not _inside(first, last, spans[n]):
                     taken += 1
                     turn.append((n, shift, first, last))
             if not left[n]:
@@ -392,8 +408,8 @@ def _further(grouped: DataFrame, tried: DataFrame, repeats: DataFrame, usable: D
 def _around(open_: DataFrame, ranked: DataFrame, usable: DataFrame, passage: int, percent: int) -> DataFrame:
     """(id, source, shift) of all windows in ``open_`` and earlier members of their groups that may share a passage around the min-hash.
 
-    Among any words of a run of ``passage`` that are one more than may differ in a passage is an equal one. The rarest in the group are
-    taken, of every run that touches the min-hash, and looked for around the other members."""
+    Among any words of a run of ``passage`` that are ``SHARED`` more than may differ in a passage are so many equal ones. The rarest in the
+    group are taken, of every run that touches the min-hash, and looked for around the other members."""
     reach = passage - 1 + BAND
     ends = open_.select("k", "value").distinct()
     asking = open_.select("k", "value", "id", "c", F.lit(True).alias("open"))
@@ -425,7 +441,9 @@ def _around(open_: DataFrame, ranked: DataFrame, usable: DataFrame, passage: int
     contexts = keep_table(texts.join(per, "id").select("id", "text", "windows").mapInArrow(cut, kind))
     counted = contexts.agg(F.sum(F.length("near")), F.count_if("open")).first()
     counts = _counters(contexts, _log(counted[0] // 32))
-    region, spare = 2 * passage + TOKEN_WORDS - 2, passage - max(1, -(-percent * passage // 100))
+    region, need = 2 * passage + TOKEN_WORDS - 2, max(1, -(-percent * passage // 100))
+    shared = min(SHARED, need)
+    taken_words = passage - need + shared
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = counts.value
@@ -448,7 +466,7 @@ def _around(open_: DataFrame, ranked: DataFrame, usable: DataFrame, passage: int
                 keys = _key(rows.column(1).to_numpy().view(np.uint64)[:, None, None], words[:, step], often)
                 rarity = (_slot(many, keys) << 32) | (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
                 # Only runs within the document.
-                taken = (rarity <= np.partition(rarity, spare, axis=2)[:, :, spare, None]) & there[:, step].all(axis=2, keepdims=True)
+                taken = (rarity <= np.partition(rarity, taken_words - 1, axis=2)[:, :, taken_words - 1, None]) & there[:, step].all(axis=2, keepdims=True)
                 yield _distinct(rows, keys[taken], np.nonzero(taken)[0])
 
     asked = keep_table(contexts.filter("open").mapInArrow(ask, "key bigint, id bigint, c bigint"))
@@ -461,7 +479,8 @@ def _around(open_: DataFrame, ranked: DataFrame, usable: DataFrame, passage: int
             yield _distinct(batch, keys[some], row[some])
 
     offered = contexts.mapInArrow(offer, "key bigint, id bigint, c bigint").toDF("key", "source", "at")
-    return asked.join(offered, "key").filter("id > source").select("id", "source", (F.col("c") - F.col("at")).alias("shift")).distinct()
+    met = asked.join(offered, "key").filter("id > source").groupBy("id", "c", "source", "at").count()
+    return met.filter(F.col("count") >= shared).select("id", "source", (F.col("c") - F.col("at")).alias("shift")).distinct()
 
 
 def _near(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
