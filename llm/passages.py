@@ -23,13 +23,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from llm.shared import keep_table, maybe_broadcast
-from llm.words import NOT_SPACE, ODD, buffers, hashes, mix, shingles, slices, split
+from llm.shared import keep_table, maybe_broadcast, small
+from llm.words import NOT_SPACE, buffers, hashes, mix, shingles, slices, split
 
 HASHES = 4
 TOKEN_WORDS = 5
@@ -40,8 +39,9 @@ GAP = 2
 TOGETHER = 1024
 LAID = 1 << 21
 ROWS = 1 << 18
-#: Rare words around the min-hash that two members of a group must share to be compared.
+#: Rare pairs of words around the min-hash that two members of a group must share to be compared, and members that are looked through at once.
 SHARED = 3
+MEMBERS = 1 << 13
 
 
 def window_centres(values: np.ndarray, of: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -408,8 +408,7 @@ def _further(grouped: DataFrame, tried: DataFrame, repeats: DataFrame, usable: D
 def _around(open_: DataFrame, ranked: DataFrame, usable: DataFrame, passage: int, percent: int) -> DataFrame:
     """(id, source, shift) of all windows in ``open_`` and earlier members of their groups that may share a passage around the min-hash.
 
-    Among any words of a run of ``passage`` that are ``SHARED`` more than may differ in a passage are so many equal ones. The rarest in the
-    group are taken, of every run that touches the min-hash, and looked for around the other members."""
+    The words around all members of a group are brought together, two bytes each, and looked through by ``_sharing``."""
     reach = passage - 1 + BAND
     ends = open_.select("k", "value").distinct()
     asking = open_.select("k", "value", "id", "c", F.lit(True).alias("open"))
@@ -417,137 +416,156 @@ def _around(open_: DataFrame, ranked: DataFrame, usable: DataFrame, passage: int
     per = members.groupBy("id").agg(F.collect_list(F.struct("value", "c", F.col("open").isNotNull().alias("open"))).alias("windows"))
     per = keep_table(per)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
-            fields, offset = lists.flatten(), lists.offsets.to_numpy()
-            offset = offset - offset[0]
-            value, c, asks = (fields.field(n) for n in range(3))
             for first, last, data, offsets in slices(batch.column(1)):
                 words = split(data, offsets, NOT_SPACE)
-                found = (hashes(data, words.starts, words.ends) >> np.uint64(32)).astype(np.uint32)
-                at, until = int(offset[first]), int(offset[last])
-                row = np.repeat(np.arange(last - first), np.diff(offset[first : last + 1]))
-                own = c.slice(at, until - at).to_numpy()
-                begin = np.maximum(own - reach, 0)
-                end = np.minimum(own + TOKEN_WORDS + reach, np.diff(words.of)[row])
-                near = [found[x:y].tobytes() for x, y in zip((words.of[row] + begin).tolist(), (words.of[row] + end).tolist(), strict=True)]
-                ids = batch.column(0).slice(first, last - first).take(pa.array(row))
-                columns = [ids, value.slice(at, until - at), pa.array(own), asks.slice(at, until - at), pa.array(own - begin), pa.array(near, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "value", "c", "open", "lead", "near"])
-
-    texts = usable.select("id", "text").join(maybe_broadcast(per.select("id")), "id", "left_semi")
-    kind = "id bigint, value bigint, c bigint, open boolean, lead bigint, near binary"
-    contexts = keep_table(texts.join(per, "id").select("id", "text", "windows").mapInArrow(cut, kind))
-    counted = contexts.agg(F.sum(F.length("near")), F.count_if("open")).first()
-    counts = _counters(contexts, _log(counted[0] // 32))
-    region, need = 2 * passage + TOKEN_WORDS - 2, max(1, -(-percent * passage // 100))
-    shared = min(SHARED, need)
-    taken_words = passage - need + shared
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        many = counts.value
-        start = np.arange(region - passage + 1)[:, None]
-        step = start + np.arange(passage)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                near, row, place = _near(rows)
-                # Places in the region of the runs that touch the min-hash.
-                place += passage - 1 - rows.column(4).to_numpy()[row]
-                inside = (place >= 0) & (place < region)
-                words, there = np.zeros((rows.num_rows, region), np.uint64), np.zeros((rows.num_rows, region), bool)
-                words[row[inside], place[inside]] = near[inside] * ODD[0]
-                there[row[inside], place[inside]] = True
-                # The word in each place, and how often it has come in a run by then.
-                before = np.zeros((*words.shape, region + 1), np.uint8)
-                np.cumsum(words[:, :, None] == words[:, None, :], axis=2, dtype=np.uint8, out=before[:, :, 1:])
-                often = before[:, step, step + 1] - before[:, step, start]
-                keys = _key(rows.column(1).to_numpy().view(np.uint64)[:, None, None], words[:, step], often)
-                rarity = (_slot(many, keys) << 32) | (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                # Only runs within the document.
-                taken = (rarity <= np.partition(rarity, taken_words - 1, axis=2)[:, :, taken_words - 1, None]) & there[:, step].all(axis=2, keepdims=True)
-                yield _distinct(rows, keys[taken], np.nonzero(taken)[0])
-
-    asked = keep_table(contexts.filter("open").mapInArrow(ask, "key bigint, id bigint, c bigint"))
-    wanted = _counters(asked, _log(asked.count() * 8), whole=True)
-
-    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, row = _keys(batch)
-            some = _slot(wanted.value, keys) > 0
-            yield _distinct(batch, keys[some], row[some])
-
-    offered = contexts.mapInArrow(offer, "key bigint, id bigint, c bigint").toDF("key", "source", "at")
-    met = asked.join(offered, "key").filter("id > source").groupBy("id", "c", "source", "at").count()
-    return met.filter(F.col("count") >= shared).select("id", "source", (F.col("c") - F.col("at")).alias("shift")).distinct()
-
-
-def _near(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, row, place) of the words around windows."""
-    near, sizes = np.frombuffer(b"".join(rows.column(5).to_pylist()), np.uint32), pa.compute.binary_length(rows.column(5)).to_numpy() // 4
-    row = np.repeat(np.arange(rows.num_rows), sizes)
-    return near.astype(np.uint64), row, np.arange(len(near)) - (np.cumsum(sizes) - sizes)[row]
-
-
-def _key(value: np.ndarray, words: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """Stands for a word in a group that comes for the so many-th time; ``words`` are multiplied by ODD[0]."""
-    return mix(value ^ (words + often.astype(np.uint64) * ODD[1]))
-
-
-def _keys(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row) of the words around windows, each a first, second, ... time. A path meets no word twice, so a run has no more of
-    its equal words than there are around the other min-hash."""
-    near, row, _ = _near(rows)
-    order = np.lexsort((near, row))
-    near, row = near[order], row[order]
-    new = np.concatenate([[True], (near[1:] != near[:-1]) | (row[1:] != row[:-1])]) if len(near) else np.zeros(0, bool)
-    begin = np.flatnonzero(new)
-    often = np.arange(len(near)) - begin[np.cumsum(new) - 1] + 1
-    return _key(rows.column(1).to_numpy().view(np.uint64)[row], near * ODD[0], often), row
-
+                found = (hashes(data, words.starts, words.ends) >> np.uint64(48)).astype(np.uint16)
+                packed = pa.array([found[a:b].tobytes() for a, b in zip(words.of, words.of[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), packed], ["id", "words"])
 
-def _distinct(rows: pa.RecordBatch, keys: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((keys, row))
-    keys, row = keys[order], row[order]
-    new = np.concatenate([[True], (np.diff(row) > 0) | (keys[1:] != keys[:-1])]) if len(keys) else np.zeros(0, bool)
-    which = pa.array(row[new])
-    return pa.RecordBatch.from_arrays([pa.array(keys[new].view(np.int64)), rows.column(0).take(which), rows.column(2).take(which)], ["key", "id", "c"])
-
-
-def _log(entries: int) -> int:
-    """Binary logarithm of the size of a table of counters."""
-    return min(23, max(16, int(entries).bit_length()))
-
-
-def _slot(counts: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return counts[(keys >> np.uint64(65 - len(counts).bit_length())).astype(np.int64)].astype(np.int64)
-
-
-def _counters(rows: DataFrame, size: int, whole: bool = False) -> Broadcast:
-    """How often keys fall into each of 2^``size`` places, by their first bits, up to 255 a task and in all; of words around windows, or keys
-    given as a column (``whole``). They are broadcast; more than one key may share a place, so they only tell what need not be sent."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << size, np.uint8)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy().view(np.uint64) if whole else _keys(batch)[0]
-            at, n = np.unique((keys >> np.uint64(64 - size)).astype(np.int64), return_counts=True)
-            counts[at] = np.minimum(255, counts[at] + n)
-        parts = counts.reshape(-1, 1 << 16)
-        some = [n for n in range(len(parts)) if parts[n].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[n].tobytes() for n in some], pa.binary())], ["part", "counts"])
-
-    def add(parts: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.uint8).astype(np.int64) for x in parts.column(1).to_pylist())
-        return pa.table({"part": parts.column(0)[:1], "counts": pa.array([np.minimum(255, total).astype(np.uint8).tobytes()], pa.binary())})
-
-    kind = "part int, counts binary"
-    merged_parts = rows.mapInArrow(count, kind).groupBy("part").applyInArrow(add, kind).toArrow()
-    counts = np.zeros((1 << (size - 16), 1 << 16), np.uint8)
-    for part, data in zip(*(x.to_pylist() for x in merged_parts.columns), strict=True):
-        counts[part] = np.frombuffer(data, np.uint8)
-    return rows.sparkSession.sparkContext.broadcast(counts.ravel())
+            for at in range(0, batch.num_rows, TOGETHER):
+                rows = batch.slice(at, TOGETHER)
+                lists = rows.column(2)
+                value, c, asks = (lists.flatten().field(n) for n in range(3))
+                row, own = np.repeat(np.arange(rows.num_rows), np.diff(lists.offsets.to_numpy())), c.to_numpy()
+                begin, words = np.maximum(own - reach, 0), rows.column(1).to_pylist()
+                near = [words[i][2 * x : 2 * y] for i, x, y in zip(row.tolist(), begin.tolist(), (own + TOKEN_WORDS + reach).tolist(), strict=True)]
+                columns = [value, rows.column(0).take(pa.array(row)), c, asks, pa.array(own - begin), pa.array(near, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["value", "id", "c", "open", "lead", "near"])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = [batch for batch in batches if batch.num_rows]
+        if not given:
+            return
+        rows = pa.Table.from_batches(given)
+        rows = rows.take(pa.compute.sort_indices(rows, [(name, "ascending") for name in ("value", "id", "c")])).combine_chunks()
+        value = rows.column(0).to_numpy()
+        ends = np.concatenate([np.flatnonzero(value[1:] != value[:-1]) + 1, [len(value)]])
+        at = 0
+        while at < len(value):
+            # Whole groups.
+            until = int(ends[max(np.searchsorted(ends, at + MEMBERS, "right") - 1, np.searchsorted(ends, at, "right"))])
+            some, at = rows.slice(at, until - at), until
+            ids, c = some.column(1).to_numpy(), some.column(2).to_numpy()
+            for later, earlier in _sharing(some, passage, percent):
+                columns = ids[later], ids[earlier], c[later] - c[earlier]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["id", "source", "shift"])
+
+    texts = usable.select("id", "text")
+    if small(per):
+        texts = texts.join(F.broadcast(per.select("id")), "id", "left_semi")
+    contexts = texts.mapInArrow(read, "id bigint, words binary").join(per, "id").mapInArrow(cut, "value bigint, id bigint, c bigint, open boolean, lead bigint, near binary")
+    return contexts.repartition("value").mapInArrow(look, "id bigint, source bigint, shift bigint").distinct()
+
+
+def _sharing(rows: pa.Table, passage: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of members (value, id, c, open, lead, near) of whole groups, in order: (later, earlier) of the open ones and the members of smaller id
+    with which they may share a passage that touches the min-hash.
+
+    Of the pairs of neighbouring words in a run of ``passage`` words a differing word takes two. Where the earlier text has one word more the pair
+    stays, as there it may have a word between; so does none of the few places where a path can skip more words (it needs more equal words than
+    ``GAP`` for each of them) but one. So many pairs as are then left, or equal words if these are more, are in the words around the other member.
+    Runs in which earlier members have fewer of them are left out; of the others the rarest are looked up, so many that ``SHARED`` must be found.
+    What is met then is looked at word by word."""
+    need = max(1, -(-percent * passage // 100))
+    least, pairs = passage - 1 - 2 * (passage - need) - BAND // 2, 1
+    if least < SHARED:
+        least, pairs = need, 0
+    shared, length, region = min(SHARED, least), passage - pairs, 2 * passage + TOKEN_WORDS - 2
+    value, ids, lead = (rows.column(n).to_numpy() for n in (0, 1, 4))
+    near = rows.column(5).to_pylist()
+    group = (mix(value.view(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+    sizes = np.array([len(x) // 2 for x in near])
+    words, of = np.frombuffer(b"".join(near), np.uint16).astype(np.uint32), np.concatenate([[0], np.cumsum(sizes)])
+    # Of each member the first one of its document.
+    new = np.concatenate([[True], (value[1:] != value[:-1]) | (ids[1:] != ids[:-1])])
+    own = np.flatnonzero(new)[np.cumsum(new) - 1]
+    bits = np.uint32(32 - min(25, max(12, int(4 * len(words)).bit_length())))
+
+    def key(left: np.ndarray, right: np.ndarray, of_group: np.ndarray) -> np.ndarray:
+        x = ((left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) ^ of_group) * np.uint32(0xC2B2AE3D)
+        x ^= x >> np.uint32(15)
+        return x * np.uint32(0x27D4EB2F)
+
+    def offered() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(key, member) in descending order of members, by runs of them."""
+        for first in reversed(range(0, len(sizes), MEMBERS)):
+            last = min(len(sizes), first + MEMBERS)
+            row, some = np.repeat(np.arange(first, last), sizes[first:last]), words[of[first] : of[last]]
+            for step in range(pairs, 2 * pairs + 1):
+                inside = row[step:] == row[: len(row) - step]
+                by = row[: len(row) - step][inside]
+                found = key(some[: len(some) - step][inside], some[step:][inside] if step else np.uint32(0), group[by])
+                yield found, by
+
+    # The first member with a key, or one that shares its place.
+    first_with = np.full(1 << (32 - int(bits)), len(sizes), np.int32)
+    for found, by in offered():
+        place = found >> bits
+        first_with[place[::-1]] = np.minimum(first_with[place[::-1]], by[::-1])
+    asking = np.flatnonzero(rows.column(3).to_numpy())
+    for at in range(0, len(asking), MEMBERS):
+        who = asking[at : at + MEMBERS]
+        begin, end = np.maximum(lead[who] - passage + 1, 0), np.minimum(sizes[who], lead[who] + TOKEN_WORDS + passage - 1)
+        place = (begin + of[who])[:, None] + np.arange(region)
+        inside = place < (end + of[who])[:, None]
+        text = words[np.where(inside, place, 0)]
+        keys = key(text[:, : region - pairs], text[:, pairs:] if pairs else np.uint32(0), group[who][:, None])
+        room = np.arange(region - passage + 1) + passage <= (end - begin)[:, None]
+
+        def runs(some: np.ndarray, held: np.ndarray) -> np.ndarray:
+            sums = np.concatenate([np.zeros((len(held), 1), np.int16), np.cumsum(held, axis=1, dtype=np.int16)], axis=1)
+            return np.where(room[some], sums[:, length:] - sums[:, :-length], 0)
+
+        every = np.arange(len(who))
+        held = inside[:, pairs:] & (first_with[keys >> bits] < own[who][:, None])
+        some = every[(runs(every, held) >= least).any(axis=1)]
+        if not len(some):
+            continue
+        wanted = np.zeros(len(first_with), bool)
+        wanted[keys[some][held[some]] >> bits] = True
+        there = [(found[take].astype(np.uint64) << np.uint64(32)) | by[take].astype(np.uint64) for found, by in offered() if (take := wanted[found >> bits]).any()]
+        there = np.unique(np.concatenate(there))
+        code = keys[some].astype(np.uint64) << np.uint64(32)
+        low, high = np.searchsorted(there, code), np.searchsorted(there, code | own[who[some]].astype(np.uint64)[:, None])
+        many = np.where(held[some], high - low, 0)
+        found = runs(some, many > 0)
+        which, start = np.nonzero(found >= least)
+        # The rarest in each run: by how many earlier members have them.
+        rarity = np.where(many > 0, np.minimum(many, 1 << 23) << 7 | np.arange(region - pairs), 1 << 31).astype(np.uint32)
+        taken = np.zeros(rarity.shape, bool)
+        for x in range(0, len(which), ROWS // 16):
+            w, b = which[x : x + ROWS // 16], start[x : x + ROWS // 16]
+            run = rarity[w[:, None], b[:, None] + np.arange(length)]
+            most = np.sort(run, axis=1)[np.arange(len(w)), found[w, b] - least + shared - 1]
+            row, place = np.nonzero(run <= most[:, None])
+            taken[w[row], b[row] + place] = True
+        row, place = np.nonzero(taken)
+        low, many = low[row, place], many[row, place]
+        total = np.cumsum(many)
+        x = 0
+        while x < len(row):
+            # All of a member's at once.
+            y = max(int(np.searchsorted(total, total[x] - many[x] + LAID, "right")), x + 1)
+            y = int(np.searchsorted(row, row[y], "left")) if y < len(row) and row[y] > row[x] else int(np.searchsorted(row, row[y - 1], "right"))
+            n = many[x:y]
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            met = (there[np.repeat(low[x:y], n) + step] & np.uint64(0xFFFFFFFF)) | (np.repeat(row[x:y], n).astype(np.uint64) << np.uint64(32))
+            met, often = np.unique(met, return_counts=True)
+            met = met[often >= shared]
+            later, earlier = who[some[(met >> np.uint64(32)).astype(np.int64)]], (met & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            same = value[later] == value[earlier]
+            later, earlier, x = later[same], earlier[same], y
+            for z in range(0, len(later), ROWS):
+                b, a = later[z : z + ROWS], earlier[z : z + ROWS]
+                prints = {i: near[i][1::2] for i in {*b.tolist(), *a.tolist()}}
+                laid = [(prints[i], prints[j], int(lead[i] - lead[j])) for i, j in zip(b.tolist(), a.tolist(), strict=True)]
+                good = np.concatenate([np.zeros(0, np.int64), *(at_ + np.unique(hits) for at_, (hits, *_) in _runs_of(laid, BAND, passage, percent))])
+                if len(good):
+                    yield b[good], a[good]
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", passage: int = 50, percent: int = 80, count: int = HASHES) -> DataFrame:
