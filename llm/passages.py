@@ -23,9 +23,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from llm.shared import keep_table, maybe_broadcast, small
 from llm.words import NOT_SPACE, buffers, hashes, mix, shingles, slices, split
@@ -38,6 +37,8 @@ GAP = 2
 #: Pairs of documents that are compared side by side, words that are laid out at once to look ahead, and words whose bands are.
 TOGETHER = 1024
 LAID = 1 << 21
+#: Bytes of texts that are read at once.
+SLICE = 1 << 18
 ROWS = 1 << 18
 #: Rare pairs of words around the min-hash that two members of a group must share to be compared, and members that are looked through at once.
 SHARED = 3
@@ -68,23 +69,112 @@ def window_centres(values: np.ndarray, of: np.ndarray, least: int) -> tuple[np.n
 
 
 def windows(docs: DataFrame, passage: int, count: int) -> DataFrame:
-    """(id, k, value, c) of the windows of each row of ``docs(id, text)``, c counted in words."""
+    """(id, value, at) of the windows of each row of ``docs(id, text)``: ``at`` has the words of the text in its upper half and
+    the place of the centre, counted in words, in its lower one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = mix(np.arange(11, 11 + count, dtype=np.uint64))
         for batch in batches:
-            for first, last, data, offsets in slices(batch.column(1), 1 << 20):
+            for first, last, data, offsets in slices(batch.column(1), SLICE):
                 words = split(data, offsets, NOT_SPACE)
                 tokens, at = shingles(hashes(data, words.starts, words.ends), words.of, TOKEN_WORDS)
-                of = np.searchsorted(at, words.of)
-                for k, seed in enumerate(seeds):
+                of, size = np.searchsorted(at, words.of), np.diff(words.of) << 32
+                rows, found, places = [], [], []
+                for seed in seeds:
                     values = mix(tokens ^ seed)
                     row, centre = window_centres(values, of, passage - TOKEN_WORDS + 1)
-                    if len(row):
-                        own = [pa.array(np.full(len(row), k), pa.int32()), pa.array(values[centre].view(np.int64)), pa.array(centre - of[row])]
-                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first).take(pa.array(row)), *own], ["id", "k", "value", "c"])
+                    rows.append(row)
+                    found.append(values[centre])
+                    places.append(centre - of[row] + size[row])
+                row = np.concatenate(rows)
+                if len(row):
+                    own = [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(places))]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first).take(pa.array(row)), *own], ["id", "value", "at"])
 
-    return docs.select("id", "text").mapInArrow(run, "id bigint, k int, value bigint, c bigint")
+    return docs.select("id", "text").mapInArrow(run, "id bigint, value bigint, at bigint")
+
+
+def grouped(found: DataFrame) -> DataFrame:
+    """(star, id, other, place, flag) of the windows that share their signature with another document, after ``windows``.
+
+    Stars: alignments with the first and the last of a group, as (later document, earlier one, shift, whether the later is shorter).
+    Others: (document, signature, place, whether the window is to go on if its stars leave it unmatched). Groups of two have been compared
+    in full, but for further positions of one. Of windows in a row, all of one word, some are enough: the others' alignments are
+    within the band of theirs. The stars have met the first and the last window of each group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = [batch for batch in batches if batch.num_rows]
+        if not given:
+            return
+        ids, value, at = (np.concatenate([batch.column(n).to_numpy() for batch in given]) for n in range(3))
+        del given
+        order = np.argsort(value)
+        same = value[order[1:]] == value[order[:-1]]
+        some = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+        some = some[np.lexsort((at[some], ids[some], value[some]))]
+        ids, value, at = ids[some], value[some], at[some]
+
+        def bounds(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """First and last row of the group of each row."""
+            first = np.flatnonzero(np.concatenate([np.ones(min(1, len(value)), bool), value[1:] != value[:-1]]))
+            sizes = np.diff(np.concatenate([first, [len(value)]]))
+            return np.repeat(first, sizes), np.repeat(first + sizes - 1, sizes)
+
+        low, high = bounds(value)
+        some = ids[low] != ids[high]
+        ids, value, at = ids[some], value[some], at[some]
+        if not len(ids):
+            return
+        low, high = bounds(value)
+        c, size, rank = at & 0xFFFFFFFF, at >> 32, np.arange(len(ids)) - low
+        nothing = np.zeros(1, bool)
+        follows = np.concatenate([nothing, (value[1:] == value[:-1]) & (ids[1:] == ids[:-1]) & (c[1:] == c[:-1] + 1)])
+        inner = follows & np.concatenate([follows[1:], nothing]) & (c % BAND != 0)
+        kept = (high - low > 1) & ~inner & (rank > 0)
+        asks = (ids != ids[low]) & (rank > 1) & (rank < high - low)
+        yield _rows(False, ids[kept], value[kept], c[kept], asks[kept])
+        own, other = np.tile(np.arange(len(ids)), 2), np.concatenate([low, high])
+        later, earlier = np.where(ids[own] > ids[other], own, other), np.where(ids[own] > ids[other], other, own)
+        some = ids[own] != ids[other]
+        later, earlier = later[some], earlier[some]
+        pairs = ids[later], ids[earlier], c[later] - c[earlier]
+        new = _distinct(*pairs)
+        yield _rows(True, *(x[new] for x in pairs), (size[later] < size[earlier])[new])
+
+    kind = "star boolean, id bigint, other bigint, place bigint, flag boolean"
+    return found.repartition("value").mapInArrow(run, kind)
+
+
+def _rows(star: bool, ids: np.ndarray, other: np.ndarray, place: np.ndarray, flag: np.ndarray) -> pa.RecordBatch:
+    columns = np.full(len(ids), star), ids, other, place, flag
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["star", "id", "other", "place", "flag"])
+
+
+def _distinct(*columns: np.ndarray) -> np.ndarray:
+    """Of equal rows one each, in order."""
+    order = np.lexsort(columns[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in columns], axis=0)
+    return order[new]
+
+
+def aligned(found: DataFrame) -> DataFrame:
+    """(id, source, ahead, shifts) of alignments (id, other, place, flag), as in the stars of ``grouped``: a row for each two documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = [batch for batch in batches if batch.num_rows]
+        if given:
+            ids, source, shift, ahead = (np.concatenate([batch.column(n).to_numpy(zero_copy_only=False) for batch in given]) for n in range(4))
+            some = _distinct(ids, source, shift)
+            ids, source, shift, ahead = ids[some], source[some], shift[some], ahead[some]
+            first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (source[1:] != source[:-1])]))
+            for at in range(0, len(first), TOGETHER):
+                part, end = first[at : at + TOGETHER], first[at + TOGETHER] if at + TOGETHER < len(first) else len(ids)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(part, end) - part[0], pa.int32()), pa.array(shift[part[0] : end]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(source[part]), pa.array(ahead[part]), lists], ["id", "source", "ahead", "shifts"])
+
+    columns = found.select("id", "other", "place", "flag").repartition(F.when(F.col("flag"), F.col("id")).otherwise(F.col("other")))
+    return columns.mapInArrow(run, "id bigint, source bigint, ahead boolean, shifts array<bigint>")
 
 
 def runs_in(same: np.ndarray, sizes: list[int], passage: int, percent: int, gap: int = 0) -> tuple[np.ndarray, ...]:
@@ -145,7 +235,7 @@ def repeats_of(pairs: list[tuple[np.ndarray, np.ndarray, list[int]]], passage: i
     def runs(band: int, some: slice = slice(None)) -> Iterator[tuple[int, int, tuple[int, int, int, int]]]:
         open_ = []
         for n, (b, a, shifts) in enumerate(pairs):
-            for shift in shifts[some]:
+            for shift in _apart(shifts) if band else shifts[some]:
                 first, last = max(0, shift - band), min(len(b), len(a) + shift + band)
                 if min(len(a), len(b)) >= passage and last - first >= passage and not _inside(first, last, spans[n]):
                     open_.append((n, shift))
@@ -184,6 +274,13 @@ def repeats_of(pairs: list[tuple[np.ndarray, np.ndarray, list[int]]], passage: i
     return spans
 
 
+def _apart(shifts: list[int]) -> list[int]:
+    """``shifts``, but of four or more in a row only the ends and every eighth: texts that repeat a word have all from some number to
+    another, and paths along those between are within the band of these."""
+    every = set(shifts)
+    return [x for x in shifts if x % (BAND // 2) == 0 or not every.issuperset((x - 1, x + 1)) or every.isdisjoint((x - 2, x + 2))]
+
+
 def _chunks(rows: list, cells: Callable, most: int = 0) -> Iterator[list]:
     """``rows`` in order, one or at most ``most`` cells (``LAID``, if 0) at a time."""
     at = 0
@@ -328,45 +425,53 @@ def _hopeful(pairs: list[tuple[bytes, bytes, list[int]]], passage: int, percent:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, passage: int, percent: int) -> DataFrame:
-    """(id, source, first_word, end_word) of the repeated passages of candidate alignments.
+    """(id, source, first_word, end_word) of the repeated passages of candidate alignments, after ``aligned``.
 
-    Pairs of documents meet as a byte per word first; the texts of those that this leaves are then sent and compared."""
+    Pairs of documents meet as a byte per word first; the texts of those that this leaves are then sent and compared. That of the
+    shorter document is sent for each of its pairs."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            given = list(zip(*(batch.column(n).to_pylist() for n in (3, 4, 2)), strict=True))
-            good = pa.array(_hopeful(given, passage, percent), pa.bool_())
-            yield batch.select([0, 1, 2]).filter(good)
+            ahead, shifts, first, second = (batch.column(n).to_pylist() for n in range(2, 6))
+            given = [(x, y, some) if before else (y, x, some) for before, some, x, y in zip(ahead, shifts, first, second, strict=True)]
+            yield batch.select(range(4)).filter(pa.array(_hopeful(given, passage, percent), pa.bool_()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def words_of(packed: bytes, size: int) -> np.ndarray:
-            data = np.frombuffer(pa.decompress(packed, decompressed_size=size, codec="zstd"), np.uint8)
-            words = split(data, np.array([0, len(data)]), NOT_SPACE)
-            return hashes(data, words.starts, words.ends)
-
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
                 rows = batch.slice(at, TOGETHER).to_pylist()
-                packed = {r["id"]: (r["text"], r["size"]) for r in rows} | {r["source"]: (r["source_text"], r["source_size"]) for r in rows}
-                words = {key: words_of(*text) for key, text in packed.items()}
+                packed = {r["first"]: (r["first_text"], r["first_size"]) for r in rows} | {r["second"]: (r["second_text"], r["second_size"]) for r in rows}
+                words = dict(zip(packed, _words_of([pa.decompress(text, decompressed_size=size, codec="zstd") for text, size in packed.values()]), strict=True))
                 texts = [(words[r["id"]], words[r["source"]], r["shifts"]) for r in rows]
                 out = [(r["id"], r["source"], *span) for r, spans in zip(rows, repeats_of(texts, passage, percent), strict=True) for span in spans]
                 if out:
                     columns = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["id", "source", "first_word", "end_word"])
 
-    kind = "id bigint, source bigint, shifts array<bigint>"
-    per_pair = pairs.groupBy("id", "source").agg(F.collect_set("shift").alias("shifts"))
-    left = keep_table(
-        per_pair.join(prints, "id")
-        .join(prints.select(F.col("id").alias("source"), F.col("print").alias("source_print")), "source")
-        .select("id", "source", "shifts", "print", "source_print")
-        .mapInArrow(look, kind)
-    )
+    def both(rows: DataFrame, docs: DataFrame, *names: str) -> DataFrame:
+        for key in ("first", "second"):
+            rows = rows.join(docs.select(F.col("id").alias(key), *(F.col(name).alias(f"{key}_{name}") for name in names)), key)
+        return rows.select("id", "source", "ahead", "shifts", *(f"{key}_{name}" for name in names for key in ("first", "second")), "first", "second")
+
+    def ends(rows: DataFrame) -> DataFrame:
+        shorter, longer = F.when(F.col("ahead"), F.col("id")).otherwise(F.col("source")), F.when(F.col("ahead"), F.col("source")).otherwise(F.col("id"))
+        return rows.withColumns({"first": shorter, "second": longer})
+
+    left = keep_table(both(ends(pairs), prints, "print").mapInArrow(look, "id bigint, source bigint, ahead boolean, shifts array<bigint>"))
     needed = keep_table(left.select("id").union(left.select("source")).distinct())
     texts = docs.join(maybe_broadcast(needed), "id", "left_semi").select("id", "text").mapInArrow(_zipped, "id bigint, text binary, size bigint")
-    others = texts.select(F.col("id").alias("source"), F.col("text").alias("source_text"), F.col("size").alias("source_size"))
-    return left.join(texts, "id").join(others, "source").mapInArrow(run, "id bigint, source bigint, first_word bigint, end_word bigint")
+    return both(ends(left), texts, "text", "size").mapInArrow(run, "id bigint, source bigint, first_word bigint, end_word bigint")
+
+
+def _words_of(texts: list[bytes]) -> list[np.ndarray]:
+    """Hashes of the words of each text."""
+    out = []
+    for some in _chunks(texts, len, SLICE):
+        data, offsets = np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)])
+        words = split(data, offsets, NOT_SPACE)
+        found = hashes(data, words.starts, words.ends)
+        out += [found[x:y] for x, y in zip(words.of.tolist(), words.of[1:].tolist())]
+    return out
 
 
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,45 +485,40 @@ def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, print): a byte of the hash of each word."""
     for batch in batches:
-        for first, last, data, offsets in slices(batch.column(1)):
+        for first, last, data, offsets in slices(batch.column(1), SLICE):
             words = split(data, offsets, NOT_SPACE)
             found = prints_of(hashes(data, words.starts, words.ends))
             prints = pa.array([found[a:b].tobytes() for a, b in zip(words.of, words.of[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), prints], ["id", "print"])
 
 
-def _further(grouped: DataFrame, tried: DataFrame, repeats: DataFrame, usable: DataFrame, prints: DataFrame, passage: int, percent: int) -> DataFrame:
+def _further(members: DataFrame, repeats: DataFrame, usable: DataFrame, prints: DataFrame, passage: int, percent: int) -> DataFrame:
     """``repeats`` with those of windows that the stars leave unmatched, from further members of their groups."""
-    # Groups of two documents have been compared in full, but for further positions of one. Of windows in a row, all of one word,
-    # some are enough: the others' alignments are within the band of theirs.
-    columns = ["id", "k", "value", "c", "rank"]
-    ranked = grouped.filter("size > 2 AND NOT inner").select(*columns)
-    open_ = grouped.filter("size > 2 AND NOT inner AND id <> low.id").select(*columns)
     spans = repeats.select(F.col("id").alias("of"), "first_word", "end_word").distinct()
     inside = (F.col("id") == F.col("of")) & (F.col("c") >= F.col("first_word")) & (F.col("c") + TOKEN_WORDS <= F.col("end_word"))
-    # The stars have met the first window of each group.
-    open_ = keep_table(open_.filter("rank > 2").join(spans, inside, "left_anti"))
+    open_ = keep_table(members.filter("asks").drop("asks").join(spans, inside, "left_anti"))
     if open_.isEmpty():
         return repeats
-    pairs = _around(open_, ranked.filter("rank > 1"), usable, passage, percent)
-    fresh = keep_table(pairs.join(tried, ["id", "source", "shift"], "left_anti"))
-    return repeats.unionByName(keep_table(_verified(fresh, usable, prints, passage, percent)))
+    pairs = keep_table(aligned(_around(open_, members.drop("asks"), usable, passage, percent)))
+    needed = keep_table(pairs.select("id").union(pairs.select("source")).distinct())
+    some = prints.join(F.broadcast(needed), "id", "left_semi") if small(needed) else prints
+    return repeats.unionByName(keep_table(_verified(pairs, usable, some, passage, percent)))
 
 
-def _around(open_: DataFrame, ranked: DataFrame, usable: DataFrame, passage: int, percent: int) -> DataFrame:
-    """(id, source, shift) of all windows in ``open_`` and earlier members of their groups that may share a passage around the min-hash.
+def _around(open_: DataFrame, members: DataFrame, usable: DataFrame, passage: int, percent: int) -> DataFrame:
+    """(id, other, place, flag), as the stars of ``grouped``, of all windows in ``open_(id, value, c)`` and earlier ``members`` of their groups
+    that may share a passage around the min-hash.
 
     The words around all members of a group are brought together, two bytes each, and looked through by ``_sharing``."""
     reach = passage - 1 + BAND
-    ends = open_.select("k", "value").distinct()
-    asking = open_.select("k", "value", "id", "c", F.lit(True).alias("open"))
-    members = ranked.join(ends, ["k", "value"], "left_semi").join(asking, ["k", "value", "id", "c"], "left")
+    asking = open_.select("value", "id", "c", F.lit(True).alias("open"))
+    members = members.join(open_.select("value").distinct(), "value", "left_semi").join(asking, ["value", "id", "c"], "left")
     per = members.groupBy("id").agg(F.collect_list(F.struct("value", "c", F.col("open").isNotNull().alias("open"))).alias("windows"))
     per = keep_table(per)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in slices(batch.column(1)):
+            for first, last, data, offsets in slices(batch.column(1), SLICE):
                 words = split(data, offsets, NOT_SPACE)
                 found = (hashes(data, words.starts, words.ends) >> np.uint64(48)).astype(np.uint16)
                 packed = pa.array([found[a:b].tobytes() for a, b in zip(words.of, words.of[1:])], pa.binary())
@@ -433,8 +533,9 @@ def _around(open_: DataFrame, ranked: DataFrame, usable: DataFrame, passage: int
                 row, own = np.repeat(np.arange(rows.num_rows), np.diff(lists.offsets.to_numpy())), c.to_numpy()
                 begin, words = np.maximum(own - reach, 0), rows.column(1).to_pylist()
                 near = [words[i][2 * x : 2 * y] for i, x, y in zip(row.tolist(), begin.tolist(), (own + TOKEN_WORDS + reach).tolist(), strict=True)]
-                columns = [value, rows.column(0).take(pa.array(row)), c, asks, pa.array(own - begin), pa.array(near, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["value", "id", "c", "open", "lead", "near"])
+                size = pa.array(np.array([len(x) // 2 for x in words], np.int64)[row])
+                columns = [value, rows.column(0).take(pa.array(row)), c, asks, pa.array(own - begin), pa.array(near, pa.binary()), size]
+                yield pa.RecordBatch.from_arrays(columns, ["value", "id", "c", "open", "lead", "near", "size"])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given = [batch for batch in batches if batch.num_rows]
@@ -449,16 +550,16 @@ def _around(open_: DataFrame, ranked: DataFrame, usable: DataFrame, passage: int
             # Whole groups.
             until = int(ends[max(np.searchsorted(ends, at + MEMBERS, "right") - 1, np.searchsorted(ends, at, "right"))])
             some, at = rows.slice(at, until - at), until
-            ids, c = some.column(1).to_numpy(), some.column(2).to_numpy()
+            ids, c, size = (some.column(n).to_numpy() for n in (1, 2, 6))
             for later, earlier in _sharing(some, passage, percent):
-                columns = ids[later], ids[earlier], c[later] - c[earlier]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["id", "source", "shift"])
+                columns = ids[later], ids[earlier], c[later] - c[earlier], size[later] < size[earlier]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["id", "other", "place", "flag"])
 
     texts = usable.select("id", "text")
     if small(per):
         texts = texts.join(F.broadcast(per.select("id")), "id", "left_semi")
-    contexts = texts.mapInArrow(read, "id bigint, words binary").join(per, "id").mapInArrow(cut, "value bigint, id bigint, c bigint, open boolean, lead bigint, near binary")
-    return contexts.repartition("value").mapInArrow(look, "id bigint, source bigint, shift bigint").distinct()
+    contexts = texts.mapInArrow(read, "id bigint, words binary").join(per, "id").mapInArrow(cut, "value bigint, id bigint, c bigint, open boolean, lead bigint, near binary, size bigint")
+    return contexts.repartition("value").mapInArrow(look, "id bigint, other bigint, place bigint, flag boolean")
 
 
 def _sharing(rows: pa.Table, passage: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -587,34 +688,10 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id",
     usable = once.filter("text IS NOT NULL")
     prints = keep_table(usable.select("id", "text").mapInArrow(_prints, "id bigint, print binary"))
     # Most windows share their signature with no other document and are not kept.
-    group = Window.partitionBy("value", "k")
-
-    def follows(other: Callable, step: int) -> Column:
-        its = other(F.struct("id", "c")).over(group.orderBy("id", "c"))
-        return F.coalesce((its["id"] == F.col("id")) & (its["c"] + step == F.col("c")), F.lit(False))
-
-    grouped = keep_table(
-        windows(usable, passage, count)
-        .withColumn("rank", F.row_number().over(group.orderBy("id", "c")))
-        .withColumn("low", F.min(F.struct("id", "c")).over(group))
-        .withColumn("high", F.max(F.struct("id", "c")).over(group))
-        .withColumn("size", F.count(F.lit(1)).over(group))
-        .withColumn("inner", follows(F.lag, 1) & follows(F.lead, -1) & (F.col("c") % BAND != 0))
-        .filter("low.id <> high.id")
-    )
-    both = grouped.select("id", "c", F.explode(F.array("low", "high")).alias("other"))
-    later = F.col("id") > F.col("other.id")
-    pairs = keep_table(
-        both.filter(F.col("id") != F.col("other.id"))
-        .select(
-            F.greatest("id", "other.id").alias("id"),
-            F.least("id", "other.id").alias("source"),
-            F.when(later, F.col("c") - F.col("other.c")).otherwise(F.col("other.c") - F.col("c")).alias("shift"),
-        )
-        .distinct()
-    )
-    stars = keep_table(_verified(pairs, usable, prints, passage, percent))
-    repeats = _further(grouped, pairs, stars, usable, prints, passage, percent)
+    found = keep_table(grouped(windows(usable, passage, count)))
+    stars = keep_table(_verified(aligned(found.filter("star")), usable, prints, passage, percent))
+    members = found.filter("NOT star").select("id", F.col("other").alias("value"), F.col("place").alias("c"), F.col("flag").alias("asks"))
+    repeats = _further(members, stars, usable, prints, passage, percent)
     # Spans of one document are as many as its alignments at most.
     merged = F.aggregate(
         F.array_sort(F.collect_set(F.struct("first_word", "end_word"))),
