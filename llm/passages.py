@@ -36,7 +36,7 @@ BAND = 16
 GAP = 2
 #: Pairs of documents that are compared side by side, words that are laid out at once to look ahead, and words whose bands are.
 TOGETHER = 1024
-LAID = 1 << 21
+LAID = 1 << 17
 #: Bytes of texts that are read at once.
 SLICE = 1 << 18
 ROWS = 1 << 18
@@ -180,8 +180,9 @@ def aligned(found: DataFrame) -> DataFrame:
 def runs_in(same: np.ndarray, sizes: list[int], passage: int, percent: int, gap: int = 0) -> tuple[np.ndarray, ...]:
     """(row, first, last, first equal, after last equal) of maximal unions of ``passage``-word runs with ``percent`` or more equal words.
     ``same`` has the words of rows of these ``sizes``, the last ``gap`` of which do not count; places are counted in the row."""
-    sums = np.concatenate([[0], np.cumsum(same)])
-    good = np.flatnonzero(100 * (sums[passage:] - sums[:-passage]) >= percent * passage)
+    sums = np.zeros(len(same) + 1, np.int32)
+    np.cumsum(same, out=sums[1:])
+    good = np.flatnonzero(sums[passage:] - sums[:-passage] >= -(-percent * passage // 100))
     ends = np.cumsum(sizes)
     row = np.searchsorted(ends, good, "right")
     inside = good + passage <= ends[row] - gap
@@ -581,6 +582,9 @@ def _sharing(rows: pa.Table, passage: int, percent: int) -> Iterator[tuple[np.nd
     group = (mix(value.view(np.uint64)) >> np.uint64(32)).astype(np.uint32)
     sizes = np.array([len(x) // 2 for x in near])
     words, of = np.frombuffer(b"".join(near), np.uint16).astype(np.uint32), np.concatenate([[0], np.cumsum(sizes)])
+    # A byte of each word, with the min-hash in the same place.
+    around, row = np.zeros((len(sizes), region + 1 + 2 * BAND), np.uint8), np.repeat(np.arange(len(sizes)), sizes)
+    around[row, np.arange(len(words)) - of[row] + (passage - 1 + BAND - lead)[row]] = np.maximum(words >> np.uint32(8), np.uint32(2))
     # Of each member the first one of its document.
     new = np.concatenate([[True], (value[1:] != value[:-1]) | (ids[1:] != ids[:-1])])
     own = np.flatnonzero(new)[np.cumsum(new) - 1]
@@ -660,15 +664,26 @@ def _sharing(rows: pa.Table, passage: int, percent: int) -> Iterator[tuple[np.nd
             later, earlier = who[some[(met >> np.uint64(32)).astype(np.int64)]], (met & np.uint64(0xFFFFFFFF)).astype(np.int64)
             same = value[later] == value[earlier]
             later, earlier, x = later[same], earlier[same], y
-            for z in range(0, len(later), ROWS):
-                b, a = later[z : z + ROWS], earlier[z : z + ROWS]
-                prints = {i: near[i][1::2] for i in {*b.tolist(), *a.tolist()}}
-                laid = [(prints[i], prints[j], int(lead[i] - lead[j])) for i, j in zip(b.tolist(), a.tolist(), strict=True)]
-                good = np.concatenate([np.zeros(0, np.int64), *(at_ + np.unique(hits) for at_, (hits, *_) in _runs_of(laid, BAND, passage, percent))])
-                if len(good):
+            for z in range(0, len(later), MEMBERS):
+                b, a = later[z : z + MEMBERS], earlier[z : z + MEMBERS]
+                good = _near(around[b], around[a], region, passage, need)
+                if good.any():
                     yield b[good], a[good]
 
 
+def _near(later: np.ndarray, earlier: np.ndarray, region: int, passage: int, need: int) -> np.ndarray:
+    """Whether in some run of the ``region`` of words in the middle of each row so many have an equal one within the band, words being bytes, 0 where
+    there is none."""
+    middle = later[:, BAND : BAND + region]
+    middle = np.where(middle == 0, np.uint8(1), middle)
+    near = np.zeros(middle.shape, bool)
+    for step in range(2 * BAND + 1):
+        near |= middle == earlier[:, step : step + region]
+    sums = np.zeros((len(near), region + 1), np.int16)
+    np.cumsum(near, axis=1, out=sums[:, 1:])
+    return (sums[:, passage:] - sums[:, :-passage] >= need).any(axis=1)
+
+
 def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", passage: int = 50, percent: int = 80, count: int = HASHES) -> DataFrame:
     """Per key: key, n_repeated (words in repeated passages), sources (keys of documents that they repeat, in
     order), spans (merged: first word, word after the last). Of two documents that share a passage, that of the
