@@ -568,86 +568,124 @@ def _sharing(rows: pa.Table, passage: int, percent: int) -> Iterator[tuple[np.nd
     with which they may share a passage that touches the min-hash.
 
     Of the pairs of neighbouring words in a run of ``passage`` words a differing word takes two. Where the earlier text has one word more the pair
-    stays, as there it may have a word between; so does none of the few places where a path can skip more words (it needs more equal words than
-    ``GAP`` for each of them) but one. So many pairs as are then left, or equal words if these are more, are in the words around the other member.
-    Runs in which earlier members have fewer of them are left out; of the others the rarest are looked up, so many that ``SHARED`` must be found.
-    What is met then is looked at word by word."""
+    stays, as there it may have a word between; of the few places where a path can skip more words (it needs more equal words than ``GAP`` for
+    each of them) each takes one. So many pairs as are then left are in the words around the other member. Where words come again and again, and
+    where no pairs would be left, equal words are looked for instead."""
     need = max(1, -(-percent * passage // 100))
-    least, pairs = passage - 1 - 2 * (passage - need) - BAND // 2, 1
-    if least < SHARED:
-        least, pairs = need, 0
+    least = passage - 1 - 2 * (passage - need) - BAND // 2
+    value, open_ = rows.column(0).to_numpy(), rows.column(3).to_numpy()
+    data, of = buffers(rows.column(5))
+    words, of = data.view(np.uint16), of // 2
+    row = np.repeat(np.arange(len(of) - 1), np.diff(of))
+    again = np.concatenate([(words[1:] == words[:-1]) & (row[1:] == row[:-1]), np.zeros(min(1, len(words)), bool)])
+    again = np.bincount(row[again], minlength=len(value)) * 4 >= np.diff(of)
+    again |= least < SHARED
+    del row
+    for some, pairs in ((open_ & ~again, 1), (open_ & again, 0)):
+        if some.any():
+            groups = np.flatnonzero(np.isin(value, value[some]))
+            part = rows.take(pa.array(groups)).combine_chunks() if len(groups) < len(value) else rows
+            for later, earlier in _met(part, some[groups], pairs, least if pairs else need, passage, need):
+                yield groups[later], groups[earlier]
+
+
+def _met(rows: pa.Table, open_: np.ndarray, pairs: int, least: int, passage: int, need: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As ``_sharing``, for the ``open_`` ones, which must have ``least`` words, or pairs of neighbouring ones, of a run in common with another member,
+    a first, second, ... time each.
+
+    Runs in which earlier members have fewer of them are left out; of the others the rarest are looked up, so many that ``SHARED`` must be
+    found. What is met then is looked at word by word."""
     shared, length, region = min(SHARED, least), passage - pairs, 2 * passage + TOKEN_WORDS - 2
     value, ids, lead = (rows.column(n).to_numpy() for n in (0, 1, 4))
-    near = rows.column(5).to_pylist()
     group = (mix(value.view(np.uint64)) >> np.uint64(32)).astype(np.uint32)
-    sizes = np.array([len(x) // 2 for x in near])
-    words, of = np.frombuffer(b"".join(near), np.uint16).astype(np.uint32), np.concatenate([[0], np.cumsum(sizes)])
-    # A byte of each word, with the min-hash in the same place.
-    around, row = np.zeros((len(sizes), region + 1 + 2 * BAND), np.uint8), np.repeat(np.arange(len(sizes)), sizes)
-    around[row, np.arange(len(words)) - of[row] + (passage - 1 + BAND - lead)[row]] = np.maximum(words >> np.uint32(8), np.uint32(2))
+    data, of = buffers(rows.column(5))
+    words, of = data.view(np.uint16), of // 2
+    sizes = np.diff(of)
     # Of each member the first one of its document.
     new = np.concatenate([[True], (value[1:] != value[:-1]) | (ids[1:] != ids[:-1])])
     own = np.flatnonzero(new)[np.cumsum(new) - 1]
-    bits = np.uint32(32 - min(25, max(12, int(4 * len(words)).bit_length())))
+    bits = np.uint32(32 - min(24, max(12, int(4 * len(words)).bit_length())))
+    # A byte of each word, with the min-hash in the same place.
+    around = np.zeros((len(sizes), region + 1 + 2 * BAND), np.uint8)
 
     def key(left: np.ndarray, right: np.ndarray, of_group: np.ndarray) -> np.ndarray:
         x = ((left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) ^ of_group) * np.uint32(0xC2B2AE3D)
         x ^= x >> np.uint32(15)
         return x * np.uint32(0x27D4EB2F)
 
-    def offered() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(key, member) in descending order of members, by runs of them."""
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(words, member) of runs of members, the last ones first."""
         for first in reversed(range(0, len(sizes), MEMBERS)):
             last = min(len(sizes), first + MEMBERS)
-            row, some = np.repeat(np.arange(first, last), sizes[first:last]), words[of[first] : of[last]]
-            for step in range(pairs, 2 * pairs + 1):
-                inside = row[step:] == row[: len(row) - step]
-                by = row[: len(row) - step][inside]
-                found = key(some[: len(some) - step][inside], some[step:][inside] if step else np.uint32(0), group[by])
-                yield found, by
+            yield words[of[first] : of[last]].astype(np.uint32), np.repeat(np.arange(first, last), sizes[first:last])
 
+    def offered() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(key, member) of the words or pairs, the last members first."""
+        for some, row in blocks():
+            for step in range(pairs, 2 * pairs + 1):
+                until = len(row) - step
+                inside = row[step:] == row[:until]
+                if step > 1:
+                    inside &= some[step:] != some[1 : until + 1]
+                by = row[:until][inside]
+                yield key(some[:until][inside], some[step:][inside] if step else np.uint32(0), group[by]), by
+
+    for some, row in blocks():
+        place = np.arange(len(row)) - (of[row] - of[row[:1]]) + (passage - 1 + BAND - lead)[row]
+        around[row, place] = np.maximum(some >> np.uint32(8), np.uint32(2))
     # The first member with a key, or one that shares its place.
     first_with = np.full(1 << (32 - int(bits)), len(sizes), np.int32)
     for found, by in offered():
         place = found >> bits
         first_with[place[::-1]] = np.minimum(first_with[place[::-1]], by[::-1])
-    asking = np.flatnonzero(rows.column(3).to_numpy())
+    asking = np.flatnonzero(open_)
     for at in range(0, len(asking), MEMBERS):
         who = asking[at : at + MEMBERS]
         begin, end = np.maximum(lead[who] - passage + 1, 0), np.minimum(sizes[who], lead[who] + TOKEN_WORDS + passage - 1)
         place = (begin + of[who])[:, None] + np.arange(region)
         inside = place < (end + of[who])[:, None]
-        text = words[np.where(inside, place, 0)]
+        text = words[np.where(inside, place, 0)].astype(np.uint32)
         keys = key(text[:, : region - pairs], text[:, pairs:] if pairs else np.uint32(0), group[who][:, None])
         room = np.arange(region - passage + 1) + passage <= (end - begin)[:, None]
-
-        def runs(some: np.ndarray, held: np.ndarray) -> np.ndarray:
-            sums = np.concatenate([np.zeros((len(held), 1), np.int16), np.cumsum(held, axis=1, dtype=np.int16)], axis=1)
-            return np.where(room[some], sums[:, length:] - sums[:, :-length], 0)
-
-        every = np.arange(len(who))
         held = inside[:, pairs:] & (first_with[keys >> bits] < own[who][:, None])
-        some = every[(runs(every, held) >= least).any(axis=1)]
+        sums = np.concatenate([np.zeros((len(who), 1), np.int16), np.cumsum(held, axis=1, dtype=np.int16)], axis=1)
+        some = np.flatnonzero(((sums[:, length:] - sums[:, :-length] >= least) & room).any(axis=1))
         if not len(some):
             continue
         wanted = np.zeros(len(first_with), bool)
         wanted[keys[some][held[some]] >> bits] = True
-        there = [(found[take].astype(np.uint64) << np.uint64(32)) | by[take].astype(np.uint64) for found, by in offered() if (take := wanted[found >> bits]).any()]
-        there = np.unique(np.concatenate(there))
-        code = keys[some].astype(np.uint64) << np.uint64(32)
-        low, high = np.searchsorted(there, code), np.searchsorted(there, code | own[who[some]].astype(np.uint64)[:, None])
-        many = np.where(held[some], high - low, 0)
-        found = runs(some, many > 0)
-        which, start = np.nonzero(found >= least)
-        # The rarest in each run: by how many earlier members have them.
-        rarity = np.where(many > 0, np.minimum(many, 1 << 23) << 7 | np.arange(region - pairs), 1 << 31).astype(np.uint32)
+        there = _counted(np.concatenate([_code(found[take], by[take]) for found, by in offered() if (take := wanted[found >> bits]).any()]))
+        # Of each place in the region the key with the number of times that it has come by then.
+        who, keys, held, room = who[some], keys[some], held[some], room[some]
+        order = np.argsort(keys, axis=1, kind="stable")
+        ordered = np.take_along_axis(keys, order, axis=1)
+        begin = np.concatenate([np.ones((len(who), 1), bool), ordered[:, 1:] != ordered[:, :-1]], axis=1)
+        begin = np.maximum.accumulate(np.where(begin, np.arange(keys.shape[1]), 0), axis=1)
+        back = np.empty_like(order)
+        np.put_along_axis(back, order, np.broadcast_to(np.arange(keys.shape[1]), order.shape), axis=1)
+        begin = np.take_along_axis(begin, back, axis=1)
+        code = _code(_often(keys, (back - begin).astype(np.uint32)), 0)
+        low = np.searchsorted(there, code)
+        many = np.where(held, np.searchsorted(there, code | own[who].astype(np.uint64)[:, None]) - low, 0)
+        # The rarest come first, by how many earlier members have them.
+        rarity = np.where(many > 0, np.minimum(many, 1 << 23) << 7 | np.arange(keys.shape[1]), 1 << 31).astype(np.uint32)
         taken = np.zeros(rarity.shape, bool)
-        for x in range(0, len(which), ROWS // 16):
-            w, b = which[x : x + ROWS // 16], start[x : x + ROWS // 16]
-            run = rarity[w[:, None], b[:, None] + np.arange(length)]
-            most = np.sort(run, axis=1)[np.arange(len(w)), found[w, b] - least + shared - 1]
-            row, place = np.nonzero(run <= most[:, None])
-            taken[w[row], b[row] + place] = True
+        for x in range(0, len(who), 256):
+            y = slice(x, x + 256)
+            # A run counts from its own start.
+            before = np.zeros((*keys[y].shape, keys.shape[1] + 1), np.uint8)
+            np.cumsum(keys[y][:, :, None] == keys[y][:, None, :], axis=2, dtype=np.uint8, out=before[:, :, 1:])
+            start = np.arange(region - passage + 1)[:, None]
+            step = start + np.arange(length)
+            which = np.arange(len(before))[:, None, None]
+            place = order[y][which, back[y][:, step] - before[:, step, start]]
+            run = rarity[y][which, place]
+            found = (run < 1 << 31).sum(axis=2)
+            n, b = np.nonzero((found >= least) & room[y])
+            run = run[n, b]
+            most = np.sort(run, axis=1)[np.arange(len(n)), found[n, b] - least + shared - 1]
+            row, column = np.nonzero(run <= most[:, None])
+            taken[x + n[row], place[n, b][row, column]] = True
         row, place = np.nonzero(taken)
         low, many = low[row, place], many[row, place]
         total = np.cumsum(many)
@@ -658,10 +696,9 @@ def _sharing(rows: pa.Table, passage: int, percent: int) -> Iterator[tuple[np.nd
             y = int(np.searchsorted(row, row[y], "left")) if y < len(row) and row[y] > row[x] else int(np.searchsorted(row, row[y - 1], "right"))
             n = many[x:y]
             step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            met = (there[np.repeat(low[x:y], n) + step] & np.uint64(0xFFFFFFFF)) | (np.repeat(row[x:y], n).astype(np.uint64) << np.uint64(32))
-            met, often = np.unique(met, return_counts=True)
+            met, often = np.unique(_code(np.repeat(row[x:y], n), there[np.repeat(low[x:y], n) + step] & np.uint64(0xFFFFFFFF)), return_counts=True)
             met = met[often >= shared]
-            later, earlier = who[some[(met >> np.uint64(32)).astype(np.int64)]], (met & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            later, earlier = who[(met >> np.uint64(32)).astype(np.int64)], (met & np.uint64(0xFFFFFFFF)).astype(np.int64)
             same = value[later] == value[earlier]
             later, earlier, x = later[same], earlier[same], y
             for z in range(0, len(later), MEMBERS):
@@ -671,6 +708,25 @@ def _sharing(rows: pa.Table, passage: int, percent: int) -> Iterator[tuple[np.nd
                     yield b[good], a[good]
 
 
+def _code(keys: np.ndarray, members: np.ndarray | int) -> np.ndarray:
+    return (keys.astype(np.uint64) << np.uint64(32)) | np.asarray(members).astype(np.uint64)
+
+
+def _often(keys: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Stands for a key that comes again after so many ``times``."""
+    x = keys + times * np.uint32(0x9E3779B1)
+    return np.where(times > 0, (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B), keys)
+
+
+def _counted(codes: np.ndarray) -> np.ndarray:
+    """Sorted codes of (key, member), the second, third, ... of equal ones with another key."""
+    codes = np.sort(codes)
+    begin = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    times = np.arange(len(codes)) - np.repeat(begin, np.diff(np.append(begin, len(codes))))
+    keys = _often((codes >> np.uint64(32)).astype(np.uint32), times.astype(np.uint32))
+    return np.sort(_code(keys, codes & np.uint64(0xFFFFFFFF)))
+
+
 def _near(later: np.ndarray, earlier: np.ndarray, region: int, passage: int, need: int) -> np.ndarray:
     """Whether in some run of the ``region`` of words in the middle of each row so many have an equal one within the band, words being bytes, 0 where
     there is none."""
