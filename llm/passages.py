@@ -94,10 +94,11 @@ def windows(docs: DataFrame, passage: int, count: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id bigint, value bigint, at bigint")
 
 
-def grouped(found: DataFrame) -> DataFrame:
+def grouped(found: DataFrame, passage: int) -> DataFrame:
     """(star, id, other, place, flag) of the windows that share their signature with another document, after ``windows``.
 
-    Stars: alignments with the first and the last of a group, as (later document, earlier one, shift, whether the later is shorter).
+    Stars: alignments with the first and the last of a group, as (later document, earlier one, shift, whether the later is shorter),
+    where the texts overlap by ``passage`` words.
     Others: (document, signature, place, whether the window is to go on if its stars leave it unmatched). Groups of two have been compared
     in full, but for further positions of one. Of windows in a row, all of one word, some are enough: the others' alignments are
     within the band of theirs. The stars have met the first and the last window of each group."""
@@ -135,9 +136,11 @@ def grouped(found: DataFrame) -> DataFrame:
         yield _rows(False, ids[kept], value[kept], c[kept], asks[kept])
         own, other = np.tile(np.arange(len(ids)), 2), np.concatenate([low, high])
         later, earlier = np.where(ids[own] > ids[other], own, other), np.where(ids[own] > ids[other], other, own)
-        some = ids[own] != ids[other]
+        shift = c[later] - c[earlier]
+        overlap = np.minimum(size[later], size[earlier] + shift + BAND) - np.maximum(0, shift - BAND)
+        some = (ids[own] != ids[other]) & (overlap >= passage)
         later, earlier = later[some], earlier[some]
-        pairs = ids[later], ids[earlier], c[later] - c[earlier]
+        pairs = ids[later], ids[earlier], shift[some]
         new = _distinct(*pairs)
         yield _rows(True, *(x[new] for x in pairs), (size[later] < size[earlier])[new])
 
@@ -413,9 +416,15 @@ def _runs_of(rows: list[tuple[bytes, bytes, int]], band: int, passage: int, perc
         at += len(some)
 
 
-def _hopeful(pairs: list[tuple[bytes, bytes, list[int]]], passage: int, percent: int) -> np.ndarray:
+def _hopeful(*given: object) -> np.ndarray | bool:
     """Whether a passage may repeat along or around one of the alignments of (later, earlier, shifts), given as in ``_laid_runs``: the first
-    alignment of each pair, then all of those that are still open."""
+    alignment of each pair, then all of those that are still open. ``given`` are pairs, passage and percent; or a single pair's later, earlier
+    and shifts before these, with two bytes a word, for which it is yes or no."""
+    *pairs, passage, percent = given
+    if len(pairs) == 3:
+        texts = (np.maximum(x >> np.uint16(8), np.uint16(2)).astype(np.uint8).tobytes() for x in pairs[:2])
+        return bool(_hopeful([(*texts, pairs[2])], passage, percent)[0])
+    (pairs,) = pairs
     out = np.zeros(len(pairs), bool)
     able = [n for n, (b, a, _) in enumerate(pairs) if min(len(a), len(b)) >= passage]
     for some in (slice(0, 1), slice(1, None)):
@@ -543,6 +552,7 @@ def _around(open_: DataFrame, members: DataFrame, usable: DataFrame, passage: in
         if not given:
             return
         rows = pa.Table.from_batches(given)
+        del given
         rows = rows.take(pa.compute.sort_indices(rows, [(name, "ascending") for name in ("value", "id", "c")])).combine_chunks()
         value = rows.column(0).to_numpy()
         ends = np.concatenate([np.flatnonzero(value[1:] != value[:-1]) + 1, [len(value)]])
@@ -576,11 +586,11 @@ def _sharing(rows: pa.Table, passage: int, percent: int) -> Iterator[tuple[np.nd
     value, open_ = rows.column(0).to_numpy(), rows.column(3).to_numpy()
     data, of = buffers(rows.column(5))
     words, of = data.view(np.uint16), of // 2
-    row = np.repeat(np.arange(len(of) - 1), np.diff(of))
-    again = np.concatenate([(words[1:] == words[:-1]) & (row[1:] == row[:-1]), np.zeros(min(1, len(words)), bool)])
-    again = np.bincount(row[again], minlength=len(value)) * 4 >= np.diff(of)
-    again |= least < SHARED
-    del row
+    same = np.zeros(len(words), np.uint8)
+    same[:-1] = words[1:] == words[:-1]
+    # The last word of each; none is without the min-hash.
+    same[of[1:] - 1] = 0
+    again = (np.add.reduceat(same, of[:-1], dtype=np.int32) * 4 >= np.diff(of)) | (least < SHARED)
     for some, pairs in ((open_ & ~again, 1), (open_ & again, 0)):
         if some.any():
             groups = np.flatnonzero(np.isin(value, value[some]))
@@ -759,7 +769,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", key: str = "doc_id",
     usable = once.filter("text IS NOT NULL")
     prints = keep_table(usable.select("id", "text").mapInArrow(_prints, "id bigint, print binary"))
     # Most windows share their signature with no other document and are not kept.
-    found = keep_table(grouped(windows(usable, passage, count)))
+    found = keep_table(grouped(windows(usable, passage, count), passage))
     stars = keep_table(_verified(aligned(found.filter("star")), usable, prints, passage, percent))
     members = found.filter("NOT star").select("id", F.col("other").alias("value"), F.col("place").alias("c"), F.col("flag").alias("asks"))
     repeats = _further(members, stars, usable, prints, passage, percent)

@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -337,6 +338,68 @@ def test_passages_around_a_line_that_many_documents_have(spark, monkeypatch):
     assert sum(sent) < 150 * 2 * 12
 
 
+def test_members_of_a_hot_group_meet_only_those_that_may_share_a_passage():
+    """All have a line; the words around it are few, so that any two share rare ones by chance."""
+    rng = np.random.default_rng(8)
+    reach, line = 49 + passages.BAND, rng.integers(0, 1 << 16, 12)
+    near, of_line = rng.integers(0, 3000, (1500, 2 * reach + 5)), np.arange(reach - 4, reach + 8)
+    near[:, of_line] = line
+    # A passage with 10 words in 50 changed, one with words put into the earlier text, and a word that comes again and again.
+    near[900] = near[400]
+    near[900, reach - 30 : reach + 30 : 6] = 60_000
+    near[901] = near[401]
+    for k in range(6):
+        near[401, reach + 10 + 5 * k :] = np.concatenate([[60_001 + k], near[401, reach + 10 + 5 * k : -1]])
+    for i, n in ((300, 30), (500, 44), (902, 44)):
+        near[i] = np.arange(20_000 + 200 * i, 20_000 + 200 * i + near.shape[1]) % (1 << 16)
+        near[i, reach : reach + n] = 7
+    rows = pa.table(
+        {
+            "value": np.full(1500, 5),
+            "id": np.arange(1500),
+            "c": np.full(1500, reach),
+            "open": np.ones(1500, bool),
+            "lead": np.full(1500, reach),
+            "near": pa.array([x.astype(np.uint16).tobytes() for x in near], pa.binary()),
+        }
+    )
+    looked = []
+    near_ = passages._near
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(passages, "_near", lambda later, *rest: looked.append(len(later)) or near_(later, *rest))
+        met = {pair for later, earlier in passages._sharing(rows, 50, 80) for pair in zip(later.tolist(), earlier.tolist(), strict=True)}
+    assert met == {(900, 400), (901, 401), (902, 500)}
+    # Words alone, 3 of the rarest 13 of a run, would be shared by tens of thousands.
+    assert sum(looked) < 1500
+
+
+def test_groups_of_windows_are_those_of_sorted_rows(spark):
+    rng = random.Random(17)
+    rows = sorted({(rng.randrange(30), rng.randrange(12) if i % 3 else 100 + i, rng.randrange(40)) for i in range(900)})
+    sizes = {i: rng.randrange(50, 90) for i in range(30)}
+    groups = {}
+    for i, value, c in sorted(rows):
+        groups.setdefault(value, []).append((i, c))
+    stars, others = set(), set()
+    for value, group in groups.items():
+        if group[0][0] == group[-1][0]:
+            continue
+        for n, (i, c) in enumerate(group):
+            for j, d in (group[0], group[-1]):
+                (x, p), (y, q) = max((i, c), (j, d)), min((i, c), (j, d))
+                along = [k for k in range(sizes[x]) if any(0 <= k - (p - q) + step < sizes[y] for step in (-passages.BAND, 0, passages.BAND))]
+                if i != j and len(along) >= 60:
+                    stars.add((x, y, p - q, sizes[x] < sizes[y]))
+            inner = 0 < n < len(group) - 1 and group[n - 1] == (i, c - 1) and group[n + 1] == (i, c + 1) and c % passages.BAND
+            if len(group) > 2 and n and not inner:
+                others.add((i, value, c, i != group[0][0] and 1 < n < len(group) - 1))
+    found = passages.grouped(spark.createDataFrame([(i, value, (sizes[i] << 32) + c) for i, value, c in rows], "id bigint, value bigint, at bigint"), 60).collect()
+    assert {tuple(r)[1:] for r in found if r["star"]} == stars and {tuple(r)[1:] for r in found if not r["star"]} == others
+    pairs = passages.aligned(spark.createDataFrame(found).filter("star")).collect()
+    assert {(r["id"], r["source"], shift, r["ahead"]) for r in pairs for shift in r["shifts"]} == stars
+    assert len(pairs) == len({s[:2] for s in stars})
+
+
 def test_passages_with_an_inserted_or_deleted_word(spark):
     rng = random.Random(37)
     rows = []
