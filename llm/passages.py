@@ -44,7 +44,7 @@ SLICE = 1 << 18
 ROWS = 1 << 18
 #: Rare pairs of words around the min-hash that two members of a group must share to be compared, and members that are looked through at once.
 SHARED = 3
-MEMBERS = 1 << 13
+MEMBERS = 1 << 12
 
 
 def window_centres(values: np.ndarray, of: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -446,9 +446,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, passage: int
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ahead, shifts, first, second = (batch.column(n).to_pylist() for n in range(2, 6))
-            given = [(x, y, some) if before else (y, x, some) for before, some, x, y in zip(ahead, shifts, first, second, strict=True)]
-            yield batch.select(range(4)).filter(pa.array(_hopeful(given, passage, percent), pa.bool_()))
+            for at in range(0, batch.num_rows, TOGETHER):
+                rows = batch.slice(at, TOGETHER)
+                ahead, shifts, first, second = (rows.column(n).to_pylist() for n in range(2, 6))
+                given = [(x, y, some) if before else (y, x, some) for before, some, x, y in zip(ahead, shifts, first, second, strict=True)]
+                yield rows.select(range(4)).filter(pa.array(_hopeful(given, passage, percent), pa.bool_()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
