@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import slicewise as S
 from slicewise.functions.constants import WHITESPACE, WORD_BREAK
-from slicewise.functions.exprs import word_count, words
+from slicewise.functions.exprs import char_entropy, low_entropy, word_count, words
 
 
 def test_words_end_at_white_space_only(spark):
@@ -31,3 +31,11 @@ def test_words_of_odd_lines(spark):
             assert found[i][1] == len(want), t
     counted = S.vocab(df.select(F.col("k"), F.col("s").alias("line"))).first()
     assert counted["word_count"] == sum(len(t.split()) for t in texts if t)
+
+
+def test_low_entropy_reads_the_length_of_the_line_only(spark):
+    texts = [None, "", " ", "a", "aaab", "ab" * 50, "eaint " * 9, "é" * 40, "éèêë" * 9, "日本語のテキスト", "日日日日 e", "e\u2003t" * 30, "The rain in Spain"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string").select("s", low_entropy("s").alias("low"), (char_entropy("s") < 2).alias("want"))
+    assert all(r["low"] == r["want"] for r in df.collect())
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "octet_length(replace(" in plan and "- length(replace(" not in plan
